@@ -4,12 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, tokens
+from . import common, repetition, tokens
+
+
+def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repetition.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_covered", "longest_repeat")
 
 
 def op3_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_rans_tokens": op3_rans_tokens}
+QUERIES = {
+    "op1_suffix_repetition": op1_suffix_repetition,
+    "op3_rans_tokens": op3_rans_tokens,
+}
 ORACLES: dict[str, str] = {}
