@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, repetition, tokens
+from . import common, importance, langid, mixing, pages, repetition, tokens
 
 
 def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +16,31 @@ def op3_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(common.table(spark, sf_dir, "documents"))
 
 
+def op4_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    learned = langid.train(docs.filter(~langid.held_out(F.col("doc_id"))))
+    held = docs.select("doc_id", "text", langid.held_out(F.col("doc_id")).alias("held_out"))
+    return langid.predict(held, learned)
+
+
+def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
+def op7_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(common.table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(common.table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_suffix_repetition": op1_suffix_repetition,
     "op3_rans_tokens": op3_rans_tokens,
+    "op4_zstd_language": op4_zstd_language,
+    "op6_importance_resampling": op6_importance_resampling,
+    "op7_line_blocks": op7_line_blocks,
+    "op10_poisson_mix": op10_poisson_mix,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_poisson_mix": mixing.SQL}
