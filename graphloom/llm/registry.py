@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, importance, langid, mixing, pages, repetition, tokens
+from . import common, importance, jaccard, langid, mixing, pages, repetition, tokens
 
 
 def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op7_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(common.table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op9_metric_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(common.table(spark, sf_dir, "documents"))
+
+
 def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ QUERIES = {
     "op4_zstd_language": op4_zstd_language,
     "op6_importance_resampling": op6_importance_resampling,
     "op7_line_blocks": op7_line_blocks,
+    "op9_metric_jaccard": op9_metric_jaccard,
     "op10_poisson_mix": op10_poisson_mix,
 }
 ORACLES: dict[str, str] = {"op10_poisson_mix": mixing.SQL}
