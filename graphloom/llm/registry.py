@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, importance, jaccard, langid, mixing, pages, repetition, tokens
+from . import common, decontaminate, importance, jaccard, langid, mixing, pages, repetition, tokens
 
 
 def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op7_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(common.table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op8_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.inspect(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def op9_metric_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(common.table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,8 @@ QUERIES = {
     "op4_zstd_language": op4_zstd_language,
     "op6_importance_resampling": op6_importance_resampling,
     "op7_line_blocks": op7_line_blocks,
+    "op8_prefix_join": op8_prefix_join,
     "op9_metric_jaccard": op9_metric_jaccard,
     "op10_poisson_mix": op10_poisson_mix,
 }
-ORACLES: dict[str, str] = {"op10_poisson_mix": mixing.SQL}
+ORACLES: dict[str, str] = {"op8_prefix_join": decontaminate.SQL, "op10_poisson_mix": mixing.SQL}
