@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, decontaminate, importance, jaccard, langid, mixing, pages, repetition, tokens
+from . import common, decontaminate, importance, jaccard, langid, mixing, pages, repetition, secrets, tokens
 
 
 def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op4_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(held, learned)
 
 
+def op5_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.scan(docs, secrets.train(secrets.samples(docs)))
+
+
 def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
@@ -47,6 +52,7 @@ QUERIES = {
     "op1_suffix_repetition": op1_suffix_repetition,
     "op3_rans_tokens": op3_rans_tokens,
     "op4_zstd_language": op4_zstd_language,
+    "op5_markov_secrets": op5_markov_secrets,
     "op6_importance_resampling": op6_importance_resampling,
     "op7_line_blocks": op7_line_blocks,
     "op8_prefix_join": op8_prefix_join,
