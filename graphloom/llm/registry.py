@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, decontaminate, importance, jaccard, langid, mixing, pages, repetition, secrets, tokens
+from . import common, decontaminate, importance, jaccard, langid, mixing, pages, pii, repetition, secrets, tokens
 
 
 def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,6 +12,11 @@ def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_covered", "longest_repeat")
 
 
+def op2_bilstm_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find(docs, pii.train(docs))
+
+
 def op3_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(common.table(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_suffix_repetition": op1_suffix_repetition,
+    "op2_bilstm_crf_pii": op2_bilstm_crf_pii,
     "op3_rans_tokens": op3_rans_tokens,
     "op4_zstd_language": op4_zstd_language,
     "op5_markov_secrets": op5_markov_secrets,
