@@ -1,4 +1,6 @@
 """The queries of the engine by name, and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from graphloom.plans.oracle import ORACLES
+from graphloom.plans.queries import QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
