@@ -62,7 +62,7 @@ def _counts(buckets: int):
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> np.ndarray:
     """log(target / raw) for each bucket. ``labels`` has doc_id, quality and toxic."""
     good = labels.groupBy("doc_id").agg(F.min((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).alias("good"))
-    ids = good.filter("good and doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(settings.target_rows).select(F.col("doc_id").alias("id"), F.lit(True).alias("good"))
+    ids = common.sample(good.filter("good and doc_id is not null").select("doc_id"), settings.target_rows, "doc_id").select(F.col("doc_id").alias("id"), F.lit(True).alias("good"))
     marked = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("id"), "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     found = marked.mapInArrow(_counts(settings.buckets), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()  # a row for each bucket at most
     raw, target = np.zeros(settings.buckets), np.zeros(settings.buckets)

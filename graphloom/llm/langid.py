@@ -19,6 +19,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import common
+
 LETTER = re.compile(r"[^\W\d_]")
 SCHEMA = "lang_pred string, score double, margin double, accepted boolean"
 NAMES = ["lang_pred", "score", "margin", "accepted"]
@@ -42,12 +44,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(rows: DataFrame, settings: Settings = Settings()) -> dict[str, bytes]:
-    """A dictionary for each lang of ``rows`` (text, lang), from a bounded sample drawn by text hash.
+    """A dictionary for each lang of ``rows`` (doc_id, text, lang), from a bounded sample drawn by id hash.
 
     The sample takes whole texts of at most ``sample_chars``; how many a language has decides the
     share that is drawn, so about ``sample_rows`` of each come to the driver, however many there are.
     """
-    usable = rows.select("text", "lang", (F.xxhash64("text").bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)).alias("u")).filter(F.col("lang").isNotNull() & (F.length("text") > 0) & (F.length("text") <= settings.sample_chars))
+    usable = rows.select("text", "lang", common.uniform("doc_id").alias("u")).filter(F.col("lang").isNotNull() & (F.length("text") > 0) & (F.length("text") <= settings.sample_chars))
     found = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     if not found:
         return {}

@@ -6,7 +6,7 @@ decodes the whole run of windows: so a span across an edge is decided once, glob
 counts if it has the form of its kind (``plausible``) and meets no base span. All kinds hold a digit
 or an @, and windows start at rest, so a window without either could not add a span and is not read.
 
-Training windows come from a bounded number of documents, drawn by text hash, whose base spans are
+Training windows come from a bounded number of documents, drawn by id hash, whose base spans are
 the labels; copies of them get spans of forms that the patterns miss. The driver trains the tagger.
 
 A null or empty text has no spans. Rows are scanned one by one; other columns are passed on, except
@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from . import common
 from .tagger import Tagger, viterbi
 
 KINDS = ("email", "ip", "card", "phone")
@@ -196,8 +197,8 @@ def training_windows(texts: list[str], settings: Settings) -> tuple[np.ndarray,
 
 def train(docs: DataFrame, settings: Settings = Settings()) -> Tagger:
     """A tagger from the base spans of a bounded number of documents with a digit or an @."""
-    usable = docs.select("text").filter(F.col("text").rlike("[0-9@]") & (F.length("text") <= settings.sample_chars))
-    texts = [r.text for r in usable.orderBy(F.xxhash64("text"), "text").limit(settings.sample_rows).collect()]
+    usable = docs.select("doc_id", "text").filter(F.col("text").rlike("[0-9@]") & (F.length("text") <= settings.sample_chars))
+    texts = [r.text for r in common.sample(usable, settings.sample_rows, "doc_id").collect()]
     tagger = Tagger(CODES, TAGS, settings.hidden, settings.seed)
     tagger.train(*training_windows(texts, settings), settings.steps, seed=settings.seed)
     return tagger
