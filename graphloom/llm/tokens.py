@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,11 @@ from . import common, rans
 
 #: Ids of a block: a block closes with the document that reaches this.
 BLOCK_IDS = 1 << 19
-#: Words that a Python worker keeps at most.
-CACHE_WORDS = 300_000
+#: Pieces, and words, that a Python worker keeps at most (under 100 MB each).
+CACHE_WORDS = 400_000
+#: Letters that are composed, and have one lower case each.
+PLAIN_WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+MARKS = ".,;:!?#*$%&"
 #: Python and the tokenizer differ about these being white space.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 BLOCKS = "shard int, block int, before long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
@@ -39,38 +43,65 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-        self.plain = splits_words_from_marks(self.tokenizer)
+        self.code = {"<u2": "H", "<u4": "I"}[self.kind]
+        self.words: dict[str, bytes] = {}
+        self.plain = splits_words_from_marks(self)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        word = piece.rstrip(".,") if self.plain else piece
-        if word != piece and word.isalpha():  # letters and marks are separate pre-tokens
-            found = self[word] + self.whole(piece[len(word) :])
-        elif self.plain and word.isascii() and word.isalpha() and word != word.lower():
-            found = self[word.lower()]
-        elif self.plain and word.isascii() and word.isalpha():
-            found = np.array([t.id for t in self.tokenizer.model.tokenize(word)], self.kind).tobytes()
-        else:
-            found = self.whole(piece)
-        self[piece] = found
+        found = self[piece] = self.piece(piece) if self.plain else self.whole(piece)
         return found
 
+    def piece(self, piece: str) -> bytes:
+        """Words are looked up in lower case and apart from marks, so few reach the tokenizer."""
+        word = piece.rstrip(MARKS)
+        if not PLAIN_WORD.fullmatch(word):
+            return self.whole(piece)
+        low = word.lower()
+        found = self.words.get(low)
+        if found is None:
+            if len(self.words) >= CACHE_WORDS:
+                self.words.clear()
+            found = self.words[low] = self.of_model(low)
+        if word == piece:
+            return found
+        marks = piece[len(word) :]
+        if marks not in self.words:
+            self.words[marks] = self.whole(marks)
+        return found + self.words[marks]
+
+    def of_model(self, low: str) -> bytes:
+        symbols = low if low.isascii() else low.encode().decode("latin-1").translate(BYTE_SYMBOLS)
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(symbols)]).tobytes()
+
     def of(self, text: str) -> bytes:
         if ODD_SPACE.search(text):
             return self.whole(text)
         return b"".join(map(self.__getitem__, text.split()))
 
 
-def splits_words_from_marks(tokenizer) -> bool:
-    """Whether ASCII words go to the model in lower case as they are, and apart from what follows them."""
-    probe = ("Quarks", "quarks", ".,", "Quarks.,")
-    ids = [tokenizer.encode(x, add_special_tokens=False).ids for x in probe]
-    direct = [t.id for t in tokenizer.model.tokenize("quarks")]
-    return ids[0] == ids[1] == direct and ids[3] == ids[0] + ids[2]
+def byte_symbols() -> dict[int, str]:
+    """Byte-level vocabularies write a byte that is no visible Latin-1 character as one from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+BYTE_SYMBOLS = byte_symbols()
+
+
+def splits_words_from_marks(coder: WordIds) -> bool:
+    """Whether this tokenizer gives plain words in lower case to its model, apart from marks."""
+    probes = ("Quarks", "Çà", "straßen", "Élèves", "a", "ÿ")
+    try:
+        each = all(coder.of_model(w.lower()) == coder.whole(w) for w in probes)
+        return each and all(coder.whole(w + m) == coder.whole(w) + coder.whole(m) for w in probes for m in (".", ",", "###", "***", "!!?"))
+    except Exception:  # another kind of tokenizer, whose model does not take these symbols
+        return False
 
 
 _CODERS: dict[str, WordIds] = {}
