@@ -1,0 +1,538 @@
+"""Each operator on odd rows, and against a brute-force version, an exact round trip or held-out labels."""
+
+import hashlib
+import json
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from graphloom.llm import common, components, decontaminate, importance, jaccard, langid, metric, mixing, pages, pii, rans, registry, repetition, secrets, tokens
+from graphloom.llm.tagger import Tagger, viterbi
+
+from tests.llm import helpers as H
+
+
+def table(spark, sf, name):
+    return common.table(spark, sf, name)
+
+
+def no_rows(spark):
+    return spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+# 1 --------------------------------------------------------------------------------------------
+
+
+def random_texts(n, seed=1):
+    r = random.Random(seed)
+    made = [" ".join(r.choices("abc", k=r.randint(0, 90))) for _ in range(n)]
+    return made + [" ".join(r.choices("abcdefgh\n", k=200)) + " " + "p q r s t u v w x y z " * r.randint(1, 9) for _ in range(10)]
+
+
+def test_repetition_equals_brute_force():
+    texts = random_texts(150) + [t for t in H.ODD_TEXTS if len(t or "") < 4000]
+    got = list(zip(*(c.tolist() for c in repetition.measure(texts, repetition.Rules())), strict=True))
+    for text, row in zip(texts, got, strict=True):
+        assert row[:7] == H.repetition(text), text
+
+
+def test_repetition_verdicts(spark):
+    clean = " ".join(f"w{i}" for i in range(100))
+    loop = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, clean), (2, loop + " " + clean + " " + loop), (3, "few words"), (4, " ".join(f"u{i}" for i in range(110)) * 2), (5, None)]
+    kept = {r.doc_id: (r.base_failed, r.kept) for r in repetition.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept[1] == (False, True) and kept[3] == kept[5] == (True, False) and not kept[2][1] and not kept[4][1]
+
+
+def test_repetition_odd_rows(spark):
+    docs = H.odd_documents(spark)
+    out = repetition.judge(docs)
+    assert out.count() == docs.count() and set(out.columns) >= {"doc_id", "text", "region", "kept"}
+    assert dict(out.dtypes)["kept"] == "boolean"
+    assert repetition.judge(no_rows(spark)).count() == 0
+
+
+# 2 --------------------------------------------------------------------------------------------
+
+
+def plain_base(text):
+    out = [(0, m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [(1, m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub("[^0-9]", "", m[0])
+        if 13 <= len(d) <= 19 and pii.luhn(d):
+            out.append((2, m.start(), m.end()))
+    return out + [(3, m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+
+
+def test_pii_base_equals_plain_patterns():
+    r = random.Random(2)
+    texts = ["".join(r.choices("ab@.-+1234 5()", k=r.randint(0, 40))) for _ in range(3000)]
+    texts += ["a@b@c.d.e", "x@y.z@w.v", "1.2.3.4.5.6.7.8", "256.1.1.1 0255.1.1.1", "4111 1111 1111 1111", "+1 (771) 555-1655.", "@a.b", "%@a.b-"]
+    for t in texts:
+        assert sorted(pii.base_spans(t)) == sorted(plain_base(t)), t
+
+
+def test_tagger_gradients(monkeypatch):
+    import graphloom.llm.tagger as module
+
+    monkeypatch.setattr(module, "F", np.float64)
+    t = Tagger(7, 3, 4, 0)
+    t.p = {k: v.astype(np.float64) for k, v in t.p.items()}
+    r = np.random.default_rng(0)
+    ids, gold = r.integers(0, 7, (6, 3)), r.integers(0, 3, (6, 3))
+    _, g = t.gradients(ids, gold)
+    for k, at in {"x": (0, int(ids[2, 1]), 5), "u": (1, 2, 9), "v": (0, 1, 2), "b": (1,), "a": (2, 0)}.items():
+        sides = []
+        for e in (1e-5, -1e-5):
+            t.p[k][at] += e
+            sides.append(t.gradients(ids, gold)[0])
+            t.p[k][at] -= e
+        assert g[k][at] == pytest.approx((sides[0] - sides[1]) / 2e-5, abs=1e-6)
+
+
+def test_viterbi_equals_brute_force():
+    import itertools
+
+    r = np.random.default_rng(3)
+    for _ in range(20):
+        s, a = r.normal(size=(5, 3)), r.normal(size=(3, 3))
+        best = max(itertools.product(range(3), repeat=5), key=lambda y: sum(s[t, y[t]] for t in range(5)) + sum(a[y[t], y[t + 1]] for t in range(4)))
+        assert tuple(viterbi(s, a)) == best
+
+
+@pytest.fixture(scope="module")
+def tagger(spark, sf):
+    return pii.train(table(spark, sf, "documents"), pii.Settings(steps=250))
+
+
+def test_pii_held_out_windows(tagger):
+    ids, gold = pii.training_windows(["some words of prose without anything in them to find " * 4], pii.Settings(seed=99, training_windows=400))
+    scores, right, seen, true = tagger.forward(ids.T), 0, 0, 0
+    for k in range(len(ids)):
+        found, want = set(pii.spans_of(viterbi(scores[:, k], tagger.p["a"]))), set(pii.spans_of(gold[k]))
+        right, seen, true = right + len(found & want), seen + len(found), true + len(want)
+    assert right / true > 0.7 and right / seen > 0.7
+
+
+def test_pii_rows(spark, sf, tagger):
+    docs = H.odd_documents(spark)
+    out = pii.find(docs, tagger)
+    assert out.count() == docs.count() and pii.find(no_rows(spark), tagger).count() == 0
+    rows = {r.doc_id: r for r in registry_rows(pii.find(table(spark, sf, "documents").select("doc_id", "text"), tagger))}
+    for d in table(spark, sf, "documents").collect():
+        want = sorted(plain_base(d.text or ""))
+        text = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in want)
+        assert rows[d.doc_id].base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert set(filter(None, text.split(","))) <= set(rows[d.doc_id].spans.split(","))
+
+
+def registry_rows(df):
+    return df.collect()
+
+
+def test_pii_across_window_edges(tagger):
+    s = pii.Settings()
+    for shift in range(0, 130, 13):
+        text = "ordinary words here " * 8
+        text = text[: 60 + shift] + " call (312) 555-0188 soon " + text
+        found = pii.tagged([text], tagger, s)[0]
+        at = text.index("(312)")
+        assert all(b <= at or a >= at + 14 or (a, b) != (at, at + 7) for _, a, b in found)
+
+
+# 3 --------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 8, 9, 1000, 5000])
+def test_rans_round_trip(n):
+    r = np.random.default_rng(n)
+    ids = np.minimum(r.zipf(1.3, n), 3000).astype(np.int64)
+    model = rans.Model(rans.normalize(np.bincount(ids, minlength=4) + 1))
+    block = model.encode(ids, lanes=8, interval=5)
+    assert np.array_equal(model.decode(block), ids)
+    head = rans.Block(block, model.bits)
+    parts = [model.segment(head, k) for k in reversed(range(head.count))][::-1]
+    assert np.array_equal(np.concatenate(parts) if parts else np.zeros(0), ids)
+
+
+def test_rans_is_near_the_entropy_and_finds_damage():
+    r = np.random.default_rng(1)
+    ids = r.choice(50, 200_000, p=np.arange(1, 51) / 1275)
+    counts = np.bincount(ids)
+    model = rans.Model(rans.normalize(counts))
+    block = model.encode(ids)
+    bits = -(counts / counts.sum() * np.log2(counts / counts.sum())).sum() * len(ids)
+    assert len(block) * 8 < 1.01 * bits + 8 * (rans.LANES * 10 * 8)
+    bad = bytearray(block)
+    bad[-100] ^= 1
+    with pytest.raises(rans.CorruptBlock):
+        model.decode(bytes(bad))
+    with pytest.raises(rans.CorruptBlock):
+        model.decode(block[:-400])
+    with pytest.raises(rans.CorruptBlock):
+        model.decode(b"no")
+
+
+def test_frequencies_fill_the_scale():
+    for counts in ([0, 5, 0], [1] * 3000, [10**12, 1, 1], [0, 0]):
+        f = rans.normalize(np.array(counts), 12)
+        assert f.sum() == 4096 and all(f[k] >= 1 for k, c in enumerate(counts) if c)
+
+
+def token_rows(rows):
+    from tokenizers import Tokenizer
+
+    t, start, out = Tokenizer.from_file(tokens.default_tokenizer()), 0, []
+    for doc, text in rows:
+        ids = t.encode(text or "", add_special_tokens=False).ids + [2]
+        out.append((doc, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    return out
+
+
+def test_word_cache_equals_the_tokenizer():
+    coder, r = tokens.WordIds(tokens.default_tokenizer()), random.Random(4)
+    for _ in range(3000):
+        text = "".join(r.choices("aAzZéÉßÿñ.,;:!?#*$% \n\t'stre09İΣς́ \x1c中한", k=r.randint(0, 14))) + r.choice(["", "<|endoftext|>", "'s", "'RE "])
+        assert coder.of(text) == coder.whole(text), text
+
+
+def test_tokens_equal_the_library(spark, sf):
+    docs = table(spark, sf, "documents")
+    want = token_rows(sorted((r.doc_id, r.text) for r in docs.collect()))
+    got = tokens.round_trip(docs).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == want
+
+
+def test_tokens_odd_rows(spark):
+    docs = H.odd_documents(spark)
+    got = sorted(tokens.round_trip(docs).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((r.doc_id for r in docs.collect()), key=lambda d: (d is not None, d))
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(len(got))]
+    assert tokens.round_trip(no_rows(spark)).count() == 0
+
+
+def test_small_blocks_and_ids(spark):
+    docs = spark.createDataFrame([(i, f"some words {i} and more") for i in range(50)], "doc_id long, text string")
+    path = tokens.encode(docs, tokens.default_tokenizer(), common.scratch_path(spark, "t"), 2, block_ids=20)
+    rows = tokens.decode(spark, path, want_ids=True).orderBy("doc_id").collect()
+    assert all(len(r.ids) == r.n_tokens and r.ids[-1] == 2 for r in rows)
+    assert [r.start for r in rows] == [sum(x.n_tokens for x in rows[:k]) for k in range(50)]
+
+
+# 4 --------------------------------------------------------------------------------------------
+
+
+def test_language_held_out(spark, sf):
+    docs = table(spark, sf, "documents")
+    rows = registry.op4_zstd_language(spark, sf).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert {r.doc_id for r in rows if r.held_out} == {r.doc_id for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2}
+    held = [r for r in rows if r.held_out]
+    assert sum(r.lang == r.lang_pred for r in held) / len(held) > 0.85
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_language_odd_rows(spark):
+    docs = H.odd_documents(spark)
+    learned = langid.train(docs)
+    assert set(learned) <= {"en", "de", "fr"}
+    out = langid.predict(docs.drop("kept"), learned).collect()
+    assert len(out) == docs.count()
+    assert all(r.lang_pred == "und" for r in langid.predict(docs.filter("text is null or text = '-----'"), learned).collect())
+    assert all(r.lang_pred == "und" for r in langid.predict(docs, langid.train(no_rows(spark))).collect())
+    assert langid.predict(no_rows(spark), learned).count() == 0
+
+
+# 5 --------------------------------------------------------------------------------------------
+
+ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def plain_secrets(text):
+    spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    counts = [sum(k == kind for _, k, _ in spans) for kind in range(3)]
+    return (*counts, ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans)))
+
+
+def test_secrets(spark, sf):
+    r = random.Random(6)
+    texts = ["".join(r.choices(["token", "=", ":", " ", '"', "Secret", "apikey", "AKIA", "ABCD1234", "deadbeef", "x", "😀", ".", "\n"], k=r.randint(0, 25))) for _ in range(400)] + H.ODD_TEXTS
+    texts += ["token=token:abcdefgh", "AKIAAKIA" + "B" * 13, "pass q7Zk9XwP2mVt5RbLx0Js8Dg the_ordinary_identifier_name", "OrdinaryIdentifierNameWithManyWords"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    model = secrets.train(secrets.samples(table(spark, sf, "documents")))
+    rows = {x.doc_id: x for x in secrets.scan(docs, model).collect()}
+    for i, t in enumerate(texts):
+        *counts, base = plain_secrets(t or "")
+        assert [rows[i].n_assign, rows[i].n_access, rows[i].n_hex] == counts, t
+        assert rows[i].base_sha256 == hashlib.sha256(base.encode()).hexdigest(), t
+        assert set(filter(None, base.split(","))) <= set(rows[i].spans.split(","))
+    assert rows[len(texts) - 2].spans == "markov:5:28"
+    assert rows[len(texts) - 1].spans == ""
+
+
+def test_secret_models_tell_held_out_strings_apart(spark, sf):
+    model = secrets.train(secrets.samples(table(spark, sf, "documents")))
+    r = random.Random(8)
+    random_ones = ["".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=32)) for _ in range(200)]
+    names = [r.choice(["the", "and", "ther"]) + "_" + "_".join(r.choices(["over", "reason", "handle", "intent", "shore", "there", "ended"], k=4)) for _ in range(200)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(random_ones + names)], "doc_id long, text string")
+    found = {x.doc_id for x in secrets.scan(docs, model).filter("n_markov > 0").collect()}
+    assert len([i for i in found if i < 200]) > 190 and len([i for i in found if i >= 200]) < 10
+
+
+def test_secrets_odd_rows(spark):
+    docs = H.odd_documents(spark)
+    model = secrets.train(secrets.samples(docs))
+    assert secrets.scan(docs, model).count() == docs.count()
+    assert secrets.scan(no_rows(spark), secrets.train(secrets.samples(no_rows(spark)))).count() == 0
+
+
+# 6 --------------------------------------------------------------------------------------------
+
+
+def test_importance(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    rows = importance.resample(docs, labels).collect()
+    keys = sorted((r.key for r in rows), reverse=True)
+    least = keys[int(np.ceil(0.8 * len(rows))) - 1]
+    assert all(r.kept == (r.key >= least) for r in rows) and len(rows) == docs.count()
+    good = {r.doc_id: r.quality for r in labels.collect()}
+    weights = {r.doc_id: r.log_weight for r in rows}
+    mean = lambda q: np.mean([weights[d] for d, x in good.items() if x == q])
+    assert mean(1) > mean(0) + 5
+
+
+def test_importance_weights_equal_brute_force():
+    model = np.random.default_rng(0).normal(size=64)
+    settings = importance.Settings(buckets=64)
+    b, owner = importance.text_buckets(["a b a", None, "c"], 64)
+    assert np.bincount(owner, minlength=3).tolist() == [5, 0, 1]
+    again, _ = importance.text_buckets(["A b", "a"], 64)
+    assert again[0] == b[0] and again[1] == b[1]
+    del model, settings
+
+
+def test_cut_is_exact(spark):
+    r = np.random.default_rng(2)
+    keys = np.round(r.normal(size=500), 1) * 100
+    bits = importance.ordered_bits(keys)
+    assert np.array_equal(np.argsort(bits, kind="stable"), np.argsort(keys, kind="stable"))
+    df = spark.createDataFrame([(int(b),) for b in bits], "bits long")
+    for k in (1, 7, 250, 500):
+        assert importance.cut(df, k) == sorted(bits.tolist(), reverse=True)[k - 1]
+
+
+def test_importance_odd_rows(spark):
+    docs = H.odd_documents(spark)
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, None), (None, 1, 0), (4, None, None), (7, 0, 1)], "doc_id long, quality int, toxic int")
+    rows = importance.resample(docs, labels).collect()
+    assert len(rows) == docs.count() and all(np.isfinite(r.key) for r in rows)
+    assert importance.resample(no_rows(spark), labels).count() == 0
+    assert all(r.log_weight == 0 for r in importance.resample(docs, labels.limit(0)).collect())
+
+
+# 7 --------------------------------------------------------------------------------------------
+
+PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style></head><body class="comment-page"><header>Site</header><nav><ul><li><a href="/">Home</a><li>More</ul></nav>
+<div id="cookie-notice">We use cookies, a long notice that nobody reads but that has many characters in it.</div>%s<aside>Side text</aside><form>Name <input name=n></form>
+<section class="comments"><p>First! A long comment by a reader, long enough to look like the article itself, twice over.</p></section><footer>&copy; 2020</footer></body></html>"""
+
+
+@pytest.mark.parametrize(
+    ("article", "text"),
+    [
+        ("<article><h1>Head</h1><p>One &amp; two&nbsp;\n three.<p>Short.<br>Next <b>bo</b>ld<script>var x = '</p>';</script></article>", "Head One & two three. Short. Next bold"),
+        ("<main><p>&lt;b&gt; &#233; &#x20AC; 3 < 4</p><div class='ad'>Buy</div><p>End</p></main>", "<b> é € 3 < 4 End"),
+        ("<article><p>Only this.</p></article>", "Only this."),
+        ("<article></article>", ""),
+        ("<article><header><p>By me</p></header><ul><li>a</li><li>b</li></ul><table><tr><td>c<td>d</table></article>", "a b c d"),
+    ],
+)
+def test_pages(article, text):
+    assert pages.article(PAGE % article) == text
+
+
+@pytest.mark.parametrize("page", [None, "", "plain", "<", "<p", "<!--", "<script>", "</", "&", "<div><nav>", "<a href='", "<p>" * 3000, "<" * 3000, "<div>" * 2000 + "x"])
+def test_odd_pages(page):
+    assert isinstance(pages.article(page), str)
+
+
+def test_page_table(spark, sf):
+    df = table(spark, sf, "pages")
+    rows = {r.page_id: r for r in registry.op7_line_blocks(spark, sf).collect()}
+    import html
+
+    for r in df.collect():
+        inner = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+        blocks = [" ".join(html.unescape(re.sub("</?b>", "", b)).split()) for b in re.split("</?(?:p|h1|br)>", inner)]
+        assert rows[r.page_id].text == " ".join(b for b in blocks if b)
+        assert rows[r.page_id].n_chars == len(rows[r.page_id].text)
+    odd = spark.createDataFrame([(1, None, None, "x"), (None, "u", "", "y")], "page_id long, url string, html string, text string")
+    assert [r.text for r in pages.extract(odd).collect()] == ["", ""] and pages.extract(odd.limit(0)).count() == 0
+
+
+# 8 --------------------------------------------------------------------------------------------
+
+
+def check_contamination(spark, docs, items, settings=decontaminate.Settings()):
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    i = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((tuple(r) for r in decontaminate.inspect(d, i, settings).collect()), key=str)
+    assert got == sorted(((doc, *H.contamination(text, items, settings.window)) for doc, text in docs), key=str)
+
+
+def test_contamination_equals_brute_force(spark):
+    r = random.Random(9)
+    words = list("abcdef")
+    items = [(k, " ".join(r.choices(words, k=r.choice([1, 2, 3, 5, 9, 10, 12, 30])) + [f"q{k}"] * (k % 2))) for k in range(12)] + [(None, "a b c"), (50, None), (51, ""), (52, "é 用 x"), (53, "é 用 x")]
+    docs = [(k, " ".join(r.choices(words, k=r.randint(0, 40)))) for k in range(40)]
+    docs += [(100 + k, f"Start, {items[k][1].upper()}! {items[(k + 3) % 12][1]}.") for k in range(12)]
+    docs += [(7, docs[7][1]), (8, "other text with the same id"), (None, items[4][1]), (None, None), (200, "É 用 x é 用 X"), (201, "")]
+    check_contamination(spark, docs, items)
+    check_contamination(spark, docs, items, decontaminate.Settings(window=4, shingle=2, most_broadcast=0))
+
+
+def test_contamination_empty(spark):
+    check_contamination(spark, [(1, "a b"), (2, None)], [(1, None)])
+    assert decontaminate.inspect(no_rows(spark), spark.createDataFrame([(1, "a")], "item_id long, text string")).count() == 0
+    assert decontaminate.inspect(H.odd_documents(spark), spark.createDataFrame([(1, "a b c")], "item_id long, text string")).filter("contaminated").count() == 1
+
+
+# 9 --------------------------------------------------------------------------------------------
+
+
+def near_copies(n, seed=5):
+    r = random.Random(seed)
+    words = [f"w{i}" for i in range(300)]
+    base = [r.choices(words, k=120) for _ in range(5)]
+    out = []
+    for _ in range(n):
+        b = list(r.choice(base))
+        for _ in range(r.choice([0, 1, 2, 3, 4, 8, 15])):
+            b[r.randrange(len(b))] = r.choice(words)
+        out.append(" ".join(b[: r.randint(1, 120)] if r.random() < 0.2 else b))
+    return out + [" ".join(r.choices(words, k=r.randint(1, 25))) for _ in range(n // 3)]
+
+
+@pytest.mark.parametrize("join", [jaccard.Join(), jaccard.Join(most_region=30, pivots=4, most_levels=2)])
+def test_jaccard_equals_brute_force(spark, monkeypatch, join):
+    if join.most_region < 1000:
+        monkeypatch.setattr(jaccard, "BLOCK", 15)
+    texts = near_copies(240) + [None, "", " \n", "a", "a b", "A B", "a b c", "the the the the"]
+    rows = [*enumerate(texts), (3, texts[3]), (None, texts[5]), (None, "nothing like it at all, this one"), (4000, texts[7])]
+    got = jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), join).collect()
+    assert sorted((tuple(r) for r in got), key=str) == H.jaccard_classes(rows)
+
+
+def test_jaccard_odd_rows(spark):
+    docs = H.odd_documents(spark)
+    got = jaccard.classes(docs).collect()
+    assert sorted((tuple(r) for r in got), key=str) == H.jaccard_classes([(r.doc_id, r.text) for r in docs.collect()])
+    assert jaccard.classes(no_rows(spark)).count() == 0
+
+
+@pytest.mark.parametrize("percent", [80, 90, 100])
+def test_parts_meet_every_link(percent):
+    rings, r = jaccard.Rings(percent), np.random.default_rng(percent)
+    for _ in range(1500):
+        n = int(r.integers(1, 90))
+        a = np.unique(r.integers(0, 1 << 62, n).astype(np.uint64))
+        drop = int(r.integers(0, n // 6 + 2))
+        b = np.unique(np.concatenate([a[drop:], r.integers(0, 1 << 62, int(r.integers(0, n // 8 + 2))).astype(np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if len(b) and 100 * both >= percent * (len(a) + len(b) - both):
+            assert len(np.intersect1d(jaccard.keys(a, rings), jaccard.keys(b, rings)))
+
+
+@pytest.mark.parametrize("leaf", [4, 64])
+def test_cells_lose_no_link(leaf):
+    sets = [np.unique(np.array([hash(x) & (2**63 - 1) for x in H.shingle_set(t)], np.uint64)) for t in near_copies(150, 8)]
+    want = {}
+    for d, _, c in H.jaccard_classes([*enumerate(near_copies(150, 8))]):
+        want[d] = c
+    assert metric.link(sets, 90, leaf).tolist() == [want[k] for k in range(len(sets))]
+
+
+def test_components(spark):
+    r = random.Random(3)
+    pairs = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(300 + k, 301 + k) for k in range(60)]
+    key = lambda k: k.to_bytes(4, "big")
+    own = components.Union()
+    for a, b in pairs:
+        own.join(key(a), key(b))
+    df = spark.createDataFrame([(bytearray(key(a)), bytearray(key(b))) for a, b in pairs], "u binary, v binary").repartition(6)
+    got = {bytes(x.node): bytes(x.root) for x in components.connected(df).collect()}
+    assert got == {k: own.find(k) for k in own.up if own.find(k) != k}
+    assert components.connected(df.limit(0)).count() == 0
+
+
+# 10 -------------------------------------------------------------------------------------------
+
+
+def test_mixing_equals_sql(spark, sf):
+    duckdb = pytest.importorskip("duckdb")
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    want = sorted(map(str, db.sql(f"select doc_id, source, copy, round(rate, 12), shuffle_key from ({mixing.SQL})").fetchall()))
+    got = registry.op10_poisson_mix(spark, sf).select("doc_id", "source", "copy", F.round("rate", 12), "shuffle_key")
+    assert sorted(str(tuple(r)) for r in got.collect()) == want
+
+
+def test_mixing_reaches_its_weights(spark):
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") < 6000, "big").otherwise(F.concat(F.lit("s"), (F.col("id") % 3).cast("string"))).alias("source"))
+    weights = spark.createDataFrame([("big", 1.0), ("s0", 2.0), ("s1", 1.0), ("s2", 0.0), ("none", 9.0)], "source string, weight double")
+    counts = {r.source: r["count"] for r in mixing.mix(docs, weights).groupBy("source").count().collect()}
+    assert "s2" not in counts
+    for source, want in {"big": 2250, "s0": 4500, "s1": 2250}.items():
+        assert abs(counts[source] - want) < 6 * want**0.5
+
+
+def test_mixing_order_and_large_rates(spark):
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("a").alias("source"))
+    rows = mixing.mix(docs, size=900.0)
+    keys = [r.shuffle_key for r in rows.collect()]
+    assert keys == sorted(keys) and abs(len(keys) - 36_000) < 6 * 190
+
+
+def test_mixing_odd_rows(spark):
+    docs = H.odd_documents(spark)
+    out = mixing.mix(docs, size=3.0)
+    assert out.columns == [c for c in docs.columns if c != "rate"] + ["copy", "rate", "shuffle_key"]
+    assert out.filter("source is null").count() > 0 and mixing.mix(no_rows(spark)).count() == 0
+
+
+# The whole ------------------------------------------------------------------------------------
+
+
+def test_every_operator_is_registered():
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES) == list(range(1, 11))
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_queries_equal_sql(spark, sf, name):
+    duckdb = pytest.importorskip("duckdb")
+    db = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        db.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    want = db.sql(registry.ORACLES[name])
+    got = registry.QUERIES[name](spark, sf)
+    cols = sorted(got.columns)
+    order = [want.columns.index(c) for c in cols]
+    assert sorted(str(tuple(r[c] for c in cols)) for r in got.collect()) == sorted(str(tuple(r[k] for k in order)) for r in want.fetchall())
+
+
+def test_nothing_else_imports_this_package():
+    from pathlib import Path
+
+    root = Path(registry.__file__).resolve().parents[1]
+    for p in root.rglob("*.py"):
+        if "llm" not in p.relative_to(root).parts:
+            assert "graphloom.llm" not in p.read_text(), p
+    assert json is not None
