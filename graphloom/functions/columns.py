@@ -88,3 +88,23 @@ def completion_class(kind: Column) -> Column:
     for name, word in classes.items():
         out = F.when(kind == name, word).otherwise(out)
     return out
+
+
+def utf16_to_offset(line: Column, units: Column) -> Column:
+    """How many code points of a line its first ``units`` UTF-16 units hold; the line's length at most."""
+    wide = lambda c: F.when(F.octet_length(c) == 4, 2).otherwise(1)
+    step = lambda acc, c: F.struct((acc["u"] + wide(c)).alias("u"), (acc["n"] + F.when(acc["u"] < units, 1).otherwise(0)).alias("n"))
+    chars = F.filter(F.split(line, ""), lambda c: c != "")
+    return F.aggregate(chars, F.struct(F.lit(0).alias("u"), F.lit(0).alias("n")), step, lambda acc: acc["n"])
+
+
+def uri_to_path(uri: Column, root: str) -> Column:
+    """The path below ``root`` (a file URI) that a file URI names; null outside it."""
+    root = root.rstrip("/") + "/"
+    below = F.substring(uri, len(root) + 1, 1 << 30)
+    return F.when(uri.startswith(root), F.try_url_decode(F.replace(below, F.lit("+"), F.lit("%2B"))))
+
+
+def path_to_uri(path: Column, root: str) -> Column:
+    encoded = F.replace(F.replace(F.url_encode(path), F.lit("%2F"), F.lit("/")), F.lit("+"), F.lit("%20"))
+    return F.concat(F.lit(root.rstrip("/") + "/"), encoded)
