@@ -40,13 +40,14 @@ def _symbols(batches):
 
 
 def notes(files: DataFrame) -> DataFrame:
-    """path, stem, headings and links of every Markdown file of ``files`` (path, content)."""
+    """path, headings and links of every Markdown file of ``files`` (path, content)."""
     own = files.filter(C.extension(F.col("path")) == "md").select("path", "content")
-    return own.mapInArrow(_notes, NOTE).withColumn("stem", C.file_stem(F.col("path")))
+    return own.mapInArrow(_notes, NOTE)
 
 
-def docs(parsed: DataFrame) -> DataFrame:
-    return parsed.select("path", "stem")
+def docs(files: DataFrame) -> DataFrame:
+    """path and stem of every note; contents are not read."""
+    return files.filter(C.extension(F.col("path")) == "md").select("path", C.file_stem(F.col("path")).alias("stem"))
 
 
 def sections(parsed: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from graphloom.functions import columns as C
 from graphloom.operators import documents, glossary, resolve
+from graphloom.operators.scratch import materialize
 
 NODE_KINDS = ("doc", "section", "symbol", "term")
 EDGE_KINDS = ("links", "references", "mentions", "contains")
@@ -52,9 +53,12 @@ class Workspace:
 
 
 def index(files: DataFrame) -> Workspace:
-    """The workspace of ``files`` (path, content)."""
-    parsed = documents.notes(files)
-    docs, sections, refs = documents.docs(parsed), documents.sections(parsed), documents.references(parsed)
+    """The workspace of ``files`` (path, content).
+
+    Notes are parsed once: headings and links are written, and all that follows reads them.
+    """
+    parsed = materialize(documents.notes(files), "notes")
+    docs, sections, refs = documents.docs(files), documents.sections(parsed), documents.references(parsed)
     symbols = documents.numbered(documents.symbols(files))
     terms = glossary.terms(files)
     return Workspace(files, docs, sections, symbols, refs, resolve.resolve(refs, docs, sections, symbols), terms, glossary.mentions(files, terms))

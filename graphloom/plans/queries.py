@@ -54,13 +54,13 @@ def extract_headings(files):
 @over_files
 def doc_target_edges(files):
     parsed = documents.notes(files)
-    found = resolve.doc_targets(documents.references(parsed), documents.docs(parsed)).filter("doc_path is not null")
+    found = resolve.doc_targets(documents.references(parsed), documents.docs(files)).filter("doc_path is not null")
     return found.groupBy("from_path", F.col("doc_path").alias("to_path")).agg(F.count("*").alias("n_links"))
 
 
 @over_files
 def stem_index(files):
-    return resolve.stem_index(documents.docs(files.filter(C.extension(F.col("path")) == "md").select("path", C.file_stem(F.col("path")).alias("stem"))))
+    return resolve.stem_index(documents.docs(files))
 
 
 @over_files
