@@ -4,8 +4,8 @@ Words are lower-cased (A-Z); a document's set has its distinct ``n``-word shingl
 Jaccard distance is a metric, and the join uses it as such in three steps:
 
 1. Projections. Let the shingles' universe fall into B parts. Two sets that differ in fewer than B
-   shingles agree on a part, so of one part their projections have distance 0: each projected set is
-   a pivot whose cell is the pivot alone. Pivot "empty set" gives a document's size, and its rings
+   shingles agree on a part, where their projections have distance 0: each projected set is a pivot
+   whose cell is the pivot alone. Pivot "empty set" gives a document's size, and its rings
    (size classes) fix B; a document near a ring's outer edge joins the next ring too. Equal
    projections are found by one sort of 64-bit keys, and chains of them make regions. Every link is
    inside a region, however many documents share a passage.
@@ -38,9 +38,13 @@ from .components import connected
 from .metric import cells, link
 from .words import U, Words, chunks, grams, mix
 
-#: Keys that a task remembers while it looks for documents that meet in it already.
-TASK_KEYS = 400_000
+#: Keys that a task remembers while it looks for documents that meet in it already (under 30 MB).
+TASK_KEYS = 150_000
+#: Characters of text that are worked on together (under 70 MB).
+CHUNK_CHARS = 1_000_000
 BLOCK = 1024
+#: A region weighs as many members as it has, or more if they take more than this on average.
+MEMBER_BYTES = 32_768
 
 
 @dataclass(frozen=True)
@@ -59,7 +63,10 @@ class Rings:
         self.percent, self.lows = percent, [1]
         while self.lows[-1] < 1 << 40:
             self.lows.append(max(self.lows[-1] + 1, self.lows[-1] * 3 // 2))
-        self.parts = [2 * (high - 1) * (100 - percent) // (100 + percent) + 1 for high in self.lows[1:]]
+        #: Most shingles in which two linked sets of a class differ.
+        self.differ = [2 * (high - 1) * (100 - percent) // (100 + percent) for high in self.lows[1:]]
+        self.spare = [(d + 1) // 5 for d in self.differ]
+        self.parts = [d + 1 + e for d, e in zip(self.differ, self.spare, strict=True)]
 
     def of(self, size: int) -> list[int]:
         """The classes in which a set of this size meets all its partners."""
@@ -77,12 +84,12 @@ def shingles(words: np.ndarray, n: int) -> np.ndarray:
     return np.unique(grams(words, n))
 
 
-def text_sets(texts: list[str | None], n: int):
-    for _, part in chunks(texts):
+def text_sets(column: pa.Array, n: int):
+    """The sets of a column of texts, some at a time, with the number of the first."""
+    for start, part in chunks((t.as_py() for t in column), CHUNK_CHARS):
         w = Words(part, lower=True)
         h = w.word_hashes()
-        for a, b in zip(w.at[:-1], w.at[1:], strict=True):
-            yield shingles(h[a:b], n)
+        yield start, [shingles(h[a:b], n) for a, b in zip(w.at[:-1], w.at[1:], strict=True)]
 
 
 def set_id(own: np.ndarray) -> bytes:
@@ -91,15 +98,26 @@ def set_id(own: np.ndarray) -> bytes:
     return np.array(sums, ">u8").tobytes()
 
 
+#: A part of fewer shingles is weak: unrelated documents may well agree on it.
+WEAK = 3
+
+
 def keys(own: np.ndarray, rings: Rings) -> np.ndarray:
-    """A key for each part of each of the set's classes; equal for equal projections."""
+    """A key for each part of each of the set's classes; equal for equal projections.
+
+    A class has ``spare`` more parts than it takes, so linked sets agree on 1 + spare parts at least.
+    If one of them has no more than ``spare`` weak parts, they agree on a strong one; so weak parts
+    have keys only in sets that have more.
+    """
     out, place, value = [], mix(own + U(0xA0761D6478BD642F)), mix(own ^ U(0xE7037ED1A0B428DB))
     low, high = (value & U(0xFFFFFFFF)).astype(np.float64), (value >> U(32)).astype(np.float64)
     for c in rings.of(len(own)):
         parts = rings.parts[c]
         at = (place % U(parts)).astype(np.int64)
         sums = np.bincount(at, low, parts).astype(U) + (np.bincount(at, high, parts).astype(U) << U(32))
-        out.append(mix(mix(sums) + np.arange(parts, dtype=U) * U(0x8EBC6AF09C88C6E3) + U(c + 1) * U(0x589965CC75374CC3)))
+        found = mix(mix(sums) + np.arange(parts, dtype=U) * U(0x8EBC6AF09C88C6E3) + U((c + 1) * 0x589965CC75374CC3 % (1 << 64)))
+        weak = np.bincount(at, minlength=parts) < WEAK
+        out.append(found[~weak] if np.count_nonzero(weak) <= rings.spare[c] else found)
     return np.concatenate(out)
 
 
@@ -109,30 +127,32 @@ SIGNED = "doc_id long, th long, n long, sid binary, keys array<long>, met array<
 def _sign(join: Join):
     def run(batches):
         rings, first, seen = Rings(join.percent), {}, set()
+
+        def row(own: np.ndarray):
+            if not len(own):
+                return 0, None, [], []
+            sid = set_id(own)
+            if sid in seen:
+                return len(own), sid, [], []
+            if len(first) > TASK_KEYS:
+                first.clear()
+                seen.clear()
+            seen.add(sid)
+            new, met = [], set()
+            for k in keys(own, rings).view(np.int64).tolist():
+                other = first.setdefault(k, sid)
+                if other is sid:
+                    new.append(k)
+                else:
+                    met.add(other)
+            return len(own), sid, np.array(new, np.int64), list(met)
+
         for batch in batches:
-            rows = []
-            for own in text_sets(batch.column("text").to_pylist(), join.n):
-                if not len(own):
-                    rows.append((0, None, [], []))
-                    continue
-                sid = set_id(own)
-                if sid in seen:
-                    rows.append((len(own), sid, [], []))
-                    continue
-                if len(first) > TASK_KEYS:
-                    first.clear()
-                    seen.clear()
-                seen.add(sid)
-                new, met = [], set()
-                for k in keys(own, rings).view(np.int64).tolist():
-                    other = first.setdefault(k, sid)
-                    if other is sid:
-                        new.append(k)
-                    else:
-                        met.add(other)
-                rows.append((len(own), sid, new, list(met)))
-            kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.binary()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], ["doc_id", "th", "n", "sid", "keys", "met"])
+            for start, sets in text_sets(batch.column("text"), join.n):
+                rows = [row(own) for own in sets]
+                ids = [batch.column(c).slice(start, len(sets)) for c in ("doc_id", "th")]
+                kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.binary()))
+                yield pa.RecordBatch.from_arrays([*ids, *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], ["doc_id", "th", "n", "sid", "keys", "met"])
 
     return run
 
@@ -155,14 +175,15 @@ def _meet(batches):
         yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], ["u", "v"])
 
 
-MEMBER = "region string, core boolean, sid binary, hashes binary"
+MEMBER = "region string, sid binary, hashes binary"
 
 
 def _hash_members(n: int):
     def run(batches):
         for batch in batches:
-            sets = [own.tobytes() for own in text_sets(batch.column("text").to_pylist(), n)]
-            yield pa.RecordBatch.from_arrays([batch.column("region"), pa.array([True] * len(sets)), batch.column("sid"), pa.array(sets, pa.binary())], ["region", "core", "sid", "hashes"])
+            for start, sets in text_sets(batch.column("text"), n):
+                ids = [batch.column(c).slice(start, len(sets)) for c in ("region", "sid")]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array([own.tobytes() for own in sets], pa.binary())], ["region", "sid", "hashes"])
 
     return run
 
@@ -194,52 +215,81 @@ def _link_regions(percent: int):
 
 
 def _divide(percent: int):
-    """Each row into the cell of its nearest pivot, and into the halos it is in."""
+    """The cell of each member's nearest pivot and the halos it is in, by name.
 
-    def distance(a: np.ndarray, b: np.ndarray) -> float:
-        inter = np.count_nonzero(np.isin(a, b, assume_unique=True))
-        return 1 - inter / max(1, len(a) + len(b) - inter)
+    Rows come sorted by region and salt, pivots before members.
+    """
+
+    def distances(here: np.ndarray, pivots: list[np.ndarray]) -> np.ndarray:
+        inter = np.array([np.count_nonzero(p[np.minimum(np.searchsorted(p, here), len(p) - 1)] == here) for p in pivots])
+        return 1 - inter / (np.array([len(p) for p in pivots]) + len(here) - inter)
 
     def run(batches):
         known, pivots = None, []
         for batch in batches:
             out = []
-            for region, sid, hashes, own in zip(*(batch.column(c).to_pylist() for c in ("region", "sid", "hashes", "pivots")), strict=True):
-                if region != known:
-                    known, pivots = region, [np.frombuffer(p, U) for p in own]
+            for region, salt, member, sid, hashes in zip(*(batch.column(c).to_pylist() for c in ("region", "salt", "member", "sid", "hashes")), strict=True):
+                if (region, salt) != known:
+                    known, pivots = (region, salt), []
                 here = np.frombuffer(hashes, U)
-                d = np.array([[distance(here, p) for p in pivots]])
-                out += [(f"{region}/{k}", bool(len(core)), sid, hashes) for k, (core, halo) in enumerate(cells(d, 1 - percent / 100)) if len(core) or len(halo)]
-            kinds = (pa.string(), pa.bool_(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)], ["region", "core", "sid", "hashes"])
+                if not member:
+                    pivots.append(here)
+                elif not pivots:
+                    out.append((region, f"{region}/0", sid))
+                else:
+                    d = distances(here, pivots)[None, :]
+                    out += [(region, f"{region}/{k}", sid) for k, (core, halo) in enumerate(cells(d, 1 - percent / 100)) if len(core) or len(halo)]
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.binary()))], ["region", "cell", "sid"])
 
     return run
 
 
+def divide(rest: DataFrame, level: int, join: Join) -> DataFrame:
+    """region, cell and sid of each row of ``rest`` (region, size, sid, hashes)."""
+    salts = F.ceil(F.col("size") / BLOCK).cast("int")
+    share = F.xxhash64("sid", F.lit(level)).bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)
+    # By hash about twice as many are drawn as there are pivots, however large the region.
+    drawn = rest.filter(share < 2.0 * join.pivots / F.col("n_members")).groupBy("region").agg(F.slice(F.array_sort(F.collect_set("sid")), 1, join.pivots).alias("p"))
+    chosen = rest.join(drawn.select("region", F.explode("p").alias("sid")), ["region", "sid"]).dropDuplicates(["region", "sid"])
+    pivots = chosen.select("region", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(False).alias("member"), "sid", "hashes")
+    members = rest.select("region", F.pmod(F.xxhash64("sid"), salts).cast("int").alias("salt"), F.lit(True).alias("member"), "sid", "hashes")
+    dealt = pivots.unionByName(members).repartition("region", "salt").sortWithinPartitions("region", "salt", "member")
+    return dealt.mapInArrow(_divide(join.percent), "region string, cell string, sid binary")
+
+
+def in_blocks(rest: DataFrame) -> DataFrame:
+    """Regions cut to blocks by hash, each pair of blocks a region of its own: for any size, exact."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    mine = rest.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    pairs = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    name = F.concat_ws("+", "region", F.least("mine", "other").cast("string"), F.greatest("mine", "other").cast("string"))
+    return pairs.select(name.alias("region"), "sid", "hashes")
+
+
 def links(members: DataFrame, join: Join) -> tuple[DataFrame, bool]:
     """Links (u, v) that connect what is linked in each region, and whether a region was divided."""
     done, divided = [], False
     for level in range(join.most_levels + 1):
-        sizes = members.groupBy("region").agg(F.count("*").alias("size"))
-        large = sizes.filter(F.col("size") > join.most_region).select(F.col("region").alias("r"), "size")
+        weight = F.greatest(F.count("*"), F.ceil(F.sum(F.octet_length("hashes")) / MEMBER_BYTES))
+        sizes = members.groupBy("region").agg(weight.alias("size"), F.count("*").alias("n_members"))
+        large = sizes.filter(F.col("size") > join.most_region).select(F.col("region").alias("r"), "size", "n_members")
         if large.isEmpty():
             break
         divided = True
         done.append(members.join(large, F.col("region") == F.col("r"), "left_anti"))
         rest = members.join(large, F.col("region") == F.col("r")).drop("r")
-        if level == join.most_levels:  # cells did not shrink: compare blocks with blocks
-            blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-            mine = F.pmod(F.xxhash64("sid"), blocks).cast("int")
-            pair = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-            cut = rest.withColumn("blocks", blocks).withColumn("mine", mine).select("*", pair.alias("other"))
-            name = F.concat_ws("+", "region", F.least("mine", "other"), F.greatest("mine", "other"))
-            members = cut.select(name.alias("region"), "core", "sid", "hashes")
+        if level == join.most_levels:
+            members = in_blocks(rest)
             break
-        # A share by hash gives about twice as many candidates as there are pivots.
-        drawn = rest.filter((F.xxhash64("sid", F.lit(level)).bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)) < 2.0 * join.pivots / F.col("size"))
-        chosen = drawn.groupBy(F.col("region").alias("r")).agg(F.slice(F.array_sort(F.collect_set("hashes")), 1, join.pivots).alias("pivots"))
-        parts = rest.join(chosen, F.col("region") == F.col("r"), "left").withColumn("pivots", F.coalesce("pivots", F.array("hashes")))
-        members = common.materialize(parts.select("region", "sid", "hashes", "pivots").mapInArrow(_divide(join.percent), MEMBER), "regions")
+        placed = common.materialize(divide(rest, level, join), "cells")
+        # Where halos hold nearly all, cells would be no smaller than the region: blocks instead.
+        halves = placed.groupBy("region", "cell").agg(F.count("*").alias("n")).groupBy("region").agg(F.max("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("pairs"))
+        judged = halves.join(large, F.col("region") == F.col("r")).select("r", (F.col("pairs") > 0.7 * F.col("n_members") * F.col("n_members")).alias("stuck"))
+        stuck = judged.filter("stuck").select("r")
+        done.append(in_blocks(rest.join(stuck, F.col("region") == F.col("r"), "left_semi")))
+        inside = placed.join(stuck, F.col("region") == F.col("r"), "left_anti").withColumnRenamed("region", "parent").withColumnRenamed("sid", "id")
+        members = rest.join(inside, (F.col("region") == F.col("parent")) & (F.col("sid") == F.col("id"))).select(F.col("cell").alias("region"), "sid", "hashes")
+        members = common.materialize(members, "regions")
     done.append(members)
     every = done[0]
     for more in done[1:]:
