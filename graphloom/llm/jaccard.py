@@ -323,3 +323,21 @@ def classes(docs: DataFrame, join: Join = Join()) -> DataFrame:
     named = rooted.join(least, F.col("root") == F.col("r")).select(F.col("sid").alias("s"), "component")
     joined = signed.select("doc_id", "n", "sid").join(named, F.col("sid") == F.col("s"), "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+
+
+SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+s AS (
+  SELECT DISTINCT r, array_to_string(w[k:k + 2], ' ') AS sh FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS k FROM d WHERE len(w) > 0)
+),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+pairs AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.r < b.r GROUP BY a.r, b.r),
+links AS (SELECT x, y FROM pairs JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * c >= 90 * (a.n + b.n - c)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(r, t) AS (SELECT r, r FROM d UNION SELECT reach.r, both_ways.y FROM reach JOIN both_ways ON both_ways.x = reach.t),
+least AS (SELECT reach.r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = reach.t GROUP BY reach.r)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least.component_id
+FROM d JOIN least ON least.r = d.r LEFT JOIN n ON n.r = d.r
+"""

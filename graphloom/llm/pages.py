@@ -180,3 +180,15 @@ def extract(pages: DataFrame, curve: Curve = Curve()) -> DataFrame:
 
     kept = pages.select(*[F.col(f"`{c}`") for c in mine], "html")
     return kept.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "html"), "text string, n_chars long"]))
+
+
+#: The query's rows in DuckDB, for pages whose article is one element of paragraphs, headings and bold
+#: text and whose references are these; the operator itself takes any page.
+SQL = r"""
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM (
+  SELECT page_id, url, trim(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(
+    regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(p|h1|br)>', ' ', 'g'), '</?b>', '', 'g'),
+    '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text
+  FROM pages
+)
+"""

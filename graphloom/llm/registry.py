@@ -65,4 +65,10 @@ QUERIES = {
     "op9_metric_jaccard": op9_metric_jaccard,
     "op10_poisson_mix": op10_poisson_mix,
 }
-ORACLES: dict[str, str] = {"op8_prefix_join": decontaminate.SQL, "op10_poisson_mix": mixing.SQL}
+ORACLES: dict[str, str] = {
+    "op1_suffix_repetition": repetition.SQL,
+    "op7_line_blocks": pages.SQL,
+    "op8_prefix_join": decontaminate.SQL,
+    "op9_metric_jaccard": jaccard.SQL,
+    "op10_poisson_mix": mixing.SQL,
+}

@@ -2,7 +2,7 @@
 
 The suffixes of a text's words are sorted by prefix doubling; neighbours' longest common prefixes
 give the intervals of maximal repeated substrings. Spans of repeats of ``min_words`` or more are
-united. A document is rejected if they cover more than ``max_covered`` of its words, if the longest
+united. A document is rejected if they cover more than ``most_covered_percent`` of its words, if the longest
 repeat has more than ``max_longest`` words, or if a base rule fails.
 
 A null, empty or blank text has no words and fails the base rule. Rows are judged one by one, so
@@ -33,7 +33,7 @@ class Rules:
     most_repeat_percent: int = 50
     #: Words of the shortest repeat that counts.
     min_words: int = 10
-    max_covered: float = 0.3
+    most_covered_percent: int = 30
     max_longest: int = 100
 
 
@@ -147,7 +147,7 @@ def measure(texts: list[str | None], rules: Rules) -> list[np.ndarray]:
     np.maximum.at(longest, owner[starts], lengths)
 
     failed = (n_words < rules.least_words) | (100 * repeat_words > rules.most_repeat_percent * n_words)
-    kept = ~failed & (n_covered <= rules.max_covered * n_words) & (longest <= rules.max_longest)
+    kept = ~failed & (100 * n_covered <= rules.most_covered_percent * n_words) & (longest <= rules.max_longest)
     as_long = lambda x: x.astype(np.int64)
     return [n_words, as_long(between(lead * solid)), as_long(between(SYMBOLS[w.data])), dup_lines, repeat_words, n_covered, longest, failed, kept]
 
@@ -168,3 +168,27 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
     kept = docs.select(*[F.col(f"`{c}`") for c in mine])
     return kept.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), SCHEMA]))
+
+
+#: The query's rows in DuckDB. Repeats of ten words or more cover what ten-word windows found twice
+#: cover; the longest is the longest run of such windows at one distance, and nine words more.
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g3 AS (SELECT r, k, array_to_string(w[k:k + 2], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS k FROM d WHERE len(w) >= 3)),
+w3 AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(k, k + 3)) AS p FROM (SELECT r, k, count(*) OVER (PARTITION BY r, s) AS c FROM g3) WHERE c > 1) GROUP BY r),
+g10 AS (SELECT r, k, array_to_string(w[k:k + 9], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 8)) AS k FROM d WHERE len(w) >= 10)),
+twice AS (SELECT r, k, s FROM (SELECT *, count(*) OVER (PARTITION BY r, s) AS c FROM g10) WHERE c > 1),
+cov AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(k, k + 10)) AS p FROM twice) GROUP BY r),
+pairs AS (SELECT a.r, b.k - a.k AS far, a.k FROM twice a JOIN twice b ON a.r = b.r AND a.s = b.s AND a.k < b.k),
+runs AS (SELECT r, far, k - row_number() OVER (PARTITION BY r, far ORDER BY k) AS run FROM pairs),
+longest AS (SELECT r, max(c) + 9 AS n FROM (SELECT r, far, run, count(*) AS c FROM runs GROUP BY r, far, run) GROUP BY r),
+lines AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+m AS (
+  SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         coalesce(lines.n, 0)::BIGINT AS n_dup_lines, coalesce(w3.n, 0)::BIGINT AS n_repeat_words, coalesce(cov.n, 0)::BIGINT AS n_covered, coalesce(longest.n, 0)::BIGINT AS longest_repeat
+  FROM d LEFT JOIN lines ON lines.r = d.r LEFT JOIN w3 ON w3.r = d.r LEFT JOIN cov ON cov.r = d.r LEFT JOIN longest ON longest.r = d.r
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * n_covered <= 30 * n_words AND longest_repeat <= 100 AS kept
+FROM m
+"""

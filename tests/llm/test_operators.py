@@ -519,7 +519,7 @@ def test_every_operator_is_registered():
 def test_queries_equal_sql(spark, sf, name):
     duckdb = pytest.importorskip("duckdb")
     db = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "pages"):
         db.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     want = db.sql(registry.ORACLES[name])
     got = registry.QUERIES[name](spark, sf)

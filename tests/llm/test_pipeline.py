@@ -13,7 +13,7 @@ def by_hand(rows, items, spark):
     kept = []
     for r in rows:
         n, _, _, _, repeated, covered, longest = H.repetition(r["text"])
-        if not (n < 50 or 100 * repeated > 50 * n) and covered <= 0.3 * n and longest <= 100:
+        if not (n < 50 or 100 * repeated > 50 * n) and 100 * covered <= 30 * n and longest <= 100:
             kept.append(r)
     classes = {d: c for d, _, c in H.jaccard_classes([(r["doc_id"], r["text"]) for r in kept])}
     kept = [r for r in kept if classes[r["doc_id"]] == r["doc_id"]]
