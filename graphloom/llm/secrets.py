@@ -21,6 +21,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import common
+
 #: Kinds in their order, pattern, group whose length counts, and its least length.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: A run is matched whole or not at all, so its least length can be part of the pattern.
@@ -47,7 +49,7 @@ class Settings:
 def samples(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Labelled tokens: (token, random)."""
     spark = docs.sparkSession
-    drawn = docs.select("text").filter("text is not null").orderBy(F.xxhash64("text"), "text").limit(settings.sample_rows)
+    drawn = common.sample(docs.select("doc_id", "text").filter("text is not null"), settings.sample_rows, "doc_id").select("text")
     clean = F.regexp_replace("text", f"{ASSIGN}|{ACCESS}|{HEX}", " ")
     words = F.regexp_extract_all(clean, F.lit("[A-Za-z]{2,}"), F.lit(0))
     pairs = drawn.select(words.alias("w")).select(F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, 1 << 30).alias("b"), F.slice("w", 3, 1 << 30).alias("c"))).alias("p")).select("p.a", "p.b", "p.c").filter("c is not null")
