@@ -60,16 +60,10 @@ def occurrences(docs: DataFrame, shingles: DataFrame, sizes: list[int], settings
         wanted = shingles.filter(F.col("s") == s).select("sh")
         if small:
             wanted = F.broadcast(wanted)
-        own = docs.select("doc_id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("w")).filter(F.size("w") >= s)
-        if s == 1:
-            every = F.posexplode("w")
-        else:
-            # The array is read more than once, so that the optimizer keeps it as one computed column.
-            rest = [F.slice(F.col("w"), k + 1, F.size("w") - s + 1) for k in range(s)]
-            zipped = rest[0]
-            for more in rest[1:]:
-                zipped = F.zip_with(zipped, more, lambda a, b: F.concat_ws(" ", a, b))
-            every = F.posexplode(zipped)
+        # No filter by size here: below the projection it would find the words a second time.
+        own = docs.select("doc_id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("w"))
+        joined = F.transform("w", lambda x, i: F.concat_ws(" ", x, *(F.get("w", i + k) for k in range(1, s))))  # noqa: B023
+        every = F.posexplode(F.slice(joined, 1, F.greatest(F.size("w") - s + 1, F.lit(0))) if s > 1 else F.col("w"))
         placed = own.select("doc_id", "th", F.size("w").alias("n_words"), every.alias("at", "sh"))
         found = placed.join(wanted, "sh").select("doc_id", "th", "n_words", "at", "sh")
         out = found if out is None else out.unionByName(found)
