@@ -12,6 +12,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a batch that goes to a Python worker. Spark's default of 64 MB is held several times over,
+#: by the JVM and by Python, for each core.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_DEFAULT_BATCH = "67108864b"
+
+
+def to_python(df: DataFrame) -> DataFrame:
+    """``df``, in a session that sends it to Python in small batches, unless another size was set."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, _DEFAULT_BATCH) == _DEFAULT_BATCH:
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder that the session names; a local one only where none is named."""
     root = spark.conf.get("spark.checkpoint.dir", None)

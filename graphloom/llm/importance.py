@@ -117,7 +117,7 @@ def cut(scored: DataFrame, most: int) -> int:
 
 def resample(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, log_weight, key and kept for every row of ``docs`` (doc_id, text)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = common.to_python(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     scored = common.materialize(rows.mapInArrow(_score(fit(rows, labels, settings), settings), "doc_id long, log_weight double, key double, bits long"), "importance")
     most = int(np.ceil(scored.count() * settings.keep_share))
     least = cut(scored, most) if most else 0

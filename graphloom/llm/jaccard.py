@@ -40,8 +40,8 @@ from .words import U, Words, chunks, grams, mix
 
 #: Keys that a task remembers while it looks for documents that meet in it already (under 30 MB).
 TASK_KEYS = 150_000
-#: Characters of text that are worked on together (under 70 MB).
-CHUNK_CHARS = 1_000_000
+#: Characters of text that are worked on together (under 40 MB).
+CHUNK_CHARS = 500_000
 BLOCK = 1024
 #: A region weighs as many members as it has, or more if they take more than this on average.
 MEMBER_BYTES = 32_768
@@ -299,7 +299,7 @@ def links(members: DataFrame, join: Join) -> tuple[DataFrame, bool]:
 
 def classes(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of ``docs`` (doc_id, text)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
+    rows = common.to_python(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th")))
     signed = common.materialize(rows.mapInArrow(_sign(join), SIGNED), "signed")
     keyed = signed.select(F.explode("keys").alias("key"), "sid")
     meeting = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_meet, "u binary, v binary")

@@ -104,4 +104,4 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], settings: Settings
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in mine), *columns], [*mine, *NAMES])
 
     kept = docs.select(*[F.col(f"`{c}`") for c in mine], "text")
-    return kept.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "text"), SCHEMA]))
+    return common.to_python(kept).mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "text"), SCHEMA]))

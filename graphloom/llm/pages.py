@@ -20,6 +20,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from . import common
+
 # Element names of the HTML standard by their role here.
 DROPPED = {"head", "nav", "header", "footer", "aside", "form", "dialog", "button", "select", "noscript", "template", "iframe", "object", "menu", "svg", "canvas", "audio", "video"}
 RAW = {"script", "style", "textarea", "title", "xmp"}
@@ -179,7 +181,7 @@ def extract(pages: DataFrame, curve: Curve = Curve()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in mine), *columns], [*mine, "text", "n_chars"])
 
     kept = pages.select(*[F.col(f"`{c}`") for c in mine], "html")
-    return kept.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "html"), "text string, n_chars long"]))
+    return common.to_python(kept).mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "html"), "text string, n_chars long"]))
 
 
 #: The query's rows in DuckDB, for pages whose article is one element of paragraphs, headings and bold

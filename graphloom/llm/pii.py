@@ -294,4 +294,4 @@ def find(docs: DataFrame, tagger: Tagger, settings: Settings = Settings()) -> Da
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in mine), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], [*mine, *NAMES])
 
     kept = docs.select(*[F.col(f"`{c}`") for c in mine], "text")
-    return kept.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "text"), SCHEMA]))
+    return common.to_python(kept).mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "text"), SCHEMA]))

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from . import common
 from .words import SPACE, U, Words, chunks, grams, mix, powers
 
 SYMBOLS = np.zeros(256, np.int8)
@@ -167,7 +168,7 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*row.columns, *(pa.array(c) for c in columns)], [*mine, *NAMES])
 
     kept = docs.select(*[F.col(f"`{c}`") for c in mine])
-    return kept.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), SCHEMA]))
+    return common.to_python(kept).mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), SCHEMA]))
 
 
 #: The query's rows in DuckDB. Repeats of ten words or more cover what ten-word windows found twice

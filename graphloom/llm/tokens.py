@@ -25,7 +25,7 @@ from . import common, rans
 #: Ids of a block: a block closes with the document that reaches this.
 BLOCK_IDS = 1 << 19
 #: Pieces, and words, that a Python worker keeps at most (under 100 MB each).
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 #: Letters that are composed, and have one lower case each.
 PLAIN_WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 MARKS = ".,;:!?#*$%&"
@@ -172,7 +172,7 @@ def _recode(change):
 def encode(docs: DataFrame, tokenizer: str, path: str, end_id: int, block_ids: int = BLOCK_IDS) -> str:
     """Write the ids of ``docs`` (doc_id, text) under ``path``; ``tokenizer`` is a tokenizers file."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("h", F.xxhash64("text"))
+    rows = common.to_python(docs.select(F.col("doc_id").cast("long"), "text")).withColumn("h", F.xxhash64("text"))
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(width, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
     raw = common.materialize(dealt.select("doc_id", "text").mapInArrow(_tokenize(tokenizer, end_id, block_ids), BLOCKS), "token-ids")
