@@ -64,11 +64,19 @@ def suffix_repeats(h: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarra
     by = np.argsort(key)
     order, key = long[by], key[by]
     new = np.append(True, key[1:] != key[:-1])
-    # A rank is the place of its group's first suffix; suffixes too short to repeat have ranks of their own.
-    rank = np.arange(n)
-    rank[order] = _group_starts(new) + n
-    width, live = least, order[_repeated(new)]
-    found = np.sort(live)
+    found = np.sort(order[_repeated(new)])
+    # Suffixes are sorted word by word, those that the doubling looks at: a repeat's, and what follows
+    # its first words. A rank is the place of its group's first suffix; a text's end comes first.
+    seen = np.unique(np.concatenate([found, (found + least)[room[found] > least]]))
+    columns = [np.where(room[seen] > k, h[np.minimum(seen + k, n - 1)], U(0)) for k in range(least)]
+    by = np.lexsort((*columns[::-1], owner[seen]))
+    order = seen[by]
+    new = np.append(True, np.diff(owner[order]) != 0)[: len(order)]
+    for c in columns:
+        new[1:] |= c[by][1:] != c[by][:-1]
+    rank = np.full(n, -1)
+    rank[order] = _group_starts(new)
+    width, live = least, order[_repeated(new)] if len(order) else order
     while len(live):
         after = np.where(room[live] > width, rank[np.minimum(live + width, n - 1)], -1)
         by = np.lexsort((after, rank[live]))
