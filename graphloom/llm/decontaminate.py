@@ -108,6 +108,11 @@ def covered(spans: Column) -> Column:
     return F.aggregate(spans, F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")), step, lambda acc: acc["n"])
 
 
+def contaminated(docs: DataFrame, items: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """doc_id and th (the text's xxhash64), once each, of the rows that :func:`inspect` calls contaminated."""
+    return verified(docs.select("doc_id", "text"), items, settings).select("doc_id", "th").distinct()
+
+
 def inspect(docs: DataFrame, items: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Every row of ``docs`` (doc_id, text): doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 

@@ -54,3 +54,10 @@ def test_one_of_repeated_rows_stays(spark, sf):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "x"), (3, None)]
     out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()
     assert sorted((tuple(r) for r in out), key=str) == [(1, "a b c d e f"), (3, None), (None, "x")]
+
+
+def test_clean_rows_stay_beside_contaminated_ones_of_their_id(spark, sf):
+    item = " ".join(spark.read.parquet(f"{sf}/benchmark.parquet").filter("item_id is not null").first().text.split())
+    rows = [(None, item), (None, "clean and without an id"), (None, None), (7, f"before {item}"), (7, "clean of the same id"), (8, "clean")]
+    out = corpus_pipeline.benchmark_free(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()
+    assert sorted(map(tuple, out), key=str) == sorted((rows[k] for k in (1, 2, 4, 5)), key=str)
