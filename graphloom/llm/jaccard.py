@@ -297,8 +297,8 @@ def links(members: DataFrame, join: Join) -> tuple[DataFrame, bool]:
     return every.repartition("region").sortWithinPartitions("region").mapInArrow(_link_regions(join.percent), "u binary, v binary"), divided
 
 
-def classes(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """doc_id, n_shingles and component_id for every row of ``docs`` (doc_id, text)."""
+def rooted_sets(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` as SIGNED, and each set with the root of its class: sid, least, lead, root."""
     rows = common.to_python(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th")))
     signed = common.materialize(rows.mapInArrow(_sign(join), SIGNED), "signed")
     keyed = signed.select(F.explode("keys").alias("key"), "sid")
@@ -307,7 +307,7 @@ def classes(docs: DataFrame, join: Join = Join()) -> DataFrame:
     near = connected(met.unionByName(meeting))
     regions = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct())
 
-    one = signed.filter("sid is not null").groupBy("sid").agg(F.min(F.struct("doc_id", "th")).alias("own"), F.min("doc_id").alias("least"))
+    one = signed.filter("sid is not null").groupBy("sid").agg(F.min(F.struct("doc_id", "th")).alias("own"), F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th")).alias("lead"))
     places = regions.join(one, F.col("node") == F.col("sid")).select(F.base64("root").alias("region"), "sid", F.col("own.doc_id").alias("d"), F.col("own.th").alias("h"))
     found = rows.join(places, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h"))).select("region", "sid", "text")
     members = common.materialize(found.mapInArrow(_hash_members(join.n), MEMBER), "members")
@@ -318,13 +318,35 @@ def classes(docs: DataFrame, join: Join = Join()) -> DataFrame:
     star = common.materialize(star, "links")
     common.discard(members)
 
-    rooted = one.join(star, F.col("sid") == F.col("u"), "left").select("sid", "least", F.coalesce("v", "sid").alias("root"))
+    rooted = one.join(star, F.col("sid") == F.col("u"), "left").select("sid", "least", "lead", F.coalesce("v", "sid").alias("root"))
+    return signed, rooted
+
+
+def classes(docs: DataFrame, join: Join = Join()) -> DataFrame:
+    """doc_id, n_shingles and component_id for every row of ``docs`` (doc_id, text)."""
+    signed, rooted = rooted_sets(docs, join)
     least = rooted.groupBy("root").agg(F.min("least").alias("component")).withColumnRenamed("root", "r")
     named = rooted.join(least, F.col("root") == F.col("r")).select(F.col("sid").alias("s"), "component")
     joined = signed.select("doc_id", "n", "sid").join(named, F.col("sid") == F.col("s"), "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
+def first_rows(docs: DataFrame, join: Join = Join()) -> DataFrame:
+    """The rows of ``docs`` that stay: of each class one, by least doc_id, then by hash of the text.
+
+    Rows without an id come last in their class. A text without shingles is a class of its own; rows
+    that repeat a doc_id and text, of such texts as well, count as one.
+    """
+    signed, rooted = rooted_sets(docs, join)
+    leads = rooted.groupBy("root").agg(F.min("lead").alias("lead")).select(F.col("lead.doc_id").alias("__d"), F.col("lead.th").alias("__h"))
+    blank = signed.filter("sid is null").select("doc_id", "th").distinct()
+    hashed = docs.withColumn("__th", F.xxhash64("text"))
+    first = hashed.join(leads.unionByName(blank.toDF("__d", "__h")), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__h")), "left_semi")
+    if not signed.groupBy("doc_id", "th").count().filter("count > 1").isEmpty():
+        first = first.dropDuplicates(["doc_id", "__th"])
+    return first.drop("__th")
+
+
 SQL = r"""
 WITH RECURSIVE d AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents

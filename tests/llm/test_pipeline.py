@@ -61,3 +61,10 @@ def test_clean_rows_stay_beside_contaminated_ones_of_their_id(spark, sf):
     rows = [(None, item), (None, "clean and without an id"), (None, None), (7, f"before {item}"), (7, "clean of the same id"), (8, "clean")]
     out = corpus_pipeline.benchmark_free(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()
     assert sorted(map(tuple, out), key=str) == sorted((rows[k] for k in (1, 2, 4, 5)), key=str)
+
+
+def test_one_row_of_each_class_stays(spark, sf):
+    copy = "one two three four five six"
+    rows = [(5, "a b"), (5, "same id, other text"), (1, "p q r s t"), (1, copy), (2, copy), (None, copy), (3, "p q r s t"), (None, "no id, no copy"), (None, "no id"), (None, "no id"), (4, ""), (4, "")]
+    out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()
+    assert sorted(map(tuple, out), key=str) == sorted([(5, "a b"), (5, "same id, other text"), (1, "p q r s t"), (1, copy), (None, "no id, no copy"), (None, "no id"), (4, "")], key=str)
