@@ -4,7 +4,10 @@ Markup is stripped to lines, one for each block element's run of text; elements
 article (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments of
 readers) leave an empty line. Over the lines' lengths, sums of ``width`` lines in a row make a
 curve. From the peak of the curve the region reaches back to its surge and on to its dive, the
-places where the curve falls to nothing. The smallest element that holds the whole region bounds the
+places where the curve falls to nothing, such as at some unwanted elements in a row. Past a dive the
+region goes on while lines stand in the innermost article of the peak (else main, else the outermost
+element named as content); for text straight below body, as far as such lines surge again on a curve
+of their own, without the unwanted ones. The smallest element that holds the whole region bounds the
 article: its other lines, such as short first or last ones, belong to it too.
 
 A null, empty or textless page gives an empty text. Rows are judged one by one; other columns are
@@ -33,6 +36,9 @@ ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form
 #: Words of class and id names that mark what is not the article.
 MARKS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "popup", "promo", "promoted", "related", "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar"}
 
+#: Words of class and id names that mark what holds the article.
+HOLDS = {"article", "content", "entry", "main", "post", "story"}
+
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
 OPEN = re.compile(r"<(?=[a-zA-Z/!?])")
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|$)""", re.IGNORECASE)
@@ -62,10 +68,32 @@ def unwanted(name: str, attributes: str) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, tuple[int, ...]]]:
-    """The page's lines in order, each with the open elements it stands in; unwanted parts are ''."""
-    out: list[tuple[str, tuple[int, ...]]] = []
-    stack: list[tuple[str, int]] = []
+def holds(name: str, attributes: str) -> int:
+    """Whether the element holds an article: 3 it is one, 2 main content, 1 named as content, 0 no."""
+    found = {"article": 3, "main": 2}.get(name, 0)
+    if name in WHOLE or found or not attributes:
+        return found
+    for key, value in ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), value.strip("\"'").lower()
+        if key == "role":
+            found = max(found, {"article": 3, "main": 2}.get(value, 0))
+        elif key in ("class", "id") and not HOLDS.isdisjoint(WORD.findall(value)):
+            found = max(found, 1)
+    return found
+
+
+def container(ranks: list[int]) -> int:
+    """How many of the open elements, outermost first, lead to the one whose text belongs together; 0: none."""
+    best = max(ranks, default=0)
+    if not best:
+        return 0
+    return ranks.index(1) + 1 if best == 1 else len(ranks) - ranks[::-1].index(best)
+
+
+def lines(page: str) -> list[tuple[str, tuple[int, ...], int]]:
+    """The page's lines in order, with the open elements each stands in and how many lead to its container; unwanted parts are ''."""
+    out: list[tuple[str, tuple[int, ...], int]] = []
+    stack: list[tuple[str, int, int]] = []
     parts: list[str] = []
     muted = 0  # how many elements were open when an unwanted one began, and it
     opened = 0
@@ -75,7 +103,7 @@ def lines(page: str) -> list[tuple[str, tuple[int, ...]]]:
         text = " ".join("".join(parts).split())
         parts.clear()
         if text or mark:
-            out.append((text, tuple(k for _, k in stack)))
+            out.append((text, tuple(k for _, k, _ in stack), container([r for _, _, r in stack])))
 
     while at < size:
         found = OPEN.search(page, at)
@@ -134,7 +162,7 @@ def lines(page: str) -> list[tuple[str, tuple[int, ...]]]:
             close_line(mark=True)
             continue
         opened += 1
-        stack.append((name, opened if name not in WHOLE else 0))
+        stack.append((name, opened if name not in WHOLE else 0, holds(name, attributes)))
         if not muted and unwanted(name, attributes):
             muted = len(stack)
     if not muted:
@@ -142,32 +170,65 @@ def lines(page: str) -> list[tuple[str, tuple[int, ...]]]:
     return out
 
 
+def windows(sizes: list[int], curve: Curve) -> list[int]:
+    """For each line the characters of the window that begins with it."""
+    sums = [0]
+    for n in sizes:
+        sums.append(sums[-1] + n)
+    return [sums[min(len(sizes), k + curve.width)] - sums[k] for k in range(len(sizes))]
+
+
+def surge(window: list[int], at: int, least: int, curve: Curve) -> int:
+    """Where the curve surged, going back from ``at``."""
+    while at and window[at - 1] > 0 and max(window[max(0, at - curve.width) : at]) >= least:
+        at -= 1
+    return at
+
+
+def common_elements(found: list[tuple[str, tuple[int, ...], int]], first: int, last: int) -> tuple[int, ...]:
+    """The elements that hold every line with text from first to last."""
+    every = [own for text, own, _ in found[first : last + 1] if text]
+    shared = every[0]
+    for own in every:
+        while shared != own[: len(shared)]:
+            shared = shared[:-1]
+    return shared
+
+
 def article(page: str | None, curve: Curve = Curve()) -> str:
     found = lines(page or "")
     n = len(found)
-    sums = [0]
-    for text, _ in found:
-        sums.append(sums[-1] + len(text))
-    if not sums[-1]:
+    size = [len(text) for text, _, _ in found]
+    if not any(size):
         return ""
-    window = [sums[min(n, k + curve.width)] - sums[k] for k in range(n)]
+    window = windows(size, curve)
     peak = max(range(n), key=window.__getitem__)
     least = min(curve.surge, window[peak])
-    first = peak
-    while first and window[first - 1] > 0 and max(window[max(0, first - curve.width) : first]) >= least:
-        first -= 1
+    first = surge(window, peak, least, curve)
     last = peak
     while last + 1 < n and window[last + 1] > 0:
         last += 1
-    region = [k for k in range(first, last + 1) if found[k][0]]
-    shared = found[region[0]][1]
-    for k in region:
-        own = found[k][1]
-        while shared != own[: len(shared)]:
-            shared = shared[:-1]
+    peak = next(k for k in range(peak, n) if size[k])
+    bounds = found[peak][1][: found[peak][2]]
+    if bounds:
+        inside = [k for k in range(n) if size[k] and found[k][1][: len(bounds)] == bounds]
+        first, last = min(first, inside[0]), max(last, inside[-1])
+    shared = common_elements(found, first, last)
+    if not any(shared) and not bounds:
+        own = [k for k in range(n) if size[k] and not any(found[k][1])]
+        curve_of_own = windows([size[k] for k in own], curve)
+        high = [k for k, x in enumerate(curve_of_own) if x >= least]
+        if high:
+            begin = next((j for j, k in enumerate(own) if k >= first), len(own) - 1)
+            first = min(first, own[surge(curve_of_own, begin, least, curve)])
+            end = own[min(high[-1] + curve.width, len(own)) - 1]
+            while end + 1 < n and window[end + 1] > 0 and end >= last:
+                end += 1
+            last = max(last, end)
+            shared = common_elements(found, first, last)
     if any(shared):
-        return " ".join(text for text, own in found if text and own[: len(shared)] == shared)
-    return " ".join(found[k][0] for k in region)
+        return " ".join(text for text, own, _ in found if text and own[: len(shared)] == shared)
+    return " ".join(found[k][0] for k in range(first, last + 1) if size[k])
 
 
 def extract(pages: DataFrame, curve: Curve = Curve()) -> DataFrame:

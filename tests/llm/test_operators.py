@@ -359,6 +359,26 @@ def test_pages(article, text):
     assert pages.article(PAGE % article) == text
 
 
+THREE = "<aside>Ad</aside><div class='related'>More</div><form>Letter</form>"
+PARTS = [f"Part {k} is a paragraph long enough to surge on the curve, as those of real articles do on most pages." for k in range(4)]
+
+
+@pytest.mark.parametrize(
+    ("opens", "closes"),
+    [
+        ("<article><section><p>", "</section></article>"),
+        ("<main><div><p>", "</div></main>"),
+        ("<div id='content'><div class='story-part'><p>", "</div></div>"),
+        ("<p>", ""),
+    ],
+)
+def test_pages_with_unwanted_blocks_in_a_row(opens, closes):
+    inner, outer = ("</section>", "<section>") if "section" in opens else ("</div>", "<div>") if "div" in opens else ("", "")
+    body = opens + f"{inner}{THREE * 2}{outer}<p>".join(PARTS) + closes
+    page = f"<html><body><nav>Menu</nav>{body}{THREE}<div>Imprint</div></body></html>"
+    assert pages.article(page) == " ".join(PARTS)
+
+
 @pytest.mark.parametrize("page", [None, "", "plain", "<", "<p", "<!--", "<script>", "</", "&", "<div><nav>", "<a href='", "<p>" * 3000, "<" * 3000, "<div>" * 2000 + "x"])
 def test_odd_pages(page):
     assert isinstance(pages.article(page), str)
