@@ -13,6 +13,7 @@ Other columns of the input are ignored by the models and passed on.
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -40,7 +41,7 @@ class Settings:
     least_margin: float = 0.02
     #: A margin of this or more scores 1.
     sure_margin: float = 0.1
-    #: Bound on the training rows of a language, and on the characters of each.
+    #: Bound on the training rows of a language, and on the characters of each that come to the driver.
     sample_rows: int = 400
     sample_chars: int = 20_000
 
@@ -49,13 +50,22 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def piece(data: bytes, size: int) -> bytes:
+    """``size`` bytes of ``data`` at a place that its hash gives; all where there are no more."""
+    at = zlib.crc32(data) % max(1, len(data) - size + 1)
+    return data[at : at + size]
+
+
 def train(rows: DataFrame, settings: Settings = Settings()) -> dict[str, bytes]:
     """A dictionary for each lang of ``rows`` (doc_id, text, lang), from a bounded sample drawn by id hash.
 
-    The sample takes whole texts of at most ``sample_chars``; how many a language has decides the
-    share that is drawn, so about ``sample_rows`` of each come to the driver, however many there are.
+    How many texts a language has decides the share that is drawn, so about ``sample_rows`` of each come
+    to the driver, however many there are. A text longer than ``sample_chars`` gives a piece of that
+    many at a hashed place. Each text drawn gives the dictionary an equal piece, again at a hashed place
+    (whole texts where they are shorter), so openings that texts share do not fill it.
     """
-    usable = rows.select("text", "lang", common.uniform("doc_id").alias("u")).filter(F.col("lang").isNotNull() & (F.length("text") > 0) & (F.length("text") <= settings.sample_chars))
+    place = F.floor(common.uniform("text") * F.greatest(F.length("text") - settings.sample_chars + 1, F.lit(1))).cast("int") + 1
+    usable = rows.select(F.substr("text", place, F.lit(settings.sample_chars)).alias("text"), "lang", common.uniform("doc_id").alias("u")).filter(F.col("lang").isNotNull() & (F.length("text") > 0))
     found = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     if not found:
         return {}
@@ -70,7 +80,7 @@ def train(rows: DataFrame, settings: Settings = Settings()) -> dict[str, bytes]:
         own = sorted(set(own))
         if own:
             fair = max(200, settings.dictionary_bytes // len(own) + 1)  # so that no one text fills it
-            out[lang] = b" ".join(plain(t)[:fair] for _, t in own)[: settings.dictionary_bytes]
+            out[lang] = b" ".join(piece(plain(t), fair) for _, t in own)[: settings.dictionary_bytes]
     return {k: v for k, v in out.items() if len(v) >= 8}
 
 

@@ -237,6 +237,16 @@ def test_language_held_out(spark, sf):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_language_learns_long_texts_and_more_than_openings(spark):
+    r = random.Random(4)
+    header = "site notice and terms of use that every document of this source begins with " * 5
+    rows = [(i, header + " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(600)), "en") for i in range(300)]
+    rows += [(1000 + i, "uniquement des textes longs en francais " * 600 + str(i), "fr") for i in range(3)]
+    learned = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(learned) == {"en", "fr"}
+    assert learned["en"].count(b"terms of use") < 300
+
+
 def test_language_odd_rows(spark):
     docs = H.odd_documents(spark)
     learned = langid.train(docs)
