@@ -3,8 +3,9 @@
 Base spans are the patterns' matches. The method looks at every other run of ``least_chars`` or more
 identifier characters: two first-order Markov models of characters, one of random strings and one of
 ordinary identifiers, give the log-likelihood ratio of each character after the one before; a run
-whose mean ratio is ``least_ratio`` or more is a span of kind ``markov``. A run that meets a base span
-is left to it.
+whose mean ratio is ``least_ratio`` or more is a span of kind ``markov``. Of another run its pieces of
+``least_chars`` or more between '=' and '/' are judged likewise, so that names and paths do not hide
+what stands behind them. A run or piece that meets a base span is left to it.
 
 Both models are fitted by counting over labelled samples (token, random). ``samples`` makes them:
 words of a bounded number of documents, alone and joined as in identifiers, against base64, base62
@@ -78,8 +79,11 @@ def train(labelled: DataFrame, settings: Settings = Settings()) -> list[float]:
     return table
 
 
-def found(text: Column, pattern: str, rank: int, ok) -> Column:
-    """Leftmost non-overlapping matches that are ``ok`` (a test of the match), as spans in code points."""
+def found(text: Column, pattern: str, rank: int, ok, inner=None) -> Column:
+    """Leftmost non-overlapping matches that are ``ok`` (a test of the match), as spans in code points.
+
+    Of a match that is not, the spans ``inner`` finds in it count.
+    """
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
     none = F.array().cast(SPAN)
 
@@ -87,7 +91,10 @@ def found(text: Column, pattern: str, rank: int, ok) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["m"])
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"))
-        return F.when(x["m"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.when(ok(x["m"]), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans")))
+        rest = acc["spans"]
+        if inner:
+            rest = F.concat(rest, F.transform(inner(x["m"]), lambda p: F.struct((start + p["start"]).alias("start"), p["rank"].alias("rank"), (start + p["end"]).alias("end"))))
+        return F.when(x["m"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.when(ok(x["m"]), F.concat(acc["spans"], F.array(span))).otherwise(rest).alias("spans")))
 
     return F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
 
@@ -113,13 +120,17 @@ def scan(docs: DataFrame, table: list[float], settings: Settings = Settings()) -
     only = lambda when, spans: F.when(when, spans).otherwise(none)
     always = lambda m: F.lit(True)
     run = f"(?<![{IDENTIFIER}])[{IDENTIFIER}]{{{settings.least_chars},}}+"
+    part = IDENTIFIER.replace("/", "").replace("=", "")
+    piece = f"(?<![{part}])[{part}]{{{settings.least_chars},}}+"
     ratios = F.split(F.lit(",".join(f"{x:.4g}" for x in table)), ",").cast("array<double>")
+    random = lambda m: ratio(m, ratios) >= settings.least_ratio
+    pieces = lambda m: only(m.rlike("[=/]"), found(m, piece, 4, random))
     rows = docs.select(
         *[F.col(f"`{c}`") for c in mine],
         only(text.contains(":") | text.contains("="), found(text, ASSIGN, 1, lambda m: F.length(F.regexp_extract(m, ASSIGN, 1)) >= 6)).alias("assign"),
         only(text.contains("AKIA"), found(text, ACCESS, 2, always)).alias("access"),
         only(text.rlike(HEX), found(text, HEX, 3, always)).alias("hex"),
-        only(text.rlike(run), found(text, run, 4, lambda m: ratio(m, ratios) >= settings.least_ratio)).alias("runs"),
+        only(text.rlike(run), found(text, run, 4, random, pieces)).alias("runs"),
     )
     base = rows.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
     free = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))

@@ -297,6 +297,19 @@ def test_secret_models_tell_held_out_strings_apart(spark, sf):
     assert len([i for i in found if i < 200]) > 190 and len([i for i in found if i >= 200]) < 10
 
 
+def test_secrets_behind_names_and_paths(spark, sf):
+    model = secrets.train(secrets.samples(table(spark, sf, "documents")))
+    r = random.Random(9)
+    fronts = ["the_long_setting_name_of_the_other_service_and_there=", "/home/there/over/reason/handle/intent/shore/ended/"]
+    keys = ["".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=24)) for _ in range(100)]
+    texts = [f"x {f}{k} y" for k in keys for f in fronts] + [f + "the_ordinary_name_of_there" for f in fronts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {x.doc_id: x.spans for x in secrets.scan(docs, model).collect()}
+    assert all(spans[i] == "" for i in (200, 201))
+    whole = [i for i in range(200) if spans[i] and int(spans[i].split(":")[1]) in (2, 2 + len(fronts[i % 2])) and int(spans[i].split(":")[2]) == len(texts[i]) - 2]
+    assert len(whole) > 190
+
+
 def test_secrets_odd_rows(spark):
     docs = H.odd_documents(spark)
     model = secrets.train(secrets.samples(docs))
