@@ -2,16 +2,19 @@
 
 Markup is stripped to lines, one for each block element's run of text; elements that never hold the
 article (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments of
-readers) leave an empty line. Over the lines' lengths, sums of ``width`` lines in a row make a
-curve. From the peak of the curve the region reaches back to its surge and on to its dive, the
-places where the curve falls to nothing, such as at some unwanted elements in a row. Past a dive the
-region goes on while lines stand in the innermost article of the peak (else main, else the outermost
-element named as content); for text straight below body, as far as such lines surge again on a curve
-of their own, without the unwanted ones. The smallest element that holds the whole region bounds the
-article: its other lines, such as short first or last ones, belong to it too.
+readers) leave an empty line, or nothing where they stand inside a line. Over the lines' lengths
+(text of links counts nothing, so menus are flat), sums of ``width`` lines in a row make a curve. From
+the peak of the curve the region reaches back to its surge and on to its dive, the places where the
+curve falls to nothing, such as at some unwanted elements in a row.
+
+The peak's article bounds the text: the innermost article or main element, or the outermost one that
+is named as content, wherever surge and dive lie in it. On a page without any, the text is what
+stands between surge and dive: past a dive it goes on while lines of the element that holds the
+region surge again, and at its edges short lines count only if they are headings or stand in the
+region's own blocks, not in others (an imprint, a menu without links).
 
 A null, empty or textless page gives an empty text. Rows are judged one by one; other columns are
-passed on.
+passed on. All steps take time in proportion to the page, whatever its tags.
 """
 
 from __future__ import annotations
@@ -39,11 +42,14 @@ MARKS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "bann
 #: Words of class and id names that mark what holds the article.
 HOLDS = {"article", "content", "entry", "main", "post", "story"}
 
-TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+QUOTE = re.compile(r"""["'>]""")
 OPEN = re.compile(r"<(?=[a-zA-Z/!?])")
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|$)""", re.IGNORECASE)
 WORD = re.compile(r"[a-z]+")
 WHOLE = {"html", "body"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+IMPRINT = re.compile(r"\s*(?:©|\(c\)|copyright\b|all rights reserved)", re.IGNORECASE)
 
 
 @dataclass(frozen=True)
@@ -82,92 +88,174 @@ def holds(name: str, attributes: str) -> int:
     return found
 
 
-def container(ranks: list[int]) -> int:
-    """How many of the open elements, outermost first, lead to the one whose text belongs together; 0: none."""
-    best = max(ranks, default=0)
-    if not best:
-        return 0
-    return ranks.index(1) + 1 if best == 1 else len(ranks) - ranks[::-1].index(best)
-
-
-def lines(page: str) -> list[tuple[str, tuple[int, ...], int]]:
-    """The page's lines in order, with the open elements each stands in and how many lead to its container; unwanted parts are ''."""
-    out: list[tuple[str, tuple[int, ...], int]] = []
-    stack: list[tuple[str, int, int]] = []
-    parts: list[str] = []
-    muted = 0  # how many elements were open when an unwanted one began, and it
-    opened = 0
-    at, size = 0, len(page)
-
-    def close_line(mark: bool = False) -> None:
-        text = " ".join("".join(parts).split())
-        parts.clear()
-        if text or mark:
-            out.append((text, tuple(k for _, k, _ in stack), container([r for _, _, r in stack])))
-
-    while at < size:
-        found = OPEN.search(page, at)
-        start = found.start() if found else size
-        if start > at and not muted:
-            parts.append(html.unescape(page[at:start]))
-        if not found:
-            break
-        if page.startswith("<!--", start):
-            end = page.find("-->", start + 4)
-            at = size if end < 0 else end + 3
-            continue
-        if page[start + 1] in "!?":
-            end = page.find(">", start)
-            at = size if end < 0 else end + 1
-            continue
-        tag = TAG.match(page, start)
-        if not tag:
-            end = page.find(">", start)
-            if page[start + 1] == "/":  # an end tag without a name is a comment
-                at = size if end < 0 else end + 1
-            else:
+@dataclass
+class Line:
+    text: str
+    #: Characters outside links.
+    plain: int
+    #: The innermost open element, by number; 0: none but html and body.
+    element: int
+    #: The block it was in: the last tag before it.
+    block: str
+
+
+class Page:
+    """The page's lines in order, and its elements: which holds which, and from which line to which."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.lines: list[Line] = []
+        #: Of each element: the one around it, its first line, the line after its last, and its rank (see holds).
+        self.above, self.first, self.past, self.rank = [0], [0], [0], [0]
+        self.quotes = True
+        self.read()
+        self.past[0] = len(self.lines)
+
+    def tag_end(self, at: int) -> int:
+        """Where the tag ends whose name ends at ``at``: past its >, which does not count in quotes; -1: nowhere.
+
+        Once a quote stays open, quotes no longer count on this page: one pass over it is enough.
+        """
+        begin = at
+        while self.quotes and (m := QUOTE.search(self.page, at)):
+            if m[0] == ">":
+                return m.end()
+            at = self.page.find(m[0], m.end()) + 1
+            if not at:
+                self.quotes = False
+        return self.page.find(">", begin) + 1 or -1
+
+    def read(self) -> None:
+        page, size, at = self.page, len(self.page), 0
+        stack: list[tuple[str, int]] = []  # name and number of open elements; inline ones only inside unwanted parts
+        opened: dict[str, int] = {}
+        parts: list[str] = []
+        plain = linked = 0
+        muted, inline = 0, False  # how many elements are open up to the unwanted one, and whether that is inline
+        block, more = "", True
+
+        def close_line(mark: bool = False) -> None:
+            nonlocal plain
+            text = " ".join("".join(parts).split())
+            parts.clear()
+            if text or mark:
+                self.lines.append(Line(text, min(plain, len(text)), stack[-1][1] if stack else 0, block))
+            plain = 0
+
+        def push(name: str, rank: int) -> None:
+            own = 0
+            if name not in WHOLE:
+                own = len(self.above)
+                self.above.append(stack[-1][1] if stack else 0)
+                self.first.append(len(self.lines))
+                self.past.append(-1)
+                self.rank.append(rank)
+            stack.append((name, own))
+            opened[name] = opened.get(name, 0) + 1
+
+        def pop() -> None:
+            name, own = stack.pop()
+            opened[name] -= 1
+            if own:
+                self.past[own] = len(self.lines)
+
+        def pop_to(depth: int) -> None:
+            """Close elements; what stands in an unwanted one leaves an empty line."""
+            nonlocal muted, inline
+            while len(stack) > depth:
+                pop()
+            if muted and len(stack) < muted:
+                if not inline:
+                    close_line(mark=True)
+                muted, inline = 0, False
+
+        while at < size:
+            found = OPEN.search(page, at) if more else None
+            start = found.start() if found else size
+            if start > at and not muted:
+                text = html.unescape(page[at:start])
+                parts.append(text)
+                if not linked:
+                    plain += len(text)
+            if not found:
+                break
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                at = size if end < 0 else end + 3
+                continue
+            named = NAME.match(page, start)
+            end = self.tag_end(named.end()) if named else page.find(">", start) + 1 or -1
+            if end < 0:
+                if named:  # no tag ends after this, so all else is text
+                    at, more = start, False
+                    continue
+                at = size
+                continue
+            at = end
+            if not named:  # a declaration, or an end tag without a name
+                continue
+            closing, name, attributes = named[1], named[2].lower(), page[named.end() : end - 1]
+            if not closing and name in RAW:
+                end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
+                at = end.end() if end else size
                 if not muted:
-                    parts.append("<")
-                at = start + 1
-            continue
-        at = tag.end()
-        closing, name, attributes = tag[1], tag[2].lower(), tag[3]
-        if not closing and name in RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
-            at = end.end() if end else size
+                    close_line()
+                continue
+            if name in INLINE:
+                if name == "a" and not muted:
+                    linked = 0 if closing else 1
+                if closing:
+                    if opened.get(name):
+                        depth = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name)
+                        pop_to(depth)
+                elif name not in VOID and (muted or unwanted(name, attributes)):
+                    push(name, 0)
+                    if not muted:
+                        muted, inline = len(stack), True
+                continue
+            linked = 0
+            if inline and name in LOOSE and all(k[0] in INLINE for k in stack[muted - 1 :]):
+                pop_to(muted - 1)  # a paragraph that ends takes an open inline element with it
             if not muted:
                 close_line()
-            continue
-        if name in INLINE and (closing or muted or not unwanted(name, attributes)):
-            continue
+                block = name
+            if name in VOID or closing and name in LOOSE:
+                continue
+            if closing:
+                if opened.get(name) and name not in WHOLE:
+                    pop_to(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name))
+                continue
+            if name in LOOSE:
+                if not muted and unwanted(name, attributes):  # it ends where the next begins, or with what holds it
+                    skip = re.compile(rf"</?{re.escape(name)}(?=[\s/>])|</(?:ul|ol|dl|table|div|section|article|body)(?=[\s/>])", re.IGNORECASE).search(page, at)
+                    at = skip.start() if skip else size
+                    close_line(mark=True)
+                continue
+            bad = not muted and unwanted(name, attributes)
+            push(name, holds(name, attributes))
+            if bad:
+                muted = len(stack)
         if not muted:
             close_line()
-        if name in VOID or closing and name in LOOSE:
-            continue
-        if closing:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), -1)
-            if k < 0 or name in WHOLE:
-                continue
-            del stack[k:]
-            if muted and len(stack) < muted:
-                muted = 0
-                close_line(mark=True)
-            continue
-        loose = name in LOOSE
-        if loose and (muted or not unwanted(name, attributes)):
-            continue
-        if loose:  # an unwanted one ends where the next begins, or with what holds it
-            skip = re.compile(rf"</?{re.escape(name)}(?=[\s/>])|</(?:ul|ol|dl|table|div|section|article|body)(?=[\s/>])", re.IGNORECASE).search(page, at)
-            at = skip.start() if skip else size
-            close_line(mark=True)
-            continue
-        opened += 1
-        stack.append((name, opened if name not in WHOLE else 0, holds(name, attributes)))
-        if not muted and unwanted(name, attributes):
-            muted = len(stack)
-    if not muted:
-        close_line()
-    return out
+        while stack:
+            pop()
+
+    def container(self, line: int) -> int:
+        """The element whose text belongs together around a line; 0: none."""
+        best, element = 0, self.lines[line].element
+        while element:
+            rank = self.rank[element]
+            if rank > self.rank[best] or rank == self.rank[best] == 1:
+                best = element
+            element = self.above[element]
+        return best
+
+    def around(self, first: int, last: int) -> int:
+        """The innermost element that holds the lines from first to last; 0: none."""
+        element = self.lines[first].element
+        while element and self.past[element] <= last:
+            element = self.above[element]
+        return element
 
 
 def windows(sizes: list[int], curve: Curve) -> list[int]:
@@ -185,50 +273,49 @@ def surge(window: list[int], at: int, least: int, curve: Curve) -> int:
     return at
 
 
-def common_elements(found: list[tuple[str, tuple[int, ...], int]], first: int, last: int) -> tuple[int, ...]:
-    """The elements that hold every line with text from first to last."""
-    every = [own for text, own, _ in found[first : last + 1] if text]
-    shared = every[0]
-    for own in every:
-        while shared != own[: len(shared)]:
-            shared = shared[:-1]
-    return shared
+def past_dives(found: Page, first: int, last: int, least: int, curve: Curve) -> tuple[int, int]:
+    """The region with further surges of the element that holds it: the curve of its lines without unwanted parts."""
+    lines, element = found.lines, found.around(first, last)
+    # Straight below body only lines that stand there too are of the same text.
+    inside = range(found.first[element], found.past[element])
+    own = [k for k in inside if lines[k].text and (element or not lines[k].element)]
+    high = [j for j, x in enumerate(windows([lines[k].plain for k in own], curve)) if x >= least]
+    if not high:
+        return first, last
+    return min(first, own[high[0]]), max(last, own[min(high[-1] + curve.width, len(own)) - 1])
 
 
 def article(page: str | None, curve: Curve = Curve()) -> str:
-    found = lines(page or "")
-    n = len(found)
-    size = [len(text) for text, _, _ in found]
-    if not any(size):
+    found = Page(page or "")
+    lines = found.lines
+    if not any(line.text for line in lines):
         return ""
-    window = windows(size, curve)
-    peak = max(range(n), key=window.__getitem__)
+    sizes = [line.plain for line in lines]
+    if not any(sizes):
+        sizes = [len(line.text) for line in lines]
+    window = windows(sizes, curve)
+    peak = max(range(len(lines)), key=window.__getitem__)
     least = min(curve.surge, window[peak])
     first = surge(window, peak, least, curve)
     last = peak
-    while last + 1 < n and window[last + 1] > 0:
+    while last + 1 < len(lines) and window[last + 1] > 0:
         last += 1
-    peak = next(k for k in range(peak, n) if size[k])
-    bounds = found[peak][1][: found[peak][2]]
+    bounds = found.container(max(range(peak, min(peak + curve.width, len(lines))), key=sizes.__getitem__))
     if bounds:
-        inside = [k for k in range(n) if size[k] and found[k][1][: len(bounds)] == bounds]
-        first, last = min(first, inside[0]), max(last, inside[-1])
-    shared = common_elements(found, first, last)
-    if not any(shared) and not bounds:
-        own = [k for k in range(n) if size[k] and not any(found[k][1])]
-        curve_of_own = windows([size[k] for k in own], curve)
-        high = [k for k, x in enumerate(curve_of_own) if x >= least]
-        if high:
-            begin = next((j for j, k in enumerate(own) if k >= first), len(own) - 1)
-            first = min(first, own[surge(curve_of_own, begin, least, curve)])
-            end = own[min(high[-1] + curve.width, len(own)) - 1]
-            while end + 1 < n and window[end + 1] > 0 and end >= last:
-                end += 1
-            last = max(last, end)
-            shared = common_elements(found, first, last)
-    if any(shared):
-        return " ".join(text for text, own, _ in found if text and own[: len(shared)] == shared)
-    return " ".join(found[k][0] for k in range(first, last + 1) if size[k])
+        return " ".join(line.text for line in lines[found.first[bounds] : found.past[bounds]] if line.text)
+    first, last = past_dives(found, first, last, least, curve)
+    heavy = [k for k in range(first, last + 1) if sizes[k] * curve.width >= least]
+    blocks = {(lines[k].element, lines[k].block) for k in heavy}
+
+    def edge(k: int) -> bool:
+        line = lines[k]
+        return bool(sizes[k]) and not IMPRINT.match(line.text) and ((line.element, line.block) in blocks or line.block in HEADINGS and k < heavy[0])
+
+    while first < heavy[0] and not edge(first):
+        first += 1
+    while last > heavy[-1] and not edge(last):
+        last -= 1
+    return " ".join(line.text for line in lines[first : last + 1] if line.text)
 
 
 def extract(pages: DataFrame, curve: Curve = Curve()) -> DataFrame:
