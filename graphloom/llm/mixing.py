@@ -9,7 +9,7 @@ distribution function. Copies are exploded and the whole table is shuffled by a
 Without weights all sources weigh the same. Sources without a weight, or with 0, vanish; a null
 source is a source of its own. A null doc_id hashes like the empty string; rows that share a doc_id
 draw the same number. The documents' columns are passed on; added are ``copy`` (from 0), ``rate`` and
-``shuffle_key``, to which columns of those names give way.
+``shuffle_key``, to which columns of those names give way. Names that begin with __ are the operator's own.
 """
 
 from __future__ import annotations
@@ -63,20 +63,26 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, size: float = 1.0)
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, size: float = 1.0, seed: str = SEED) -> DataFrame:
-    """Documents as often as drawn, in shuffled order; ``size`` is the output's rows over the input's."""
+    """Documents as often as drawn, in shuffled order; ``size`` is the output's rows over the input's.
+
+    The shuffle key is a hash, so its leading digits deal rows evenly to partitions in order: bounds
+    need no sampling of the rows, which would compute them twice.
+    """
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ADDED])
-    table = rates(docs, weights, size)
-    table = table.select(F.col("source").alias("__source"), "rate", "whole", "cdf")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    table = rates(docs, weights, size).select(*(F.col(c).alias(f"__{c}") for c in ("source", "rate", "whole", "cdf")))
     few = table.count() <= MOST_BROADCAST
     joined = docs.join(F.broadcast(table) if few else table, F.col("source").eqNullSafe(F.col("__source")))
-    u = uniform(F.lit(seed), F.col("doc_id"))
-    times = F.col("whole") + F.size(F.filter("cdf", lambda c: c <= F.col("__u")))
-    drawn = joined.withColumn("__u", u).withColumn("__times", times).drop("cdf", "whole", "__source", "__u").filter("__times > 0")
-    copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__times") - 1))).drop("__times")
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string")).cast("binary"))
-    keyed = copies.select(*docs.columns, F.col("copy").cast("long").alias("copy"), "rate", key.alias("shuffle_key"))
+    numbered = joined.withColumn("__u", uniform(F.lit(seed), F.col("doc_id")))
+    times = F.col("__whole") + F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))
+    drawn = numbered.select(*own, "__rate", times.alias("__times")).filter("__times > 0")
+    copies = drawn.select(*own, "__rate", F.explode(F.sequence(F.lit(0), F.col("__times") - 1)).alias("__copy"))
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("__copy").cast("string")).cast("binary"))
+    keyed = copies.select(*own, F.col("__copy").cast("long").alias("copy"), F.col("__rate").alias("rate"), key.alias("shuffle_key"))
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartitionByRange(width, "shuffle_key").sortWithinPartitions("shuffle_key")
+    lead = F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("long")
+    place = F.floor(lead * width / (1 << 32)).cast("int")
+    return keyed.repartitionById(width, place).sortWithinPartitions("shuffle_key")
 
 
 #: The query's rows in DuckDB: 200 terms hold any rate of up to 60.
