@@ -1,10 +1,13 @@
 """Language identification by compression with one raw-content dictionary for each language.
 
 Training texts of a language, joined up to ``dictionary_bytes``, become a zstandard raw-content
-dictionary (in lower case, words only). A text is coded likewise, in pieces of ``piece_bytes`` with every dictionary; the smallest sum of
-sizes names the language. The margin is 1 - smallest / second smallest; below ``least_margin`` the
+dictionary (in lower case, words only). A text is coded likewise, in pieces of ``piece_bytes`` with every
+dictionary; the smallest sum of sizes names the language. The margin is 1 - smallest / second smallest; below ``least_margin`` the
 operator rejects (``accepted`` is false) but still names its best guess.
 
+Training is bounded (see Settings): of each language about ``sample_rows`` rows, drawn by id hash, and
+of each drawn text a piece, at a place its hash gives, not the whole of it. Predictions code whole texts.
+
 A text that is null or has no letter gets ``und``, margin and score 0; so does every text if no
 language was learned. Rows are judged one by one; equal sizes go to the first language by name.
 Other columns of the input are ignored by the models and passed on.
@@ -22,7 +25,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import common
 
-LETTER = re.compile(r"[^\W\d_]")
 OTHER = re.compile(r"[\W\d_]+")
 SCHEMA = "lang_pred string, score double, margin double, accepted boolean"
 NAMES = ["lang_pred", "score", "margin", "accepted"]
@@ -44,6 +46,8 @@ class Settings:
     #: Bound on the training rows of a language, and on the characters of each that come to the driver.
     sample_rows: int = 400
     sample_chars: int = 20_000
+    #: Languages that are learned at most, those with most rows: dirty labels are no languages.
+    most_langs: int = 500
 
 
 def held_out(doc_id: Column) -> Column:
@@ -66,14 +70,12 @@ def train(rows: DataFrame, settings: Settings = Settings()) -> dict[str, bytes]:
     """
     place = F.floor(common.uniform("text") * F.greatest(F.length("text") - settings.sample_chars + 1, F.lit(1))).cast("int") + 1
     usable = rows.select(F.substr("text", place, F.lit(settings.sample_chars)).alias("text"), "lang", common.uniform("doc_id").alias("u")).filter(F.col("lang").isNotNull() & (F.length("text") > 0))
-    found = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    found = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(settings.most_langs).collect()}
     if not found:
         return {}
-    share = F.lit(0.0)
-    for lang, n in found.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, settings.sample_rows / n))).otherwise(share)
+    shares = rows.sparkSession.createDataFrame([(lang, min(1.0, settings.sample_rows / n)) for lang, n in found.items()], "lang string, share double")
     texts: dict[str, list[tuple[float, str]]] = {lang: [] for lang in found}
-    for r in usable.filter(F.col("u") <= share).toLocalIterator():
+    for r in usable.join(F.broadcast(shares), "lang").filter(F.col("u") <= F.col("share")).select("text", "lang", "u").toLocalIterator():
         texts[r.lang].append((r.u, r.text))
     out = {}
     for lang, own in texts.items():
@@ -93,7 +95,7 @@ class Classifier:
             self.coders.append((lang, zstandard.ZstdCompressor(level=settings.level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)))
 
     def __call__(self, text: str | None) -> tuple[str, float, float, bool]:
-        if not self.coders or not text or not LETTER.search(text):
+        if not self.coders or not text or not any(map(str.isalpha, text)):
             return "und", 0.0, 0.0, False
         data, step = plain(text), self.settings.piece_bytes
         pieces = [data[k : k + step] for k in range(0, len(data), step)]
