@@ -20,7 +20,10 @@ _DEFAULT_BATCH = "67108864b"
 
 
 def to_python(df: DataFrame) -> DataFrame:
-    """``df``, in a session that sends it to Python in small batches, unless another size was set."""
+    """``df``, in a session that sends rows to Python in small batches from here on, unless it had set a size.
+
+    Spark reads the size when the result is computed, so it cannot be set back here.
+    """
     conf = df.sparkSession.conf
     if conf.get(_BATCH, _DEFAULT_BATCH) == _DEFAULT_BATCH:
         conf.set(_BATCH, str(BATCH_BYTES))
@@ -28,9 +31,11 @@ def to_python(df: DataFrame) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the session names; a local one only where none is named."""
+    """The shared folder that the session names. Only a session on one machine may do without."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -40,22 +45,39 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Scratch tables of this process that were not deleted, oldest first.
+MADE: list[str] = []
+
+
 def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends at files that outlive executors."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
+    MADE.append(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.scratch = path
     return back
 
 
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if path in MADE:
+            MADE.remove(path)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete scratch tables that nothing still to be computed reads."""
     for df in frames:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, [df.scratch])
+
+
+def clear(spark: SparkSession, since: int = 0, but: tuple[DataFrame, ...] = ()) -> None:
+    """Delete the scratch tables made since MADE had ``since`` entries, once results are written elsewhere."""
+    spared = {df.scratch for df in but}
+    delete(spark, [p for p in MADE[since:] if p not in spared])
 
 
 def uniform(*columns: str) -> Column:

@@ -11,6 +11,7 @@ empty file set. Other columns of the input are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from array import array
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common, rans
 
+TOKENIZER = "word_bpe_49k.json"
 #: Ids of a block: a block closes with the document that reaches this.
 BLOCK_IDS = 1 << 19
 #: Pieces, and words, that a Python worker keeps at most (under 100 MB each).
@@ -107,15 +109,25 @@ def splits_words_from_marks(coder: WordIds) -> bool:
 _CODERS: dict[str, WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
-    if path not in _CODERS:
-        _CODERS[path] = WordIds(path)
-    return _CODERS[path]
+def tokenizer_file(name: str) -> str:
+    """The file itself where ``name`` is one here, else that of the tokenizers installed on this machine."""
+    if os.path.exists(name):
+        return name
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def word_ids(name: str) -> WordIds:
+    """The coder of this process; each machine finds the file for itself."""
+    if name not in _CODERS:
+        _CODERS[name] = WordIds(tokenizer_file(name))
+    return _CODERS[name]
 
 
-def _tokenize(path: str, end_id: int, block_ids: int):
+def _tokenize(name: str, end_id: int, block_ids: int):
     def run(batches):
-        coder, shard, number = word_ids(path), TaskContext.get().partitionId(), 0
+        coder, shard, number = word_ids(name), TaskContext.get().partitionId(), 0
         end = np.array([end_id], coder.kind).tobytes()
         wide = len(end)
         docs, lengths, parts, total, before = [], [], [], 0, 0
@@ -170,7 +182,7 @@ def _recode(change):
 
 
 def encode(docs: DataFrame, tokenizer: str, path: str, end_id: int, block_ids: int = BLOCK_IDS) -> str:
-    """Write the ids of ``docs`` (doc_id, text) under ``path``; ``tokenizer`` is a tokenizers file."""
+    """Write the ids of ``docs`` (doc_id, text) under ``path``; ``tokenizer`` names a tokenizers file."""
     spark = docs.sparkSession
     rows = common.to_python(docs.select(F.col("doc_id").cast("long"), "text")).withColumn("h", F.xxhash64("text"))
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -231,13 +243,7 @@ def decode(spark: SparkSession, path: str, want_ids: bool = False) -> DataFrame:
     return blocks.select("shard", "block", "before", "doc_ids", "lengths", "payload").mapInArrow(_documents(freqs, base, want_ids), schema)
 
 
-def default_tokenizer() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
-def round_trip(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = 2) -> DataFrame:
     """Encode ``docs`` to the shared folder and return what the files say of each document."""
     spark = docs.sparkSession
-    return decode(spark, encode(docs, tokenizer or default_tokenizer(), common.scratch_path(spark, "tokens"), end_id))
+    return decode(spark, encode(docs, tokenizer, common.scratch_path(spark, "tokens"), end_id))

@@ -187,7 +187,7 @@ def test_frequencies_fill_the_scale():
 def token_rows(rows):
     from tokenizers import Tokenizer
 
-    t, start, out = Tokenizer.from_file(tokens.default_tokenizer()), 0, []
+    t, start, out = Tokenizer.from_file(tokens.tokenizer_file(tokens.TOKENIZER)), 0, []
     for doc, text in rows:
         ids = t.encode(text or "", add_special_tokens=False).ids + [2]
         out.append((doc, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
@@ -196,7 +196,7 @@ def token_rows(rows):
 
 
 def test_word_cache_equals_the_tokenizer():
-    coder, r = tokens.WordIds(tokens.default_tokenizer()), random.Random(4)
+    coder, r = tokens.WordIds(tokens.tokenizer_file(tokens.TOKENIZER)), random.Random(4)
     for _ in range(3000):
         text = "".join(r.choices("aAzZéÉßÿñ.,;:!?#*$% \n\t'stre09İΣς́ \x1c中한", k=r.randint(0, 14))) + r.choice(["", "<|endoftext|>", "'s", "'RE "])
         assert coder.of(text) == coder.whole(text), text
@@ -219,7 +219,7 @@ def test_tokens_odd_rows(spark):
 
 def test_small_blocks_and_ids(spark):
     docs = spark.createDataFrame([(i, f"some words {i} and more") for i in range(50)], "doc_id long, text string")
-    path = tokens.encode(docs, tokens.default_tokenizer(), common.scratch_path(spark, "t"), 2, block_ids=20)
+    path = tokens.encode(docs, tokens.tokenizer_file(tokens.TOKENIZER), common.scratch_path(spark, "t"), 2, block_ids=20)
     rows = tokens.decode(spark, path, want_ids=True).orderBy("doc_id").collect()
     assert all(len(r.ids) == r.n_tokens and r.ids[-1] == 2 for r in rows)
     assert [r.start for r in rows] == [sum(x.n_tokens for x in rows[:k]) for k in range(50)]
