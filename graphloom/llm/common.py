@@ -80,6 +80,20 @@ def clear(spark: SparkSession, since: int = 0, but: tuple[DataFrame, ...] = ())
     delete(spark, [p for p in MADE[since:] if p not in spared])
 
 
+SALTS = 64
+
+
+def lookup(rows: DataFrame, key: str, table: DataFrame, by: str) -> DataFrame:
+    """``rows`` left-joined with ``table`` (unique by ``key``) so that a hot key's rows go to many tasks.
+
+    Rows are salted by a hash of the column ``by``; the table's rows are first joined to the pairs of key
+    and salt that occur, at most SALTS of a key. ``rows`` is read twice, so it should be a table.
+    """
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    known = salted.select(key, "__salt").distinct().join(table, key)
+    return salted.join(known, [key, "__salt"], "left").drop("__salt")
+
+
 def uniform(*columns: str) -> Column:
     """A number from 0 to 1 by the hash of the columns."""
     return F.xxhash64(*columns).bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)

@@ -53,18 +53,20 @@ def connected(edges: DataFrame) -> DataFrame:
     """node and root (its component's least node) of every node of ``edges`` (u, v, binary) but roots.
 
     Each round gives every node's larger neighbours its least one, then every node's smaller ones;
-    it ends when a round changes nothing, after about log(nodes) of them.
+    it ends when a round changes nothing, after about log(nodes) of them. A hub, whose edges may be a third
+    of all, is dealt to many tasks by :func:`common.lookup`.
     """
     now = common.materialize(edges.mapInArrow(_forest, "u binary, v binary").distinct(), "edges")
     seen = None
     while True:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
-        small = large.join(least, F.col("u") == F.col("w")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = common.lookup(both.filter("v > u"), "u", least, "v").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = common.materialize(large, "edges")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = common.lookup(large, "u", least, "v").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
         after = common.materialize(small, "edges")
-        common.discard(now)
+        common.discard(now, large)
         now = after
         mark = now.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x")).first()
         if mark == seen:

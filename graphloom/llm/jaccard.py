@@ -1,23 +1,20 @@
 """Exact n-gram Jaccard join: classes of documents linked at ``percent`` of similarity.
 
 Words are lower-cased (A-Z); a document's set has its distinct ``n``-word shingles, as 64-bit hashes.
-Jaccard distance is a metric, and the join uses it as such in three steps:
-
-1. Projections. Let the shingles' universe fall into B parts. Two sets that differ in fewer than B
-   shingles agree on a part, where their projections have distance 0: each projected set is a pivot
-   whose cell is the pivot alone. Pivot "empty set" gives a document's size, and its rings
-   (size classes) fix B; a document near a ring's outer edge joins the next ring too. Equal
-   projections are found by one sort of 64-bit keys, and chains of them make regions. Every link is
-   inside a region, however many documents share a passage.
-2. Recursion. A region of more than ``most_region`` sets is divided: pivots drawn from it make Voronoi
-   cells, and by the triangle inequality a set within 2r of a cell's edge is copied into its halo.
-   Cells that stay large divide again; those that do not shrink are cut to blocks, compared pair by
-   pair of blocks.
-3. A region that fits a task is joined by :mod:`graphloom.llm.metric`: pivots, cells and halos
-   again, then exact intersections.
-
-Pivots drawn from all documents do not serve as step 1: unrelated texts have distance 1 from every
-pivot, so each would be in every halo (see README).
+Jaccard distance is a metric, and the join uses it as such:
+
+1. Pivots. Unrelated texts have distance 1 from every pivot, so pivots drawn at random would have all
+   documents near each cell's edge (see README). Anchors choose them instead: the universe of shingles
+   falls into more parts than two linked sets can differ in, so on some part they agree. Of all sets
+   that agree on a part, the one with the least id is a pivot, and each of the others joins the region of
+   each of its pivots, once, however many parts they agree on. Any two linked sets are in one region.
+2. Regions. In a region distances to pivots, its own first, are measured exactly. Sets within r of a
+   pivot are linked with it, and sets that are linked already need no look at each other. The others
+   fall into Voronoi cells; by the triangle inequality, a set within 2r of a cell's edge, and whose
+   distance to the cell's pivot differs by r at most from that of one of the others, is copied into it.
+   Cells are joined likewise, recursively (:mod:`graphloom.llm.metric`).
+3. A region of more than ``most_region`` sets is divided by the same rules over many tasks. If its cells
+   do not shrink, blocks of the sets that are not linked yet meet blocks of all, each pair in a task.
 
 Identical sets are one member. A null, empty or blank text has no shingles and is linked with nothing:
 its component_id is its own doc_id. Repeated rows are identical sets; component_id is the least doc_id
@@ -26,6 +23,7 @@ that is not null, and null if a class has none. Other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from dataclasses import dataclass
 
@@ -35,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import common
 from .components import connected
-from .metric import cells, link
+from .metric import EPS, link
 from .words import U, Words, chunks, grams, mix
 
 #: Keys that a task remembers while it looks for documents that meet in it already (under 30 MB).
@@ -44,7 +42,7 @@ TASK_KEYS = 150_000
 CHUNK_CHARS = 500_000
 BLOCK = 1024
 #: A region weighs as many members as it has, or more if they take more than this on average.
-MEMBER_BYTES = 32_768
+MEMBER_BYTES = 8_192
 
 
 @dataclass(frozen=True)
@@ -98,16 +96,16 @@ def set_id(own: np.ndarray) -> bytes:
     return np.array(sums, ">u8").tobytes()
 
 
-#: A part of fewer shingles is weak: unrelated documents may well agree on it.
+#: Parts of fewer shingles are weak: unrelated documents may well agree on them.
 WEAK = 3
 
 
 def keys(own: np.ndarray, rings: Rings) -> np.ndarray:
     """A key for each part of each of the set's classes; equal for equal projections.
 
-    A class has ``spare`` more parts than it takes, so linked sets agree on 1 + spare parts at least.
-    If one of them has no more than ``spare`` weak parts, they agree on a strong one; so weak parts
-    have keys only in sets that have more.
+    A class has ``spare`` more parts than it takes, so linked sets agree on 1 + spare parts at least. As
+    long as no more than ``spare`` parts are weaker than some size, those can do without keys: of two
+    linked sets, the parts that either leaves out are among those which one of them does.
     """
     out, place, value = [], mix(own + U(0xA0761D6478BD642F)), mix(own ^ U(0xE7037ED1A0B428DB))
     low, high = (value & U(0xFFFFFFFF)).astype(np.float64), (value >> U(32)).astype(np.float64)
@@ -116,12 +114,14 @@ def keys(own: np.ndarray, rings: Rings) -> np.ndarray:
         at = (place % U(parts)).astype(np.int64)
         sums = np.bincount(at, low, parts).astype(U) + (np.bincount(at, high, parts).astype(U) << U(32))
         found = mix(mix(sums) + np.arange(parts, dtype=U) * U(0x8EBC6AF09C88C6E3) + U((c + 1) * 0x589965CC75374CC3 % (1 << 64)))
-        weak = np.bincount(at, minlength=parts) < WEAK
-        out.append(found[~weak] if np.count_nonzero(weak) <= rings.spare[c] else found)
+        size = np.bincount(at, minlength=parts)
+        least = next((w for w in range(WEAK, 0, -1) if np.count_nonzero(size < w) <= rings.spare[c]), 0)
+        out.append(found[size >= least])
     return np.concatenate(out)
 
 
-SIGNED = "doc_id long, th long, n long, sid binary, keys array<long>, met array<binary>"
+#: ``id`` is the first half of ``sid``: enough to propose pairs, which are verified as sets.
+SIGNED = "doc_id long, th long, n long, sid binary, id long, keys array<long>, met array<long>"
 
 
 def _sign(join: Join):
@@ -130,204 +130,268 @@ def _sign(join: Join):
 
         def row(own: np.ndarray):
             if not len(own):
-                return 0, None, [], []
+                return 0, None, None, [], []
             sid = set_id(own)
+            number = int.from_bytes(sid[:8], "big", signed=True)
             if sid in seen:
-                return len(own), sid, [], []
+                return len(own), sid, number, [], []
             if len(first) > TASK_KEYS:
                 first.clear()
                 seen.clear()
             seen.add(sid)
             new, met = [], set()
             for k in keys(own, rings).view(np.int64).tolist():
-                other = first.setdefault(k, sid)
-                if other is sid:
+                other = first.setdefault(k, number)
+                if other == number:
                     new.append(k)
                 else:
                     met.add(other)
-            return len(own), sid, np.array(new, np.int64), list(met)
+            return len(own), sid, number, np.array(new, np.int64), list(met)
 
         for batch in batches:
             for start, sets in text_sets(batch.column("text"), join.n):
                 rows = [row(own) for own in sets]
                 ids = [batch.column(c).slice(start, len(sets)) for c in ("doc_id", "th")]
-                kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.binary()))
-                yield pa.RecordBatch.from_arrays([*ids, *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], ["doc_id", "th", "n", "sid", "keys", "met"])
+                kinds = (pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*ids, *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], ["doc_id", "th", "n", "sid", "id", "keys", "met"])
 
     return run
 
 
 def _meet(batches):
-    """Of rows sorted by key, an edge from each to the first of its key."""
+    """Of rows sorted by key and id: each set of a key, and the first of it, which is its pivot."""
     last, lead = None, None
     for batch in batches:
-        k, sids = batch.column("key").to_numpy(), batch.column("sid")
+        k, ids = batch.column("key").to_numpy(), batch.column("id").to_numpy()
         if not len(k):
             continue
         same = np.append(last is not None and k[0] == last, k[1:] == k[:-1])
         heads = np.maximum.accumulate(np.where(same, -1, np.arange(len(k))))
-        at = np.flatnonzero(same)
-        u = sids.take(pa.array(at)).to_pylist()
-        head = heads[at]
-        v = [lead if h < 0 else sids[int(h)].as_py() for h in head]
-        last, lead = k[-1], (lead if heads[-1] < 0 else sids[int(heads[-1])].as_py())
-        pairs = [(a, b) for a, b in zip(u, v, strict=True) if a != b]
-        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], ["u", "v"])
+        pivot = np.where(heads < 0, lead or 0, ids[heads])
+        last, lead = k[-1], pivot[-1]
+        at = np.flatnonzero(same & (pivot != ids))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(pivot[at])], ["u", "v"])
 
 
-MEMBER = "region string, sid binary, hashes binary"
+#: A set in a region. ``label`` names sets that are linked already; a set is open unless it has the label
+#: that most of its region have, so of two sets that are not linked yet one is open.
+MEMBER = "region string, sid binary, hashes binary, label binary, open boolean"
 
 
 def _hash_members(n: int):
     def run(batches):
         for batch in batches:
+            regions = batch.column("regions")
             for start, sets in text_sets(batch.column("text"), n):
-                ids = [batch.column(c).slice(start, len(sets)) for c in ("region", "sid")]
-                yield pa.RecordBatch.from_arrays([*ids, pa.array([own.tobytes() for own in sets], pa.binary())], ["region", "sid", "hashes"])
+                for k, own in enumerate(sets, start):
+                    names = [str(r) for r in regions[k].as_py()]
+                    columns = [names, [batch.column("sid")[k].as_py()] * len(names), [own.tobytes()] * len(names), [None] * len(names), [True] * len(names)]
+                    kinds = (pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.bool_())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], ["region", "sid", "hashes", "label", "open"])
 
     return run
 
 
 def _link_regions(percent: int):
-    """Of rows sorted by region, each set with the least it is linked with in the region."""
+    """Of rows sorted by region, a link from each set (or its label's) to the least it is linked with in the region."""
 
-    def linked(sids: list[bytes], sets: list[np.ndarray]):
-        by = sorted(range(len(sids)), key=sids.__getitem__)
+    def linked(region, sids: list[bytes], sets: list[np.ndarray], labels: list):
+        # The region's own pivot has the id that the region is named by, and comes first.
+        own = int(re.split("[/+]", region)[0]).to_bytes(8, "big", signed=True) if region else b""
+        by = sorted(range(len(sids)), key=lambda k: (sids[k][:8] != own, sids[k]))
         by = [k for j, k in enumerate(by) if not j or sids[k] != sids[by[j - 1]]]
-        roots = link([sets[k] for k in by], percent)
-        return [(sids[by[i]], sids[by[r]]) for i, r in enumerate(roots) if i != r]
+        roots = link([sets[k] for k in by], percent, [labels[k] for k in by])
+        name = lambda k: labels[k] or sids[k]
+        return {(name(by[i]), name(by[r])) for i, r in enumerate(roots) if name(by[i]) != name(by[r])}
 
     def run(batches):
-        region, sids, sets = None, [], []
+        region, sids, sets, labels = None, [], [], []
+        batch_of = lambda out: pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.binary()) for i in (0, 1)], ["u", "v"])
         for batch in batches:
             out = []
-            for r, sid, own in zip(batch.column("region").to_pylist(), batch.column("sid").to_pylist(), batch.column("hashes").to_pylist(), strict=True):
+            for r, sid, own, label in zip(*(batch.column(c).to_pylist() for c in ("region", "sid", "hashes", "label")), strict=True):
                 if r != region:
-                    out += linked(sids, sets)
-                    region, sids, sets = r, [], []
+                    out += linked(region, sids, sets, labels)
+                    region, sids, sets, labels = r, [], [], []
                 sids.append(sid)
                 sets.append(np.frombuffer(own, U))
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.binary()) for i in (0, 1)], ["u", "v"])
-        out = linked(sids, sets)
-        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.binary()) for i in (0, 1)], ["u", "v"])
+                labels.append(label)
+            yield batch_of(out)
+        yield batch_of(list(linked(region, sids, sets, labels)))
 
     return run
 
 
-def _divide(percent: int):
-    """The cell of each member's nearest pivot and the halos it is in, by name.
+PLACED = "region string, sid binary, label binary, near array<binary>, d array<double>"
+
+
+def _measure(percent: int):
+    """Of each set its distances to its region's pivots, and those pivots that it is linked with.
 
     Rows come sorted by region and salt, pivots before members.
     """
 
-    def distances(here: np.ndarray, pivots: list[np.ndarray]) -> np.ndarray:
-        inter = np.array([np.count_nonzero(p[np.minimum(np.searchsorted(p, here), len(p) - 1)] == here) for p in pivots])
-        return 1 - inter / (np.array([len(p) for p in pivots]) + len(here) - inter)
-
     def run(batches):
         known, pivots = None, []
         for batch in batches:
             out = []
-            for region, salt, member, sid, hashes in zip(*(batch.column(c).to_pylist() for c in ("region", "salt", "member", "sid", "hashes")), strict=True):
+            for region, salt, member, sid, hashes, label in zip(*(batch.column(c).to_pylist() for c in ("region", "salt", "member", "sid", "hashes", "label")), strict=True):
                 if (region, salt) != known:
                     known, pivots = (region, salt), []
                 here = np.frombuffer(hashes, U)
                 if not member:
-                    pivots.append(here)
-                elif not pivots:
-                    out.append((region, f"{region}/0", sid))
-                else:
-                    d = distances(here, pivots)[None, :]
-                    out += [(region, f"{region}/{k}", sid) for k, (core, halo) in enumerate(cells(d, 1 - percent / 100)) if len(core) or len(halo)]
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.binary()))], ["region", "cell", "sid"])
+                    pivots.append((sid, here))
+                    continue
+                d, near = [], []
+                for other, p in pivots:
+                    inter = int(np.count_nonzero(p[np.minimum(np.searchsorted(p, here), len(p) - 1)] == here))
+                    union = len(p) + len(here) - inter
+                    d.append(1 - inter / union)
+                    if 100 * inter >= percent * union:
+                        near.append(other)
+                out.append((region, sid, label, near, d))
+            kinds = (pa.string(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)], ["region", "sid", "label", "near", "d"])
 
     return run
 
 
-def divide(rest: DataFrame, level: int, join: Join) -> DataFrame:
-    """region, cell and sid of each row of ``rest`` (region, size, sid, hashes)."""
+def measured(rest: DataFrame, level: int, join: Join) -> DataFrame:
+    """Distances of the members of large regions to pivots drawn from the open ones of each."""
     salts = F.ceil(F.col("size") / BLOCK).cast("int")
     share = F.xxhash64("sid", F.lit(level)).bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)
     # By hash about twice as many are drawn as there are pivots, however large the region.
-    drawn = rest.filter(share < 2.0 * join.pivots / F.col("n_members")).groupBy("region").agg(F.slice(F.array_sort(F.collect_set("sid")), 1, join.pivots).alias("p"))
+    drawn = rest.filter(F.col("open") & (share < 2.0 * join.pivots / F.col("n_open"))).groupBy("region").agg(F.slice(F.array_sort(F.collect_set("sid")), 1, join.pivots).alias("p"))
     chosen = rest.join(drawn.select("region", F.explode("p").alias("sid")), ["region", "sid"]).dropDuplicates(["region", "sid"])
-    pivots = chosen.select("region", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(False).alias("member"), "sid", "hashes")
-    members = rest.select("region", F.pmod(F.xxhash64("sid"), salts).cast("int").alias("salt"), F.lit(True).alias("member"), "sid", "hashes")
-    dealt = pivots.unionByName(members).repartition("region", "salt").sortWithinPartitions("region", "salt", "member")
-    return dealt.mapInArrow(_divide(join.percent), "region string, cell string, sid binary")
+    pivots = chosen.select("region", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(False).alias("member"), "sid", "hashes", "label")
+    members = rest.select("region", F.pmod(F.xxhash64("sid"), salts).cast("int").alias("salt"), F.lit(True).alias("member"), "sid", "hashes", "label")
+    dealt = pivots.unionByName(members).repartition("region", "salt").sortWithinPartitions("region", "salt", "member", "sid")
+    return common.materialize(dealt.mapInArrow(_measure(join.percent), PLACED), "measured")
+
+
+def contracted(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links of members with pivots, and the members with the labels that follow."""
+    first = F.get("near", F.lit(0))
+    links = placed.filter("size(near) > 0").select(F.col("sid").alias("u"), first.alias("v")).filter("u <> v")
+    steps = F.zip_with("near", F.slice("near", 2, 1 << 20), lambda a, b: F.struct(a.alias("u"), b.alias("v")))
+    # Only pivots and labels, a few of each region: members themselves are in ``links``.
+    pairs = placed.select(F.explode(F.filter(steps, lambda e: e["v"].isNotNull())).alias("e")).select("e.u", "e.v")
+    pairs = common.materialize(pairs.unionByName(placed.filter("label is not null and size(near) > 0").select(F.col("label").alias("u"), first.alias("v")).filter("u <> v")).distinct(), "pivot-pairs")
+    roots = connected(pairs).select(F.col("node").alias("name"), "root")
+    named = placed.select("region", "sid", "d", F.coalesce(first, "label").alias("name"))
+    named = common.lookup(named, "name", roots, "sid").select("region", "sid", "d", F.coalesce("root", "name").alias("label"))
+    return links.unionByName(pairs), common.materialize(named, "labelled")
+
+
+def in_cells(named: DataFrame, sizes: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
+    """region, cell, sid, label, open of members by the cells they meet in, and the regions whose cells do not shrink.
+
+    Of ``sizes`` (region, most: the label that most have, n_open, n_members) only regions with open sets.
+    """
+    radius = 1 - join.percent / 100
+    known = common.lookup(named, "region", sizes, "sid").filter("n_open is not null").withColumn("open", ~F.col("label").eqNullSafe(F.col("most")))
+    least = F.array_min("d")
+    known = common.materialize(known.select("region", "sid", "label", "open", "d", least.alias("least"), (F.array_position("d", least) - 1).cast("int").alias("own")), "known")
+    edge = known.filter("open").groupBy("region", "own").agg(F.min(F.get("d", F.col("own"))).alias("low"), F.max(F.get("d", F.col("own"))).alias("high"))
+    edge = edge.select(F.concat_ws("/", "region", F.col("own").cast("string")).alias("cell"), "low", "high")
+    near = F.filter(F.sequence(F.lit(0), F.size("d") - 1), lambda k: F.get("d", k) <= F.col("least") + 2 * radius + EPS)
+    spread = known.select("region", "sid", "label", "open", "d", F.explode(near).alias("k"), "own").withColumn("cell", F.concat_ws("/", "region", F.col("k").cast("string")))
+    at = F.get("d", F.col("k"))
+    inside = common.lookup(spread, "cell", edge, "sid").filter((at >= F.col("low") - radius - EPS) & (at <= F.col("high") + radius + EPS))
+    placed = common.materialize(inside.select(F.col("region").alias("parent"), "cell", F.col("sid").alias("member"), "label", (F.col("open") & (F.col("k") == F.col("own"))).alias("core")), "cells")
+    work = placed.groupBy("parent", "cell").agg(F.count("*").alias("n"), F.count_if("core").alias("cores")).groupBy("parent").agg(F.sum(F.col("n") * F.col("cores")).alias("pairs"))
+    stuck = work.join(sizes, F.col("parent") == F.col("region")).filter(F.col("pairs") > 0.7 * F.col("n_open") * F.col("n_members")).select("region", F.lit(True).alias("stuck"))
+    return placed, stuck
 
 
 def in_blocks(rest: DataFrame) -> DataFrame:
-    """Regions cut to blocks by hash, each pair of blocks a region of its own: for any size, exact."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    mine = rest.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    pairs = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    name = F.concat_ws("+", "region", F.least("mine", "other").cast("string"), F.greatest("mine", "other").cast("string"))
-    return pairs.select(name.alias("region"), "sid", "hashes")
-
-
-def links(members: DataFrame, join: Join) -> tuple[DataFrame, bool]:
-    """Links (u, v) that connect what is linked in each region, and whether a region was divided."""
-    done, divided = [], False
+    """Regions cut to blocks by hash, each block of open sets with each of all a region: for any size, exact."""
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    mine = rest.select("*", blocks("size").alias("all_blocks"), F.ceil(F.col("size") * F.col("n_open") / F.col("n_members") / BLOCK).cast("int").alias("open_blocks"))
+    a, b = F.pmod(F.xxhash64("sid"), F.col("open_blocks")).cast("int"), F.pmod(F.xxhash64("sid", F.lit(1)), F.col("all_blocks")).cast("int")
+    name = lambda i, j: F.concat_ws("+", "region", i.cast("string"), j.cast("string"))
+    as_open = F.when(F.col("open"), F.transform(F.sequence(F.lit(0), F.col("all_blocks") - 1), lambda j: name(a, j))).otherwise(F.array().cast("array<string>"))
+    as_any = F.transform(F.sequence(F.lit(0), F.col("open_blocks") - 1), lambda i: name(i, b))
+    return mine.select(F.explode(F.array_distinct(F.concat(as_open, as_any))).alias("region"), "sid", "hashes", "label", "open")
+
+
+def links(members: DataFrame, join: Join) -> DataFrame:
+    """Links (u, v) that connect what is linked in each region."""
+    done, edges = [], []
     for level in range(join.most_levels + 1):
         weight = F.greatest(F.count("*"), F.ceil(F.sum(F.octet_length("hashes")) / MEMBER_BYTES))
-        sizes = members.groupBy("region").agg(weight.alias("size"), F.count("*").alias("n_members"))
-        large = sizes.filter(F.col("size") > join.most_region).select(F.col("region").alias("r"), "size", "n_members")
+        sizes = members.groupBy("region").agg(weight.alias("size"), F.count("*").alias("n_members"), F.count_if("open").alias("n_open"))
+        large = common.materialize(sizes.filter(F.col("size") > join.most_region), "large")
         if large.isEmpty():
             break
-        divided = True
-        done.append(members.join(large, F.col("region") == F.col("r"), "left_anti"))
-        rest = members.join(large, F.col("region") == F.col("r")).drop("r")
+        split = common.lookup(members, "region", large, "sid")
+        done.append(split.filter("size is null").select("region", "sid", "hashes", "label", "open"))
+        rest = common.materialize(split.filter("size is not null"), "rest")
         if level == join.most_levels:
             members = in_blocks(rest)
             break
-        placed = common.materialize(divide(rest, level, join), "cells")
-        # Where halos hold nearly all, cells would be no smaller than the region: blocks instead.
-        halves = placed.groupBy("region", "cell").agg(F.count("*").alias("n")).groupBy("region").agg(F.max("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("pairs"))
-        judged = halves.join(large, F.col("region") == F.col("r")).select("r", (F.col("pairs") > 0.7 * F.col("n_members") * F.col("n_members")).alias("stuck"))
-        stuck = judged.filter("stuck").select("r")
-        done.append(in_blocks(rest.join(stuck, F.col("region") == F.col("r"), "left_semi")))
-        inside = placed.join(stuck, F.col("region") == F.col("r"), "left_anti").withColumnRenamed("region", "parent").withColumnRenamed("sid", "id")
-        members = rest.join(inside, (F.col("region") == F.col("parent")) & (F.col("sid") == F.col("id"))).select(F.col("cell").alias("region"), "sid", "hashes")
-        members = common.materialize(members, "regions")
+        made, named = contracted(measured(rest, level, join))
+        edges.append(made)
+        most = named.filter("label is not null").groupBy("region", "label").agg(F.count("*").alias("n")).groupBy("region").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.max("n").alias("n_most"))
+        left = large.join(most, "region", "left").select("region", "most", "n_members", "size", (F.col("n_members") - F.coalesce("n_most", F.lit(0))).alias("n_open")).filter("n_open > 0")
+        left = common.materialize(left, "left")
+        placed, stuck = in_cells(named, left.drop("size"), join)
+        stuck = common.materialize(stuck, "stuck")
+        again = common.lookup(placed, "parent", stuck.withColumnRenamed("region", "parent"), "member").filter("stuck is null")
+        if not stuck.isEmpty():
+            labels = named.select("region", "sid", F.col("label").alias("now"))
+            whole = common.lookup(rest.select("region", "sid", "hashes"), "region", left.join(stuck, "region").drop("stuck"), "sid").filter("size is not null").join(labels, ["region", "sid"])
+            done.append(in_blocks(whole.select("region", "sid", "hashes", F.col("now").alias("label"), "size", "n_members", "n_open", (~F.col("now").eqNullSafe(F.col("most"))).alias("open"))))
+        sets = rest.select(F.col("region").alias("parent"), F.col("sid").alias("member"), "hashes")
+        members = common.materialize(again.join(sets, ["parent", "member"]).select(F.col("cell").alias("region"), F.col("member").alias("sid"), "hashes", "label", F.col("core").alias("open")), "regions")
     done.append(members)
     every = done[0]
     for more in done[1:]:
         every = every.unionByName(more)
-    return every.repartition("region").sortWithinPartitions("region").mapInArrow(_link_regions(join.percent), "u binary, v binary"), divided
+    found = every.repartition("region").sortWithinPartitions("region").mapInArrow(_link_regions(join.percent), "u binary, v binary")
+    for more in edges:
+        found = found.unionByName(more)
+    return found
+
+
+def regions(signed: DataFrame) -> DataFrame:
+    """id and the ids of the pivots whose regions it is in, of every set that agrees with another on a part."""
+    keyed = signed.select(F.explode("keys").alias("key"), "id")
+    meeting = common.materialize(keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_meet, "u long, v long").distinct(), "meeting")
+    met = signed.select(F.col("id").alias("u"), F.explode("met").alias("v"))
+    # A set that met another in its task has no key of its own there: it goes where the other goes.
+    follow = met.join(meeting.select(F.col("u").alias("q"), F.col("v").alias("p")), F.col("v") == F.col("q")).select("u", F.col("p").alias("v"))
+    pairs = meeting.unionByName(met).unionByName(follow)
+    every = pairs.unionByName(pairs.select(F.col("v").alias("u"), "v"))
+    # No more of a set than it has keys, or met in its task.
+    return every.groupBy("u").agg(F.collect_set("v").alias("regions"))
 
 
 def rooted_sets(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     """The rows of ``docs`` as SIGNED, and each set with the root of its class: sid, least, lead, root."""
     rows = common.to_python(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th")))
     signed = common.materialize(rows.mapInArrow(_sign(join), SIGNED), "signed")
-    keyed = signed.select(F.explode("keys").alias("key"), "sid")
-    meeting = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_meet, "u binary, v binary")
-    met = signed.select(F.col("sid").alias("u"), F.explode("met").alias("v"))
-    near = connected(met.unionByName(meeting))
-    regions = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct())
-
-    one = signed.filter("sid is not null").groupBy("sid").agg(F.min(F.struct("doc_id", "th")).alias("own"), F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th")).alias("lead"))
-    places = regions.join(one, F.col("node") == F.col("sid")).select(F.base64("root").alias("region"), "sid", F.col("own.doc_id").alias("d"), F.col("own.th").alias("h"))
-    found = rows.join(places, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h"))).select("region", "sid", "text")
+    with_sets = signed.filter("sid is not null")
+    one = with_sets.groupBy("sid").agg(F.min("id").alias("id"), F.min(F.struct("doc_id", "th")).alias("own"), F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th")).alias("lead"))
+    one = common.materialize(one, "sets")
+    places = one.join(regions(signed), F.col("id") == F.col("u")).select("regions", "sid", F.col("own.doc_id").alias("d"), F.col("own.th").alias("h"))
+    found = rows.join(places, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h"))).select("regions", "sid", "text")
+    if not with_sets.groupBy("doc_id", "th").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        found = found.groupBy("sid").agg(F.first("regions").alias("regions"), F.first("text").alias("text"))  # repeated rows
     members = common.materialize(found.mapInArrow(_hash_members(join.n), MEMBER), "members")
-    star, divided = links(members, join)
-    if divided:
-        star = connected(star)
-        star = star.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    star = connected(links(members, join))
     star = common.materialize(star, "links")
     common.discard(members)
-
-    rooted = one.join(star, F.col("sid") == F.col("u"), "left").select("sid", "least", "lead", F.coalesce("v", "sid").alias("root"))
-    return signed, rooted
+    rooted = one.join(star, F.col("sid") == F.col("node"), "left").select("sid", "least", "lead", F.coalesce("root", "sid").alias("root"))
+    return signed, common.materialize(rooted, "rooted")
 
 
 def classes(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of ``docs`` (doc_id, text)."""
     signed, rooted = rooted_sets(docs, join)
-    least = rooted.groupBy("root").agg(F.min("least").alias("component")).withColumnRenamed("root", "r")
-    named = rooted.join(least, F.col("root") == F.col("r")).select(F.col("sid").alias("s"), "component")
-    joined = signed.select("doc_id", "n", "sid").join(named, F.col("sid") == F.col("s"), "left")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    named = common.lookup(rooted, "root", least, "sid").select("sid", "component")
+    joined = common.lookup(signed.select("doc_id", "th", "n", "sid"), "sid", named, "doc_id")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 

@@ -44,9 +44,9 @@ def shingle_set(text, n=3):
     return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
 
 
-def jaccard_classes(rows, percent=90):
+def jaccard_classes(rows, percent=90, n=3):
     """(doc_id, n_shingles, component_id) for (doc_id, text) rows, null ids in classes of their own kind."""
-    sets = [shingle_set(t) for _, t in rows]
+    sets = [shingle_set(t, n) for _, t in rows]
     up = list(range(len(rows)))
 
     def root(x):

@@ -464,14 +464,26 @@ def near_copies(n, seed=5):
     return out + [" ".join(r.choices(words, k=r.randint(1, 25))) for _ in range(n // 3)]
 
 
-@pytest.mark.parametrize("join", [jaccard.Join(), jaccard.Join(most_region=30, pivots=4, most_levels=2)])
+@pytest.mark.parametrize("join", [jaccard.Join(), jaccard.Join(most_region=30, pivots=4, most_levels=2), jaccard.Join(n=5, percent=80), jaccard.Join(n=5, percent=80, most_region=30, pivots=3, most_levels=1)])
 def test_jaccard_equals_brute_force(spark, monkeypatch, join):
     if join.most_region < 1000:
         monkeypatch.setattr(jaccard, "BLOCK", 15)
     texts = near_copies(240) + [None, "", " \n", "a", "a b", "A B", "a b c", "the the the the"]
     rows = [*enumerate(texts), (3, texts[3]), (None, texts[5]), (None, "nothing like it at all, this one"), (4000, texts[7])]
     got = jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), join).collect()
-    assert sorted((tuple(r) for r in got), key=str) == H.jaccard_classes(rows)
+    assert sorted((tuple(r) for r in got), key=str) == H.jaccard_classes(rows, join.percent, join.n)
+
+
+def test_jaccard_of_a_hot_text_and_a_hot_group(spark):
+    """Rows that repeat an id and text count once; a large group of near copies is divided, and loses no link."""
+    r, words = random.Random(12), [f"w{i}" for i in range(200)]
+    base = r.choices(words, k=60)
+    copies = [[*base[:k % 58], f"x{k}", *base[k % 58 + 1 :]] for k in range(300)]
+    rows = [(None, "one text that is found in very many rows of the table")] * 5000 + [(k, " ".join(c)) for k, c in enumerate(copies)]
+    rows += [(1000, "one text that is found in very many rows of the table today"), (1001, " ".join(base))]
+    got = jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), jaccard.Join(most_region=100))
+    want = H.jaccard_classes(list(dict.fromkeys(rows)))
+    assert sorted((tuple(x) for x in got.distinct().collect()), key=str) == want and got.count() == len(rows)
 
 
 def test_jaccard_odd_rows(spark):
@@ -494,13 +506,25 @@ def test_parts_meet_every_link(percent):
             assert len(np.intersect1d(jaccard.keys(a, rings), jaccard.keys(b, rings)))
 
 
+@pytest.mark.parametrize("words", [8 << 20, 0])
+def test_labels_and_wide_families(monkeypatch, words):
+    """Sets of one label need no look at each other; families too wide for bitmaps give the same roots."""
+    monkeypatch.setattr(metric, "MOST_WORDS", words)
+    sets = [np.unique(np.array([hash(x) & (2**63 - 1) for x in H.shingle_set(t)], np.uint64)) for t in near_copies(120, 4)]
+    plain = metric.link(sets, 90)
+    labels = [str(c) if k % 2 else None for k, c in enumerate(plain.tolist())]
+    assert metric.link(sets, 90, labels, leaf=4).tolist() == plain.tolist()
+    want = {d: c for d, _, c in H.jaccard_classes([*enumerate(near_copies(120, 4))])}
+    assert plain.tolist() == [want[k] for k in range(len(sets))]
+
+
 @pytest.mark.parametrize("leaf", [4, 64])
 def test_cells_lose_no_link(leaf):
     sets = [np.unique(np.array([hash(x) & (2**63 - 1) for x in H.shingle_set(t)], np.uint64)) for t in near_copies(150, 8)]
     want = {}
     for d, _, c in H.jaccard_classes([*enumerate(near_copies(150, 8))]):
         want[d] = c
-    assert metric.link(sets, 90, leaf).tolist() == [want[k] for k in range(len(sets))]
+    assert metric.link(sets, 90, leaf=leaf).tolist() == [want[k] for k in range(len(sets))]
 
 
 def test_components(spark):

@@ -15,7 +15,7 @@ def by_hand(rows, items, spark):
         n, _, _, _, repeated, covered, longest = H.repetition(r["text"])
         if not (n < 50 or 100 * repeated > 50 * n) and 100 * covered <= 30 * n and longest <= 100:
             kept.append(r)
-    classes = {d: c for d, _, c in H.jaccard_classes([(r["doc_id"], r["text"]) for r in kept])}
+    classes = {d: c for d, _, c in H.jaccard_classes([(r["doc_id"], r["text"]) for r in kept], 80, 5)}
     kept = [r for r in kept if classes[r["doc_id"]] == r["doc_id"]]
     kept = [r for r in kept if not H.contamination(r["text"], items)[-1]]
     drawn = mixing.mix(spark.createDataFrame(kept)).select("doc_id", "text").collect()
