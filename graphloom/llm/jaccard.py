@@ -29,10 +29,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import common
-from .components import connected
+from .components import Union, connected
 from .metric import EPS, link
 from .words import U, Words, chunks, grams, mix
 
@@ -49,7 +49,7 @@ MEMBER_BYTES = 8_192
 class Join:
     n: int = 3
     percent: int = 90
-    most_region: int = 2048
+    most_region: int = 4096
     pivots: int = 16
     most_levels: int = 4
 
@@ -269,27 +269,54 @@ def measured(rest: DataFrame, level: int, join: Join) -> DataFrame:
     return common.materialize(dealt.mapInArrow(_measure(join.percent), PLACED), "measured")
 
 
+def _roots(batches):
+    """Of pairs sorted by region: each name and its root. A region has few: its pivots, and labels of earlier ones."""
+    region, own = None, Union()
+
+    def rows():
+        return [(region, x, own.find(x)) for x in list(own.up)]
+
+    def batch_of(out):
+        return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.string(), pa.binary(), pa.binary()))], ["region", "name", "root"])
+
+    for batch in batches:
+        out = []
+        for r, u, v in zip(*(batch.column(c).to_pylist() for c in ("region", "u", "v")), strict=True):
+            if r != region:
+                out += rows()
+                region, own = r, Union()
+            own.join(u, v)
+        yield batch_of(out)
+    yield batch_of(rows())
+
+
 def contracted(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links of members with pivots, and the members with the labels that follow."""
     first = F.get("near", F.lit(0))
     links = placed.filter("size(near) > 0").select(F.col("sid").alias("u"), first.alias("v")).filter("u <> v")
     steps = F.zip_with("near", F.slice("near", 2, 1 << 20), lambda a, b: F.struct(a.alias("u"), b.alias("v")))
     # Only pivots and labels, a few of each region: members themselves are in ``links``.
-    pairs = placed.select(F.explode(F.filter(steps, lambda e: e["v"].isNotNull())).alias("e")).select("e.u", "e.v")
-    pairs = common.materialize(pairs.unionByName(placed.filter("label is not null and size(near) > 0").select(F.col("label").alias("u"), first.alias("v")).filter("u <> v")).distinct(), "pivot-pairs")
-    roots = connected(pairs).select(F.col("node").alias("name"), "root")
-    named = placed.select("region", "sid", "d", F.coalesce(first, "label").alias("name"))
-    named = common.lookup(named, "name", roots, "sid").select("region", "sid", "d", F.coalesce("root", "name").alias("label"))
-    return links.unionByName(pairs), common.materialize(named, "labelled")
+    pairs = placed.select("region", F.explode(F.filter(steps, lambda e: e["v"].isNotNull())).alias("e")).select("region", "e.u", "e.v")
+    pairs = pairs.unionByName(placed.filter("label is not null and size(near) > 0").select("region", F.col("label").alias("u"), first.alias("v")).filter("u <> v"))
+    pairs = common.materialize(pairs.distinct(), "pivot-pairs")
+    roots = pairs.repartition("region").sortWithinPartitions("region").mapInArrow(_roots, "region string, name binary, root binary")
+    roots = roots.select(named("region", "name").alias("name"), "root")
+    known = placed.select("region", "sid", "d", F.coalesce(first, "label").alias("label"), named("region", F.coalesce(first, "label")).alias("name"))
+    known = common.lookup(known, "name", roots, "sid").select("region", "sid", "d", F.coalesce("root", "label").alias("label"))
+    return links.unionByName(pairs.select("u", "v")), common.materialize(known, "labelled")
+
+
+def named(region: str, name: str | Column) -> Column:
+    return F.concat_ws(" ", region, F.base64(name))
 
 
-def in_cells(named: DataFrame, sizes: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
+def in_cells(members: DataFrame, sizes: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     """region, cell, sid, label, open of members by the cells they meet in, and the regions whose cells do not shrink.
 
     Of ``sizes`` (region, most: the label that most have, n_open, n_members) only regions with open sets.
     """
     radius = 1 - join.percent / 100
-    known = common.lookup(named, "region", sizes, "sid").filter("n_open is not null").withColumn("open", ~F.col("label").eqNullSafe(F.col("most")))
+    known = common.lookup(members, "region", sizes, "sid").filter("n_open is not null").withColumn("open", ~F.col("label").eqNullSafe(F.col("most")))
     least = F.array_min("d")
     known = common.materialize(known.select("region", "sid", "label", "open", "d", least.alias("least"), (F.array_position("d", least) - 1).cast("int").alias("own")), "known")
     edge = known.filter("open").groupBy("region", "own").agg(F.min(F.get("d", F.col("own"))).alias("low"), F.max(F.get("d", F.col("own"))).alias("high"))
@@ -330,16 +357,16 @@ def links(members: DataFrame, join: Join) -> DataFrame:
         if level == join.most_levels:
             members = in_blocks(rest)
             break
-        made, named = contracted(measured(rest, level, join))
+        made, known = contracted(measured(rest, level, join))
         edges.append(made)
-        most = named.filter("label is not null").groupBy("region", "label").agg(F.count("*").alias("n")).groupBy("region").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.max("n").alias("n_most"))
+        most = known.filter("label is not null").groupBy("region", "label").agg(F.count("*").alias("n")).groupBy("region").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.max("n").alias("n_most"))
         left = large.join(most, "region", "left").select("region", "most", "n_members", "size", (F.col("n_members") - F.coalesce("n_most", F.lit(0))).alias("n_open")).filter("n_open > 0")
         left = common.materialize(left, "left")
-        placed, stuck = in_cells(named, left.drop("size"), join)
+        placed, stuck = in_cells(known, left.drop("size"), join)
         stuck = common.materialize(stuck, "stuck")
         again = common.lookup(placed, "parent", stuck.withColumnRenamed("region", "parent"), "member").filter("stuck is null")
         if not stuck.isEmpty():
-            labels = named.select("region", "sid", F.col("label").alias("now"))
+            labels = known.select("region", "sid", F.col("label").alias("now"))
             whole = common.lookup(rest.select("region", "sid", "hashes"), "region", left.join(stuck, "region").drop("stuck"), "sid").filter("size is not null").join(labels, ["region", "sid"])
             done.append(in_blocks(whole.select("region", "sid", "hashes", F.col("now").alias("label"), "size", "n_members", "n_open", (~F.col("now").eqNullSafe(F.col("most"))).alias("open"))))
         sets = rest.select(F.col("region").alias("parent"), F.col("sid").alias("member"), "hashes")
