@@ -5,7 +5,8 @@ give the intervals of maximal repeated substrings. Spans of repeats of ``min_wor
 united. A document is rejected if they cover more than ``most_covered_percent`` of its words, if the longest
 repeat has more than ``max_longest`` words, or if a base rule fails.
 
-A null, empty or blank text has no words and fails the base rule. Rows are judged one by one, so
+A text is sorted whole: memory is about 30 times a long text's size (see README). A null, empty or
+blank text has no words and fails the base rule. Rows are judged one by one, so
 repeated rows and null ids are kept apart; other columns are ignored.
 """
 
@@ -24,6 +25,7 @@ SYMBOLS = np.zeros(256, np.int8)
 SYMBOLS[list(b"#*$%&|<>")] = 1
 #: A code point's first byte.
 LEAD = np.array([(b & 0xC0) != 0x80 for b in range(256)], np.int8)
+SOLID_LEAD = LEAD * ~SPACE
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_covered long, longest_repeat long, base_failed boolean, kept boolean"
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 
@@ -126,17 +128,15 @@ def measure(texts: list[str | None], rules: Rules) -> list[np.ndarray]:
     """The columns of SCHEMA for each text."""
     w = Words(texts)
     n = len(w.begin)
-    between = lambda flags: (s := np.append(np.int32(0), np.cumsum(flags, dtype=np.int32)))[w.last] - s[w.first]
+    # Each text ends at a space, which no flag marks, so the sums of a text may take it in.
+    between = lambda flags: np.add.reduceat(flags, w.first, dtype=np.int64)
     of_text = lambda sums: sums[w.at[1:]] - sums[w.at[:-1]]
-    lead = LEAD[w.data]
-    solid = ~SPACE[w.data]
     n_words = np.diff(w.at)
     h = w.word_hashes()
 
     breaks = np.flatnonzero(w.data == 10)
     begin, end = np.sort(np.concatenate([w.first, breaks + 1])), np.sort(np.concatenate([breaks, w.last]))
-    seen = np.append(np.int32(0), np.cumsum(solid, dtype=np.int32))
-    full = seen[end] > seen[begin]
+    full = np.searchsorted(w.begin, end) > np.searchsorted(w.begin, begin)
     begin, end = begin[full], end[full]
     line_of = np.searchsorted(w.first, begin, side="right") - 1
     line = np.unique(mix(w.hashes(begin, end) + line_of.astype(U) * U(0x9FB21C651E98DF25)), return_index=True)[1]
@@ -158,7 +158,7 @@ def measure(texts: list[str | None], rules: Rules) -> list[np.ndarray]:
     failed = (n_words < rules.least_words) | (100 * repeat_words > rules.most_repeat_percent * n_words)
     kept = ~failed & (100 * n_covered <= rules.most_covered_percent * n_words) & (longest <= rules.max_longest)
     as_long = lambda x: x.astype(np.int64)
-    return [n_words, as_long(between(lead * solid)), as_long(between(SYMBOLS[w.data])), dup_lines, repeat_words, n_covered, longest, failed, kept]
+    return [n_words, between(SOLID_LEAD[w.data]), between(SYMBOLS[w.data]), dup_lines, repeat_words, n_covered, longest, failed, kept]
 
 
 def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:

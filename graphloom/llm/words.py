@@ -19,19 +19,28 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text that are worked on together; the arrays take about 60 times as much memory.
 CHUNK_BYTES = 500_000
+#: Bytes of one text that are hashed together: longer texts are hashed part by part.
+SEGMENT = 750_000
 
 _powers = [np.ones(1, U), np.ones(1, U)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i below n at least."""
-    if len(_powers[0]) < n:
-        n = max(n, CHUNK_BYTES + CHUNK_BYTES // 2)
-        for k, b in enumerate((BASE, UNBASE)):
-            steps = np.full(n, b, U)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+    """BASE**i and BASE**-i for i below n at least; up to SEGMENT they are kept."""
+    if len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    made = []
+    for b in (BASE, UNBASE):
+        steps = np.full(max(n, SEGMENT + 1), b, U)
+        steps[0] = 1
+        made.append(np.multiply.accumulate(steps))
+    if n <= SEGMENT + 1:
+        _powers[:] = made
+    return made[0], made[1]
+
+
+def power(b: U, k: int) -> U:
+    return U(pow(int(b), k, 1 << 64))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -51,7 +60,7 @@ class Words:
         #: Text k has the bytes first[k] to last[k].
         self.first = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]).astype(np.int64) if raw else np.zeros(0, np.int64)
         self.last = self.first + sizes
-        self.lower = lower
+        self.table = (LOWER if lower else np.arange(256, dtype=np.uint8)).astype(U) + U(1)
         gap = SPACE[self.data]
         edge = np.diff(gap.view(np.int8), prepend=np.int8(1))
         #: Word i has the bytes begin[i] to end[i].
@@ -59,17 +68,26 @@ class Words:
         self.end = np.flatnonzero(edge[1:] == 1) + 1 if len(edge) else np.zeros(0, np.int64)
         #: Text k has the words at[k] to at[k + 1].
         self.at = np.append(np.searchsorted(self.begin, self.first), len(self.begin))
-        self.sums: np.ndarray | None = None
 
     def hashes(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """A hash of each run of bytes."""
-        if self.sums is None:
-            up, _ = powers(len(self.data) + 1)
-            values = (LOWER[self.data] if self.lower else self.data).astype(U) + U(1)
+        """A hash of each run of bytes; ``begin`` and ``end`` ascend.
+
+        Sums of byte * BASE**place up to each begin and end, and BASE**-begin, part by part.
+        """
+        up, down = powers(SEGMENT + 1)
+        sums = [np.empty(len(begin), U), np.empty(len(end), U)]
+        back, carry = np.empty(len(begin), U), U(0)
+        for start in range(0, len(self.data) + 1, SEGMENT):
+            values = self.table[self.data[start : start + SEGMENT]]
             values *= up[: len(values)]
-            self.sums = np.concatenate([np.zeros(1, U), np.cumsum(values, dtype=U)])
-        _, down = powers(len(self.data) + 1)
-        return mix((self.sums[end] - self.sums[begin]) * down[begin] + (end - begin).astype(U) * U(0xD6E8FEB86659FD93))
+            own = np.concatenate([np.zeros(1, U), np.cumsum(values, dtype=U)]) * power(BASE, start) + carry
+            carry = own[-1]
+            for places, out in ((begin, sums[0]), (end, sums[1])):
+                a, b = np.searchsorted(places, (start, start + SEGMENT))
+                out[a:b] = own[places[a:b] - start]
+            a, b = np.searchsorted(begin, (start, start + SEGMENT))
+            back[a:b] = down[begin[a:b] - start] * power(UNBASE, start)
+        return mix((sums[1] - sums[0]) * back + (end - begin).astype(U) * U(0xD6E8FEB86659FD93))
 
     def word_hashes(self) -> np.ndarray:
         return self.hashes(self.begin, self.end)
