@@ -1,11 +1,12 @@
 """Quality classifier by importance resampling with hashed n-gram models.
 
 Words and word pairs of a text are hashed to ``buckets``. Target text (good labelled documents) and
-raw text (all documents) each give a smoothed bucket distribution. A document's log weight is the
-mean over its n-grams of log(target / raw), times ``effective_grams``: as if every document had so
-many, or long ones would be chosen or dropped by their length. With a Gumbel number hashed from
-(seed, doc_id) added, the ``keep_share`` of rows with the largest keys is a sample without
-replacement in proportion to the weights.
+raw text (all documents) each give a smoothed bucket distribution. A document's log weight is the sum
+over its n-grams of log(target / raw), the log ratio of the two models' likelihoods, divided by
+``temperature``. With a Gumbel number hashed from (seed, doc_id) added, the ``keep_share`` of rows with
+the largest keys is a sample without replacement in proportion to the weights. Whole texts of hundreds
+of words have log ratios far apart, so at temperature 1 chance decides near the cut only;
+:func:`effective_rows` says how many rows of equal weight the weights are worth.
 
 A text without words has weight 0. Rows with the key of the last one kept are kept too (rows that
 repeat a doc_id and text tie). A null doc_id hashes as such. Without target documents all weights are
@@ -27,7 +28,7 @@ from .words import U, Words, chunks, grams, mix
 @dataclass(frozen=True)
 class Settings:
     buckets: int = 1 << 14
-    effective_grams: float = 100.0
+    temperature: float = 1.0
     smoothing: float = 1.0
     keep_share: float = 0.8
     seed: int = 7
@@ -90,8 +91,7 @@ def _score(model: np.ndarray, settings: Settings):
             weights = []
             for _, part in chunks(batch.column("text").to_pylist()):
                 b, owner = text_buckets(part, settings.buckets)
-                n = np.bincount(owner, minlength=len(part))
-                weights.append(np.bincount(owner, weights=model[b], minlength=len(part)) / np.maximum(n, 1) * settings.effective_grams)
+                weights.append(np.bincount(owner, weights=model[b], minlength=len(part)) / settings.temperature)
             weight = np.concatenate(weights) if weights else np.zeros(0)
             ids = batch.column("doc_id")
             numbers = np.array(ids.fill_null(-(1 << 62)).to_pylist(), np.int64)
@@ -115,6 +115,13 @@ def cut(scored: DataFrame, most: int) -> int:
     return low
 
 
+def effective_rows(scored: DataFrame) -> float:
+    """(sum of weights)**2 / sum of squared weights, of rows with log_weight."""
+    top = scored.agg(F.coalesce(F.max("log_weight"), F.lit(0.0))).first()[0]
+    w = F.exp(F.col("log_weight") - top)
+    return scored.agg(F.coalesce(F.sum(w) * F.sum(w) / F.sum(w * w), F.lit(0.0))).first()[0]
+
+
 def resample(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, log_weight, key and kept for every row of ``docs`` (doc_id, text)."""
     rows = common.to_python(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
