@@ -49,41 +49,52 @@ def windows(items: DataFrame, settings: Settings) -> DataFrame:
     return cut.select("item_id", "window", size.alias("size"), F.least(size, F.lit(settings.shingle)).alias("s"), F.array_join("window", " ").alias("wid")).distinct()
 
 
-def occurrences(docs: DataFrame, shingles: DataFrame, sizes: list[int], settings: Settings) -> DataFrame:
+def occurrences(docs: DataFrame, shingles: DataFrame, sizes: list[int], settings: Settings, rows: bool = False) -> tuple[DataFrame, bool]:
     """doc_id, th, n_words, at, sh: every place of a document that has a benchmark shingle.
 
-    Words hold no space, so a shingle's words joined by one are a text of its own.
+    Words hold no space, so a shingle's words joined by one are a text of its own. If ``rows`` are asked
+    for and shingles are few enough to be broadcast, each row of ``docs`` has the empty shingle at -1 too,
+    so that words are found once; the second result says whether it is so.
     """
     out = None
     small = shingles.agg(F.coalesce(F.sum(F.octet_length("sh") + 16), F.lit(0))).first()[0] <= settings.most_broadcast
     for s in sizes:
         wanted = shingles.filter(F.col("s") == s).select("sh")
+        mark = rows and small and s == sizes[0]
+        if mark:
+            wanted = wanted.unionByName(docs.sparkSession.createDataFrame([("",)], "sh string"))
         if small:
             wanted = F.broadcast(wanted)
         # No filter by size here: below the projection it would find the words a second time.
         own = docs.select("doc_id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("w"))
         joined = F.transform("w", lambda x, i: F.concat_ws(" ", x, *(F.get("w", i + k) for k in range(1, s))))  # noqa: B023
-        every = F.posexplode(F.slice(joined, 1, F.greatest(F.size("w") - s + 1, F.lit(0))) if s > 1 else F.col("w"))
+        whole = F.slice(joined, 1, F.greatest(F.size("w") - s + 1, F.lit(0))) if s > 1 else F.col("w")
+        every = F.posexplode(F.concat(F.array(F.lit("")), whole) if mark else whole)
         placed = own.select("doc_id", "th", F.size("w").alias("n_words"), every.alias("at", "sh"))
+        if mark:
+            placed = placed.withColumn("at", F.col("at") - 1)
         found = placed.join(wanted, "sh").select("doc_id", "th", "n_words", "at", "sh")
         out = found if out is None else out.unionByName(found)
-    return out
+    return out, rows and small
 
 
-def verified(docs: DataFrame, items: DataFrame, settings: Settings) -> DataFrame:
-    """doc_id, th, start, size, item_ids of every window's occurrence in a document."""
+def verified(docs: DataFrame, items: DataFrame, settings: Settings, rows: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """doc_id, th, start, size, item_ids of every window's occurrence in a document; and doc_id, th, n_words of
+    every row, if ``rows`` are asked for and come with the occurrences."""
     own = common.materialize(windows(items, settings), "windows")
     unique = own.groupBy("wid", "window", "size", "s").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     offsets = F.explode(F.sequence(F.lit(0), F.col("size") - F.col("s"))).alias("offset")
     sizes = [r.s for r in own.select("s").distinct().orderBy("s").collect()]  # at most settings.shingle values
     if not sizes:
-        return docs.select("doc_id", F.lit(0).cast("long").alias("th"), F.lit(0).alias("start"), F.lit(0).alias("size"), F.array().cast("array<string>").alias("items")).limit(0)
+        return docs.select("doc_id", F.lit(0).cast("long").alias("th"), F.lit(0).alias("start"), F.lit(0).alias("size"), F.array().cast("array<string>").alias("items")).limit(0), None
     spread = unique.select("wid", "size", "s", "window", offsets)
     text = F.array_join(F.slice("window", F.col("offset") + 1, F.col("s")), " ")
     spread = common.materialize(spread.select("wid", "size", "s", "offset", text.alias("sh")), "window-shingles")
     shingles = spread.select("s", "sh").distinct()
 
-    found = common.materialize(occurrences(docs, shingles, sizes, settings), "occurrences")
+    places, have_rows = occurrences(docs, shingles, sizes, settings, rows)
+    places = common.materialize(places, "occurrences")
+    found = places.filter("at >= 0")
     rarity = found.groupBy("sh").agg(F.count("*").alias("n"))
     # A shingle that no document has rules its window out: the inner join drops all its windows.
     ranked = spread.join(rarity, "sh", "left").groupBy("wid", "size").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "sh", "offset")).alias("first")).filter("first.n > 0")
@@ -95,7 +106,8 @@ def verified(docs: DataFrame, items: DataFrame, settings: Settings) -> DataFrame
     there = found.select(F.col("doc_id").alias("d"), F.col("th").alias("h"), F.col("at").alias("a"), F.col("sh").alias("x")).distinct()
     matched = needed.join(there, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")) & (F.col("at") == F.col("a")) & (F.col("sh") == F.col("x")))
     whole = matched.groupBy("doc_id", "th", "start", "wid", "size", "s").agg(F.count("*").alias("n")).filter(F.col("n") == F.col("size") - F.col("s") + 1)
-    return whole.join(unique.select("wid", "items"), "wid").select("doc_id", "th", "start", "size", "items")
+    hits = whole.join(unique.select("wid", "items"), "wid").select("doc_id", "th", "start", "size", "items")
+    return hits, places.filter("at < 0").select("doc_id", "th", "n_words") if have_rows else None
 
 
 def covered(spans: Column) -> Column:
@@ -110,7 +122,7 @@ def covered(spans: Column) -> Column:
 
 def contaminated(docs: DataFrame, items: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id and th (the text's xxhash64), once each, of the rows that :func:`inspect` calls contaminated."""
-    return verified(docs.select("doc_id", "text"), items, settings).select("doc_id", "th").distinct()
+    return verified(docs.select("doc_id", "text"), items, settings)[0].select("doc_id", "th").distinct()
 
 
 def inspect(docs: DataFrame, items: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -119,9 +131,12 @@ def inspect(docs: DataFrame, items: DataFrame, settings: Settings = Settings())
     ``items`` has item_id and text. items_sha256 is the hash of the sorted, comma-joined item_ids.
     """
     docs = docs.select("doc_id", "text")
-    hits = verified(docs, items, settings).groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("start", "size"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    spans, rows = verified(docs, items, settings, rows=True)
+    hits = spans.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("start", "size"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     hits = hits.select(F.col("doc_id").alias("d"), F.col("th").alias("h"), covered(F.col("spans")).alias("hit"), "items")
-    base = docs.select("doc_id", F.xxhash64("text").alias("th"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    if rows is None:
+        rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.size(words(F.col("text"))).alias("n_words"))
+    base = rows.withColumn("n_words", F.col("n_words").cast("long"))
     every = base.join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")), "left")
     none = F.array().cast("array<string>")
     items_of = F.coalesce("items", none)
