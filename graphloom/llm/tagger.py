@@ -35,8 +35,9 @@ class Tagger:
         both = np.stack([ids, ids[::-1]])
         h, c = np.zeros((2, rows, n), F), np.zeros((2, rows, n), F)
         hs, kept = np.empty((steps, 2, rows, n), F), []
+        drive = np.stack([p["x"][0][both[0]], p["x"][1][both[1]]], 1)
         for t in range(steps):
-            g = np.stack([p["x"][0][both[0, t]], p["x"][1][both[1, t]]]) + h @ p["u"]
+            g = drive[t] + h @ p["u"]
             s, z = sigmoid(g[..., : 3 * n]), np.tanh(g[..., 3 * n :])
             i, f, o = s[..., :n], s[..., n : 2 * n], s[..., 2 * n :]
             before, last = c, h
@@ -58,11 +59,12 @@ class Tagger:
         g["a"] = d_a
         g["b"] = d_scores.sum((0, 1))
         back = [d_scores, d_scores[::-1]]
-        for d in (0, 1):
-            g["v"][d] = np.einsum("tbh,tbk->hk", hs[:, d], back[d])
+        for d in (0, 1):  # step by step: one flat product would start BLAS threads for nothing
+            g["v"][d] = (hs[:, d].transpose(0, 2, 1) @ back[d]).sum(0)
         d_out = np.stack([b @ p["v"][d].T for d, b in enumerate(back)], 1)
         dh, dc = np.zeros((2, rows, n), F), np.zeros((2, rows, n), F)
         ut = p["u"].transpose(0, 2, 1)
+        dgs, lasts = np.empty((steps, 2, rows, 4 * n), F), np.empty((steps, 2, rows, n), F)
         for t in range(steps - 1, -1, -1):
             i, f, o, z, before, q, last = kept[t]
             dh = dh + d_out[t]
@@ -70,9 +72,14 @@ class Tagger:
             dg = np.concatenate([dc * z * i * (1 - i), dc * before * f * (1 - f), dh * q * o * (1 - o), dc * i * (1 - z * z)], -1)
             dc = dc * f
             dh = dg @ ut
-            g["u"] += last.transpose(0, 2, 1) @ dg
-            for d in (0, 1):
-                np.add.at(g["x"][d], both[d, t], dg[d])
+            dgs[t], lasts[t] = dg, last
+        for d in (0, 1):
+            g["u"][d] = (lasts[:, d].transpose(0, 2, 1) @ dgs[:, d]).sum(0)
+            flat = dgs[:, d].reshape(-1, 4 * n)
+            codes = both[d].reshape(-1)
+            by = np.argsort(codes, kind="stable")
+            seen, first = np.unique(codes[by], return_index=True)
+            g["x"][d][seen] = np.add.reduceat(flat[by], first)
         return loss, g
 
     def train(self, ids: np.ndarray, gold: np.ndarray, steps: int, rows: int = 48, rate: float = 0.02, seed: int = 1) -> list[float]:
@@ -92,24 +99,26 @@ class Tagger:
         return losses
 
 
-def lse(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis, keepdims=True)
-    return np.log(np.exp(x - top).sum(axis)) + top.squeeze(axis)
-
-
 def crf_gradients(scores: np.ndarray, a: np.ndarray, gold: np.ndarray):
-    """Mean loss of rows, and its gradients by scores and by transitions."""
+    """Mean loss of rows, and its gradients by scores and by transitions.
+
+    Forward and backward sums are scaled at each step, so they stay numbers of ordinary size.
+    """
     steps, rows, tags = scores.shape
-    alpha, beta = np.empty_like(scores), np.zeros_like(scores)
-    alpha[0] = scores[0]
-    for t in range(1, steps):
-        alpha[t] = scores[t] + lse(alpha[t - 1][:, :, None] + a, 1)
+    tops = scores.max(2, keepdims=True)
+    odds, moves = np.exp(scores - tops), np.exp(a - a.max())
+    alpha, beta, scale = np.empty_like(scores), np.ones_like(scores), np.empty((steps, rows, 1), scores.dtype)
+    for t in range(steps):
+        alpha[t] = odds[0] if t == 0 else (alpha[t - 1] @ moves) * odds[t]
+        scale[t] = alpha[t].sum(1, keepdims=True)
+        alpha[t] /= scale[t]
+    ahead = odds / scale
     for t in range(steps - 2, -1, -1):
-        beta[t] = lse(a + (scores[t + 1] + beta[t + 1])[:, None, :], 2)
-    total = lse(alpha[-1], 1)
-    d_scores = np.exp(alpha + beta - total[None, :, None])
-    pairs = np.exp(alpha[:-1, :, :, None] + a + (scores[1:] + beta[1:])[:, :, None, :] - total[None, :, None, None])
-    d_a = pairs.sum((0, 1))
+        ahead[t + 1] *= beta[t + 1]
+        beta[t] = ahead[t + 1] @ moves.T
+    total = (np.log(scale) + tops).sum((0, 2)) + (steps - 1) * a.max()
+    d_scores = alpha * beta
+    d_a = moves * np.einsum("tbi,tbj->ij", alpha[:-1], ahead[1:])
     t, b = np.indices(gold.shape)
     right = scores[t, b, gold].sum(0) + a[gold[:-1], gold[1:]].sum(0)
     d_scores[t, b, gold] -= 1
