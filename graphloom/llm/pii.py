@@ -46,7 +46,7 @@ class Settings:
     window: int = 96
     stride: int = 64
     hidden: int = 16
-    steps: int = 300
+    steps: int = 500
     #: Bounds on the training rows, and on the characters of each.
     sample_rows: int = 1500
     sample_chars: int = 20_000
