@@ -2,27 +2,43 @@
 
 from __future__ import annotations
 
-import re
+import ahocorasick
 
 from .markdown import Note, inside
 
 Term = tuple[int, str, str]  # index, name, path of its note
+WORD = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_")
 
 
 class Matcher:
-    """One alternation of all terms, longest in UTF-8 bytes first, ties in order of discovery."""
+    """All terms in one automaton: a text is read once, however many terms there are.
+
+    At one place the longest in UTF-8 bytes wins; of notes that define one term, the first found.
+    """
 
     def __init__(self, terms: list[Term]):
-        order = sorted((t for t in terms if t[1]), key=lambda t: (-len(t[1].encode()), t[0]))
-        self.first: dict[str, Term] = {}
-        for t in order:
-            self.first.setdefault(t[1], t)
-        forms = (rf"(?<![A-Za-z0-9_]){re.escape(n)}(?![A-Za-z0-9_])" if n.isascii() else re.escape(n) for n in self.first)
-        self.pattern = re.compile("|".join(forms)) if self.first else None
+        self.terms = terms
+        self.automaton = None
+
+    def build(self):
+        """The automaton is made where it is used: it is larger than its terms, which are sent."""
+        made, rank = ahocorasick.Automaton(), {}
+        for t in sorted(self.terms, key=lambda t: t[0]):
+            if t[1] and t[1] not in rank:
+                rank[t[1]] = t
+                made.add_word(t[1], (len(t[1].encode()), len(t[1]), t[1].isascii(), t))
+        if rank:
+            made.make_automaton()
+        self.automaton = made if rank else False
+
+    def __getstate__(self):
+        return {"terms": self.terms, "automaton": None}
 
     def find(self, text: str, note: Note, path: str) -> list[tuple[int, int, int]]:
         """Term index, start and end of each mention. A note's own term uses its text up unseen."""
-        if not self.pattern:
+        if self.automaton is None:
+            self.build()
+        if not self.automaton:
             return []
         ranges: list[tuple[int, int]] = []
         for a, b in sorted(note.code + note.brackets):
@@ -31,13 +47,19 @@ class Matcher:
             else:
                 ranges.append((a, b))
         starts = [a for a, _ in ranges]
+        best: dict[int, tuple[int, int, Term]] = {}
+        for last, (size, length, ascii_, term) in self.automaton.iter(text, note.body):
+            start = last + 1 - length
+            if ascii_ and (start and text[start - 1] in WORD or last + 1 < len(text) and text[last + 1] in WORD):
+                continue
+            if start not in best or size > best[start][0]:
+                best[start] = (size, length, term)
         out, at = [], note.body
-        while m := self.pattern.search(text, at):
-            if inside(m.start(), ranges, starts):
-                at = m.start() + 1
+        for start in sorted(best):
+            if start < at or inside(start, ranges, starts):
                 continue
-            index, _, own = self.first[m[0]]
+            _, length, (index, _, own) = best[start]
             if own != path:
-                out.append((index, m.start(), m.end()))
-            at = m.end()
+                out.append((index, start, start + length))
+            at = start + length
         return out

@@ -6,28 +6,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from graphloom.functions import columns as C, markdown, source_code
+from graphloom.functions.terms import Matcher
 from graphloom.operators.scratch import materialize
 
-LINK = pa.struct([("ordinal", pa.int32()), ("raw", pa.string()), *((n, pa.int32()) for n in ("start_line", "start_char", "end_line", "end_char", "start_utf16", "end_utf16"))])
-NOTE = "path string, headings array<string>, links array<struct<ordinal:int,raw:string,start_line:int,start_char:int,end_line:int,end_char:int,start_utf16:int,end_utf16:int>>"
-SYMBOL = "file string, ordinal int, sym_path array<string>, qualified string, kind string, start_line int, start_char int, end_line int, end_char int, name_line int, name_char int, name_end_line int, name_end_char int"
+#: Places are (line, character in code points, character in UTF-16 units), the end outside.
+PLACES = ("start_line", "start_char", "end_line", "end_char", "start_utf16", "end_utf16")
+LINK = pa.struct([("ordinal", pa.int32()), ("raw", pa.string()), *((n, pa.int32()) for n in PLACES)])
+MENTION = pa.struct([("term_index", pa.int32()), ("name", pa.string()), *((n, pa.int32()) for n in PLACES)])
+_AT = ",".join(f"{n}:int" for n in PLACES)
+NOTE = f"path string, headings array<string>, links array<struct<ordinal:int,raw:string,{_AT}>>, mentions array<struct<term_index:int,name:string,{_AT}>>"
+SYMBOL = "file string, ordinal int, sym_path array<string>, qualified string, kind string, disambiguator string, " + ", ".join(f"{n} int" for n in (*PLACES, "name_line", "name_char", "name_end_line", "name_end_char", "name_utf16", "name_end_utf16"))
 #: Order of extensions in which symbols are numbered.
 RANKS = {"rs": 0, "c": 1, "h": 2}
 
 
-def _notes(batches):
-    for batch in batches:
-        headings, links = [], []
-        for text in batch.column("content").to_pylist():
-            text = text or ""
-            note, lines = markdown.read(text), markdown.Lines(text)
-            headings.append(note.headings)
-            links.append([dict(zip(LINK.names, (k, raw, *lines.place(a), *lines.place(b), lines.utf16(a), lines.utf16(b)), strict=True)) for k, (raw, a, b) in enumerate(note.links)])
-        yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(headings, pa.list_(pa.string())), pa.array(links, pa.list_(LINK))], ["path", "headings", "links"])
+def _span(lines: markdown.Lines, a: int, b: int) -> tuple[int, ...]:
+    return (*lines.place(a), *lines.place(b), lines.utf16(a), lines.utf16(b))
+
+
+def _notes(matcher: Matcher | None):
+    def run(batches):
+        for batch in batches:
+            headings, links, said = [], [], []
+            for path, text in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                text = text or ""
+                note, lines = markdown.read(text), markdown.Lines(text)
+                headings.append(note.headings)
+                links.append([dict(zip(LINK.names, (k, raw, *_span(lines, a, b)), strict=True)) for k, (raw, a, b) in enumerate(note.links)])
+                spans = matcher.find(text, note, path) if matcher else []
+                said.append([dict(zip(MENTION.names, (k, matcher.terms[k][1], *_span(lines, a, b)), strict=True)) for k, a, b in spans])
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(headings, pa.list_(pa.string())), pa.array(links, pa.list_(LINK)), pa.array(said, pa.list_(MENTION))], ["path", "headings", "links", "mentions"])
+
+    return run
 
 
 def _symbols(batches):
-    kinds = [pa.string(), pa.int32(), pa.list_(pa.string()), pa.string(), pa.string(), *[pa.int32()] * 8]
+    kinds = [pa.string(), pa.int32(), pa.list_(pa.string()), pa.string(), pa.string(), pa.string(), *[pa.int32()] * 12]
     names = [x.split()[0] for x in SYMBOL.split(", ")]
     for batch in batches:
         rows = []
@@ -35,14 +49,14 @@ def _symbols(batches):
             text = text or ""
             lines = markdown.Lines(text)
             for k, (own, kind, a, b, c, d) in enumerate(source_code.symbols(path, text)):
-                rows.append((path, k, list(own), "::".join(own), kind, *lines.place(a), *lines.place(b), *lines.place(c), *lines.place(d)))
+                rows.append((path, k, list(own), "::".join(own), kind, None, *_span(lines, a, b), *_span(lines, c, d)))
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
 
-def notes(files: DataFrame) -> DataFrame:
-    """path, headings and links of every Markdown file of ``files`` (path, content)."""
+def notes(files: DataFrame, matcher: Matcher | None = None) -> DataFrame:
+    """path, headings, links and, given a matcher, mentions of every Markdown file of ``files`` (path, content)."""
     own = files.filter(C.extension(F.col("path")) == "md").select("path", "content")
-    return own.mapInArrow(_notes, NOTE)
+    return own.mapInArrow(_notes(matcher), NOTE)
 
 
 def docs(files: DataFrame) -> DataFrame:
@@ -62,7 +76,10 @@ def references(parsed: DataFrame) -> DataFrame:
 
 
 def symbols(files: DataFrame) -> DataFrame:
-    """Definitions of every Rust and C file of ``files`` (path, content), without ids."""
+    """Definitions of every Rust and C file of ``files`` (path, content), without ids.
+
+    ``disambiguator`` is part of a descriptor, and null: nothing fills it yet.
+    """
     own = files.filter(C.extension(F.col("path")).isin(*RANKS)).select("path", "content")
     return own.mapInArrow(_symbols, SYMBOL)
 
@@ -81,18 +98,18 @@ def numbered(found: DataFrame) -> DataFrame:
     """``symbol_id``: dense from 0, by extension, file and place in the file.
 
     A range sort numbers rows inside its partitions; partition sizes, one row each, give the rest. So
-    no single task holds all symbols, as it would with a global row_number.
+    no single task holds all symbols, as it would with a global row_number. Symbols are written first:
+    a range sort reads its input twice, which would parse every file twice.
     """
+    spark = found.sparkSession
     rank = F.coalesce(*[F.when(C.extension(F.col("file")) == e, r) for e, r in RANKS.items()], F.lit(len(RANKS)))
-    ranked = found.withColumn("rank", rank)
-    width = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranked = materialize(found, "symbols").withColumn("rank", rank)
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = ranked.repartitionByRange(width, "rank", "file").sortWithinPartitions("rank", "file", "ordinal").drop("rank")
-    placed = materialize(ordered.mapInArrow(_number, f"{SYMBOL}, part int, at long"), "symbols")
+    placed = materialize(ordered.mapInArrow(_number, f"{SYMBOL}, part int, at long"), "numbered")
     base, starts = 0, []
-    for r in sorted(placed.groupBy("part").count().collect()):
+    for r in sorted(placed.groupBy("part").count().collect()):  # a row for each partition
         starts.append((r["part"], base))
         base += r["count"]
-    if not starts:
-        return placed.select(F.col("at").alias("symbol_id"), *found.columns)
-    offsets = F.create_map(*[F.lit(x) for pair in starts for x in pair])
-    return placed.select((F.col("at") + offsets[F.col("part")]).cast("long").alias("symbol_id"), *found.columns)
+    offsets = spark.createDataFrame(starts, "part int, base long")
+    return placed.join(F.broadcast(offsets), "part").select((F.col("at") + F.col("base")).alias("symbol_id"), *found.columns)

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from graphloom.functions import columns as C, markdown
+from graphloom.functions import columns as C
 from graphloom.functions.terms import Matcher
+from graphloom.operators import documents
 
-MENTION = "path string, term_index int, name string, start_line int, start_char int, end_line int, end_char int"
-#: A glossary is written by people. One matcher holds it up to here; beyond, the work is refused.
-MOST_TERMS = 200_000
+#: A glossary is written by people. One automaton holds it up to here (about 1 GB); beyond, the work is refused.
+MOST_TERMS = 1_000_000
 
 
 def terms(files: DataFrame) -> DataFrame:
@@ -23,24 +22,19 @@ def duplicates(found: DataFrame) -> DataFrame:
     return found.groupBy("name").agg(F.count("*").alias("n_notes")).filter("n_notes > 1")
 
 
-def mentions(files: DataFrame, found: DataFrame) -> DataFrame:
-    """Every mention of a term in a note of ``files``, in the order of term names and paths."""
+def matcher(found: DataFrame) -> Matcher:
+    """For the terms of ``found``, in the order of their paths."""
     rows = found.select("name", "path").orderBy("path").limit(MOST_TERMS + 1).collect()
     if len(rows) > MOST_TERMS:
         raise ValueError(f"a glossary of more than {MOST_TERMS} terms")
-    matcher = Matcher([(k, r["name"], r["path"]) for k, r in enumerate(rows)])
-
-    def run(batches):
-        names = [x.split()[0] for x in MENTION.split(", ")]
-        kinds = [pa.string(), pa.int32(), pa.string(), *[pa.int32()] * 4]
-        for batch in batches:
-            out = []
-            for path, text in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                text = text or ""
-                spans = matcher.find(text, markdown.read(text), path)
-                lines = markdown.Lines(text)
-                out += [(path, k, rows[k]["name"], *lines.place(a), *lines.place(b)) for k, a, b in spans]
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], names)
-
-    own = files.filter(C.extension(F.col("path")) == "md").select("path", "content")
-    return own.mapInArrow(run, MENTION)
+    return Matcher([(k, r["name"], r["path"]) for k, r in enumerate(rows)])
+
+
+def said(parsed: DataFrame) -> DataFrame:
+    """One row for each mention in notes that were parsed with a matcher."""
+    return parsed.select("path", F.explode("mentions").alias("m")).select("path", "m.*")
+
+
+def mentions(files: DataFrame, found: DataFrame) -> DataFrame:
+    """Every mention of a term in a note of ``files``, in the order of term names and paths."""
+    return said(documents.notes(files, matcher(found)))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from graphloom.functions import columns as C
 from graphloom.operators import documents, glossary, resolve
@@ -14,18 +14,47 @@ NODE_KINDS = ("doc", "section", "symbol", "term")
 EDGE_KINDS = ("links", "references", "mentions", "contains")
 
 
-@dataclass
 class Workspace:
-    """Everything the index knows, as DataFrames."""
+    """Everything the index knows, as DataFrames, each computed when it is first asked for.
 
-    files: DataFrame
-    docs: DataFrame
-    sections: DataFrame
-    symbols: DataFrame
-    references: DataFrame
-    resolved: DataFrame
-    terms: DataFrame
-    mentions: DataFrame
+    Notes are parsed in one pass that finds headings, links and mentions, and sources in another; what
+    they give is written, as are resolved references, and all that follows reads it.
+    """
+
+    def __init__(self, files: DataFrame):
+        self.files = files
+
+    @cached_property
+    def docs(self) -> DataFrame:
+        return documents.docs(self.files)
+
+    @cached_property
+    def terms(self) -> DataFrame:
+        return glossary.terms(self.files)
+
+    @cached_property
+    def parsed(self) -> DataFrame:
+        return materialize(documents.notes(self.files, glossary.matcher(self.terms)), "notes")
+
+    @cached_property
+    def sections(self) -> DataFrame:
+        return documents.sections(self.parsed)
+
+    @cached_property
+    def references(self) -> DataFrame:
+        return documents.references(self.parsed)
+
+    @cached_property
+    def mentions(self) -> DataFrame:
+        return glossary.said(self.parsed)
+
+    @cached_property
+    def symbols(self) -> DataFrame:
+        return documents.numbered(documents.symbols(self.files))
+
+    @cached_property
+    def resolved(self) -> DataFrame:
+        return materialize(resolve.resolve(self.references, self.docs, self.sections, self.symbols), "resolved")
 
     @property
     def nodes(self) -> DataFrame:
@@ -53,25 +82,53 @@ class Workspace:
 
 
 def index(files: DataFrame) -> Workspace:
-    """The workspace of ``files`` (path, content).
+    """The workspace of ``files`` (path, content)."""
+    return Workspace(files)
+
+
+def node_id(column: Column) -> Column:
+    """A node's id taken apart: kind, path (of a doc or section), heading, symbol_id, name (of a term); null if it is none.
 
-    Notes are parsed once: headings and links are written, and all that follows reads them.
+    Headings may hold #, so a section's path ends at the first one after .md, or the first at all.
     """
-    parsed = materialize(documents.notes(files), "notes")
-    docs, sections, refs = documents.docs(files), documents.sections(parsed), documents.references(parsed)
-    symbols = documents.numbered(documents.symbols(files))
-    terms = glossary.terms(files)
-    return Workspace(files, docs, sections, symbols, refs, resolve.resolve(refs, docs, sections, symbols), terms, glossary.mentions(files, terms))
+    kind, rest = F.substring_index(column, ":", 1), F.regexp_extract(column, "(?s)^[a-z]+:(.*)$", 1)
+    section = F.regexp_extract(rest, r"(?s)^(.*?\.md|[^#]*)#(.*)$", 1)
+    heading = F.regexp_extract(rest, r"(?s)^(.*?\.md|[^#]*)#(.*)$", 2)
+    none = F.lit(None)
+    parts = F.struct(
+        kind.alias("kind"),
+        F.when(kind == "doc", rest).when(kind == "section", section).otherwise(none).alias("path"),
+        F.when(kind == "section", heading).otherwise(none).alias("heading"),
+        F.when(kind == "symbol", rest.try_cast("long")).otherwise(none).alias("symbol_id"),
+        F.when(kind == "term", rest).otherwise(none).alias("name"),
+    )
+    return F.when(column.contains(":") & kind.isin(*NODE_KINDS), parts)
 
 
 def without_sections(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes.filter("kind <> 'section'"), edges.filter("kind <> 'contains'")
 
 
+def write_json(nodes: DataFrame, edges: DataFrame, path: str, include_sections: bool = False) -> str:
+    """The graph as JSON lines below ``path``, one node or edge each: for graphs of any size."""
+    if not include_sections:
+        nodes, edges = without_sections(nodes, edges)
+    nodes.write.mode("overwrite").json(f"{path}/nodes")
+    edges.write.mode("overwrite").json(f"{path}/edges")
+    return path
+
+
+#: Rows of a graph that to_json takes (about 200 MB of JSON in one row).
+MOST_JSON = 2_000_000
+
+
 def to_json(nodes: DataFrame, edges: DataFrame, include_sections: bool = False) -> DataFrame:
-    """The graph as one JSON document, for viewers; write ``nodes`` and ``edges`` as tables to keep it."""
+    """The graph as one JSON document, for viewers, of ``MOST_JSON`` nodes and edges at most; see :func:`write_json`."""
     if not include_sections:
         nodes, edges = without_sections(nodes, edges)
+    nodes, edges = materialize(nodes, "json-nodes"), materialize(edges, "json-edges")
+    if nodes.count() + edges.count() > MOST_JSON:
+        raise ValueError(f"a graph of more than {MOST_JSON} nodes and edges: use write_json")
     own = nodes.agg(F.array_sort(F.collect_list(F.struct("id", "kind", "label"))).alias("nodes"))
     links = edges.agg(F.array_sort(F.collect_list(F.struct("kind", "from", "to"))).alias("edges"))
     return own.crossJoin(links).select(F.to_json(F.struct("nodes", "edges")).alias("json"))

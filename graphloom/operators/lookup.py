@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from graphloom.functions import columns as C
 from graphloom.operators import glossary, resolve
@@ -30,6 +30,14 @@ def diagnostics(w: Workspace) -> DataFrame:
     return w.resolved.withColumn("message", message).filter("message is not null").select(F.col("from_path").alias("path"), "ordinal", *RANGE, "status", F.lit("warning").alias("severity"), "message")
 
 
+def all_diagnostics(w: Workspace, paths: DataFrame | None = None) -> DataFrame:
+    """Warnings of links and of glossary notes, of all notes or of those in ``paths`` (path)."""
+    links = diagnostics(w).select("path", *RANGE, "severity", "message")
+    terms = glossary_diagnostics(w).select("path", *RANGE, "severity", "message")
+    every = links.unionByName(terms)
+    return every if paths is None else every.join(paths.select("path").distinct(), "path", "left_semi")
+
+
 def glossary_diagnostics(w: Workspace) -> DataFrame:
     """A warning on the first line of every note whose term another note defines too."""
     twice = glossary.duplicates(w.terms).select(F.col("name").alias("twice"))
@@ -45,12 +53,12 @@ def reference_counts(w: Workspace) -> DataFrame:
 def code_lens(w: Workspace, file: str | None = None) -> DataFrame:
     """Symbols with references, and how many; those without are left out."""
     symbols = w.symbols if file is None else w.symbols.filter(F.col("file") == file)
-    return symbols.join(reference_counts(w), "symbol_id").select("file", "qualified", F.col("name_line").alias("line"), F.col("name_char").alias("character"), "n_refs")
+    return symbols.join(reference_counts(w), "symbol_id").select("file", "qualified", F.col("name_line").alias("line"), F.col("name_utf16").alias("character"), "n_refs")
 
 
 def symbol_info(w: Workspace, symbol_id: int | None = None) -> DataFrame:
     symbols = w.symbols if symbol_id is None else w.symbols.filter(F.col("symbol_id") == symbol_id)
-    return symbols.select("symbol_id", "file", F.col("name_line").alias("line"), F.col("name_char").alias("character"))
+    return symbols.select("symbol_id", "file", F.col("name_line").alias("line"), F.col("name_utf16").alias("character"))
 
 
 def doc_hover(w: Workspace) -> DataFrame:
@@ -65,45 +73,79 @@ def code_hover(w: Workspace) -> DataFrame:
     return w.symbols.select("symbol_id", F.format_string("**%s** `%s`\n\n`%s`", C.kind_word(F.col("kind")), "qualified", "file").alias("hover"))
 
 
-def document_links(w: Workspace) -> DataFrame:
-    """Every link of a note with the file it leads to (null if none), and every mention with its term's note."""
+def document_links(w: Workspace, root: str | None = None) -> DataFrame:
+    """Every link of a note with the file it leads to (null if none), and every mention with its term's note.
+
+    Ranges are in UTF-16 units. With ``root``, a folder's URI, ``target_uri`` is the target's.
+    """
     symbols = w.symbols.select(F.col("symbol_id").alias("sid"), F.col("file").alias("sym_file"))
-    real = w.resolved.join(symbols, F.col("symbol_id") == F.col("sid"), "left").select(F.col("from_path").alias("path"), "start_line", "start_char", "end_line", "end_char", F.coalesce("doc_path", "sym_file").alias("target"), F.lit(None).cast("string").alias("tooltip"))
+    real = w.resolved.join(symbols, F.col("symbol_id") == F.col("sid"), "left").select(F.col("from_path").alias("path"), *RANGE, F.coalesce("doc_path", "sym_file").alias("target"), F.lit(None).cast("string").alias("tooltip"))
     first = w.terms.groupBy("name").agg(F.min("path").alias("target"))
-    terms = w.mentions.join(first, "name").select("path", "start_line", "start_char", "end_line", "end_char", "target", F.col("name").alias("tooltip"))
-    return real.unionByName(terms)
+    terms = w.mentions.join(first, "name").select("path", *RANGE, "target", F.col("name").alias("tooltip"))
+    every = real.unionByName(terms)
+    return every if root is None else every.withColumn("target_uri", C.path_to_uri(F.col("target"), root))
 
 
-def holds(line: int | Column, character: int | Column, unit: str = "utf16") -> Column:
-    """Whether a range holds a place: only its first line counts, its end is outside."""
-    return (F.col("start_line") == line) & (F.col(f"start_{unit}") <= character) & (F.lit(character) < F.col(f"end_{unit}"))
+def holds(line: int | Column, character: int | Column) -> Column:
+    """Whether a range holds a place in UTF-16 units: only its first line counts, its end is outside."""
+    character = F.lit(character) if isinstance(character, int) else character
+    return (F.col("start_line") == line) & (F.col("start_utf16") <= character) & (character < F.col("end_utf16"))
 
 
-def link_at(w: Workspace, path: str, line: int, character: int) -> DataFrame:
-    """The first link at a place of a note, resolved; no row if there is none."""
-    hit = w.resolved.filter((F.col("from_path") == path) & holds(line, character))
-    return hit.orderBy("ordinal").limit(1)
+#: A place in a note: path, line, and character in UTF-16 units.
+PLACE = ("path", "line", "character")
 
 
-def goto_definition(w: Workspace, path: str, line: int, character: int) -> DataFrame:
-    """file, line and character that the link at a place leads to."""
-    hit = link_at(w, path, line, character)
-    named = w.symbols.select(F.col("symbol_id").alias("sid"), F.col("file").alias("sym_file"), "name_line", "name_char")
-    every = hit.join(named, F.col("symbol_id") == F.col("sid"), "left")
-    return every.select(F.coalesce("doc_path", "sym_file").alias("file"), F.coalesce("name_line", F.lit(0)).alias("line"), F.coalesce("name_char", F.lit(0)).alias("character")).filter("file is not null")
+def places(spark: SparkSession, *at: tuple[str, int, int]) -> DataFrame:
+    return spark.createDataFrame(list(at), "path string, line int, character int")
 
 
-def hover(w: Workspace, path: str, line: int, character: int) -> DataFrame:
-    """The hover at a place: of the link there or, if there is none, of the term."""
-    hit = link_at(w, path, line, character)
+def links_at(w: Workspace, at: DataFrame) -> DataFrame:
+    """For each place of ``at`` (columns PLACE) the first link there, resolved; none for other places."""
+    asked = at.select(*(F.col(c).alias(f"at_{c}") for c in PLACE)).distinct()
+    hits = w.resolved.join(asked, (F.col("from_path") == F.col("at_path")) & (F.col("start_line") == F.col("at_line")), "inner").filter(holds(F.col("at_line"), F.col("at_character")))
+    row = F.struct(*w.resolved.columns)
+    first = hits.groupBy("at_path", "at_line", "at_character").agg(F.min_by(row, "ordinal").alias("row"))
+    return first.select("at_path", "at_line", "at_character", "row.*")
+
+
+def definitions_at(w: Workspace, at: DataFrame, root: str | None = None) -> DataFrame:
+    """PLACE and the file and range that the link there leads to; a note's range is its first place."""
+    named = w.symbols.select(F.col("symbol_id").alias("sid"), F.col("file").alias("sym_file"), *(F.col(c) for c in ("name_line", "name_utf16", "name_end_line", "name_end_utf16")))
+    every = links_at(w, at).join(named, F.col("symbol_id") == F.col("sid"), "left")
+    zero = F.lit(0)
+    found = every.select(
+        *(F.col(f"at_{c}").alias(c) for c in PLACE), F.coalesce("doc_path", "sym_file").alias("file"),
+        *(F.coalesce(a, zero).alias(b) for a, b in zip(("name_line", "name_utf16", "name_end_line", "name_end_utf16"), ("to_line", "to_utf16", "to_end_line", "to_end_utf16"), strict=True)),
+    ).filter("file is not null")
+    return found if root is None else found.withColumn("uri", C.path_to_uri(F.col("file"), root))
+
+
+def hovers_at(w: Workspace, at: DataFrame) -> DataFrame:
+    """PLACE, hover, and the range it is of: the link there or, if there is none, the first term there."""
+    hits = links_at(w, at)
     docs = doc_hover(w).select(F.col("path").alias("p"), F.col("hover").alias("doc_text"))
     code = code_hover(w).select(F.col("symbol_id").alias("sid"), F.col("hover").alias("code_text"))
     text = F.when(F.col("status") == "DocHeadingDangling", F.concat(F.lit(STALE_HEADING + "\n\n"), "doc_text")).otherwise(F.coalesce("doc_text", "code_text"))
-    of_link = hit.join(docs, F.col("doc_path") == F.col("p"), "left").join(code, F.col("symbol_id") == F.col("sid"), "left").select(text.alias("hover"), F.lit(0).alias("rank"))
-    said = w.mentions.filter((F.col("path") == path) & holds(line, character, "char")).select("name").limit(1)
+    mine = [F.col(f"at_{c}").alias(c) for c in PLACE]
+    of_link = hits.join(docs, F.col("doc_path") == F.col("p"), "left").join(code, F.col("symbol_id") == F.col("sid"), "left").select(*mine, text.alias("hover"), *RANGE)
+    asked = at.select(*(F.col(c).alias(f"at_{c}") for c in PLACE)).distinct()
+    free = asked.join(hits.select(*(f"at_{c}" for c in PLACE)), [f"at_{c}" for c in PLACE], "left_anti")
+    said = w.mentions.join(free, (F.col("path") == F.col("at_path")) & (F.col("start_line") == F.col("at_line"))).filter(holds(F.col("at_line"), F.col("at_character")))
+    first = said.groupBy("at_path", "at_line", "at_character").agg(F.min_by(F.struct("name", *RANGE), F.struct("start_utf16", "term_index")).alias("m")).select(*mine, "m.*")
     terms = w.terms.groupBy("name").agg(F.min_by("definition", "path").alias("definition"))
-    of_term = said.join(terms, "name").select(F.format_string("**%s**\n\n%s", "name", "definition").alias("hover"), F.lit(1).alias("rank"))
-    return of_link.unionByName(of_term).orderBy("rank").limit(1).filter("hover is not null").select("hover")
+    of_term = first.join(terms, "name").select(*PLACE, F.format_string("**%s**\n\n%s", "name", "definition").alias("hover"), *RANGE)
+    return of_link.filter("hover is not null").unionByName(of_term)
+
+
+def goto_definition(w: Workspace, path: str, line: int, character: int) -> DataFrame:
+    """file, line and character that the link at one place leads to."""
+    return definitions_at(w, places(w.files.sparkSession, (path, line, character))).select("file", F.col("to_line").alias("line"), F.col("to_utf16").alias("character"))
+
+
+def hover(w: Workspace, path: str, line: int, character: int) -> DataFrame:
+    """The hover at one place."""
+    return hovers_at(w, places(w.files.sparkSession, (path, line, character))).select("hover")
 
 
 def completion_items(w: Workspace) -> DataFrame:
@@ -116,6 +158,22 @@ def completion_items(w: Workspace) -> DataFrame:
     return docs.unionByName(stems).unionByName(symbols)
 
 
+def line_of(content: Column, line: Column) -> Column:
+    """A line of a text by its number, without its end; empty past the last one."""
+    return F.regexp_replace(F.coalesce(F.get(F.split(content, "\n"), line), F.lit("")), "\r$", "")
+
+
+def completions_at(files: DataFrame, at: DataFrame) -> DataFrame:
+    """PLACE and ``replace_from``, the UTF-16 column where the text to be replaced begins, for places after an open ``[[``.
+
+    Every item of :func:`completion_items` is offered there, and none elsewhere.
+    """
+    asked = at.select(*PLACE).distinct()
+    line = line_of(F.col("content"), F.col("line"))
+    before = F.substring(line, F.lit(1), C.utf16_to_offset(line, F.col("character")))
+    return files.select("path", "content").join(asked, "path").select(*PLACE, completion_range(before).alias("replace_from")).filter("replace_from is not null")
+
+
 def completion_range(before_cursor: Column) -> Column:
     """The UTF-16 column after the last open ``[[`` of the text before the cursor; null if none is open."""
     tail = F.substring_index(before_cursor, "[[", -1)

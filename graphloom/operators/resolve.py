@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def stem_index(docs: DataFrame) -> DataFrame:
@@ -15,13 +15,19 @@ def symbol_index(symbols: DataFrame) -> DataFrame:
     return symbols.groupBy("file", "sym_path").agg(F.array_sort(F.collect_list("symbol_id")).alias("candidates"))
 
 
+def filled(name: str) -> Column:
+    """A key that is null for many references: fillers match nothing (no key holds a line break) and spread the rows."""
+    spread = F.pmod(F.xxhash64("from_path", "ordinal"), F.lit(4096)).cast("string")
+    return F.coalesce(F.col(name), F.concat(F.lit("\n"), spread))
+
+
 def doc_targets(refs: DataFrame, docs: DataFrame) -> DataFrame:
     """``refs`` with doc_path and n_docs: how many notes the target names. Headings play no part."""
     by_path = docs.select(F.col("path").alias("t"), F.col("path").alias("p"), F.lit(1).cast("long").alias("n"), F.lit("path").alias("k"))
     by_name = stem_index(docs).select(F.col("stem").alias("t"), F.col("path").alias("p"), F.col("n_docs").alias("n"), F.lit("name").alias("k"))
     # Paths and stems in one lookup table of unique keys, so that one join serves both kinds.
     index = by_path.unionByName(by_name)
-    return refs.join(index, (F.col("target") == F.col("t")) & (F.col("target_kind") == F.col("k")), "left").withColumnsRenamed({"p": "doc_path", "n": "n_docs"}).drop("t", "k")
+    return refs.join(index, (filled("target") == F.col("t")) & (F.col("target_kind") == F.col("k")), "left").withColumnsRenamed({"p": "doc_path", "n": "n_docs"}).drop("t", "k")
 
 
 def resolve(refs: DataFrame, docs: DataFrame, sections: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -29,8 +35,8 @@ def resolve(refs: DataFrame, docs: DataFrame, sections: DataFrame, symbols: Data
     heads = sections.select(F.col("path").alias("sp"), F.col("heading").alias("sh")).distinct()
     ids = symbol_index(symbols).select(F.col("file").alias("sf"), F.col("sym_path").alias("ss"), "candidates")
     placed = doc_targets(refs, docs)
-    headed = placed.join(heads, (F.col("doc_path") == F.col("sp")) & (F.col("heading") == F.col("sh")), "left")
-    every = headed.join(ids, (F.col("file") == F.col("sf")) & (F.col("sym_path") == F.col("ss")), "left")
+    headed = placed.join(heads, (F.col("doc_path") == F.col("sp")) & (filled("heading") == F.col("sh")), "left")
+    every = headed.join(ids, (filled("file") == F.col("sf")) & (F.col("sym_path") == F.col("ss")), "left")
     found = F.coalesce(F.size("candidates"), F.lit(0))
     code = F.when(found == 1, "CodeResolved").when(found > 1, "CodeAmbiguous").otherwise("CodeDangling")
     stale = F.col("heading").isNotNull() & F.col("sp").isNull()

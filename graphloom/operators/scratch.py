@@ -1,4 +1,7 @@
-"""Tables written to the shared checkpoint folder, where a plan must not be computed twice."""
+"""Tables written to the shared checkpoint folder, where a plan must not be computed twice.
+
+They stay until the folder is cleared: results that a caller still holds may read them.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +15,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root}/{name}-{uuid.uuid4().hex}"

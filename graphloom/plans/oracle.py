@@ -6,7 +6,7 @@ expressions; nothing of what Spark computed is read.
 
 from __future__ import annotations
 
-from graphloom.operators.lookup import DUPLICATE_TERM, MESSAGES
+from graphloom.operators.lookup import DUPLICATE_TERM, MESSAGES, STALE_HEADING
 from graphloom.plans import derived
 from graphloom.plans.derived import NL, PARTS, s
 
@@ -14,6 +14,24 @@ _quote = lambda x: "'" + x.replace("'", "''") + "'"
 _text = lambda x: (" || " + NL + " || ").join(_quote(p) for p in x.split("\n"))
 _GLOSSARY = " UNION ALL ".join(f"SELECT {_quote(p)} AS path, {_text(t)} AS content" for p, t in derived.GLOSSARY)
 
+
+
+def _symbols(table: str, path: str, key: str | None, rows: list[tuple], first: int = 0, where: str = "") -> str:
+    """Selects of the symbols that each source of a table holds."""
+    length = f"length({s(key)})" if key else "0"
+    column = lambda c: f"{c[0]} + {c[1]} * {length}" if isinstance(c, tuple) else str(c)
+    out = []
+    for k, (name, kind, line, col, last, end, name_line, name_col) in enumerate(rows, first):
+        qualified = "'" + name.replace("@", f"' || {s(key)} || '") + "'" if key else f"'{name}'"
+        places = [line, column(col), last, column(end), name_line, column(name_col), name_line, f"{column(name_col)} + length(regexp_extract({qualified}, '[^:]*$'))"]
+        names = ("start_line", "start_char", "end_line", "end_char", "name_line", "name_char", "name_end_line", "name_end_char")
+        out.append(f"SELECT {path} AS file, {k} AS ordinal, {qualified} AS qualified, '{kind}' AS kind, " + ", ".join(f"cast({x} as int) AS {n}" for x, n in zip(places, names, strict=True)) + f" FROM {table} {where}")
+    return " UNION ALL ".join(out)
+
+
+_RUST = _symbols("part", derived.RUST_PATH, None, derived.RUST_SYMBOLS) + " UNION ALL " + _symbols("part", derived.RUST_PATH, None, [derived.RUST_AGAIN], len(derived.RUST_SYMBOLS), "WHERE p_partkey % 10 = 0")
+_C = _symbols("supplier", derived.C_PATH, "s_suppkey", derived.C_SYMBOLS)
+
 BASE = f"""
 glossary AS ({_GLOSSARY}),
 md AS ({PARTS['notes']} UNION ALL {PARTS['short_notes']} UNION ALL SELECT path, content FROM glossary),
@@ -41,21 +59,10 @@ sections AS (
   SELECT path, unnest(h) AS heading, unnest(range(len(h))) AS ordinal
   FROM (SELECT path, regexp_extract_all(b, '(?:^|\\n)#{{1,6}} ([^\\n]+)', 1) AS h FROM clean) WHERE len(h) > 0
 ),
-rust_symbols AS (
-  SELECT {derived.RUST_PATH} AS file, 'T' AS qualified, 'struct' AS kind, 0 AS ordinal, 0 AS line, 7 AS col FROM part WHERE p_partkey < {derived.MOST_PART}
-  UNION ALL SELECT {derived.RUST_PATH}, 'T::f' || k, 'method', k + 1, k + 2, 7 FROM part, range(4) AS n(k) WHERE p_partkey < {derived.MOST_PART}
-  UNION ALL SELECT {derived.RUST_PATH}, 'T::f0', 'method', 5, 8, 7 FROM part WHERE p_partkey < {derived.MOST_PART} AND p_partkey % 10 = 0
-),
-c_symbols AS (
-  SELECT {derived.C_PATH} AS file, v.q AS qualified, v.kind, v.ordinal, v.line, v.col FROM supplier, LATERAL (
-    SELECT 'M' || {s('s_suppkey')} AS q, 'macro' AS kind, 0 AS ordinal, 0 AS line, 8 AS col
-    UNION ALL SELECT 'S' || {s('s_suppkey')}, 'struct', 1, 1, 7
-    UNION ALL SELECT 'S' || {s('s_suppkey')} || '::a', 'field', 2, 2, 8
-    UNION ALL SELECT 'g' || {s('s_suppkey')}, 'static', 3, 4, 11
-    UNION ALL SELECT 'fn' || {s('s_suppkey')}, 'function', 4, 5, 4) AS v WHERE s_suppkey < {derived.MOST_SUPPLIER}
-),
+rust_symbols AS ({_RUST}),
+c_symbols AS ({_C}),
 symbols AS (
-  SELECT row_number() OVER (ORDER BY rank, file, ordinal) - 1 AS symbol_id, * FROM
+  SELECT row_number() OVER (ORDER BY rank, file, ordinal) - 1 AS symbol_id, *, name_line AS line, name_char AS col FROM
   (SELECT 0 AS rank, * FROM rust_symbols UNION ALL SELECT 1 AS rank, * FROM c_symbols)
 ),
 symbol_index AS (SELECT file, qualified, count(*) AS n, min(symbol_id) AS one FROM symbols GROUP BY file, qualified),
@@ -96,7 +103,14 @@ edges AS (
 
 _DOC_MESSAGE = " ".join(f"WHEN status = '{k}' THEN " + (f"'{v.split('%d')[0]}' || n_symbols || '{v.split('%d')[1]}'" if "%d" in v else f"'{v}'") for k, v in MESSAGES.items())
 _TWICE = DUPLICATE_TERM.split("%s")
-_CLASS = "CASE WHEN kind IN ('function', 'method') THEN 'FUNCTION' WHEN kind IN ('struct', 'enum', 'trait', 'type') THEN 'CLASS' WHEN kind IN ('const', 'static') THEN 'CONSTANT' WHEN kind = 'field' THEN 'FIELD' WHEN kind = 'macro' THEN 'KEYWORD' ELSE 'VARIABLE' END"
+_CLASS = "CASE WHEN kind IN ('function', 'method') THEN 'FUNCTION' WHEN kind IN ('struct', 'enum', 'trait', 'type') THEN 'CLASS' WHEN kind IN ('const', 'static') THEN 'CONSTANT' WHEN kind = 'field' THEN 'FIELD' WHEN kind = 'macro' THEN 'KEYWORD' WHEN kind = 'variant' THEN 'ENUM_MEMBER' WHEN kind = 'module' THEN 'MODULE' ELSE 'VARIABLE' END"
+_WORD = "CASE WHEN kind IN ('function', 'method') THEN 'fn' WHEN kind = 'macro' THEN 'macro!' WHEN kind = 'variable' THEN 'var' WHEN kind = 'module' THEN 'mod' ELSE kind END"
+_DOC_HOVER = f"SELECT d.path, CASE WHEN x.h IS NULL THEN '**' || d.path || '**' ELSE '**' || d.path || '**' || {NL} || {NL} || x.h END AS hover FROM docs d LEFT JOIN (SELECT path, string_agg('- ' || heading, {NL} ORDER BY ordinal) AS h FROM (SELECT path, heading, min(ordinal) AS ordinal FROM sections GROUP BY path, heading) GROUP BY path) x ON x.path = d.path"
+_CODE_HOVER = f"SELECT symbol_id, '**' || {_WORD} || '** `' || qualified || '`' || {NL} || {NL} || '`' || file || '`' AS hover FROM symbols"
+#: Links with their places, as the notes are made, and the links that are asked for, by number.
+_PLACED = f"SELECT r.*, p.line, p.start_char, p.end_char, p.start_utf16, p.end_utf16 FROM resolved r JOIN ({derived.LINK_PLACES}) p ON p.path = r.from_path AND p.ordinal = r.ordinal"
+_ASKED = f"SELECT x.*, x.start_utf16 + 3 AS at_character FROM ({_PLACED}) x"
+_FULL = "file, ordinal, replace(qualified, '::', '/') AS sym_path, qualified, kind, NULL::VARCHAR AS disambiguator, start_line, start_char, end_line, end_char, start_char AS start_utf16, end_char AS end_utf16, name_line, name_char, name_end_line, name_end_char, name_char AS name_utf16, name_end_char AS name_end_utf16"
 
 BODIES = {
     "scan_files_by_ext": "SELECT regexp_extract(path, '[^/]\\.([^./]+)$', 1) AS ext, count(*) AS n_files, sum(length(content))::BIGINT AS n_chars FROM files GROUP BY ext",
@@ -122,11 +136,27 @@ BODIES = {
     "glossary_diagnostics": f"SELECT t.path, t.name, length(split_part(g.content, {NL}, 1))::INT AS end_utf16, '{_TWICE[0]}' || t.name || '{_TWICE[1]}' AS message FROM terms t JOIN glossary g USING (path) WHERE t.name IN (SELECT name FROM terms GROUP BY name HAVING count(*) > 1)",
     "code_lens_counts": "SELECT s.file, s.qualified, s.line::INT AS line, s.col::INT AS \"character\", count(*) AS n_refs FROM resolved r JOIN symbols s ON r.symbol_id = s.symbol_id WHERE r.status = 'CodeResolved' GROUP BY s.symbol_id, s.file, s.qualified, s.line, s.col",
     "symbol_info": "SELECT symbol_id, file, line::INT AS line, col::INT AS \"character\" FROM symbols",
-    "doc_hover_headings": f"SELECT d.path, CASE WHEN x.h IS NULL THEN '**' || d.path || '**' ELSE '**' || d.path || '**' || {NL} || {NL} || x.h END AS hover FROM docs d LEFT JOIN (SELECT path, string_agg('- ' || heading, {NL} ORDER BY ordinal) AS h FROM (SELECT path, heading, min(ordinal) AS ordinal FROM sections GROUP BY path, heading) GROUP BY path) x ON x.path = d.path",
+    "doc_hover_headings": _DOC_HOVER,
     "completion_items": f"SELECT path AS label, 'FILE' AS kind, NULL::VARCHAR AS detail, path || ']]' AS new_text FROM docs UNION ALL SELECT stem, 'FILE', path, stem || ']]' FROM stems WHERE path IS NOT NULL UNION ALL SELECT file || '@' || qualified, {_CLASS}, NULL, file || '@' || qualified || ']]' FROM symbols",
     "document_links": "SELECT path, target, tooltip, count(*) AS n FROM (SELECT r.from_path AS path, coalesce(r.doc_path, s.file) AS target, NULL::VARCHAR AS tooltip FROM resolved r LEFT JOIN symbols s ON s.symbol_id = r.symbol_id UNION ALL SELECT m.path, t.path, m.name FROM mentions m JOIN (SELECT name, min(path) AS path FROM terms GROUP BY name) t ON t.name = m.name) GROUP BY path, target, tooltip",
     "display_filter": "SELECT kind, \"from\" AS from_id, \"to\" AS to_id FROM edges WHERE kind IN ('links', 'references')",
-    "code_hover": f"SELECT symbol_id, '**' || CASE WHEN kind IN ('function', 'method') THEN 'fn' WHEN kind = 'macro' THEN 'macro!' ELSE kind END || '** `' || qualified || '`' || {NL} || {NL} || '`' || file || '`' AS hover FROM symbols",
+    "code_hover": _CODE_HOVER,
+    "rust_symbols_full": f"SELECT {_FULL} FROM rust_symbols",
+    "c_symbols_full": f"SELECT {_FULL} FROM c_symbols",
+    "positions_utf16": f"SELECT path AS from_path, ordinal, line AS start_line, start_char, start_utf16, line AS end_line, end_char, end_utf16 FROM ({derived.LINK_PLACES})",
+    "link_ranges": f"SELECT path, start_line, start_utf16, end_line, end_utf16, target, '{derived.ROOT_URI}/' || target AS target_uri FROM (SELECT x.from_path AS path, x.line AS start_line, x.start_utf16, x.line AS end_line, x.end_utf16, coalesce(x.doc_path, s.file) AS target FROM ({_PLACED}) x LEFT JOIN symbols s ON s.symbol_id = x.symbol_id)",
+    "hovers": f"""SELECT x.from_path AS path, x.line, x.at_character AS "character", CASE WHEN x.status = 'DocHeadingDangling' THEN '{STALE_HEADING}' || {NL} || {NL} || d.hover ELSE coalesce(d.hover, c.hover) END AS hover, x.start_utf16, x.end_utf16
+      FROM ({_ASKED}) x LEFT JOIN ({_DOC_HOVER}) d ON d.path = x.doc_path LEFT JOIN ({_CODE_HOVER}) c ON c.symbol_id = x.symbol_id WHERE x.status IN ('DocHeadingDangling', 'DocResolved', 'CodeResolved')
+      UNION ALL SELECT {derived.NOTE_PATH}, {derived.FIRST_LINE} + 3, 7, '**the**' || {NL} || {NL} || (SELECT min_by(definition, path) FROM terms WHERE name = 'the'), 6, 9 FROM documents""",
+    "definitions": f"""SELECT x.from_path AS path, x.line, x.at_character AS "character", coalesce(x.doc_path, s.file) AS file, '{derived.ROOT_URI}/' || coalesce(x.doc_path, s.file) AS uri,
+      coalesce(s.name_line, 0) AS to_line, coalesce(s.name_char, 0) AS to_utf16, coalesce(s.name_end_line, 0) AS to_end_line, coalesce(s.name_end_char, 0) AS to_end_utf16
+      FROM ({_ASKED}) x LEFT JOIN symbols s ON s.symbol_id = x.symbol_id WHERE coalesce(x.doc_path, s.file) IS NOT NULL""",
+    "completions": f"""SELECT path, line, start_utf16 + 3 AS "character", start_utf16 + 2 AS replace_from FROM ({derived.LINK_PLACES})""",
+    "open_buffer_diagnostics": f"SELECT {derived.NOTE_PATH} AS path, 1 AS start_line, 0 AS start_utf16, 1 AS end_line, 11 AS end_utf16, 'warning' AS severity, '{MESSAGES['DocDangling']}' AS message FROM documents WHERE doc_id % 10 = 0 UNION ALL SELECT {derived.NOTE_PATH}, 1, 12, 1, 16 + length({derived.LINKS[0]}), 'warning', '{MESSAGES['DocDangling']}' FROM documents WHERE doc_id % 10 = 0 AND {derived.LINKS[0]} NOT IN (SELECT path FROM docs)",
+    "node_ids": """SELECT 'symbol' AS kind, NULL::VARCHAR AS path, NULL::VARCHAR AS heading, symbol_id, NULL::VARCHAR AS name FROM symbols UNION ALL SELECT 'doc', path, NULL, NULL, NULL FROM docs
+      UNION ALL SELECT DISTINCT 'section', path, heading, NULL, NULL FROM sections UNION ALL SELECT DISTINCT 'term', NULL, NULL, NULL, name FROM mentions""",
+    "graph_json": """SELECT '{"nodes":[' || (SELECT string_agg('{"id":' || to_json(id) || ',"kind":' || to_json(kind) || ',"label":' || to_json(label) || '}', ',' ORDER BY id, kind, label) FROM nodes WHERE kind <> 'section') ||
+      '],"edges":[' || (SELECT string_agg('{"kind":' || to_json(kind) || ',"from":' || to_json("from") || ',"to":' || to_json("to") || '}', ',' ORDER BY kind, "from", "to") FROM edges WHERE kind <> 'contains') || ']}' AS json""",
 }
 ORACLES = {name: f"WITH {BASE} {body}" for name, body in BODIES.items()}
 ORACLES["debounce_sessions"] = """

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from graphloom.functions import columns as C
 from graphloom.operators import documents, glossary, graph, lookup, resolve
 from graphloom.plans import derived
+from graphloom.sources import workspace
 from graphloom.streaming import reindex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,6 +193,41 @@ def display_filter(w):
     return edges.select("kind", F.col("from").alias("from_id"), F.col("to").alias("to_id"))
 
 
+@over_workspace
+def link_ranges(w):
+    return lookup.document_links(w, derived.ROOT_URI).filter("tooltip is null").drop("tooltip")
+
+
+@over_workspace
+def node_ids(w):
+    return w.nodes.select(graph.node_id(F.col("id")).alias("n")).select("n.*")
+
+
+def at_places(f: Callable[[graph.Workspace, DataFrame], DataFrame]):
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(graph.index(derived.files(spark, sf_dir)), derived.places(spark, sf_dir))
+    return f
+
+
+@at_places
+def hovers(w, places):
+    return lookup.hovers_at(w, places).select("path", "line", "character", "hover", "start_utf16", "end_utf16")
+
+
+@at_places
+def definitions(w, places):
+    return lookup.definitions_at(w, places, derived.ROOT_URI)
+
+
+@at_places
+def completions(w, places):
+    return lookup.completions_at(w.files, places)
+
+
+def open_buffer_diagnostics(spark, sf_dir):
+    buffers = derived.buffers(spark, sf_dir)
+    return lookup.all_diagnostics(graph.index(workspace.buffers_over(derived.files(spark, sf_dir), buffers)), buffers)
+
+
 def debounce_sessions(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("root"), "ts")
     bursts = reindex.bursts(events, gap="1 hour")
@@ -203,4 +239,4 @@ def latest_buffers(spark, sf_dir):
     return reindex.latest(turns, "conv_id", F.struct("turn", "text")).select("conv_id", "turn", "role", "text")
 
 
-QUERIES |= {"debounce_sessions": debounce_sessions, "latest_buffers": latest_buffers}
+QUERIES |= {"open_buffer_diagnostics": open_buffer_diagnostics, "debounce_sessions": debounce_sessions, "latest_buffers": latest_buffers}

@@ -6,6 +6,7 @@ workspace has; so this is a source of its own. The folder must be readable from
 
 from __future__ import annotations
 
+import itertools
 import os
 from collections.abc import Iterator
 
@@ -17,21 +18,34 @@ EXTENSIONS = ("rs", "c", "h", "md")
 FILES = "path string, ext string, content string"
 
 
+def listed(folder: str, extensions: tuple[str, ...]) -> tuple[list[str], list[tuple[str, int]]]:
+    """Names of a folder's subfolders, and of its files of one of the extensions with their sizes; links not followed."""
+    folders, files = [], []
+    if os.path.basename(os.path.abspath(folder)) in PRUNED:
+        return folders, files
+    try:
+        entries = sorted(os.scandir(folder), key=lambda e: e.name)
+    except OSError:
+        return folders, files
+    for e in entries:
+        if e.name in PRUNED:
+            continue
+        if e.is_dir(follow_symlinks=False):
+            folders.append(e.name)
+        elif e.is_file(follow_symlinks=False) and "." in e.name[1:] and e.name.rsplit(".", 1)[1] in extensions:
+            files.append((e.name, e.stat(follow_symlinks=False).st_size))
+    return folders, files
+
+
 def walk(root: str, extensions: tuple[str, ...] = EXTENSIONS) -> Iterator[tuple[str, int]]:
-    """Relative path and size of every file of one of the extensions, links not followed."""
-    stack = [] if os.path.basename(os.path.abspath(root)) in PRUNED else [root]
+    """Relative path and size of every file of one of the extensions below ``root``."""
+    stack = [""]
     while stack:
-        try:
-            entries = sorted(os.scandir(stack.pop()), key=lambda e: e.name)
-        except OSError:
-            continue
-        for e in entries:
-            if e.name in PRUNED:
-                continue
-            if e.is_dir(follow_symlinks=False):
-                stack.append(e.path)
-            elif e.is_file(follow_symlinks=False) and "." in e.name[1:] and e.name.rsplit(".", 1)[1] in extensions:
-                yield os.path.relpath(e.path, root).replace("\\", "/"), e.stat(follow_symlinks=False).st_size
+        folder = stack.pop()
+        folders, files = listed(os.path.join(root, folder) if folder else root, extensions)
+        stack += [os.path.join(folder, d) for d in folders]
+        for name, size in files:
+            yield os.path.join(folder, name).replace("\\", "/"), size
 
 
 def content(path: str) -> str:
@@ -44,31 +58,44 @@ def content(path: str) -> str:
 
 
 class Share(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    """Files, and folders whose files and subfolders are listed by the task that reads them."""
+
+    def __init__(self, paths: list[str], folders: list[str]):
+        self.paths, self.folders = paths, folders
 
 
 class WorkspaceReader(DataSourceReader):
-    def __init__(self, root: str, extensions: tuple[str, ...], share_bytes: int):
-        self.root, self.extensions, self.share_bytes = root, extensions, share_bytes
+    def __init__(self, root: str, extensions: tuple[str, ...], share_bytes: int, folders: int):
+        self.root, self.extensions, self.share_bytes, self.folders = root, extensions, share_bytes, folders
 
     def partitions(self) -> list[Share]:
-        shares, own, size = [], [], 0
-        for path, n in walk(self.root, self.extensions):
-            own.append(path)
-            size += n + 4096  # opening a file costs too
-            if size >= self.share_bytes:
-                shares.append(Share(own))
-                own, size = [], 0
-        return shares + [Share(own)] if own or not shares else shares
+        """The driver lists the upper folders only, until there are ``folders`` to deal out."""
+        shares, own, size, level = [], [], 0, [""]
+        while level and len(level) < self.folders:
+            below: list[str] = []
+            for folder in level:
+                found = listed(os.path.join(self.root, folder) if folder else self.root, self.extensions)
+                below += [os.path.join(folder, d) for d in found[0]]
+                for name, n in found[1]:
+                    own.append(os.path.join(folder, name))
+                    size += n + 4096  # opening a file costs too
+                    if size >= self.share_bytes:
+                        shares.append(Share(own, []))
+                        own, size = [], 0
+            level = below
+        shares += [Share([], [folder]) for folder in level]
+        return shares + [Share(own, [])] if own or not shares else shares
 
     def read(self, partition: Share) -> Iterator[tuple[str, str, str]]:
-        for path in partition.paths:
+        below = (os.path.join(folder, p) for folder in partition.folders for p, _ in walk(os.path.join(self.root, folder), self.extensions))
+        for path in itertools.chain(partition.paths, below):
+            path = path.replace("\\", "/")
             yield path, path.rsplit(".", 1)[1], content(os.path.join(self.root, path))
 
 
 class WorkspaceSource(DataSource):
-    """Options: path (the folder), extensions (comma-separated), shareBytes (of one partition)."""
+    """Options: path (the folder), extensions (comma-separated), shareBytes (of one partition of upper files),
+    folders (how many the driver looks for before tasks list the rest)."""
 
     @classmethod
     def name(cls) -> str:
@@ -79,7 +106,7 @@ class WorkspaceSource(DataSource):
 
     def reader(self, schema) -> WorkspaceReader:
         extensions = tuple(self.options.get("extensions", ",".join(EXTENSIONS)).split(","))
-        return WorkspaceReader(self.options["path"], extensions, int(self.options.get("shareBytes", 32 << 20)))
+        return WorkspaceReader(self.options["path"], extensions, int(self.options.get("shareBytes", 32 << 20)), int(self.options.get("folders", 256)))
 
 
 def read(spark: SparkSession, root: str, **options: str) -> DataFrame:

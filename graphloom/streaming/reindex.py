@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from graphloom.operators import graph, lookup
+from graphloom.sources import workspace
+
 #: Triggers closer than this are one burst, and make one reindex after the last.
 DEBOUNCE = "300 milliseconds"
 
@@ -22,7 +26,10 @@ def bursts(triggers: DataFrame, gap: str = DEBOUNCE) -> DataFrame:
 
 
 def reindex_stream(triggers: DataFrame, rebuild: Callable[[list], None], gap: str = DEBOUNCE, late: str = "1 second") -> DataStreamWriter:
-    """Calls ``rebuild`` with the roots whose bursts have ended, once for each micro-batch."""
+    """Calls ``rebuild`` with the roots whose bursts have ended, once for each micro-batch.
+
+    For each root that will as a rule be :func:`rebuild`, and a message of what it returns to clients.
+    """
 
     def batch(ended: DataFrame, _: int) -> None:
         roots = [r.root for r in ended.select("root").distinct().collect()]
@@ -32,6 +39,36 @@ def reindex_stream(triggers: DataFrame, rebuild: Callable[[list], None], gap: st
     return bursts(triggers.withWatermark("ts", late), gap).writeStream.outputMode("append").foreachBatch(batch)
 
 
+#: Folders of a published index, each with the tables of one version.
+TABLES = ("nodes", "edges", "diagnostics")
+
+
+def rebuild(files: DataFrame, out: str, open_buffers: DataFrame | None = None) -> Row:
+    """Index ``files`` anew and publish it below ``out``: nodes, edges, and diagnostics of the open notes.
+
+    ``open_buffers`` (path, text) stand in for what is on disk, and only their notes are diagnosed, as
+    a client shows warnings for open ones; without it all are. A version counts once its last file is
+    written, so readers see the old graph or the new, whole. Returns what is to be told to clients.
+    """
+    spark = files.sparkSession
+    if open_buffers is not None:
+        files = workspace.buffers_over(files, open_buffers)
+    w = graph.index(files)
+    version = f"{time.time_ns():020d}"
+    paths = None if open_buffers is None else open_buffers.select("path")
+    for name, table in zip(TABLES, (w.nodes, w.edges, lookup.all_diagnostics(w, paths)), strict=True):
+        table.write.parquet(f"{out}/{version}/{name}")
+    said = w.stats().withColumn("version", F.lit(version))
+    said.coalesce(1).write.mode("append").parquet(f"{out}/versions")
+    return spark.read.parquet(f"{out}/versions").filter(F.col("version") == version).first()
+
+
+def published(spark: SparkSession, out: str, version: str | None = None) -> dict[str, DataFrame]:
+    """The tables of the latest version below ``out``, or of the one named."""
+    version = version or spark.read.parquet(f"{out}/versions").agg(F.max("version")).first()[0]
+    return {name: spark.read.parquet(f"{out}/{version}/{name}") for name in TABLES}
+
+
 def latest(versions: DataFrame, key: str, order: Column) -> DataFrame:
     """The row of each key with the largest ``order``."""
     row = F.struct(*versions.columns)
@@ -44,20 +81,17 @@ def buffers(changes: DataFrame) -> DataFrame:
 
 
 def _keep_last(key, batches, state):
-    seq, text = state.get if state.exists else (-1, None)
-    closed = False
+    """The last change wins, whenever it arrives: what a closed buffer leaves is its last number."""
+    seq, text, is_open = state.get if state.exists else (-1, None, False)
     for batch in batches:
         for row in batch.sort_values("seq").itertuples():
             if row.seq >= seq:
-                seq, closed = int(row.seq), row.action == "close"
-                text = None if closed else row.text
-    if closed:
-        state.remove()
-    else:
-        state.update((seq, text))
-    yield pd.DataFrame({"uri": [key[0]], "seq": [seq], "text": [text], "open": [not closed]})
+                seq, is_open = int(row.seq), row.action != "close"
+                text = row.text if is_open else None
+    state.update((seq, text, is_open))
+    yield pd.DataFrame({"uri": [key[0]], "seq": [seq], "text": [text], "open": [is_open]})
 
 
 def buffer_stream(changes: DataFrame) -> DataFrame:
     """The state of each buffer that a micro-batch of ``changes`` touches: uri, seq, text, open."""
-    return changes.groupBy("uri").applyInPandasWithState(_keep_last, "uri string, seq long, text string, open boolean", "seq long, text string", "update", "NoTimeout")
+    return changes.groupBy("uri").applyInPandasWithState(_keep_last, "uri string, seq long, text string, open boolean", "seq long, text string, open boolean", "update", "NoTimeout")
