@@ -5,7 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import documents, graph, lookup, resolve
+from graphloom import cli
+from graphloom.operators import commands, documents, graph, lookup, resolve
 from graphloom.sources import workspace
 
 RUST = "struct A;\nimpl A {\n    fn go(&self) {}\n}\n"
@@ -97,3 +98,77 @@ def test_queries_run(spark, sf, name):
     from graphloom.plans.registry import QUERIES
 
     assert QUERIES[name](spark, sf).count() > 0
+
+
+@pytest.mark.parametrize("folders", ["1", "2", "99"])
+def test_folders_are_dealt_out(spark, tmp_path, folders):
+    want = set()
+    for path in ("a.md", "x/b.md", "x/y/c.rs", "x/y/z/d.md", "w/e.c", "w/target/no.md", "v/.git/no.md"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(path)
+        want |= {path} if "no" not in path else set()
+    rows = workspace.read(spark, str(tmp_path), folders=folders).collect()
+    assert {r.path for r in rows} == want and all(r.content == r.path for r in rows) and len(rows) == len(want)
+
+
+def test_places_are_in_utf16_units(spark):
+    w = index(spark, {"a.md": "😀 Term here", "glossary/Term.md": "A word.", "b.md": "😀😀 [[a]] [[a]]"})
+    at = lookup.places(spark, ("a.md", 0, 2), ("a.md", 0, 3), ("a.md", 0, 6), ("a.md", 0, 7), ("b.md", 0, 4), ("b.md", 0, 5), ("b.md", 0, 9), ("b.md", 0, 10), ("b.md", 0, 11))
+    found = {(r.path, r.character): (r.hover[:8], r.start_utf16, r.end_utf16) for r in lookup.hovers_at(w, at).collect()}
+    term, note = ("**Term**", 3, 7), ("**a.md**", 5, 10)
+    assert found == {("a.md", 3): term, ("a.md", 6): term, ("b.md", 5): note, ("b.md", 9): note, ("b.md", 11): ("**a.md**", 11, 16)}
+    links = {(r.path, r.start_utf16, r.target_uri) for r in lookup.document_links(w, "file:///r").collect()}
+    assert links == {("a.md", 3, "file:///r/glossary/Term.md"), ("b.md", 5, "file:///r/a.md"), ("b.md", 11, "file:///r/a.md")}
+    assert lookup.definitions_at(w, at).count() == 3
+
+
+def test_code_definitions_have_the_range_of_the_name(spark):
+    w = index(spark, {"a.rs": "/* 😀 */ struct Äb;", "n.md": "[[a.rs@Äb]]"})
+    row = lookup.definitions_at(w, lookup.places(spark, ("n.md", 0, 1)), "file:///r").first()
+    assert (row.uri, row.to_line, row.to_utf16, row.to_end_line, row.to_end_utf16) == ("file:///r/a.rs", 0, 16, 0, 18)
+
+
+def test_completions_at_places(spark):
+    files = spark.createDataFrame([("a.md", "x\r\n😀 [[ab]] [[c"), ("b.md", None)], "path string, content string")
+    at = lookup.places(spark, ("a.md", 0, 1), ("a.md", 1, 4), ("a.md", 1, 5), ("a.md", 1, 7), ("a.md", 1, 9), ("a.md", 1, 13), ("a.md", 1, 99), ("a.md", 7, 0), ("b.md", 0, 0), ("none.md", 0, 0))
+    assert {(r.line, r.character): r.replace_from for r in lookup.completions_at(files, at).collect()} == {(1, 5): 5, (1, 7): 5, (1, 13): 12, (1, 99): 12}
+
+
+def test_commands(spark):
+    w = index(spark, {"a.rs": RUST, "a.md": "# H"})
+    assert commands.run(w, "symbolInfo", [1]).collect() == [(1, "a.rs", 2, 7)] and commands.run(w, "symbolInfo", [9]).count() == 0
+    assert len(json.loads(commands.run(w, "graph", [True]).first()[0])["nodes"]) == 4 and len(json.loads(commands.run(w, "graph").first()[0])["nodes"]) == 3
+    with pytest.raises(commands.UnknownCommand):
+        commands.run(w, "other")
+    for wrong in (None, ["x"], [True]):
+        with pytest.raises(ValueError):
+            commands.run(w, "symbolInfo", wrong)
+
+
+def test_node_ids(spark):
+    ids = ["doc:a b.md", "section:x/a.md#H # 1", "section:a#b#c", "symbol:12", "symbol:x", "term:T:t", "other:x", "doc", None]
+    rows = spark.createDataFrame([(i,) for i in ids], "id string").select(graph.node_id(F.col("id")).alias("n"))
+    assert [tuple(r.n) if r.n else None for r in rows.collect()] == [("doc", "a b.md", None, None, None), ("section", "x/a.md", "H # 1", None, None), ("section", "a", "b#c", None, None), ("symbol", None, None, 12, None), ("symbol", None, None, None, None), ("term", None, None, None, "T:t"), None, None, None]
+
+
+def test_json_lines_and_limits(spark, tmp_path, monkeypatch):
+    w = index(spark, {"a.md": "# H\n[[b]]", "b.md": ""})
+    path = graph.write_json(w.nodes, w.edges, str(tmp_path / "g"), include_sections=True)
+    assert spark.read.json(f"{path}/nodes").count() == 3 and spark.read.json(f"{path}/edges").count() == 2
+    monkeypatch.setattr(graph, "MOST_JSON", 2)
+    with pytest.raises(ValueError):
+        graph.to_json(w.nodes, w.edges)
+
+
+def test_terms_and_buffers(spark):
+    files = spark.createDataFrame([("a.md", "old"), ("b.md", "kept")], "path string, content string")
+    over = workspace.buffers_over(files, spark.createDataFrame([("a.md", ""), ("new.md", "x")], "path string, text string"))
+    assert sorted(tuple(r) for r in over.collect()) == [("a.md", ""), ("b.md", "kept")]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    (tmp_path / "a.md").write_text("# H\n[[b]]")
+    assert cli.main(["index", str(tmp_path)]) == 0
+    out = capsys.readouterr()
+    assert {n["id"] for n in json.loads(out.out)["nodes"]} == {"doc:a.md", "section:a.md#H"} and out.err.startswith("2 nodes, 1 edges")
+    assert cli.main([]) == 2
