@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -45,6 +46,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_deleted(spark: SparkSession):
+    """Shuffle files of what is written meanwhile go once it is written, not when their plans are collected."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 #: Scratch tables of this process that were not deleted, oldest first.
 MADE: list[str] = []
 
@@ -53,7 +71,8 @@ def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends at files that outlive executors."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
+    with shuffles_deleted(spark):
+        writer.parquet(path)
     MADE.append(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.scratch = path

@@ -60,17 +60,21 @@ class Rings:
     def __init__(self, percent: int):
         self.percent, self.lows = percent, [1]
         while self.lows[-1] < 1 << 40:
-            self.lows.append(max(self.lows[-1] + 1, self.lows[-1] * 3 // 2))
-        #: Most shingles in which two linked sets of a class differ.
-        self.differ = [2 * (high - 1) * (100 - percent) // (100 + percent) for high in self.lows[1:]]
-        self.spare = [(d + 1) // 5 for d in self.differ]
-        self.parts = [d + 1 + e for d, e in zip(self.differ, self.spare, strict=True)]
-
-    def of(self, size: int) -> list[int]:
-        """The classes in which a set of this size meets all its partners."""
+            self.lows.append(2 * self.lows[-1])
+        #: More parts than two linked sets of a class can differ in, and some to choose from.
+        most = [self.differ(high - 1, high - 1) for high in self.lows[1:]]
+        self.parts = [d + 1 + (d + 1) // 5 for d in most]
+
+    def differ(self, a: int, b: int) -> int:
+        """In how many shingles linked sets of these sizes differ at most."""
+        return (a + b) * (100 - self.percent) // (100 + self.percent)
+
+    def of(self, size: int) -> list[tuple[int, int]]:
+        """The classes in which a set of this size meets all its partners, and how many parts it must offer in each."""
         first = bisect_right(self.lows, size) - 1
-        last = bisect_right(self.lows, 100 * size // self.percent) - 1
-        return list(range(first, last + 1))
+        largest = 100 * size // self.percent
+        last = bisect_right(self.lows, largest) - 1
+        return [(c, self.differ(size, min(largest, self.lows[c + 1] - 1)) + 1) for c in range(first, last + 1)]
 
 
 def shingles(words: np.ndarray, n: int) -> np.ndarray:
@@ -96,27 +100,23 @@ def set_id(own: np.ndarray) -> bytes:
     return np.array(sums, ">u8").tobytes()
 
 
-#: Parts of fewer shingles are weak: unrelated documents may well agree on them.
-WEAK = 3
-
-
 def keys(own: np.ndarray, rings: Rings) -> np.ndarray:
-    """A key for each part of each of the set's classes; equal for equal projections.
+    """Keys of parts of the set in each of its classes; equal for equal projections.
 
-    A class has ``spare`` more parts than it takes, so linked sets agree on 1 + spare parts at least. As
-    long as no more than ``spare`` parts are weaker than some size, those can do without keys: of two
-    linked sets, the parts that either leaves out are among those which one of them does.
+    A set that may differ from its partners in d parts offers the d + 1 that hold most shingles, ties by
+    hash. Parts that linked sets agree on stand in one order for both, so those that one or the other
+    leaves out are those that the one which leaves out more does: at least one part on which they agree is
+    offered by both. The fullest parts are those that unrelated documents hardly agree on.
     """
     out, place, value = [], mix(own + U(0xA0761D6478BD642F)), mix(own ^ U(0xE7037ED1A0B428DB))
     low, high = (value & U(0xFFFFFFFF)).astype(np.float64), (value >> U(32)).astype(np.float64)
-    for c in rings.of(len(own)):
+    for c, offered in rings.of(len(own)):
         parts = rings.parts[c]
         at = (place % U(parts)).astype(np.int64)
         sums = np.bincount(at, low, parts).astype(U) + (np.bincount(at, high, parts).astype(U) << U(32))
         found = mix(mix(sums) + np.arange(parts, dtype=U) * U(0x8EBC6AF09C88C6E3) + U((c + 1) * 0x589965CC75374CC3 % (1 << 64)))
-        size = np.bincount(at, minlength=parts)
-        least = next((w for w in range(WEAK, 0, -1) if np.count_nonzero(size < w) <= rings.spare[c]), 0)
-        out.append(found[size >= least])
+        by = np.lexsort((found, np.bincount(at, minlength=parts)))
+        out.append(found[by[parts - offered :]])
     return np.concatenate(out)
 
 
@@ -391,26 +391,31 @@ def regions(signed: DataFrame) -> DataFrame:
     pairs = meeting.unionByName(met).unionByName(follow)
     every = pairs.unionByName(pairs.select(F.col("v").alias("u"), "v"))
     # No more of a set than it has keys, or met in its task.
-    return every.groupBy("u").agg(F.collect_set("v").alias("regions"))
+    found = common.materialize(every.groupBy("u").agg(F.collect_set("v").alias("regions")), "regions-of-sets")
+    common.discard(meeting)
+    return found
 
 
 def rooted_sets(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``docs`` as SIGNED, and each set with the root of its class: sid, least, lead, root."""
+    """doc_id, th, n and sid of the rows of ``docs``, and each set with the root of its class: sid, least, lead, root."""
     rows = common.to_python(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th")))
     signed = common.materialize(rows.mapInArrow(_sign(join), SIGNED), "signed")
     with_sets = signed.filter("sid is not null")
     one = with_sets.groupBy("sid").agg(F.min("id").alias("id"), F.min(F.struct("doc_id", "th")).alias("own"), F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th")).alias("lead"))
     one = common.materialize(one, "sets")
-    places = one.join(regions(signed), F.col("id") == F.col("u")).select("regions", "sid", F.col("own.doc_id").alias("d"), F.col("own.th").alias("h"))
+    anchored = regions(signed)
+    slim = common.materialize(signed.drop("keys", "met", "id"), "signed")
+    common.discard(signed)
+    places = one.join(anchored, F.col("id") == F.col("u")).select("regions", "sid", F.col("own.doc_id").alias("d"), F.col("own.th").alias("h"))
     found = rows.join(places, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h"))).select("regions", "sid", "text")
-    if not with_sets.groupBy("doc_id", "th").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+    if not slim.filter("sid is not null").groupBy("doc_id", "th").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
         found = found.groupBy("sid").agg(F.first("regions").alias("regions"), F.first("text").alias("text"))  # repeated rows
     members = common.materialize(found.mapInArrow(_hash_members(join.n), MEMBER), "members")
     star = connected(links(members, join))
     star = common.materialize(star, "links")
     common.discard(members)
     rooted = one.join(star, F.col("sid") == F.col("node"), "left").select("sid", "least", "lead", F.coalesce("root", "sid").alias("root"))
-    return signed, common.materialize(rooted, "rooted")
+    return slim, common.materialize(rooted, "rooted")
 
 
 def classes(docs: DataFrame, join: Join = Join()) -> DataFrame:

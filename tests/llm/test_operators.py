@@ -493,7 +493,7 @@ def test_jaccard_odd_rows(spark):
     assert jaccard.classes(no_rows(spark)).count() == 0
 
 
-@pytest.mark.parametrize("percent", [80, 90, 100])
+@pytest.mark.parametrize("percent", [50, 80, 90, 100])
 def test_parts_meet_every_link(percent):
     rings, r = jaccard.Rings(percent), np.random.default_rng(percent)
     for _ in range(1500):
