@@ -1,7 +1,7 @@
 """Markdown notes in plain Python: frontmatter, code, headings, wikilinks and their positions.
 
-A subset of CommonMark: ATX and setext headings, fenced and indented code, code spans, block quotes
-and list items. Offsets are code points of the whole text. No Spark here, so workers and tests can
+A subset of CommonMark: ATX and setext headings, fenced and indented code, code spans, block quotes,
+list items and blocks of HTML. Offsets are code points of the whole text. No Spark here, so workers and tests can
 use it alone.
 """
 
@@ -20,6 +20,22 @@ SETEXT = re.compile(r" {0,3}(?:=+|-+)[ \t]*$")
 RULE = re.compile(r" {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$")
 QUOTE = re.compile(r" {0,3}> ?")
 ITEM = re.compile(r"( {0,3}(?:[-+*]|\d{1,9}[.)]))( {1,4}(?=\S)|[ \t]*$| (?= {4}))")
+# Element names of CommonMark that begin a block of HTML, which a blank line ends.
+HTML_NAMES = (
+    "address article aside base basefont blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frame frameset "
+    "h1 h2 h3 h4 h5 h6 head header hr html iframe legend li link main menu menuitem nav noframes ol optgroup option p param search section summary table tbody td tfoot th thead title tr track ul"
+).split()
+BLANK_LINE = re.compile(r"\A\s*\Z")
+#: How blocks of HTML begin and what ends them; the last kind does not interrupt a paragraph.
+HTML_BLOCKS = [
+    (re.compile(r" {0,3}<(?:script|pre|style|textarea)(?=[\s>]|$)", re.IGNORECASE), re.compile("</(?:script|pre|style|textarea)>", re.IGNORECASE)),
+    (re.compile(" {0,3}<!--"), re.compile("-->")),
+    (re.compile(r" {0,3}<\?"), re.compile(r"\?>")),
+    (re.compile(r" {0,3}<!\[CDATA\["), re.compile(r"\]\]>")),
+    (re.compile(" {0,3}<![A-Za-z]"), re.compile(">")),
+    (re.compile(rf" {{0,3}}</?(?:{'|'.join(HTML_NAMES)})(?=\s|/?>|$)", re.IGNORECASE), BLANK_LINE),
+    (re.compile(r""" {0,3}(?:<[A-Za-z][A-Za-z0-9-]*(?:\s+[A-Za-z_:][\w.:-]*(?:\s*=\s*(?:[^\s"'=<>`]+|'[^']*'|"[^"]*"))?)*\s*/?>|</[A-Za-z][A-Za-z0-9-]*\s*>)\s*$"""), BLANK_LINE),
+]
 TICKS = re.compile("`+")
 ESCAPED = re.compile(r"\\([!-/:-@\[-`{-~])")
 INLINE_LINK = re.compile(r"!?\[([^\[\]]*)\]\([^()\s]*(?:\s+\"[^\"]*\")?\)")
@@ -85,6 +101,7 @@ def blocks(text: str, start: int) -> tuple[list[Range], list[Range], list[tuple[
     paragraphs: list[tuple[Range, bool]] = []
     paragraph: list[int] = []  # first offset and last, while one is open
     fence: tuple[str, int, int] | None = None  # character, length, start
+    markup: re.Pattern | None = None  # what ends the block of HTML, while one is open
     indent, list_indents, at, size = None, [], start, len(text)
 
     def close() -> None:
@@ -107,6 +124,9 @@ def blocks(text: str, start: int) -> tuple[list[Range], list[Range], list[tuple[
                 code.append((fence[2], begin + len(line)))
                 fence = None
             continue
+        if markup:
+            markup = None if markup.search(rest) else markup
+            continue
         if not rest.strip():
             close()
             continue
@@ -136,6 +156,12 @@ def blocks(text: str, start: int) -> tuple[list[Range], list[Range], list[tuple[
             close()
             fence = (m[1][0], len(m[1]), where)
             continue
+        html = next((k for k, (begins, _) in enumerate(HTML_BLOCKS) if begins.match(rest)), None) if "<" in rest else None
+        if html is not None and not (paragraph and html == len(HTML_BLOCKS) - 1):
+            close()
+            ends = HTML_BLOCKS[html][1]
+            markup = None if ends is not BLANK_LINE and ends.search(rest, rest.index("<") + 2) else ends
+            continue
         if m := ATX.match(rest):
             close()
             if m[2] is not None:

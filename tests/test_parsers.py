@@ -120,3 +120,42 @@ def test_terms():
     assert said("状態管理 LIN", terms, "glossary/b.md") == [(2, "LIN")]
     assert said("---\nt: LIN\n---\n# LIN", terms) == [(2, "LIN")]
     assert said("LIN", []) == []
+
+
+@pytest.mark.parametrize(
+    ("text", "headings"),
+    [
+        ("<div>\n# no\n</div>\n\n# yes", ["yes"]),
+        ("<!-- one\n\n# no\n-->\n# yes", ["yes"]),
+        ("<!-- one --> x\n# yes", ["yes"]),
+        ("<script>\n\n# no\n</script>\n# yes", ["yes"]),
+        ("<?php\n# no\n?>\n# yes", ["yes"]),
+        ("<![CDATA[\n# no\n]]>\n# yes", ["yes"]),
+        ("text\n<span>\n# yes", ["yes"]),
+        ("<span class='a'>\n# no\n\n# yes", ["yes"]),
+        ("text\n<p>\n# no\n\n# yes", ["yes"]),
+        ("> <div>\n> # no\n\n# yes", ["yes"]),
+        ("<b> and more\n# yes", ["yes"]),
+        ("< div>\n# yes", ["yes"]),
+    ],
+)
+def test_blocks_of_html_hold_no_headings(text, headings):
+    assert markdown.read(text).headings == headings
+
+
+def test_links_count_inside_html_but_code_does_not_hide_them():
+    note = markdown.read("<div>\n`[[a]]` [[b]]\n</div>\n\n`[[c]]`")
+    assert [raw for raw, _, _ in note.links] == ["a", "b"]
+
+
+#: Inputs that a full CommonMark reader takes otherwise than this subset does: kept as a list of what differs.
+DIFFERENT = {
+    "[a]: b\n===\n": "a link reference definition is read as a paragraph, so this is a heading",
+    "- a\n\n\n      [[x]]": "code inside list items is found by the item's own indent only",
+    "***a** b*\n===": "nested emphasis of uneven runs is not taken apart",
+}
+
+
+@pytest.mark.parametrize("text", DIFFERENT)
+def test_inputs_that_differ_are_read(text):
+    assert isinstance(markdown.read(text), markdown.Note)
