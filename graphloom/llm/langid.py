@@ -39,7 +39,8 @@ def plain(text: str) -> bytes:
 class Settings:
     dictionary_bytes: int = 96_000
     piece_bytes: int = 24_000
-    level: int = 9
+    #: Of held-out texts of sf0.1, 0.980 are right at level 3, 0.992 at 6 and at 9.
+    level: int = 6
     least_margin: float = 0.02
     #: A margin of this or more scores 1.
     sure_margin: float = 0.1
