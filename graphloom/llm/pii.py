@@ -47,7 +47,7 @@ class Settings:
     stride: int = 64
     hidden: int = 16
     steps: int = 500
-    #: Bounds on the training rows, and on the characters of each.
+    #: Bounds on the training rows, drawn by id hash, and on the characters of each.
     sample_rows: int = 1500
     sample_chars: int = 20_000
     training_windows: int = 6000
@@ -196,8 +196,12 @@ def training_windows(texts: list[str], settings: Settings) -> tuple[np.ndarray,
 
 
 def train(docs: DataFrame, settings: Settings = Settings()) -> Tagger:
-    """A tagger from the base spans of a bounded number of documents with a digit or an @."""
-    usable = docs.select("doc_id", "text").filter(F.col("text").rlike("[0-9@]") & (F.length("text") <= settings.sample_chars))
+    """A tagger from the base spans of a bounded number of documents with a digit or an @.
+
+    Of a text longer than ``sample_chars`` a piece of that many serves, at a place that its hash gives.
+    """
+    place = F.floor(common.uniform("text") * F.greatest(F.length("text") - settings.sample_chars + 1, F.lit(1))).cast("int") + 1
+    usable = docs.select("doc_id", F.substr("text", place, F.lit(settings.sample_chars)).alias("text")).filter(F.col("text").rlike("[0-9@]"))
     texts = [r.text for r in common.sample(usable, settings.sample_rows, "doc_id").collect()]
     tagger = Tagger(CODES, TAGS, settings.hidden, settings.seed)
     tagger.train(*training_windows(texts, settings), settings.steps, seed=settings.seed)
