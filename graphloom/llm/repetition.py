@@ -5,7 +5,7 @@ give the intervals of maximal repeated substrings. Spans of repeats of ``min_wor
 united. A document is rejected if they cover more than ``most_covered_percent`` of its words, if the longest
 repeat has more than ``max_longest`` words, or if a base rule fails.
 
-A text is sorted whole: memory is about 30 times a long text's size (see README). A null, empty or
+A text is sorted whole: memory is about 20 to 45 times a long text's size (see README). A null, empty or
 blank text has no words and fails the base rule. Rows are judged one by one, so
 repeated rows and null ids are kept apart; other columns are ignored.
 """

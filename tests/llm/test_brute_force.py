@@ -348,3 +348,25 @@ def test_scratch_tables_are_deleted(spark):
     assert common.MADE[since:] == [kept.scratch] and kept.count() == 3
     with pytest.raises(Exception):
         spark.read.parquet(gone.scratch).count()
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.scratch_root(session)
+
+
+def test_words_and_marks_of_every_character():
+    """The cache of words splits a text as the tokenizer does, for each character below U+3100 and some above."""
+    from graphloom.llm import tokens
+
+    coder = tokens.WordIds(tokens.tokenizer_file(tokens.TOKENIZER))
+    assert coder.plain
+    for k in [*range(0x3100), 0x4E2D, 0xAC00, 0xFEFF, 0xFF01, 0x1F600, 0x20000]:
+        if 0xD800 <= k < 0xE000:
+            continue
+        c = chr(k)
+        text = f"ab{c}Cd {c} {c}, x{c}."
+        assert coder.of(text) == coder.whole(text), hex(k)
