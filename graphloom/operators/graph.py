@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -76,6 +76,12 @@ class Workspace:
         said = edge(self.mentions.select("path", "term_index", "name").distinct(), "mentions", doc("path"), F.concat(F.lit("term:"), "name"))
         return contains.unionByName(links).unionByName(code).unionByName(said)
 
+    def sizes(self) -> DataFrame:
+        """How many of each thing the index holds: what, n; 0 says it is empty."""
+        tables = {"docs": self.docs, "sections": self.sections, "symbols": self.symbols, "references": self.references, "terms": self.terms, "mentions": self.mentions}
+        counts = [df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n") for what, df in tables.items()]
+        return reduce(DataFrame.unionByName, counts)
+
     def stats(self) -> DataFrame:
         nodes, edges = (x.agg(F.count("*").alias(n)) for x, n in ((self.nodes, "node_count"), (self.edges, "edge_count")))
         return nodes.crossJoin(edges).crossJoin(resolve.counters(self.resolved))  # three rows of one

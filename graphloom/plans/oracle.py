@@ -135,6 +135,9 @@ BODIES = {
     "diagnostics": f"SELECT from_path AS path, ordinal::INT AS ordinal, status, CASE {_DOC_MESSAGE} END AS message FROM resolved WHERE status NOT IN ('DocResolved', 'CodeResolved')",
     "glossary_diagnostics": f"SELECT t.path, t.name, length(split_part(g.content, {NL}, 1))::INT AS end_utf16, '{_TWICE[0]}' || t.name || '{_TWICE[1]}' AS message FROM terms t JOIN glossary g USING (path) WHERE t.name IN (SELECT name FROM terms GROUP BY name HAVING count(*) > 1)",
     "code_lens_counts": "SELECT s.file, s.qualified, s.line::INT AS line, s.col::INT AS \"character\", count(*) AS n_refs FROM resolved r JOIN symbols s ON r.symbol_id = s.symbol_id WHERE r.status = 'CodeResolved' GROUP BY s.symbol_id, s.file, s.qualified, s.line, s.col",
+    "code_lens_of_a_file": "SELECT s.file, s.qualified, s.line::INT AS line, s.col::INT AS \"character\", count(*) AS n_refs FROM resolved r JOIN symbols s ON r.symbol_id = s.symbol_id WHERE r.status = 'CodeResolved' AND s.file = 'src/p7.rs' GROUP BY s.symbol_id, s.file, s.qualified, s.line, s.col",
+    "uris_of_paths": f"SELECT path, '{derived.ROOT_URI}/' || replace(path, ' ', '%20') AS uri, path AS back FROM files",
+    "index_sizes": " UNION ALL ".join(f"SELECT '{what}' AS what, count(*) AS n FROM {table}" for what, table in (("docs", "docs"), ("sections", "sections"), ("symbols", "symbols"), ("references", "refs"), ("terms", "terms"), ("mentions", "mentions"))),
     "symbol_info": "SELECT symbol_id, file, line::INT AS line, col::INT AS \"character\" FROM symbols",
     "doc_hover_headings": _DOC_HOVER,
     "completion_items": f"SELECT path AS label, 'FILE' AS kind, NULL::VARCHAR AS detail, path || ']]' AS new_text FROM docs UNION ALL SELECT stem, 'FILE', path, stem || ']]' FROM stems WHERE path IS NOT NULL UNION ALL SELECT file || '@' || qualified, {_CLASS}, NULL, file || '@' || qualified || ']]' FROM symbols",

@@ -193,6 +193,22 @@ def display_filter(w):
     return edges.select("kind", F.col("from").alias("from_id"), F.col("to").alias("to_id"))
 
 
+@over_workspace
+def index_sizes(w):
+    return w.sizes()
+
+
+@over_workspace
+def code_lens_of_a_file(w):
+    return lookup.code_lens(w, "src/p7.rs")
+
+
+@over_files
+def uris_of_paths(files):
+    uri = C.path_to_uri(F.col("path"), derived.ROOT_URI)
+    return files.select("path", uri.alias("uri"), C.uri_to_path(uri, derived.ROOT_URI).alias("back"))
+
+
 @over_workspace
 def link_ranges(w):
     return lookup.document_links(w, derived.ROOT_URI).filter("tooltip is null").drop("tooltip")
