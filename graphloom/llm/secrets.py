@@ -3,7 +3,8 @@
 Base spans are the patterns' matches. The method looks at every other run of ``least_chars`` or more
 identifier characters: two first-order Markov models of characters, one of random strings and one of
 ordinary identifiers, give the log-likelihood ratio of each character after the one before; a run
-whose mean ratio is ``least_ratio`` or more is a span of kind ``markov``. Of another run its pieces of
+whose mean ratio is ``least_ratio`` or more is a span of kind ``markov``, if it has ``sure_chars`` or
+both letters and digits. Of another run its pieces of
 ``least_chars`` or more between '=' and '/' are judged likewise, so that names and paths do not hide
 what stands behind them. A run or piece that meets a base span is left to it.
 
@@ -39,7 +40,9 @@ SPAN = "array<struct<start:int,rank:int,end:int>>"
 
 @dataclass(frozen=True)
 class Settings:
-    least_chars: int = 20
+    least_chars: int = 16
+    #: Runs of fewer characters than this need a letter and a digit: long numbers are ordinary.
+    sure_chars: int = 20
     #: Nats a character by which random must be likelier.
     least_ratio: float = 0.5
     smoothing: float = 0.5
@@ -164,7 +167,8 @@ def scan(docs: DataFrame, table: list[float], settings: Settings = Settings()) -
     part = IDENTIFIER.replace("/", "").replace("=", "")
     piece = f"(?<![{part}])[{part}]{{{settings.least_chars},}}+"
     ratios = F.split(F.lit(",".join(map(repr, table))), ",").cast("array<double>")
-    random = lambda m: ratio(m, ratios) >= settings.least_ratio
+    mixed = lambda m: (F.length(m) >= settings.sure_chars) | (m.rlike("[0-9]") & m.rlike("[A-Za-z]"))
+    random = lambda m: mixed(m) & (ratio(m, ratios) >= settings.least_ratio)
     pieces = lambda m: only(m.rlike("[=/]"), found(m, piece, 4, random))
     t = F.col("__text")
     kinds = {

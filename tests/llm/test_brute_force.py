@@ -195,14 +195,15 @@ def plain_added(text, model, s):
     text = text.replace("\0", "\1")
     base = [(int(x.split(":")[1]), int(x.split(":")[2])) for x in plain_secrets(text)[3].split(",") if x]
     score = lambda t: sum(model.get((a, b), 0.0) for a, b in zip(t, t[1:])) / len(t)
+    good = lambda t: (len(t) >= s.sure_chars or re.search("[0-9]", t) and re.search("[A-Za-z]", t)) and score(t) >= s.least_ratio
     out = []
     for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
         if len(m[0]) < s.least_chars:
             continue
-        if score(m[0]) >= s.least_ratio:
+        if good(m[0]):
             out.append((m.start(), m.end()))
         elif re.search("[=/]", m[0]):
-            out += [(m.start() + p.start(), m.start() + p.end()) for p in re.finditer(r"[A-Za-z0-9+_-]+", m[0]) if len(p[0]) >= s.least_chars and score(p[0]) >= s.least_ratio]
+            out += [(m.start() + p.start(), m.start() + p.end()) for p in re.finditer(r"[A-Za-z0-9+_-]+", m[0]) if len(p[0]) >= s.least_chars and good(p[0])]
     return [(a, b) for a, b in out if not any(x < b and a < y for x, y in base)]
 
 
