@@ -38,8 +38,8 @@ from .words import U, Words, chunks, grams, mix
 
 #: Keys that a task remembers while it looks for documents that meet in it already (under 30 MB).
 TASK_KEYS = 150_000
-#: Characters of text that are worked on together (under 40 MB).
-CHUNK_CHARS = 500_000
+#: Characters of text that are worked on together (under 20 MB).
+CHUNK_CHARS = 200_000
 BLOCK = 1024
 #: A region weighs as many members as it has, or more if they take more than this on average.
 MEMBER_BYTES = 8_192

@@ -18,9 +18,9 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text that are worked on together; the arrays take about 60 times as much memory.
-CHUNK_BYTES = 500_000
+CHUNK_BYTES = 200_000
 #: Bytes of one text that are hashed together: longer texts are hashed part by part.
-SEGMENT = 750_000
+SEGMENT = 300_000
 
 _powers = [np.ones(1, U), np.ones(1, U)]
 
