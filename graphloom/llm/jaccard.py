@@ -386,12 +386,14 @@ def regions(signed: DataFrame) -> DataFrame:
     keyed = signed.select(F.explode("keys").alias("key"), "id")
     meeting = common.materialize(keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_meet, "u long, v long").distinct(), "meeting")
     met = signed.select(F.col("id").alias("u"), F.explode("met").alias("v"))
-    # A set that met another in its task has no key of its own there: it goes where the other goes.
-    follow = met.join(meeting.select(F.col("u").alias("q"), F.col("v").alias("p")), F.col("v") == F.col("q")).select("u", F.col("p").alias("v"))
-    pairs = meeting.unionByName(met).unionByName(follow)
-    every = pairs.unionByName(pairs.select(F.col("v").alias("u"), "v"))
+    mine = meeting.groupBy("u").agg(F.collect_set("v").alias("to"))
+    # A set that met another in its task has no key of its own there: it goes where the other goes, and to it.
+    # One row for each pair that met, with all of the other's regions: they are not paired one by one.
+    follow = met.join(mine.select(F.col("u").alias("v"), "to"), "v", "left").select("u", F.concat(F.array("v"), F.coalesce("to", F.array().cast("array<long>"))).alias("to"))
+    pivots = meeting.select("v").unionByName(met.select("v")).distinct().select(F.col("v").alias("u"), F.array("v").alias("to"))
+    every = mine.unionByName(follow).unionByName(pivots)
     # No more of a set than it has keys, or met in its task.
-    found = common.materialize(every.groupBy("u").agg(F.collect_set("v").alias("regions")), "regions-of-sets")
+    found = common.materialize(every.groupBy("u").agg(F.array_distinct(F.flatten(F.collect_list("to"))).alias("regions")), "regions-of-sets")
     common.discard(meeting)
     return found
 
