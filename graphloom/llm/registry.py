@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, decontaminate, importance, jaccard, langid, mixing, pages, pii, repetition, secrets, tokens
+from . import common, decontaminate, importance, jaccard, langid, mixing, pages, pii, prefixes, repetition, secrets, tokens
 
 
 def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +53,15 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.table(spark, sf_dir, "documents"))
 
 
+#: Tokens that op11 allows a text.
+LIMIT = 1024
+
+
+def op11_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = prefixes.cuts(prefixes.prefixes(common.table(spark, sf_dir, "documents")), LIMIT)
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"), "fit_chars", "fit_tokens")
+
+
 QUERIES = {
     "op1_suffix_repetition": op1_suffix_repetition,
     "op2_bilstm_crf_pii": op2_bilstm_crf_pii,
@@ -64,6 +73,7 @@ QUERIES = {
     "op8_prefix_join": op8_prefix_join,
     "op9_metric_jaccard": op9_metric_jaccard,
     "op10_poisson_mix": op10_poisson_mix,
+    "op11_prefix_counts": op11_prefix_counts,
 }
 ORACLES: dict[str, str] = {
     "op1_suffix_repetition": repetition.SQL,
