@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, decontaminate, importance, jaccard, langid, mixing, pages, pii, prefixes, repetition, secrets, tokens
+from . import common, decontaminate, importance, jaccard, langid, mixing, pages, pii, prefixes, repetition, secrets, tokens, whitening
 
 
 def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,11 @@ def op11_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"), "fit_chars", "fit_tokens")
 
 
+def op12_digit_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(common.table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))  # null beyond a long
+
+
 QUERIES = {
     "op1_suffix_repetition": op1_suffix_repetition,
     "op2_bilstm_crf_pii": op2_bilstm_crf_pii,
@@ -74,6 +79,7 @@ QUERIES = {
     "op9_metric_jaccard": op9_metric_jaccard,
     "op10_poisson_mix": op10_poisson_mix,
     "op11_prefix_counts": op11_prefix_counts,
+    "op12_digit_whitening": op12_digit_whitening,
 }
 ORACLES: dict[str, str] = {
     "op1_suffix_repetition": repetition.SQL,
