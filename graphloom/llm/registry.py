@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, decontaminate, importance, jaccard, langid, mixing, pages, pii, prefixes, repetition, secrets, tokens, whitening
+from . import common, conversations, decontaminate, importance, jaccard, langid, mixing, pages, pii, prefixes, repetition, secrets, tokens, whitening
 
 
 def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +67,11 @@ def op12_digit_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("deviation", F.col("deviation").try_cast("long"))  # null beyond a long
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = common.table(spark, sf_dir, "conversations")
+    return conversations.report(rows, conversations.repair(conversations.damaged(rows)))
+
+
 QUERIES = {
     "op1_suffix_repetition": op1_suffix_repetition,
     "op2_bilstm_crf_pii": op2_bilstm_crf_pii,
@@ -80,6 +85,7 @@ QUERIES = {
     "op10_poisson_mix": op10_poisson_mix,
     "op11_prefix_counts": op11_prefix_counts,
     "op12_digit_whitening": op12_digit_whitening,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLES: dict[str, str] = {
     "op1_suffix_repetition": repetition.SQL,
