@@ -412,7 +412,8 @@ def report(conversations: DataFrame, repaired: Repaired) -> DataFrame:
     n = lambda letter: F.length("faults") - F.length(F.replace("faults", F.lit(letter), F.lit("")))
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("initials") - 1)), lambda i: F.concat(F.get("initials", i - 1), F.coalesce(F.get("initials", i), F.lit("?"))))
     illegal = F.when(F.size("initials") < 2, 0).otherwise(F.size(F.filter(pairs, lambda p: ~p.isin(*sorted(LEGAL)))))
-    spread = F.coalesce(F.least(F.lit(LONG).cast("decimal(38,0)"), F.col("high").cast("decimal(38,0)") - F.col("low") + 1 - F.col("n_turns")).cast("long"), F.lit(0))
+    spread = F.col("high").cast("decimal(38,0)") - F.col("low") + 1 - F.col("n_turns")
+    spread = F.when(spread.isNull(), 0).otherwise(F.least(F.lit(LONG).cast("decimal(38,0)"), spread)).cast("long")
     found = repaired.short(
         "k", spread.alias("gaps"), n("b").cast("long").alias("blank"), n("d").cast("long").alias("duplicate"), n("t").cast("long").alias("truncated"), illegal.cast("long").alias("illegal"),
         "cost", "audit", F.sha2(F.array_join(_lines(), "\n").cast("binary"), 256).alias("repaired_sha256"),
