@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import ahocorasick
 
 from .markdown import Note, inside
@@ -34,32 +36,50 @@ class Matcher:
     def __getstate__(self):
         return {"terms": self.terms, "automaton": None}
 
-    def find(self, text: str, note: Note, path: str) -> list[tuple[int, int, int]]:
-        """Term index, start and end of each mention. A note's own term uses its text up unseen."""
+    def hits(self, text: str, body: int) -> list[tuple[int, int, int, Term]]:
+        """Start, bytes, length and term of the longest term at each place of the body where there is one."""
         if self.automaton is None:
             self.build()
         if not self.automaton:
             return []
-        ranges: list[tuple[int, int]] = []
-        for a, b in sorted(note.code + note.brackets):
-            if ranges and a <= ranges[-1][1]:
-                ranges[-1] = (ranges[-1][0], max(b, ranges[-1][1]))
-            else:
-                ranges.append((a, b))
-        starts = [a for a, _ in ranges]
         best: dict[int, tuple[int, int, Term]] = {}
-        for last, (size, length, ascii_, term) in self.automaton.iter(text, note.body):
+        for last, (size, length, ascii_, term) in self.automaton.iter(text, body):
             start = last + 1 - length
             if ascii_ and (start and text[start - 1] in WORD or last + 1 < len(text) and text[last + 1] in WORD):
                 continue
             if start not in best or size > best[start][0]:
                 best[start] = (size, length, term)
-        out, at = [], note.body
-        for start in sorted(best):
-            if start < at or inside(start, ranges, starts):
-                continue
-            _, length, (index, _, own) = best[start]
-            if own != path:
-                out.append((index, start, start + length))
-            at = start + length
-        return out
+        return [(start, *best[start]) for start in sorted(best)]
+
+    def find(self, text: str, note: Note, path: str) -> list[tuple[int, int, int]]:
+        """Term index, start and end of each mention."""
+        ranges = closed(note)
+        found = reconciled(((start, start + length, own, index) for start, _, length, (index, _, own) in self.hits(text, note.body)), ranges, path)
+        return [(index, a, b) for a, b, _, index in found]
+
+
+def closed(note: Note) -> list[tuple[int, int]]:
+    """Where no mention begins: code and brackets, as ranges apart from each other."""
+    ranges: list[tuple[int, int]] = []
+    for a, b in sorted(note.code + note.brackets):
+        if ranges and a <= ranges[-1][1]:
+            ranges[-1] = (ranges[-1][0], max(b, ranges[-1][1]))
+        else:
+            ranges.append((a, b))
+    return ranges
+
+
+def reconciled(hits: Iterable[tuple], ranges: list[tuple[int, int]], path: str) -> list[tuple]:
+    """Of hits (start, end, path of the term's note, ...) in order, one for each start, those that are mentions.
+
+    From left to right: a hit in a closed range is none, one that is taken uses its text up, and a
+    note's own term does so unseen.
+    """
+    starts, out, at = [a for a, _ in ranges], [], 0
+    for hit in hits:
+        if hit[0] < at or inside(hit[0], ranges, starts):
+            continue
+        at = hit[1]
+        if hit[2] != path:
+            out.append(hit)
+    return out

@@ -7,50 +7,60 @@ from pyspark.sql import DataFrame, functions as F
 
 from graphloom.functions import columns as C, markdown, source_code
 from graphloom.functions.terms import Matcher
-from graphloom.operators.scratch import materialize
+from graphloom.operators.scratch import Scratch, materialize, running
 
 #: Places are (line, character in code points, character in UTF-16 units), the end outside.
 PLACES = ("start_line", "start_char", "end_line", "end_char", "start_utf16", "end_utf16")
 LINK = pa.struct([("ordinal", pa.int32()), ("raw", pa.string()), *((n, pa.int32()) for n in PLACES)])
-MENTION = pa.struct([("term_index", pa.int32()), ("name", pa.string()), *((n, pa.int32()) for n in PLACES)])
+MENTION = pa.struct([("name", pa.string()), *((n, pa.int32()) for n in PLACES)])
 _AT = ",".join(f"{n}:int" for n in PLACES)
-NOTE = f"path string, headings array<string>, links array<struct<ordinal:int,raw:string,{_AT}>>, mentions array<struct<term_index:int,name:string,{_AT}>>"
+NOTE = f"path string, headings array<string>, links array<struct<ordinal:int,raw:string,{_AT}>>, mentions array<struct<name:string,{_AT}>>"
 SYMBOL = "file string, ordinal int, sym_path array<string>, qualified string, kind string, disambiguator string, " + ", ".join(f"{n} int" for n in (*PLACES, "name_line", "name_char", "name_end_line", "name_end_char", "name_utf16", "name_end_utf16"))
+_OWN = [c.split()[0] for c in SYMBOL.split(", ")[2:]]
+SOURCE = "file string, symbols array<struct<" + ",".join(c.replace(" ", ":") for c in SYMBOL.split(", ")[2:]) + ">>"
 #: Order of extensions in which symbols are numbered.
 RANKS = {"rs": 0, "c": 1, "h": 2}
 
 
-def _span(lines: markdown.Lines, a: int, b: int) -> tuple[int, ...]:
+def span(lines: markdown.Lines, a: int, b: int) -> tuple[int, ...]:
     return (*lines.place(a), *lines.place(b), lines.utf16(a), lines.utf16(b))
 
 
+def links(note: markdown.Note, lines: markdown.Lines) -> list[dict]:
+    """The links of a note as values of LINK."""
+    return [dict(zip(LINK.names, (k, raw, *span(lines, a, b)), strict=True)) for k, (raw, a, b) in enumerate(note.links)]
+
+
 def _notes(matcher: Matcher | None):
     def run(batches):
         for batch in batches:
-            headings, links, said = [], [], []
+            headings, asked, said = [], [], []
             for path, text in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 text = text or ""
                 note, lines = markdown.read(text), markdown.Lines(text)
                 headings.append(note.headings)
-                links.append([dict(zip(LINK.names, (k, raw, *_span(lines, a, b)), strict=True)) for k, (raw, a, b) in enumerate(note.links)])
+                asked.append(links(note, lines))
                 spans = matcher.find(text, note, path) if matcher else []
-                said.append([dict(zip(MENTION.names, (k, matcher.terms[k][1], *_span(lines, a, b)), strict=True)) for k, a, b in spans])
-            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(headings, pa.list_(pa.string())), pa.array(links, pa.list_(LINK)), pa.array(said, pa.list_(MENTION))], ["path", "headings", "links", "mentions"])
+                said.append([dict(zip(MENTION.names, (matcher.terms[k][1], *span(lines, a, b)), strict=True)) for k, a, b in spans])
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(headings, pa.list_(pa.string())), pa.array(asked, pa.list_(LINK)), pa.array(said, pa.list_(MENTION))], ["path", "headings", "links", "mentions"])
 
     return run
 
 
-def _symbols(batches):
-    kinds = [pa.string(), pa.int32(), pa.list_(pa.string()), pa.string(), pa.string(), pa.string(), *[pa.int32()] * 12]
-    names = [x.split()[0] for x in SYMBOL.split(", ")]
+def _sources(batches):
+    """A row for each file, with its symbols in order."""
+    kinds = [pa.list_(pa.string()), pa.string(), pa.string(), pa.string(), *[pa.int32()] * 12]
     for batch in batches:
-        rows = []
+        rows, ends = [], [0]
         for path, text in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
             text = text or ""
             lines = markdown.Lines(text)
-            for k, (own, kind, a, b, c, d) in enumerate(source_code.symbols(path, text)):
-                rows.append((path, k, list(own), "::".join(own), kind, None, *_span(lines, a, b), *_span(lines, c, d)))
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+            for own, kind, a, b, c, d in source_code.symbols(path, text):
+                rows.append((list(own), "::".join(own), kind, None, *span(lines, a, b), *span(lines, c, d)))
+            ends.append(len(rows))
+        fields = pa.StructArray.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=_OWN)
+        found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), fields)
+        yield pa.RecordBatch.from_arrays([batch.column("path"), found], ["file", "symbols"])
 
 
 def notes(files: DataFrame, matcher: Matcher | None = None) -> DataFrame:
@@ -75,41 +85,32 @@ def references(parsed: DataFrame) -> DataFrame:
     return every.withColumn("ref", C.parse_reference(F.col("raw"))).select("*", "ref.*").drop("ref")
 
 
-def symbols(files: DataFrame) -> DataFrame:
-    """Definitions of every Rust and C file of ``files`` (path, content), without ids.
+def sources(files: DataFrame) -> DataFrame:
+    """SOURCE: each Rust and C file of ``files`` (path, content) with its definitions, none or more.
 
     ``disambiguator`` is part of a descriptor, and null: nothing fills it yet.
     """
     own = files.filter(C.extension(F.col("path")).isin(*RANKS)).select("path", "content")
-    return own.mapInArrow(_symbols, SYMBOL)
+    return own.mapInArrow(_sources, SOURCE)
 
 
-def _number(batches):
-    from pyspark import TaskContext
+def unfolded(parsed: DataFrame, *more: str) -> DataFrame:
+    """A row for each symbol of ``parsed`` (SOURCE), without ids: columns SYMBOL."""
+    return parsed.select("file", *more, F.posexplode("symbols").alias("ordinal", "s")).select("file", *more, "ordinal", "s.*")
 
-    part, at = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        n = batch.num_rows
-        yield batch.append_column("part", pa.array([part] * n, pa.int32())).append_column("at", pa.array(range(at, at + n), pa.int64()))
-        at += n
+
+def symbols(files: DataFrame) -> DataFrame:
+    return unfolded(sources(files))
 
 
-def numbered(found: DataFrame) -> DataFrame:
-    """``symbol_id``: dense from 0, by extension, file and place in the file.
+def numbered(parsed: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """``symbol_id``, dense from 0 by extension, file and place in the file, and SYMBOL, of ``parsed`` (SOURCE, a table).
 
-    A range sort numbers rows inside its partitions; partition sizes, one row each, give the rest. So
-    no single task holds all symbols, as it would with a global row_number. Symbols are written first:
-    a range sort reads its input twice, which would parse every file twice.
+    Only files are sorted, by name and number of symbols; a symbol's id is its file's first one and its
+    place. Paths are unique.
     """
-    spark = found.sparkSession
     rank = F.coalesce(*[F.when(C.extension(F.col("file")) == e, r) for e, r in RANKS.items()], F.lit(len(RANKS)))
-    ranked = materialize(found, "symbols").withColumn("rank", rank)
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = ranked.repartitionByRange(width, "rank", "file").sortWithinPartitions("rank", "file", "ordinal").drop("rank")
-    placed = materialize(ordered.mapInArrow(_number, f"{SYMBOL}, part int, at long"), "numbered")
-    base, starts = 0, []
-    for r in sorted(placed.groupBy("part").count().collect()):  # a row for each partition
-        starts.append((r["part"], base))
-        base += r["count"]
-    offsets = spark.createDataFrame(starts, "part int, base long")
-    return placed.join(F.broadcast(offsets), "part").select((F.col("at") + F.col("base")).alias("symbol_id"), *found.columns)
+    sizes = parsed.select("file", rank.alias("rank"), F.size("symbols").alias("n"))
+    first = running(sizes, ["rank", "file"], {"first": "n"}, scratch).select(F.col("file").alias("of"), "first")
+    every = unfolded(parsed.join(first, F.col("file") == F.col("of")), "first")
+    return every.select((F.col("first") + F.col("ordinal")).alias("symbol_id"), *(c.split()[0] for c in SYMBOL.split(", ")))

@@ -1,15 +1,27 @@
-"""Glossary notes as terms, terms defined twice, and mentions of terms in notes."""
+"""Glossary notes as terms, terms defined twice, and mentions of terms in notes.
+
+A glossary whose names and paths are proven to take at most ``BROADCAST_BYTES`` is sent to the tasks that parse the
+notes. A larger one, of any size, is dealt by the hash of the name into shards, each small enough for one
+automaton: every note is read once for each shard, its hits become rows, and one pass over a note's hits keeps
+what a single automaton would have found.
+"""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from graphloom.functions import columns as C
-from graphloom.functions.terms import Matcher
+from graphloom.functions import columns as C, markdown
+from graphloom.functions.terms import Matcher, closed, reconciled
 from graphloom.operators import documents
+from graphloom.operators.scratch import Scratch, materialize
 
-#: A glossary is written by people. One automaton holds it up to here (about 1 GB); beyond, the work is refused.
-MOST_TERMS = 1_000_000
+#: Bytes of names and paths: of a glossary that is broadcast, and of one shard (some 40,000 terms).
+BROADCAST_BYTES = 2 << 20
+SHARD_BYTES = 2 << 20
 
 
 def terms(files: DataFrame) -> DataFrame:
@@ -22,19 +34,107 @@ def duplicates(found: DataFrame) -> DataFrame:
     return found.groupBy("name").agg(F.count("*").alias("n_notes")).filter("n_notes > 1")
 
 
-def matcher(found: DataFrame) -> Matcher:
-    """For the terms of ``found``, in the order of their paths."""
-    rows = found.select("name", "path").orderBy("path").limit(MOST_TERMS + 1).collect()
-    if len(rows) > MOST_TERMS:
-        raise ValueError(f"a glossary of more than {MOST_TERMS} terms")
-    return Matcher([(k, r["name"], r["path"]) for k, r in enumerate(rows)])
+def unique(found: DataFrame) -> DataFrame:
+    """name and path: of notes that define one term, the first by path counts."""
+    return found.filter("name <> ''").groupBy("name").agg(F.min("path").alias("path"))
+
+
+def annotated(files: DataFrame, found: DataFrame, scratch: Scratch | None = None, broadcast_bytes: int = BROADCAST_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """documents.NOTE of every note of ``files``, with mentions of the terms ``found``."""
+    own = materialize(unique(found), "glossary", scratch)
+    size = own.agg(F.sum(F.octet_length("name") + F.octet_length("path"))).first()[0] or 0
+    if size <= broadcast_bytes:
+        rows = own.collect()  # of proven size
+        return documents.notes(files, Matcher([(k, r.name, r.path) for k, r in enumerate(rows)]))
+    return sharded(files, own, max(1, math.ceil(size / shard_bytes)))
+
+
+_PLACES = [(n, pa.int32()) for n in documents.PLACES]
+HIT = pa.struct([("a", pa.int64()), ("b", pa.int64()), ("size", pa.int32()), ("own", pa.string()), ("name", pa.string()), *_PLACES])
+_AT = ",".join(f"{n}:int" for n in documents.PLACES)
+_HIT = f"array<struct<a:bigint,b:bigint,size:int,own:string,name:string,{_AT}>>"
+#: A note as one shard sees it: the first shard parses it as well.
+SEEN = documents.NOTE.split(", mentions")[0] + f", shard int, closed array<array<bigint>>, hits {_HIT}"
+_SEEN = pa.schema([
+    ("path", pa.string()), ("headings", pa.list_(pa.string())), ("links", pa.list_(documents.LINK)), ("shard", pa.int32()),
+    ("closed", pa.list_(pa.list_(pa.int64()))), ("hits", pa.list_(HIT)),
+])
+
+
+def _hits(batches) -> Iterator[pa.RecordBatch]:
+    """Terms of a shard come before the notes of its bucket."""
+    key, gathered, matcher = None, [], None
+    for batch in batches:
+        out = []
+        columns = (batch.column(c).to_pylist() for c in ("shard", "bucket", "name", "path", "content"))
+        for shard, bucket, name, path, text in zip(*columns, strict=True):
+            if (shard, bucket) != key:
+                key, gathered, matcher = (shard, bucket), [], None
+            if name is not None:
+                gathered.append((len(gathered), name, path))
+                continue
+            matcher = matcher or Matcher(gathered)
+            text = text or ""
+            lines = markdown.Lines(text)
+            note = markdown.read(text) if shard == 0 else None
+            found = []
+            for start, size, length, (_, term, own) in matcher.hits(text, markdown.body_start(text)):
+                at = documents.span(lines, start, start + length)
+                found.append({"a": start, "b": start + length, "size": size, "own": own, "name": term, **dict(zip(documents.PLACES, at, strict=True))})
+            out.append({
+                "path": path, "headings": note and note.headings, "links": note and documents.links(note, lines), "shard": shard,
+                "closed": note and [list(r) for r in closed(note)], "hits": found,
+            })
+        if out:
+            yield pa.RecordBatch.from_pylist(out, _SEEN)
+
+
+def _reconcile(batches) -> Iterator[pa.RecordBatch]:
+    """A note's rows come together, that of the first shard first: at each place the longest hit, then from left to right."""
+    schema = pa.schema([("path", pa.string()), ("headings", pa.list_(pa.string())), ("links", pa.list_(documents.LINK)), ("mentions", pa.list_(documents.MENTION))])
+    note, best = None, {}
+
+    def done() -> dict:
+        hits = (best[a] for a in sorted(best))
+        kept = reconciled(((h["a"], h["b"], h["own"], h) for h in hits), [tuple(r) for r in note["closed"]], note["path"])
+        said = [{n: h[n] for n in documents.MENTION.names} for *_, h in kept]
+        return {"path": note["path"], "headings": note["headings"], "links": note["links"], "mentions": said}
+
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            if row["shard"] == 0:
+                if note is not None:
+                    out.append(done())
+                note, best = row, {}
+            for h in row["hits"]:
+                if h["a"] not in best or h["size"] > best[h["a"]]["size"]:
+                    best[h["a"]] = h
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema)
+    if note is not None:
+        yield pa.RecordBatch.from_pylist([done()], schema)
+
+
+def sharded(files: DataFrame, own: DataFrame, shards: int) -> DataFrame:
+    """As :func:`annotated`, with terms ``own`` (unique names, paths) in ``shards`` automata. Paths of notes are unique."""
+    buckets = max(1, math.ceil(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")) / shards))
+    of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    none = F.lit(None).cast("string")
+    copies = own.select(of("name", shards).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), "name", "path", none.alias("content"))
+    notes = files.filter(C.extension(F.col("path")) == "md").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), of("path", buckets).alias("bucket"), none.alias("name"), "path", "content")
+    both = copies.unionByName(notes).repartitionById(shards * buckets, F.col("shard") * buckets + F.col("bucket"))
+    seen = both.sortWithinPartitions("shard", "bucket", F.col("name").isNull(), "name").mapInArrow(_hits, SEEN)
+    if shards > 1:
+        seen = seen.repartition("path").sortWithinPartitions("path", "shard")
+    return seen.mapInArrow(_reconcile, documents.NOTE)
 
 
 def said(parsed: DataFrame) -> DataFrame:
-    """One row for each mention in notes that were parsed with a matcher."""
+    """One row for each mention in notes that were parsed with a glossary."""
     return parsed.select("path", F.explode("mentions").alias("m")).select("path", "m.*")
 
 
 def mentions(files: DataFrame, found: DataFrame) -> DataFrame:
-    """Every mention of a term in a note of ``files``, in the order of term names and paths."""
-    return said(documents.notes(files, matcher(found)))
+    """Every mention of a term in a note of ``files``."""
+    return said(annotated(files, found))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from graphloom.functions import columns as C
 from graphloom.operators import documents, glossary, resolve
-from graphloom.operators.scratch import materialize
+from graphloom.operators.scratch import Scratch, materialize, running
 
 NODE_KINDS = ("doc", "section", "symbol", "term")
 EDGE_KINDS = ("links", "references", "mentions", "contains")
@@ -18,11 +18,21 @@ class Workspace:
     """Everything the index knows, as DataFrames, each computed when it is first asked for.
 
     Notes are parsed in one pass that finds headings, links and mentions, and sources in another; what
-    they give is written, as are resolved references, and all that follows reads it.
+    they give is written, as are resolved references, and all that follows reads it until ``close``.
+    Statuses ask only how many symbols a link names, so they parse just the sources that links name and number
+    nothing. Paths of files are unique.
     """
 
     def __init__(self, files: DataFrame):
         self.files = files
+        self.scratch = Scratch()
+
+    def close(self) -> None:
+        """Delete the tables that were written: what was asked for here can no longer be read."""
+        self.scratch.close()
+
+    def _keep(self, df: DataFrame, name: str) -> DataFrame:
+        return materialize(df, name, self.scratch)
 
     @cached_property
     def docs(self) -> DataFrame:
@@ -34,7 +44,7 @@ class Workspace:
 
     @cached_property
     def parsed(self) -> DataFrame:
-        return materialize(documents.notes(self.files, glossary.matcher(self.terms)), "notes")
+        return self._keep(glossary.annotated(self.files, self.terms, self.scratch), "notes")
 
     @cached_property
     def sections(self) -> DataFrame:
@@ -48,13 +58,38 @@ class Workspace:
     def mentions(self) -> DataFrame:
         return glossary.said(self.parsed)
 
+    @cached_property
+    def sources(self) -> DataFrame:
+        return self._keep(documents.sources(self.files), "sources")
+
+    @property
+    def found(self) -> DataFrame:
+        """Symbols without ids."""
+        return documents.unfolded(self.sources)
+
     @cached_property
     def symbols(self) -> DataFrame:
-        return documents.numbered(documents.symbols(self.files))
+        return documents.numbered(self.sources, self.scratch)
+
+    @cached_property
+    def named(self) -> DataFrame:
+        """Symbols, without ids, of the sources that a link names; other sources are not parsed for this."""
+        asked = self.references.filter("file is not null").select(F.col("file").alias("asked")).distinct()
+        if "sources" in self.__dict__:
+            return documents.unfolded(self.sources.join(asked, F.col("file") == F.col("asked"), "left_semi"))
+        return documents.unfolded(self._keep(documents.sources(self.files.join(asked, F.col("path") == F.col("asked"), "left_semi")), "named-sources"))
 
     @cached_property
     def resolved(self) -> DataFrame:
-        return materialize(resolve.resolve(self.references, self.docs, self.sections, self.symbols), "resolved")
+        """References with what they resolve to, by id."""
+        return self._keep(resolve.resolve(self.references, self.docs, self.sections, self.symbols), "resolved")
+
+    @cached_property
+    def statuses(self) -> DataFrame:
+        """References with their status, the note they lead to, and how many symbols they name."""
+        if "resolved" in self.__dict__:
+            return self.resolved
+        return self._keep(resolve.resolve(self.references, self.docs, self.sections, self.named), "statuses")
 
     @property
     def nodes(self) -> DataFrame:
@@ -73,18 +108,18 @@ class Workspace:
         contains = edge(self.sections, "contains", doc("path"), F.concat(F.lit("section:"), "path", F.lit("#"), "heading"))
         links = edge(self.resolved.filter("doc_path is not null"), "links", doc("from_path"), doc("doc_path"))
         code = edge(self.resolved.filter("status = 'CodeResolved'"), "references", doc("from_path"), F.concat(F.lit("symbol:"), F.col("symbol_id").cast("string")))
-        said = edge(self.mentions.select("path", "term_index", "name").distinct(), "mentions", doc("path"), F.concat(F.lit("term:"), "name"))
+        said = edge(self.mentions.select("path", "name").distinct(), "mentions", doc("path"), F.concat(F.lit("term:"), "name"))
         return contains.unionByName(links).unionByName(code).unionByName(said)
 
     def sizes(self) -> DataFrame:
         """How many of each thing the index holds: what, n; 0 says it is empty."""
-        tables = {"docs": self.docs, "sections": self.sections, "symbols": self.symbols, "references": self.references, "terms": self.terms, "mentions": self.mentions}
+        tables = {"docs": self.docs, "sections": self.sections, "symbols": self.found, "references": self.references, "terms": self.terms, "mentions": self.mentions}
         counts = [df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n") for what, df in tables.items()]
         return reduce(DataFrame.unionByName, counts)
 
     def stats(self) -> DataFrame:
         nodes, edges = (x.agg(F.count("*").alias(n)) for x, n in ((self.nodes, "node_count"), (self.edges, "edge_count")))
-        return nodes.crossJoin(edges).crossJoin(resolve.counters(self.resolved))  # three rows of one
+        return nodes.crossJoin(edges).crossJoin(resolve.counters(self.statuses))  # three rows of one
 
 
 def index(files: DataFrame) -> Workspace:
@@ -124,6 +159,38 @@ def write_json(nodes: DataFrame, edges: DataFrame, path: str, include_sections:
     return path
 
 
+def json_parts(nodes: DataFrame, edges: DataFrame, include_sections: bool = False, scratch: Scratch | None = None) -> DataFrame:
+    """The graph as one JSON document in parts: ordinal, ``at`` (characters before it) and text.
+
+    A part is a node or an edge with the brackets and commas before it, in the order of ids and ends; the last one
+    closes the document. Parts are numbered by prefix sums, so no task holds more than its share.
+    """
+    if not include_sections:
+        nodes, edges = without_sections(nodes, edges)
+    own = nodes.select(F.lit(1).alias("group"), F.col("id").alias("x"), F.col("kind").alias("y"), F.col("label").alias("z"), F.to_json(F.struct("id", "kind", "label")).alias("json"))
+    between = edges.select(F.lit(3).alias("group"), F.col("kind").alias("x"), F.col("from").alias("y"), F.col("to").alias("z"), F.to_json(F.struct("kind", "from", "to")).alias("json"))
+    marks = nodes.sparkSession.createDataFrame([(0, '{"nodes":['), (2, '],"edges":['), (4, "]}")], "group int, json string")
+    empty = F.lit("")
+    every = own.unionByName(between).unionByName(marks.select("group", empty.alias("x"), empty.alias("y"), empty.alias("z"), "json"))
+    table = materialize(every, "json-parts", scratch)
+    counted = running(table, ["group", "x", "y", "z"], {"ordinal": "1", "chars": "length(json)"}, scratch)
+    sizes = table.agg(F.count_if(F.col("group") == 1).alias("n_nodes"), F.count_if(F.col("group") == 3).alias("n_edges"))
+    nodes_before = F.least(F.col("n_nodes"), F.greatest(F.lit(0), F.col("ordinal") - 1))
+    edges_before = F.least(F.col("n_edges"), F.greatest(F.lit(0), F.col("ordinal") - 2 - F.col("n_nodes")))
+    commas = F.greatest(F.lit(0), nodes_before - 1) + F.greatest(F.lit(0), edges_before - 1)
+    leads = (F.col("group") % 2 == 0) | (F.col("ordinal") == 1) | (F.col("ordinal") == F.col("n_nodes") + 2)
+    text = F.when(leads, F.col("json")).otherwise(F.concat(F.lit(","), "json"))
+    return counted.crossJoin(F.broadcast(sizes)).select("ordinal", (F.col("chars") + commas).alias("at"), text.alias("text"))  # one row of sizes
+
+
+def write_document(nodes: DataFrame, edges: DataFrame, path: str, include_sections: bool = False, scratch: Scratch | None = None) -> str:
+    """The JSON document as text files below ``path``, one part a line: put together in the order of their names they are it."""
+    parts = json_parts(nodes, edges, include_sections, scratch)
+    width = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts.repartitionByRange(width, "ordinal").sortWithinPartitions("ordinal").select("text").write.mode("overwrite").text(path)
+    return path
+
+
 #: Rows of a graph that to_json takes (about 200 MB of JSON in one row).
 MOST_JSON = 2_000_000
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from graphloom.functions import columns as C
-from graphloom.operators import glossary, resolve
+from graphloom.operators import documents, glossary, resolve
 from graphloom.operators.graph import Workspace
 
 # The messages of diagnostics, by status; the ambiguous one holds the number of candidates.
@@ -25,9 +25,9 @@ def diagnostics(w: Workspace) -> DataFrame:
     """A warning for each link that does not resolve."""
     message = F.lit(None).cast("string")
     for status, text in MESSAGES.items():
-        shown = F.format_string(text, F.size("candidates")) if "%d" in text else F.lit(text)
+        shown = F.format_string(text, "n_candidates") if "%d" in text else F.lit(text)
         message = F.when(F.col("status") == status, shown).otherwise(message)
-    return w.resolved.withColumn("message", message).filter("message is not null").select(F.col("from_path").alias("path"), "ordinal", *RANGE, "status", F.lit("warning").alias("severity"), "message")
+    return w.statuses.withColumn("message", message).filter("message is not null").select(F.col("from_path").alias("path"), "ordinal", *RANGE, "status", F.lit("warning").alias("severity"), "message")
 
 
 def all_diagnostics(w: Workspace, paths: DataFrame | None = None) -> DataFrame:
@@ -46,14 +46,20 @@ def glossary_diagnostics(w: Workspace) -> DataFrame:
     return w.files.join(own, F.col("path") == F.col("p")).select("path", "name", F.lit(0).alias("start_line"), F.lit(0).alias("start_utf16"), F.lit(0).alias("end_line"), C.utf16_length(first).alias("end_utf16"), F.lit("warning").alias("severity"), F.format_string(DUPLICATE_TERM, "name").alias("message"))
 
 
-def reference_counts(w: Workspace) -> DataFrame:
-    return w.resolved.filter("status = 'CodeResolved'").groupBy("symbol_id").agg(F.count("*").alias("n_refs"))
+def reference_counts(refs: DataFrame) -> DataFrame:
+    """How many of ``refs`` name each (file, sym_path)."""
+    return refs.filter("ref_kind = 'code'").groupBy("file", "sym_path").agg(F.count("*").alias("n_refs"))
 
 
 def code_lens(w: Workspace, file: str | None = None) -> DataFrame:
-    """Symbols with references, and how many; those without are left out."""
-    symbols = w.symbols if file is None else w.symbols.filter(F.col("file") == file)
-    return symbols.join(reference_counts(w), "symbol_id").select("file", "qualified", F.col("name_line").alias("line"), F.col("name_utf16").alias("character"), "n_refs")
+    """Symbols with references, and how many; those without are left out.
+
+    A name that several symbols have resolves to none. For one file, that file alone is parsed, and only
+    references to it are counted.
+    """
+    symbols, refs = (w.named, w.references) if file is None else (documents.symbols(w.files.filter(F.col("path") == file)), w.references.filter(F.col("file") == file))
+    alone = symbols.groupBy("file", "sym_path").agg(F.count("*").alias("n"), F.first("qualified").alias("qualified"), F.first("name_line").alias("name_line"), F.first("name_utf16").alias("name_utf16")).filter("n = 1")
+    return alone.join(reference_counts(refs), ["file", "sym_path"]).select("file", "qualified", F.col("name_line").alias("line"), F.col("name_utf16").alias("character"), "n_refs")
 
 
 def symbol_info(w: Workspace, symbol_id: int | None = None) -> DataFrame:
@@ -132,7 +138,7 @@ def hovers_at(w: Workspace, at: DataFrame) -> DataFrame:
     asked = at.select(*(F.col(c).alias(f"at_{c}") for c in PLACE)).distinct()
     free = asked.join(hits.select(*(f"at_{c}" for c in PLACE)), [f"at_{c}" for c in PLACE], "left_anti")
     said = w.mentions.join(free, (F.col("path") == F.col("at_path")) & (F.col("start_line") == F.col("at_line"))).filter(holds(F.col("at_line"), F.col("at_character")))
-    first = said.groupBy("at_path", "at_line", "at_character").agg(F.min_by(F.struct("name", *RANGE), F.struct("start_utf16", "term_index")).alias("m")).select(*mine, "m.*")
+    first = said.groupBy("at_path", "at_line", "at_character").agg(F.min_by(F.struct("name", *RANGE), F.struct("start_utf16", "name")).alias("m")).select(*mine, "m.*")
     terms = w.terms.groupBy("name").agg(F.min_by("definition", "path").alias("definition"))
     of_term = first.join(terms, "name").select(*PLACE, F.format_string("**%s**\n\n%s", "name", "definition").alias("hover"), *RANGE)
     return of_link.filter("hover is not null").unionByName(of_term)
@@ -154,7 +160,7 @@ def completion_items(w: Workspace) -> DataFrame:
     none = F.lit(None).cast("string")
     docs = item(w.docs, F.col("path"), F.lit("FILE"), none)
     stems = item(resolve.stem_index(w.docs).filter("path is not null"), F.col("stem"), F.lit("FILE"), F.col("path"))
-    symbols = item(w.symbols, C.symbol_label(F.col("file"), F.col("sym_path")), C.completion_class(F.col("kind")), none)
+    symbols = item(w.found, C.symbol_label(F.col("file"), F.col("sym_path")), C.completion_class(F.col("kind")), none)
     return docs.unionByName(stems).unionByName(symbols)
 
 

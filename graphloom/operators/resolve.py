@@ -11,8 +11,9 @@ def stem_index(docs: DataFrame) -> DataFrame:
 
 
 def symbol_index(symbols: DataFrame) -> DataFrame:
-    """The ids of each (file, sym_path), in order: one or several."""
-    return symbols.groupBy("file", "sym_path").agg(F.array_sort(F.collect_list("symbol_id")).alias("candidates"))
+    """How many symbols each (file, sym_path) names, and their ids in order if symbols are numbered."""
+    own = [F.array_sort(F.collect_list("symbol_id")).alias("candidates")] if "symbol_id" in symbols.columns else []
+    return symbols.groupBy("file", "sym_path").agg(F.count("*").alias("n_candidates"), *own)
 
 
 def filled(name: str) -> Column:
@@ -31,13 +32,14 @@ def doc_targets(refs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def resolve(refs: DataFrame, docs: DataFrame, sections: DataFrame, symbols: DataFrame) -> DataFrame:
-    """``refs`` with status (one of seven), doc_path, symbol_id and candidates."""
+    """``refs`` with status (one of seven), doc_path and n_candidates; with symbol_id and candidates if symbols are numbered."""
     heads = sections.select(F.col("path").alias("sp"), F.col("heading").alias("sh")).distinct()
-    ids = symbol_index(symbols).select(F.col("file").alias("sf"), F.col("sym_path").alias("ss"), "candidates")
+    ids = symbol_index(symbols).select(F.col("file").alias("sf"), F.col("sym_path").alias("ss"), "n_candidates", *(["candidates"] if "symbol_id" in symbols.columns else []))
     placed = doc_targets(refs, docs)
     headed = placed.join(heads, (F.col("doc_path") == F.col("sp")) & (filled("heading") == F.col("sh")), "left")
     every = headed.join(ids, (filled("file") == F.col("sf")) & (F.col("sym_path") == F.col("ss")), "left")
-    found = F.coalesce(F.size("candidates"), F.lit(0))
+    every = every.withColumn("n_candidates", F.coalesce("n_candidates", F.lit(0).cast("long")))
+    found = F.col("n_candidates")
     code = F.when(found == 1, "CodeResolved").when(found > 1, "CodeAmbiguous").otherwise("CodeDangling")
     stale = F.col("heading").isNotNull() & F.col("sp").isNull()
     doc = (
@@ -47,8 +49,8 @@ def resolve(refs: DataFrame, docs: DataFrame, sections: DataFrame, symbols: Data
         .otherwise("DocResolved")
     )
     status = F.when(F.col("ref_kind") == "code", code).otherwise(doc)
-    one = F.when(found == 1, F.get("candidates", F.lit(0)))
-    return every.withColumn("status", status).withColumn("symbol_id", one).drop("sp", "sh", "sf", "ss", "n_docs")
+    told = every.withColumn("status", status).drop("sp", "sh", "sf", "ss", "n_docs")
+    return told.withColumn("symbol_id", F.when(found == 1, F.get("candidates", F.lit(0)))) if "candidates" in told.columns else told
 
 
 def counters(resolved: DataFrame) -> DataFrame:

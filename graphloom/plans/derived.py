@@ -2,7 +2,7 @@
 
 The documents table holds no links or headings, so each document becomes a note with links whose
 targets follow from its id; every part and supplier becomes a Rust or C source; a few frequent words of
-the texts become glossary notes. Links dangle by what they name: a stem, heading, key or symbol that
+the texts become glossary notes, as do all parts, some suppliers and the words of the benchmark. Links dangle by what they name: a stem, heading, key or symbol that
 nothing has.
 """
 
@@ -49,7 +49,7 @@ NOTE_TEXT = joined(
     NOTE_HEAD,
     f"{joined(linked(0), linked(1), linked(2))} || '.' || {NL} || {NL}",
     f"{joined(linked(3), linked(4))} || '.' || {NL}",
-    f"'At {FACE} the end.' || {NL}",
+    f"'At {FACE} the end, item' || {s('doc_id % 500')} || '.' || {NL}",
     f"CASE WHEN doc_id % 4 = 0 THEN '```' || {NL} || '[[decoy' || {s('doc_id')} || ']]' || {NL} || '```' || {NL} ELSE '' END",
     f"CASE WHEN doc_id % 5 = 0 THEN {NL} || '## Links' || {NL} ELSE '' END",
 )
@@ -168,6 +168,12 @@ PARTS = {
     "rust": f"SELECT {RUST_PATH} AS path, {RUST_TEXT} AS content FROM part",
     "c": f"SELECT {C_PATH} AS path, {C_TEXT} AS content FROM supplier",
 }
+#: Glossary notes: of every part, again of every third supplier's number, and of the longer words of the benchmark.
+ITEMS = f"SELECT 'glossary/items/item' || {s('p_partkey')} || '.md' AS path, '# Item ' || {s('p_partkey')} || ': ' || p_name || {NL} AS content FROM part"
+AGAIN = f"SELECT 'glossary/more/item' || {s('s_suppkey')} || '.md' AS path, {NL} || 'Supplied by ' || s_name || ', again.' || {NL} AS content FROM supplier WHERE s_suppkey % 3 = 0"
+#: By the words' expression, in which alone the engines differ.
+WORDS = f"SELECT 'glossary/words/' || w || '.md' AS path, '## ' || w || {NL} || 'A word of the benchmark.' || {NL} AS content FROM (SELECT DISTINCT {{}} AS w FROM benchmark) AS b"
+PARTS |= {"items": ITEMS, "again": AGAIN, "words": WORDS.format("explode(regexp_extract_all(text, '(?<![A-Za-z0-9_])[a-z]{5,}(?![A-Za-z0-9_])', 0))")}
 _units = lambda x: f"cast(length({x}) + CASE WHEN contains({x}, '{FACE}') THEN 1 ELSE 0 END as int)"
 _line = lambda k: [linked(j) for j in (range(k) if k < 3 else range(3, k))]
 #: path, ordinal, line, and columns of each link: in code points and in UTF-16 units.
@@ -189,7 +195,7 @@ ROOT_URI = "file:///work/notes"
 
 def select(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
     """Rows of a query over the fixture tables."""
-    for t in ("documents", "part", "supplier"):
+    for t in ("documents", "part", "supplier", "benchmark"):
         if f"FROM {t}" in query:
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(f"derived_{t}")
             query = query.replace(f"FROM {t}", f"FROM derived_{t}")

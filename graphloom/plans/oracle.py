@@ -12,7 +12,8 @@ from graphloom.plans.derived import NL, PARTS, s
 
 _quote = lambda x: "'" + x.replace("'", "''") + "'"
 _text = lambda x: (" || " + NL + " || ").join(_quote(p) for p in x.split("\n"))
-_GLOSSARY = " UNION ALL ".join(f"SELECT {_quote(p)} AS path, {_text(t)} AS content" for p, t in derived.GLOSSARY)
+_WORDS = derived.WORDS.format("unnest(regexp_extract_all(text, '\\b[a-z]{5,}\\b'))")
+_GLOSSARY = " UNION ALL ".join([*(f"SELECT {_quote(p)} AS path, {_text(t)} AS content" for p, t in derived.GLOSSARY), derived.ITEMS, derived.AGAIN, _WORDS])
 
 
 
@@ -82,10 +83,10 @@ terms AS (
   FROM glossary
 ),
 said AS (
-  SELECT path, unnest(regexp_extract_all(b, '\\b(the of|the|der|que|de)\\b', 1)) AS name FROM body
+  SELECT path, unnest(regexp_extract_all(regexp_replace(b, '\\[\\[[^\\]]*\\]\\]', '[]', 'g'), '\\b(the of|[A-Za-z0-9_]+)\\b', 1)) AS name FROM body
 ),
 mentions AS (
-  SELECT path, name FROM said WHERE path <> (SELECT min(t.path) FROM terms t WHERE t.name = said.name)
+  SELECT said.path, said.name FROM said JOIN (SELECT name, min(path) AS own FROM terms GROUP BY name) t ON t.name = said.name WHERE said.path <> t.own
 ),
 nodes AS (
   SELECT 'symbol:' || symbol_id AS id, 'symbol' AS kind, file || '@' || qualified AS label FROM symbols
@@ -158,8 +159,12 @@ BODIES = {
     "open_buffer_diagnostics": f"SELECT {derived.NOTE_PATH} AS path, 1 AS start_line, 0 AS start_utf16, 1 AS end_line, 11 AS end_utf16, 'warning' AS severity, '{MESSAGES['DocDangling']}' AS message FROM documents WHERE doc_id % 10 = 0 UNION ALL SELECT {derived.NOTE_PATH}, 1, 12, 1, 16 + length({derived.LINKS[0]}), 'warning', '{MESSAGES['DocDangling']}' FROM documents WHERE doc_id % 10 = 0 AND {derived.LINKS[0]} NOT IN (SELECT path FROM docs)",
     "node_ids": """SELECT 'symbol' AS kind, NULL::VARCHAR AS path, NULL::VARCHAR AS heading, symbol_id, NULL::VARCHAR AS name FROM symbols UNION ALL SELECT 'doc', path, NULL, NULL, NULL FROM docs
       UNION ALL SELECT DISTINCT 'section', path, heading, NULL, NULL FROM sections UNION ALL SELECT DISTINCT 'term', NULL, NULL, NULL, name FROM mentions""",
-    "graph_json": """SELECT '{"nodes":[' || (SELECT string_agg('{"id":' || to_json(id) || ',"kind":' || to_json(kind) || ',"label":' || to_json(label) || '}', ',' ORDER BY id, kind, label) FROM nodes WHERE kind <> 'section') ||
-      '],"edges":[' || (SELECT string_agg('{"kind":' || to_json(kind) || ',"from":' || to_json("from") || ',"to":' || to_json("to") || '}', ',' ORDER BY kind, "from", "to") FROM edges WHERE kind <> 'contains') || ']}' AS json""",
+    "graph_json": """SELECT (row_number() OVER w) - 1 AS ordinal, (sum(length(text)) OVER w - length(text))::BIGINT AS "at", text FROM (
+      SELECT g, x, y, z, CASE WHEN g % 2 = 1 AND row_number() OVER (PARTITION BY g ORDER BY x, y, z) > 1 THEN ',' ELSE '' END || j AS text FROM (
+        SELECT 0 AS g, '' AS x, '' AS y, '' AS z, '{"nodes":[' AS j UNION ALL SELECT 2, '', '', '', '],"edges":[' UNION ALL SELECT 4, '', '', '', ']}'
+        UNION ALL SELECT 1, id, kind, label, '{"id":' || to_json(id) || ',"kind":' || to_json(kind) || ',"label":' || to_json(label) || '}' FROM nodes WHERE kind <> 'section'
+        UNION ALL SELECT 3, kind, "from", "to", '{"kind":' || to_json(kind) || ',"from":' || to_json("from") || ',"to":' || to_json("to") || '}' FROM edges WHERE kind <> 'contains'
+      )) WINDOW w AS (ORDER BY g, x, y, z, text DESC ROWS UNBOUNDED PRECEDING)""",
 }
 ORACLES = {name: f"WITH {BASE} {body}" for name, body in BODIES.items()}
 ORACLES["debounce_sessions"] = """

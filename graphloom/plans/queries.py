@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from graphloom.functions import columns as C
 from graphloom.operators import documents, glossary, graph, lookup, resolve
+from graphloom.operators.scratch import materialize
 from graphloom.plans import derived
 from graphloom.sources import workspace
 from graphloom.streaming import reindex
@@ -71,7 +72,7 @@ def duplicate_terms(files):
 
 @over_files
 def symbol_table(files):
-    return documents.numbered(documents.symbols(files)).select("symbol_id", "file", "qualified", "kind", "name_line", "name_char")
+    return documents.numbered(materialize(documents.sources(files), "sources")).select("symbol_id", "file", "qualified", "kind", "name_line", "name_char")
 
 
 @over_files
@@ -106,18 +107,18 @@ def resolve_links(w):
 
 @over_workspace
 def resolution_summary(w):
-    return w.resolved.groupBy("status").agg(F.count("*").alias("n_links"))
+    return w.statuses.groupBy("status").agg(F.count("*").alias("n_links"))
 
 
 @over_workspace
 def resolve_code_refs(w):
     code = w.resolved.filter("ref_kind = 'code'")
-    return code.select("from_path", "file", F.array_join("sym_path", "::").alias("qualified"), "status", F.coalesce(F.size("candidates"), F.lit(0)).cast("long").alias("n_candidates"), "symbol_id")
+    return code.select("from_path", "file", F.array_join("sym_path", "::").alias("qualified"), "status", "n_candidates", "symbol_id")
 
 
 @over_workspace
 def code_ref_counters(w):
-    return resolve.counters(w.resolved)
+    return resolve.counters(w.statuses)
 
 
 @over_workspace
@@ -144,7 +145,7 @@ def graph_stats(w):
 
 @over_workspace
 def graph_json(w):
-    return graph.to_json(w.nodes, w.edges)
+    return graph.json_parts(w.nodes, w.edges, scratch=w.scratch)
 
 
 @over_workspace

@@ -6,7 +6,7 @@ duckdb = pytest.importorskip("duckdb")
 
 from graphloom.plans.registry import ORACLES, QUERIES  # noqa: E402
 
-TABLES = ("events", "documents", "conversations", "part", "supplier")
+TABLES = ("events", "documents", "conversations", "part", "supplier", "benchmark")
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

@@ -83,7 +83,7 @@ def test_lookups(spark):
 
 def test_symbol_ids_are_dense_and_ordered(spark):
     files = spark.createDataFrame([("z.rs", RUST), ("a.h", "int x;"), ("b.c", "int y;"), ("a.rs", RUST)], "path string, content string").repartition(4)
-    rows = documents.numbered(documents.symbols(files)).orderBy("symbol_id").collect()
+    rows = documents.numbered(documents.sources(files)).orderBy("symbol_id").collect()
     assert [(r.symbol_id, r.file, r.qualified) for r in rows] == [(0, "a.rs", "A"), (1, "a.rs", "A::go"), (2, "z.rs", "A"), (3, "z.rs", "A::go"), (4, "b.c", "y"), (5, "a.h", "x")]
 
 
