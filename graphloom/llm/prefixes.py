@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 from array import array
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +28,11 @@ from . import common
 from .tokens import BYTE_SYMBOLS, tokenizer_file
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Units of up to so many characters are kept, at most so many of them (under 150 MB for both).
-KEPT_CHARS, KEPT_UNITS = 48, 300_000
-KEPT_PAIRS = 500_000
+#: Units of up to so many characters are kept, the last so many and as many before them (about 200 MB at most).
+KEPT_CHARS, KEPT_UNITS = 48, 500_000
+#: Pairs of tokens, and prefixes of one piece, that are kept at a time.
+KEPT_PAIRS, KEPT_PREFIXES = 500_000, 1 << 16
+SPACE = BYTE_SYMBOLS[32]
 #: Characters of Unicode's White_Space, as the tokenizer knows it; Python adds four control characters.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: What the tokenizer takes for one piece before a word, and how it splits texts.
@@ -39,6 +42,26 @@ UNIT = rf"[{WHITE}]*(?:(?<! )(?:'s|'t|'re|'ve|'m|'ll|'d)|\p{{L}}+|\p{{N}}+|[^{WH
 COUNTED = "doc_id long, n_bytes long, n_tokens long, steps binary"
 
 
+class After(dict):
+    """Whether each token may follow this one: coding the symbols of both together gives just these two."""
+
+    __slots__ = ("owner", "token")
+
+    def __init__(self, token: str, owner: Counter):
+        self.token, self.owner = token, owner
+
+    def __missing__(self, token: str) -> bool:
+        owner = self.owner
+        owner.n_pairs += 1
+        if owner.n_pairs > KEPT_PAIRS:
+            owner.n_pairs = 0
+            for _, _, after in owner.trie.values():
+                after.clear()
+        want = [self.token, token] if self.token else [token]
+        found = self[token] = [t.value for t in owner.model.tokenize(self.token + token)] == want
+        return found
+
+
 class Counter(dict):
     """Steps of units, by the unit's text, for a byte-level tokenizers file."""
 
@@ -68,69 +91,72 @@ class Counter(dict):
         self.known, self.odd = set(map(chr, range(128))), set()
         self.trie = ahocorasick.Automaton()
         for symbols in self.tokenizer.get_vocab(with_added_tokens=False):
-            self.trie.add_word(symbols, (len(symbols), symbols))
+            self.trie.add_word(symbols, (len(symbols), symbols, After(symbols, self)))
         self.trie.make_automaton()
-        self.ring = max(map(len, self.trie)) + 1
-        self.pairs: dict[tuple[str, str], bool] = {}
-
-    def fits(self, a: str, b: str) -> bool:
-        """Whether coding the two tokens' symbols together gives just these two (``a`` may be empty)."""
-        found = self.pairs.get((a, b))
-        if found is None:
-            if len(self.pairs) >= KEPT_PAIRS:
-                self.pairs.clear()
-            want = [a, b] if a else [b]
-            found = self.pairs[a, b] = [t.value for t in self.model.tokenize(a + b)] == want
-        return found
-
-    def counts(self, piece: str) -> np.ndarray:
-        """Tokens of each prefix of a piece, by code points; the first is that of the empty one."""
-        raw = piece.encode()
-        symbols = piece if piece.isascii() and piece.isalnum() else raw.decode("latin-1").translate(BYTE_SYMBOLS)
-        total, size_of_ring = array("i", bytes(4 * (len(symbols) + 1))), self.ring
-        last, at, done = [""] * size_of_ring, -1, False  # last tokens of the prefixes that a token can follow
-        for end, (size, token) in self.trie.iter(symbols):
-            if end != at:
-                at, done = end, False
-                last[(end + 1) % size_of_ring] = ""
-            if done:
+        self.first = After("", self)
+        self.longest = max(map(len, self.trie)) + 1
+        self.n_pairs = 0
+        self.older: dict[str, bytes] = {}
+
+    def piece(self, text: str) -> array:
+        """Steps of one piece. Only what one token can reach back to is kept of a long one."""
+        plain = text.isascii()
+        raw = b"" if plain else text.encode()
+        if plain and text.isprintable():
+            symbols = text.replace(" ", SPACE)
+        else:
+            symbols = (raw or text.encode()).decode("latin-1").translate(BYTE_SYMBOLS)
+        n, gone, at, told = len(symbols), 0, -1, 0
+        last, total, out = [self.first], [0], array("h")  # what may follow each prefix, and its tokens
+        for end, (size, token, after) in self.trie.iter(symbols):
+            if end == at:
                 continue  # only one fits
-            start = end + 1 - size
-            before = last[start % size_of_ring]
-            if (start == 0 or before) and self.fits(before if start else "", token):
-                done = True
-                last[(end + 1) % size_of_ring] = token
-                total[end + 1] = total[start] + 1
-        total = np.frombuffer(total, np.int32)
-        if len(raw) == len(piece):
-            return total
-        ends = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)  # where code points begin
-        return total[np.append(ends, len(raw))]
-
-    def prefixes(self, unit: str) -> np.ndarray:
-        """Tokens of each prefix of a unit, as the tokenizer splits that prefix; the empty one left out."""
+            start = end + 1 - size - gone
+            if last[start][token]:
+                at, count = end, total[start] + 1
+                last.append(after)
+                total.append(count)
+                if plain or end + 1 == n or raw[end + 1] & 0xC0 != 0x80:  # where a code point ends
+                    out.append(count - told)
+                    told = count
+                if len(last) > KEPT_PREFIXES:
+                    cut = len(last) - self.longest
+                    del last[:cut], total[:cut]
+                    gone += cut
+        return out
+
+    def contraction(self, body: str) -> array:
+        """Its prefixes are a mark, and a mark and a letter apart."""
+        counts = [0, sum(self.piece("'"))]
+        if len(body) == 3:
+            counts.append(counts[1] + sum(self.piece(body[1])))
+        counts.append(sum(self.piece(body)))
+        return array("h", [b - a for a, b in pairwise(counts)])
+
+    def work_out(self, unit: str) -> array:
+        """Steps of a unit, each prefix split as the tokenizer splits it."""
         body = unit.lstrip(WHITE)
-        k, lead, base = len(unit) - len(body), "", 0
-        run = self.counts(unit[:k])
-        if k and body:
-            base, lead = run[k - 1], unit[k - 1]
-            if lead != " ":  # only a space joins what follows
-                base, lead = base + self.counts(lead)[1], ""
-        if body in CONTRACTIONS and not lead:  # its prefixes are a mark, and a mark and a letter
-            mark = self.counts("'")[1]
-            inner = [mark + self.counts(body[1])[1]] if len(body) == 3 else []
-            own = np.array([mark, *inner, self.counts(body)[-1]], np.int32)
-        else:
-            own = self.counts(lead + body)[1 + len(lead) :]
-        return np.concatenate([run[1:], own + base], dtype=np.int32)
+        k = len(unit) - len(body)
+        if not k:
+            return self.contraction(body) if body in CONTRACTIONS else self.piece(body)
+        if not body or k == 1 and unit[0] == " ":
+            return self.piece(unit)
+        run = self.piece(unit[:k])  # a run of white space is one piece, until something follows
+        whole, base = sum(run), sum(run[:-1])
+        if unit[k - 1] == " ":  # a space joins what follows
+            own = self.piece(unit[k - 1 :])
+            return run + array("h", [base + own[0] + own[1] - whole]) + own[2:]
+        base += sum(self.piece(unit[k - 1]))
+        own = self.contraction(body) if body in CONTRACTIONS else self.piece(body)
+        return run + array("h", [base + own[0] - whole]) + own[1:]
 
     def __missing__(self, unit: str) -> bytes:
-        found = np.diff(self.prefixes(unit), prepend=np.int32(0))
-        if len(found) and (found.max() > 32767 or found.min() < -32768):
-            raise OverflowError("a code point changes the number of tokens by more than 16 bits hold")
-        found = found.astype("<i2").tobytes()
+        found = self.older.get(unit)
+        if found is None:
+            found = self.work_out(unit).tobytes()
         if len(unit) <= KEPT_CHARS:
             if len(self) >= KEPT_UNITS:
+                self.older = dict(self)
                 self.clear()
             self[unit] = found
         return found
