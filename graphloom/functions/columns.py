@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 TRIM = r"(?U)^\s+|\s+$"
 FRONTMATTER = r"(?s)\A---[\r]*\n(?:.*?\n)??---[\r]*(?:\n|\z)"
@@ -27,6 +27,12 @@ def extension(path: Column) -> Column:
     return F.regexp_extract(path, r"[^/]\.([^./]+)$", 1)
 
 
+def of_kind(files: DataFrame, *extensions: str) -> DataFrame:
+    """Files of the extensions; by the column ``ext`` where there is one, which sources can filter by."""
+    kind = F.col("ext") if "ext" in files.columns else extension(F.col("path"))
+    return files.filter(kind.isin(*extensions) if len(extensions) > 1 else kind == extensions[0])
+
+
 def is_glossary_note(path: Column) -> Column:
     return F.substring_index(path, "/", 1).eqNullSafe(F.lit("glossary")) & path.contains("/")
 

@@ -65,13 +65,13 @@ def _sources(batches):
 
 def notes(files: DataFrame, matcher: Matcher | None = None) -> DataFrame:
     """path, headings, links and, given a matcher, mentions of every Markdown file of ``files`` (path, content)."""
-    own = files.filter(C.extension(F.col("path")) == "md").select("path", "content")
+    own = C.of_kind(files, "md").select("path", "content")
     return own.mapInArrow(_notes(matcher), NOTE)
 
 
 def docs(files: DataFrame) -> DataFrame:
     """path and stem of every note; contents are not read."""
-    return files.filter(C.extension(F.col("path")) == "md").select("path", C.file_stem(F.col("path")).alias("stem"))
+    return C.of_kind(files, "md").select("path", C.file_stem(F.col("path")).alias("stem"))
 
 
 def sections(parsed: DataFrame) -> DataFrame:
@@ -90,7 +90,7 @@ def sources(files: DataFrame) -> DataFrame:
 
     ``disambiguator`` is part of a descriptor, and null: nothing fills it yet.
     """
-    own = files.filter(C.extension(F.col("path")).isin(*RANKS)).select("path", "content")
+    own = C.of_kind(files, *RANKS).select("path", "content")
     return own.mapInArrow(_sources, SOURCE)
 
 

@@ -26,7 +26,7 @@ SHARD_BYTES = 2 << 20
 
 def terms(files: DataFrame) -> DataFrame:
     """name, path and definition of each note below glossary/."""
-    own = files.filter(C.is_glossary_note(F.col("path")) & (C.extension(F.col("path")) == "md"))
+    own = C.of_kind(files, "md").filter(F.col("path").startswith("glossary/"))
     return own.select(C.file_stem(F.col("path")).alias("name"), "path", C.excerpt(F.col("content")).alias("definition"))
 
 
@@ -122,7 +122,7 @@ def sharded(files: DataFrame, own: DataFrame, shards: int) -> DataFrame:
     of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     none = F.lit(None).cast("string")
     copies = own.select(of("name", shards).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), "name", "path", none.alias("content"))
-    notes = files.filter(C.extension(F.col("path")) == "md").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), of("path", buckets).alias("bucket"), none.alias("name"), "path", "content")
+    notes = C.of_kind(files, "md").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), of("path", buckets).alias("bucket"), none.alias("name"), "path", "content")
     both = copies.unionByName(notes).repartitionById(shards * buckets, F.col("shard") * buckets + F.col("bucket"))
     seen = both.sortWithinPartitions("shard", "bucket", F.col("name").isNull(), "name").mapInArrow(_hits, SEEN)
     if shards > 1:
