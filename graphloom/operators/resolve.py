@@ -58,3 +58,11 @@ def counters(resolved: DataFrame) -> DataFrame:
     code = F.col("ref_kind") == "code"
     good = F.col("status") == "CodeResolved"
     return resolved.agg(F.count_if(good).alias("code_refs_resolved"), F.count_if(code & ~good).alias("code_refs_unresolved"))
+
+
+def with_ids(statuses: DataFrame, symbols: DataFrame) -> DataFrame:
+    """References that have a status, with candidates and symbol_id of numbered symbols."""
+    ids = symbol_index(symbols).select(F.col("file").alias("sf"), F.col("sym_path").alias("ss"), "candidates")
+    code = (F.col("n_candidates") > 0) & (filled("file") == F.col("sf")) & (F.col("sym_path") == F.col("ss"))
+    told = statuses.join(ids, code, "left").drop("sf", "ss")
+    return told.withColumn("symbol_id", F.when(F.col("n_candidates") == 1, F.get("candidates", F.lit(0))))
