@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import common
 
@@ -62,21 +62,23 @@ def piece(data: bytes, size: int) -> bytes:
 
 
 def train(rows: DataFrame, settings: Settings = Settings()) -> dict[str, bytes]:
-    """A dictionary for each lang of ``rows`` (doc_id, text, lang), from a bounded sample drawn by id hash.
+    """A dictionary for each lang of ``rows`` (doc_id, text, lang), from a bounded sample drawn by a hash of id and text.
 
-    How many texts a language has decides the share that is drawn, so about ``sample_rows`` of each come
-    to the driver, however many there are. A text longer than ``sample_chars`` gives a piece of that
+    How many texts a language has decides the share that is drawn, and ``sample_rows`` of each come to the
+    driver at most, however many there are and whatever their ids; copies are drawn once. A text longer than ``sample_chars`` gives a piece of that
     many at a hashed place. Each text drawn gives the dictionary an equal piece, again at a hashed place
     (whole texts where they are shorter), so openings that texts share do not fill it.
     """
     place = F.floor(common.uniform("text") * F.greatest(F.length("text") - settings.sample_chars + 1, F.lit(1))).cast("int") + 1
-    usable = rows.select(F.substr("text", place, F.lit(settings.sample_chars)).alias("text"), "lang", common.uniform("doc_id").alias("u")).filter(F.col("lang").isNotNull() & (F.length("text") > 0))
+    usable = rows.select(F.substr("text", place, F.lit(settings.sample_chars)).alias("text"), "lang", common.uniform("doc_id", "text").alias("u")).filter(F.col("lang").isNotNull() & (F.length("text") > 0))
     found = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(settings.most_langs).collect()}
     if not found:
         return {}
     shares = rows.sparkSession.createDataFrame([(lang, min(1.0, settings.sample_rows / n)) for lang, n in found.items()], "lang string, share double")
     texts: dict[str, list[tuple[float, str]]] = {lang: [] for lang in found}
-    for r in usable.join(F.broadcast(shares), "lang").filter(F.col("u") <= F.col("share")).select("text", "lang", "u").toLocalIterator():
+    drawn = usable.join(F.broadcast(shares), "lang").filter(F.col("u") <= F.col("share")).dropDuplicates(["lang", "u"])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("u"))  # about sample_rows rows of each
+    for r in drawn.withColumn("k", place).filter(F.col("k") <= settings.sample_rows).select("text", "lang", "u").toLocalIterator():
         texts[r.lang].append((r.u, r.text))
     out = {}
     for lang, own in texts.items():

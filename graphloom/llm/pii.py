@@ -202,7 +202,7 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Tagger:
     """
     place = F.floor(common.uniform("text") * F.greatest(F.length("text") - settings.sample_chars + 1, F.lit(1))).cast("int") + 1
     usable = docs.select("doc_id", F.substr("text", place, F.lit(settings.sample_chars)).alias("text")).filter(F.col("text").rlike("[0-9@]"))
-    texts = [r.text for r in common.sample(usable, settings.sample_rows, "doc_id").collect()]
+    texts = [r.text for r in common.sample(usable, settings.sample_rows, "doc_id", "text").collect()]
     tagger = Tagger(CODES, TAGS, settings.hidden, settings.seed)
     tagger.train(*training_windows(texts, settings), settings.steps, seed=settings.seed)
     return tagger

@@ -54,7 +54,7 @@ class Settings:
 def samples(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Labelled tokens: (token, random)."""
     spark = docs.sparkSession
-    drawn = common.sample(docs.select("doc_id", "text").filter("text is not null"), settings.sample_rows, "doc_id").select("text").repartition(spark.sparkContext.defaultParallelism)
+    drawn = common.sample(docs.select("doc_id", "text").filter("text is not null"), settings.sample_rows, "doc_id", "text").select("text").repartition(spark.sparkContext.defaultParallelism)
     clean = F.regexp_replace("text", f"{ASSIGN}|{ACCESS}|{HEX}", " ")
     words = F.regexp_extract_all(clean, F.lit("[A-Za-z]{2,}"), F.lit(0))
     pairs = drawn.select(words.alias("w")).select(F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, 1 << 30).alias("b"), F.slice("w", 3, 1 << 30).alias("c"))).alias("p")).select("p.a", "p.b", "p.c").filter("c is not null")
