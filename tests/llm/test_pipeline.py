@@ -68,3 +68,16 @@ def test_one_row_of_each_class_stays(spark, sf):
     rows = [(5, "a b"), (5, "same id, other text"), (1, "p q r s t"), (1, copy), (2, copy), (None, copy), (3, "p q r s t"), (None, "no id, no copy"), (None, "no id"), (None, "no id"), (4, ""), (4, "")]
     out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()
     assert sorted(map(tuple, out), key=str) == sorted([(5, "a b"), (5, "same id, other text"), (1, "p q r s t"), (1, copy), (None, "no id, no copy"), (None, "no id"), (4, "")], key=str)
+
+
+@pytest.mark.parametrize("k", range(4))
+def test_columns_of_any_name_keep_their_values(spark, sf, k):
+    _, stage = corpus_pipeline.STAGES[k]
+    names = ["__th", "__d", "__h", "__hit", "__times", "__u", "__rate", "copy", "rate", "shuffle_key", "th", "hit", "kept", "c0", "n_words", "sid"]
+    text = "clean words that stand here alone " + " ".join(f"w{j}" for j in range(60))
+    rows = [(i, f"{text} row {i} " + " ".join(f"v{i}x{j}" for j in range(60)), "s", *(f"{n}-{i}" for n in names)) for i in range(12)]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "Text string", "source string", *(f"`{n}` string" for n in names)]))
+    out = stage(spark, docs, sf)
+    assert out.columns == docs.columns
+    found = {tuple(r) for r in out.collect()}
+    assert found and found <= set(rows) and (k == 3 or found == set(rows))
