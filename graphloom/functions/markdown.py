@@ -8,7 +8,7 @@ use it alone.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
 
 #: Characters of the White_Space property.
@@ -37,6 +37,7 @@ HTML_BLOCKS = [
     (re.compile(r""" {0,3}(?:<[A-Za-z][A-Za-z0-9-]*(?:\s+[A-Za-z_:][\w.:-]*(?:\s*=\s*(?:[^\s"'=<>`]+|'[^']*'|"[^"]*"))?)*\s*/?>|</[A-Za-z][A-Za-z0-9-]*\s*>)\s*$"""), BLANK_LINE),
 ]
 TICKS = re.compile("`+")
+WIDE = re.compile("[\U00010000-\U0010ffff]")
 ESCAPED = re.compile(r"\\([!-/:-@\[-`{-~])")
 INLINE_LINK = re.compile(r"!?\[([^\[\]]*)\]\([^()\s]*(?:\s+\"[^\"]*\")?\)")
 STRONG = re.compile(r"(\*\*|__)(?=\S)(.+?)(?<=\S)\1")
@@ -64,21 +65,27 @@ def body_start(text: str) -> int:
 def code_spans(text: str, start: int, end: int) -> list[Range]:
     """Runs of backticks and their partners of the same length, inside one block."""
     ticks = [(m.start(), m.end()) for m in TICKS.finditer(text, start, end)]
+    places: dict[int, list[int]] = {}  # of runs, by their length
+    for k, (a, b) in enumerate(ticks):
+        places.setdefault(b - a, []).append(k)
     out, k = [], 0
     while k < len(ticks):
         a, b = ticks[k]
-        slashes = a - len(text[start:a].rstrip("\\")) - start
-        if slashes % 2:  # the first backtick is escaped
+        slash = a
+        while slash > start and text[slash - 1] == "\\":
+            slash -= 1
+        if (a - slash) % 2:  # the first backtick is escaped
             a += 1
             if a == b:
                 k += 1
                 continue
-        mate = next((j for j in range(k + 1, len(ticks)) if ticks[j][1] - ticks[j][0] == b - a), None)
-        if mate is None:
+        same = places.get(b - a, [])
+        mate = bisect_right(same, k)
+        if mate == len(same):
             k += 1
             continue
-        out.append((a, ticks[mate][1]))
-        k = mate + 1
+        out.append((a, ticks[same[mate]][1]))
+        k = same[mate] + 1
     return out
 
 
@@ -224,6 +231,7 @@ class Lines:
 
     def __init__(self, text: str):
         self.text = text
+        self.wide: list[int] | None = None
         self.starts = [0, *(m.end() for m in re.finditer("\n", text))]
 
     def place(self, offset: int) -> tuple[int, int]:
@@ -231,6 +239,8 @@ class Lines:
         return line, offset - self.starts[line]
 
     def utf16(self, offset: int) -> int:
-        """UTF-16 units between the line's start and the offset."""
-        line = bisect_right(self.starts, offset) - 1
-        return len(self.text[self.starts[line] : offset].encode("utf-16-le", "surrogatepass")) // 2
+        """UTF-16 units between the line's start and the offset: wide characters before it count twice."""
+        start = self.starts[bisect_right(self.starts, offset) - 1]
+        if self.wide is None:
+            self.wide = [] if self.text.isascii() else [m.start() for m in WIDE.finditer(self.text)]
+        return offset - start + bisect_left(self.wide, offset) - bisect_left(self.wide, start)

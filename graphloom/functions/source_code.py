@@ -1,6 +1,9 @@
 """Definitions in Rust and C sources, in plain Python.
 
-A lexer blanks comments and literals out (places stay), then items are read with balanced brackets.
+A lexer blanks comments and literals out (places stay), then items are read with balanced brackets. Where
+brackets do not balance, as while a file is being written, indentation says which one was left open: a line that
+begins an item, or closes a bracket, further left than the line of an open bracket ends that bracket before it. So the
+symbols before and after a fault are found. Nesting of any depth is read on a stack of its own.
 Each definition is (path, kind, start, end, name start, name end), offsets in code points.
 """
 
@@ -20,6 +23,8 @@ TOKEN = re.compile(r"(?:r\#)?[^\W\d]\w*|\d\w*|'[^\W\d]\w*|::|->|=>|[^\s\w]")
 NAME = re.compile(r"(?:r\#)?[^\W\d]\w*\Z")
 PAIRS = {"(": ")", "[": "]", "{": "}"}
 CLOSERS = set(PAIRS.values())
+#: Words, and the mark of an attribute, that begin an item of Rust on a line.
+RUST_ITEMS = set("fn pub struct enum union impl trait mod const static type use macro_rules unsafe async extern #".split())
 
 
 def blank(text: str) -> str:
@@ -47,19 +52,61 @@ def masked(text: str, hidden: re.Pattern[str], nests: bool, keep: Callable[[str]
 
 
 class Tokens:
-    def __init__(self, text: str):
+    """Tokens with their places; ``begins`` says whether a token that comes first on its line begins an item."""
+
+    def __init__(self, text: str, begins: Callable[[str, int], bool]):
         self.found = [(m[0], m.start(), m.end()) for m in TOKEN.finditer(text)]
         self.n = len(self.found)
-        self.match = [self.n] * self.n  # of an opening bracket, its closing one
+        self.match = [self.n] * self.n  # of an opening bracket, its closing one, or the last token in it
+        self.open: set[int] = set()  # brackets that nothing closes
         stack: list[int] = []
         for k, (t, _, _) in enumerate(self.found):
             if t in PAIRS:
                 stack.append(k)
             elif t in CLOSERS:
-                while stack and PAIRS[self.found[stack[-1]][0]] != t:
-                    self.match[stack.pop()] = k
+                if not stack or PAIRS[self.found[stack[-1]][0]] != t:
+                    break
+                self.match[stack.pop()] = k
+        else:
+            if not stack:
+                return
+        self.recover(text, begins)
+
+    def recover(self, text: str, begins: Callable[[str, int], bool]) -> None:
+        self.match = [self.n] * self.n
+        stack: list[tuple[int, int]] = []  # brackets, and the indent of their lines
+        line_end, column = -1, 0
+
+        def leave(k: int) -> None:
+            self.match[stack[-1][0]] = k - 1
+            self.open.add(stack.pop()[0])
+
+        for k, (t, at, _) in enumerate(self.found):
+            first = at > line_end
+            if first:
+                column = at - text.rfind("\n", 0, at) - 1
+                line_end = text.find("\n", at)
+                line_end = len(text) if line_end < 0 else line_end
+                if begins(t, column):
+                    while stack and stack[-1][1] >= column:
+                        leave(k)
+            if t in PAIRS:
+                stack.append((k, column))
+            elif t in CLOSERS:
+                if first:
+                    while stack and stack[-1][1] > column:
+                        leave(k)
+                    if stack and stack[-1][1] < column and t == "}":
+                        continue  # one too many
+                while stack and PAIRS[self.found[stack[-1][0]][0]] != t:
+                    leave(k)
                 if stack:
-                    self.match[stack.pop()] = k
+                    self.match[stack.pop()[0]] = k
+        self.open.update(k for k, _ in stack)
+
+    def inside(self, k: int, stop: int) -> int:
+        """Where what bracket k holds ends."""
+        return min(self.match[k] + (k in self.open), stop)
 
     def text(self, k: int) -> str:
         return self.found[k][0] if k < self.n else ""
@@ -91,8 +138,10 @@ class Tokens:
         return k
 
     def until(self, k: int, stop: int, *ends: str) -> int:
-        """The first of ``ends`` outside brackets, or ``stop``."""
+        """The first of ``ends`` outside brackets, or ``stop``; not past a bracket that nothing closes."""
         while k < stop and self.text(k) not in ends:
+            if k in self.open:
+                return min(self.match[k], stop)
             k = self.past(k)
         return min(k, stop)
 
@@ -116,8 +165,17 @@ class Rust:
 
     def __init__(self, text: str):
         self.out: list[Symbol] = []
-        self.t = Tokens(masked(text, RUST_HIDDEN, nests=True))
-        self.items(0, self.t.n, (), False, False)
+        self.t = Tokens(masked(text, RUST_HIDDEN, nests=True), lambda t, _: t in RUST_ITEMS)
+        self.inner: tuple | None = None
+        frames = [(0, self.t.n, (), False, False)]  # token, end, scope, whether functions are methods, whether a trait's
+        while frames:
+            k, stop, scope, typed, trait = frames.pop()
+            while k < stop:
+                k = max(k + 1, self.item(k, stop, scope, typed, trait))
+                if self.inner:
+                    frames += [(k, stop, scope, typed, trait), self.inner]
+                    self.inner = None
+                    break
 
     def push(self, scope: tuple[str, ...], name: int, kind: str, first: int, last: int) -> None:
         t = self.t
@@ -137,11 +195,8 @@ class Rust:
                 k = t.past(k)
         return k
 
-    def items(self, k: int, stop: int, scope: tuple[str, ...], typed: bool, trait: bool) -> None:
-        while k < stop:
-            k = max(k + 1, self.item(k, stop, scope, typed, trait))
-
     def item(self, k: int, stop: int, scope: tuple[str, ...], typed: bool, trait: bool) -> int:
+        """Reads an item at k, and gives the token after it; what it holds, to be read next, goes to ``inner``."""
         t = self.t
         k = self.attributes(k, stop)
         first, k = k, self.visibility(k)
@@ -185,19 +240,19 @@ class Rust:
             end = t.until(t.angle(k + 2, stop), stop, "{", ";")
             self.push(scope, k + 1, "trait" if word == "trait" else "module", first, t.match[end] if t.text(end) == "{" else end)
             if t.text(end) == "{":
-                self.items(end + 1, min(t.match[end], stop), (*scope, t.text(k + 1)), word == "trait", word == "trait")
+                self.inner = (end + 1, t.inside(end, stop), (*scope, t.text(k + 1)), word == "trait", word == "trait")
             return t.past(end)
         if word == "impl":
             end = t.until(t.angle(k + 1, stop), stop, "{", ";")
             if t.text(end) == "{":
-                self.items(end + 1, min(t.match[end], stop), (*scope, self.implemented(t.angle(k + 1, stop), end)), True, False)
+                self.inner = (end + 1, t.inside(end, stop), (*scope, self.implemented(t.angle(k + 1, stop), end)), True, False)
             return t.past(end)
         if t.named(k) and t.text(k + 1) == "!":  # a macro's tokens are no items
             return t.past(k + 2)
         if word == "use":
             return t.until(k, stop, ";") + 1
         if word == "{" or word == "(" or word == "[":
-            self.items(k + 1, min(t.match[k], stop), scope, typed, trait)
+            self.inner = (k + 1, t.inside(k, stop), scope, typed, trait)
             return t.past(k)
         return k + 1
 
@@ -226,7 +281,7 @@ class Rust:
 
     def members(self, opening: int, scope: tuple[str, ...], kind: str) -> None:
         t = self.t
-        for a, b in t.parts(opening + 1, min(t.match[opening], t.n)):
+        for a, b in t.parts(opening + 1, t.inside(opening, t.n)):
             a = self.attributes(a, b)
             name = self.visibility(a)
             if name < b and t.named(name) and (kind == "variant" or t.text(name + 1) == ":"):
@@ -247,11 +302,12 @@ class C:
         self.out: list[Symbol] = []
         self.linkage: list[int] = []
         code = masked(text, C_HIDDEN, nests=False, keep=lambda s: s == '"C"' or s == '"C++"')
+        self.code = code
         for m in DIRECTIVE.finditer(code):
             if d := DEFINE.match(m[0]):
                 start = m.start() + len(m[0]) - len(m[0].lstrip(" \t"))
                 self.out.append(((d[1],), "macro", start, m.end(), m.start() + d.start(1), m.start() + d.end(1)))
-        self.t = Tokens(DIRECTIVE.sub(lambda m: blank(m[0]), code))
+        self.t = Tokens(DIRECTIVE.sub(lambda m: blank(m[0]), code), lambda t, column: column == 0 and bool(NAME.match(t)) and t not in ("else", "default", "case"))
         self.declarations(0, self.t.n)
         self.out.sort(key=lambda s: (s[2], s[4]))
 
@@ -260,22 +316,39 @@ class C:
         self.out.append((path, kind, t.start(first), t.end(last), t.start(name), t.end(name)))
 
     def declarations(self, k: int, stop: int) -> None:
-        t = self.t
-        while k < stop:
-            if t.text(k) == ";":
+        t, ends = self.t, []  # what follows the extern "C" {} that are being read ends there
+        while k < stop or ends:
+            if k >= stop:
+                k, stop = ends.pop()
+                continue
+            if t.text(k) == ";" or t.text(k) in CLOSERS:
                 k += 1
                 continue
+            if t.named(k) and t.text(k) not in C_WORDS and t.text(k + 1) == "(" and self.stands_alone(k, stop):
+                k = t.past(k + 1)
+                continue
             if t.text(k) == "extern" and t.text(k + 1) == '"':
                 k += 2
                 while k < stop and t.text(k) != '"':
                     k += 1
                 k += 1
                 if t.text(k) == "{":
-                    self.declarations(k + 1, min(t.match[k], stop))
-                    k = t.past(k)
+                    ends.append((t.past(k), stop))
+                    k, stop = k + 1, t.inside(k, stop)
                 continue
             k = max(k + 1, self.declaration(k, stop))
 
+    def stands_alone(self, k: int, stop: int) -> bool:
+        """Whether NAME(...) is a macro's call without a semicolon: a declaration begins on a line after it."""
+        t = self.t
+        after = t.past(k + 1)
+        if after >= stop or k + 1 in t.open or not t.named(after):
+            return False
+        between = self.code[t.end(after - 1) : t.start(after)]
+        # Parameters declared after the brackets, as in old C, end before a body that has no head of its own.
+        end = t.until(after, stop, "{", ";")
+        return "\n" in between and not (t.text(end) == ";" and t.text(end + 1) == "{")
+
     def declaration(self, first: int, stop: int) -> int:
         t, k = self.t, first
         typedef = static = False
@@ -290,6 +363,8 @@ class C:
                 if t.text(body) == "{":
                     tagged = tagged or (word, name, body, k)
                     k = t.past(body)
+                    if body in t.open:  # what follows is another declaration
+                        break
                 else:
                     k = body
                 continue
@@ -303,6 +378,8 @@ class C:
                     self.function(first, k, call)
                     return t.past(k)
                 return t.past(k)
+            if k in t.open:
+                return t.past(k)
             if word == "(" and call is None and k > first:
                 call = k
             k = t.past(k)
@@ -312,6 +389,8 @@ class C:
             if name:
                 self.push((t.text(name),), TAGS[word], name, at, t.match[body])
                 self.members(word, t.text(name), body)
+        if tagged and tagged[2] in t.open:
+            return k
         self.declarators(first, k, last, typedef, static, tagged)
         return k + 1
 
@@ -325,7 +404,7 @@ class C:
             self.push((t.text(name),), "function", name, first, t.match[body])
 
     def members(self, word: str, tag: str, body: int) -> None:
-        t, k, stop = self.t, body + 1, min(self.t.match[body], self.t.n)
+        t, k, stop = self.t, body + 1, self.t.inside(body, self.t.n)
         if word == "enum":
             for a, b in t.parts(k, stop):
                 if t.named(a):
