@@ -1,8 +1,8 @@
 """Markdown notes in plain Python: frontmatter, code, headings, wikilinks and their positions.
 
-A subset of CommonMark: ATX and setext headings, fenced and indented code, code spans, block quotes,
-list items and blocks of HTML. Offsets are code points of the whole text. No Spark here, so workers and tests can
-use it alone.
+CommonMark's block structure: containers (quotes and list items, with lazy lines) and what they hold, read line by
+line; headings' texts by its inline rules (see inline.py). Offsets are code points of the whole text. No Spark here, so workers and
+tests can use it alone.
 """
 
 from __future__ import annotations
@@ -11,15 +11,17 @@ import re
 from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
 
+from .inline import AUTOLINK, DEFINITION, TAG, label, plain
+
 #: Characters of the White_Space property.
 BLANK = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 FRONTMATTER = re.compile(r"\A---\r*\n(?:.*?\n)??---\r*(?:\n|\Z)", re.DOTALL)
 FENCE = re.compile(r" {0,3}(`{3,}(?=[^`]*$)|~{3,})")
 ATX = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))??(?:[ \t]+#+)?[ \t]*$")
+CLOSING = re.compile(r"(`{3,}|~{3,})[ \t]*$")
 SETEXT = re.compile(r" {0,3}(?:=+|-+)[ \t]*$")
 RULE = re.compile(r" {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$")
-QUOTE = re.compile(r" {0,3}> ?")
-ITEM = re.compile(r"( {0,3}(?:[-+*]|\d{1,9}[.)]))( {1,4}(?=\S)|[ \t]*$| (?= {4}))")
+MARKER = re.compile(r"([-+*]|(\d{1,9})[.)])(?=[ \t]|$)")
 # Element names of CommonMark that begin a block of HTML, which a blank line ends.
 HTML_NAMES = (
     "address article aside base basefont blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frame frameset "
@@ -38,10 +40,7 @@ HTML_BLOCKS = [
 ]
 TICKS = re.compile("`+")
 WIDE = re.compile("[\U00010000-\U0010ffff]")
-ESCAPED = re.compile(r"\\([!-/:-@\[-`{-~])")
-INLINE_LINK = re.compile(r"!?\[([^\[\]]*)\]\([^()\s]*(?:\s+\"[^\"]*\")?\)")
-STRONG = re.compile(r"(\*\*|__)(?=\S)(.+?)(?<=\S)\1")
-EMPHASIS = re.compile(r"(?<![\w*])([*_])(?=\S)(.+?)(?<=\S)\1(?![\w*])")
+MARKED = re.compile(rf"\\[\s\S]|`+|{AUTOLINK}|{TAG}")
 
 Range = tuple[int, int]
 
@@ -63,136 +62,253 @@ def body_start(text: str) -> int:
 
 
 def code_spans(text: str, start: int, end: int) -> list[Range]:
-    """Runs of backticks and their partners of the same length, inside one block."""
-    ticks = [(m.start(), m.end()) for m in TICKS.finditer(text, start, end)]
+    """Runs of backticks and their partners of the same length, inside one block; none begins in a tag or address."""
+    ticks, opens = [], []
+    for m in MARKED.finditer(text, start, end):
+        if m[0][0] == "`":
+            opens.append((m.start(), m.end()))
+        elif m[0] == "\\`":  # escaped: the rest of its run may open
+            more = TICKS.match(text, m.end(), end)
+            opens += [(m.end(), more.end())] if more else []
     places: dict[int, list[int]] = {}  # of runs, by their length
-    for k, (a, b) in enumerate(ticks):
-        places.setdefault(b - a, []).append(k)
-    out, k = [], 0
-    while k < len(ticks):
-        a, b = ticks[k]
-        slash = a
-        while slash > start and text[slash - 1] == "\\":
-            slash -= 1
-        if (a - slash) % 2:  # the first backtick is escaped
-            a += 1
-            if a == b:
-                k += 1
-                continue
-        same = places.get(b - a, [])
-        mate = bisect_right(same, k)
-        if mate == len(same):
-            k += 1
+    for m in TICKS.finditer(text, start, end):
+        places.setdefault(m.end() - m.start(), []).append(m.start())
+    out, at = [], start
+    for a, b in opens:
+        if a < at:
             continue
-        out.append((a, ticks[same[mate]][1]))
-        k = same[mate] + 1
+        same = places.get(b - a, [])
+        mate = bisect_left(same, b)
+        if mate < len(same):
+            at = same[mate] + b - a
+            out.append((a, at))
     return out
 
 
-def heading_text(text: str, start: int, end: int, spans: list[Range]) -> str:
-    parts, at = [], start
-    for a, b in spans:
-        parts.append(text[at:a])
-        at = max(at, b)
-    parts.append(text[at:end])
-    plain = "".join(parts)
-    for pattern, keep in ((INLINE_LINK, r"\1"), (STRONG, r"\2"), (EMPHASIS, r"\2"), (ESCAPED, r"\1")):
-        plain = pattern.sub(keep, plain)
-    return plain.strip(BLANK)
-
-
-def blocks(text: str, start: int) -> tuple[list[Range], list[Range], list[tuple[Range, bool]]]:
-    """Ranges of code blocks, of headings' texts, and of paragraphs (for code spans)."""
-    code: list[Range] = []
-    heads: list[tuple[int, int]] = []
-    paragraphs: list[tuple[Range, bool]] = []
-    paragraph: list[int] = []  # first offset and last, while one is open
-    fence: tuple[str, int, int] | None = None  # character, length, start
-    markup: re.Pattern | None = None  # what ends the block of HTML, while one is open
-    indent, list_indents, at, size = None, [], start, len(text)
-
-    def close() -> None:
-        if paragraph:
-            paragraphs.append(((paragraph[0], paragraph[1]), False))
-            paragraph.clear()
-
-    while at < size:
-        stop = text.find("\n", at)
-        stop = size if stop < 0 else stop
-        line, begin, after = text[at:stop].rstrip("\r"), at, min(size, stop + 1)
-        at = after
-        rest, moved = line, 0
-        while m := QUOTE.match(rest):  # quoted lines are read as what they quote
-            rest, moved = rest[m.end() :], moved + m.end()
-        if fence:
-            inner = rest.lstrip(" ") if list_indents else rest
-            m = re.match(r" {0,3}(`{3,}|~{3,})[ \t]*$", inner)
-            if m and m[1][0] == fence[0] and len(m[1]) >= fence[1]:
-                code.append((fence[2], begin + len(line)))
-                fence = None
-            continue
-        if markup:
-            markup = None if markup.search(rest) else markup
-            continue
-        if not rest.strip():
-            close()
-            continue
-        spaces = len(rest) - len(rest.lstrip(" "))
-        while list_indents and spaces < list_indents[-1] and not paragraph:
-            list_indents.pop()
-        if list_indents and spaces >= list_indents[-1]:
-            rest, moved = rest[list_indents[-1] :], moved + list_indents[-1]
-        while not RULE.match(rest) and (m := ITEM.match(rest)):
-            close()
-            width = m.end() if m[2].strip(" \t") == "" and m[2] else m.end()
-            list_indents.append((list_indents[-1] if list_indents else 0) + width)
-            rest, moved = rest[m.end() :], moved + m.end()
-            if not rest.strip():
+class _Line:
+    """A line that is read from the left, in columns: a tab goes on to the next fourth one, and may be used in part."""
+
+    def __init__(self, text: str):
+        self.text, self.pos, self.col, self.left = text, 0, 0, 0
+
+    def indent(self) -> tuple[int, int]:
+        """Columns of white space from here, and where it ends."""
+        n, p, col = self.left, self.pos, self.col + self.left
+        while p < len(self.text) and self.text[p] in " \t":
+            width = 4 - col % 4 if self.text[p] == "\t" else 1
+            n, col, p = n + width, col + width, p + 1
+        return n, p
+
+    def skip(self, columns: int) -> None:
+        """Over white space of at most so many columns."""
+        while columns > 0:
+            if self.left:
+                used = min(self.left, columns)
+                self.left, self.col, columns = self.left - used, self.col + used, columns - used
+            elif self.text[self.pos : self.pos + 1] == "\t":
+                self.left = 4 - self.col % 4
+                self.pos += 1
+            elif self.text[self.pos : self.pos + 1] == " ":
+                self.pos, self.col, columns = self.pos + 1, self.col + 1, columns - 1
+            else:
+                return
+
+    def to(self, p: int) -> None:
+        n, end = self.indent()
+        self.col, self.left = self.col + n + p - end, 0
+        self.pos = p
+
+
+class _Blocks:
+    """Reads lines one after another: ``containers`` are open quotes (0) and items (their width), ``leaf`` what they hold."""
+
+    def __init__(self, text: str, start: int):
+        self.text = text
+        self.code: list[Range] = []
+        self.heads: list[list[Range]] = []  # a range for each line of a heading
+        self.paragraphs: list[Range] = []
+        self.defined: set[str] = set()
+        self.containers: list[list] = []  # width (0 is a quote), whether it is still empty
+        self.leaf: str | None = None
+        self.lines: list[Range] = []  # of the paragraph that is open
+        self.fence = ("", 0)
+        self.begun = self.last = start  # of the code that is open, and the end of what was read
+        self.ends: re.Pattern | None = None
+        at = start
+        while at < len(text):
+            stop = text.find("\n", at)
+            stop = len(text) if stop < 0 else stop
+            end = stop - (stop > at and text[stop - 1] == "\r")
+            self.line(at, _Line(text[at:end]))
+            self.last, at = end, stop + 1
+        self.close(0)
+
+    def finish(self) -> None:
+        """The leaf ends before this line."""
+        if self.leaf in ("fence", "indented"):
+            self.code.append((self.begun, self.last))
+        elif self.leaf == "paragraph":
+            self.paragraph()
+        self.leaf = None
+
+    def close(self, matched: int) -> None:
+        self.finish()
+        del self.containers[matched:]
+
+    def paragraph(self) -> list[Range]:
+        """The lines of a paragraph that are left once definitions at its start are taken."""
+        own, self.lines = self.lines, []
+        while own and self.text[own[0][0]] == "[":
+            said = "\n".join(self.text[a:b] for a, b in own)
+            m = DEFINITION.match(said)
+            if m is None or not m[1].strip():
                 break
-        if not rest.strip():
-            continue
-        where = begin + moved
-        if not paragraph and rest.startswith(("    ", "\t")):
-            if code and indent == begin:
-                code[-1] = (code[-1][0], begin + len(line))
+            self.defined.add(label(m[1]))
+            taken = said.count("\n", 0, m.end()) + (m.end() == len(said) and not said.endswith("\n", 0, m.end()))
+            own = own[taken:]
+        if own:
+            self.paragraphs.append((own[0][0], own[-1][1]))
+        return own
+
+    def matches(self, line: _Line) -> int:
+        """How many of the open containers the line goes on in."""
+        for k, (width, is_empty) in enumerate(self.containers):
+            n, p = line.indent()
+            blank = p >= len(line.text)
+            if not width:
+                if n > 3 or blank or line.text[p] != ">":
+                    return k
+                line.to(p + 1)
+                line.skip(1)
+            elif blank:
+                if is_empty:
+                    return k
+            elif n >= width:
+                line.skip(width)
             else:
-                code.append((where, begin + len(line)))
-            indent = after
-            continue
-        if m := FENCE.match(rest):
-            close()
-            fence = (m[1][0], len(m[1]), where)
-            continue
-        html = next((k for k, (begins, _) in enumerate(HTML_BLOCKS) if begins.match(rest)), None) if "<" in rest else None
-        if html is not None and not (paragraph and html == len(HTML_BLOCKS) - 1):
-            close()
-            ends = HTML_BLOCKS[html][1]
-            markup = None if ends is not BLANK_LINE and ends.search(rest, rest.index("<") + 2) else ends
-            continue
+                return k
+        return len(self.containers)
+
+    def line(self, begin: int, line: _Line) -> None:
+        matched = self.matches(line)
+        whole = matched == len(self.containers)
+        if self.leaf in ("fence", "html"):
+            if not whole:
+                self.close(matched)
+                whole = True
+            elif self.goes_on(begin, line):
+                return
+        opened = False
+        while True:
+            n, p = line.indent()
+            rest = line.text[p:]
+            if not rest:
+                self.blank(matched, opened)
+                return
+            if n >= 4:
+                if self.leaf == "paragraph" and not opened:
+                    break
+                if not (self.leaf == "indented" and whole and not opened):
+                    self.close(matched)
+                    line.skip(4)
+                    self.leaf, self.begun = "indented", begin + line.pos
+                self.filled()
+                return
+            step = self.container(n, p, rest, line, matched, whole and not opened)
+            if step is None:
+                break
+            matched, opened = step, True
+        if n >= 4:
+            pass  # a paragraph goes on
+        elif self.leaf == "paragraph" and whole and not opened and SETEXT.match(rest):
+            lines = self.paragraph()
+            self.leaf = None
+            if lines:
+                self.heads.append(lines)
+                return
+        elif self.block(begin + p, rest, line, matched, opened):
+            self.filled()
+            return
+        if self.leaf == "paragraph" and not opened:  # as it goes on, or as a lazy line
+            self.lines.append((begin + p, begin + len(line.text)))
+            return
+        self.close(matched)
+        self.leaf = "paragraph"
+        self.lines = [(begin + p, begin + len(line.text))]
+        self.filled()
+
+    def filled(self) -> None:
+        for c in self.containers:
+            c[1] = False
+
+    def blank(self, matched: int, opened: bool) -> None:
+        if self.leaf == "indented" and matched == len(self.containers) and not opened:
+            return  # it may go on after blank lines
+        self.close(matched)
+
+    def goes_on(self, begin: int, line: _Line) -> bool:
+        """Whether fenced code or HTML takes the line."""
+        n, p = line.indent()
+        rest = line.text[p:]
+        if self.leaf == "fence":
+            m = CLOSING.match(rest) if n <= 3 else None
+            if m and m[1][0] == self.fence[0] and len(m[1]) >= self.fence[1]:
+                self.code.append((self.begun, begin + len(line.text)))
+                self.leaf = None
+            return True
+        if self.ends is BLANK_LINE and not rest:
+            self.leaf = None
+            return False
+        if self.ends is not BLANK_LINE and self.ends.search(rest):
+            self.leaf = None
+        return True
+
+    def container(self, n: int, p: int, rest: str, line: _Line, matched: int, within: bool) -> int | None:
+        """Opens a quote or a list item here: how many containers are open then; None if there is none."""
+        if rest[0] == ">":
+            self.close(matched)
+            self.containers.append([0, False])
+            line.to(p + 1)
+            line.skip(1)
+            return len(self.containers)
+        m = MARKER.match(rest)
+        if m is None or RULE.match(rest):
+            return None
+        empty = not rest[m.end() :].strip(" \t")
+        if self.leaf == "paragraph" and within and (empty or m[2] not in (None, "1") and int(m[2]) != 1):
+            return None
+        self.close(matched)
+        line.to(p + m.end())
+        spaces, _ = line.indent()
+        width = n + m.end() + (1 if empty or spaces > 4 else spaces)
+        line.skip(1 if empty or spaces > 4 else spaces)
+        self.containers.append([width, empty])
+        return len(self.containers)
+
+    def block(self, where: int, rest: str, line: _Line, matched: int, opened: bool) -> bool:
+        """A heading, a fence, HTML or a rule on one line."""
         if m := ATX.match(rest):
-            close()
+            self.close(matched)
             if m[2] is not None:
                 span = (where + m.start(2), where + m.end(2))
-                heads.append(span)
-                paragraphs.append((span, True))
-            continue
-        if paragraph and SETEXT.match(rest):
-            span = (paragraph[0], paragraph[1])
-            heads.append(span)
-            paragraphs.append((span, True))
-            paragraph.clear()
-            continue
+                self.heads.append([span])
+                self.paragraphs.append(span)
+            return True
+        if m := FENCE.match(rest):
+            self.close(matched)
+            self.leaf, self.fence, self.begun = "fence", (m[1][0], len(m[1])), where
+            return True
+        if rest[0] == "<":
+            kind = next((k for k, (begins, _) in enumerate(HTML_BLOCKS) if begins.match(rest)), None)
+            if kind is not None and not (kind == len(HTML_BLOCKS) - 1 and self.leaf == "paragraph" and not opened):
+                self.close(matched)
+                self.ends = HTML_BLOCKS[kind][1]
+                self.leaf = None if self.ends is not BLANK_LINE and self.ends.search(rest, 2) else "html"
+                return True
         if RULE.match(rest):
-            close()
-            continue
-        if paragraph:
-            paragraph[1] = begin + len(line)
-        else:
-            paragraph += [where, begin + len(line)]
-    close()
-    if fence:
-        code.append((fence[2], size))
-    return code, heads, paragraphs
+            self.close(matched)
+            return True
+        return False
 
 
 def inside(place: int, ranges: list[Range], starts: list[int]) -> bool:
@@ -203,15 +319,10 @@ def inside(place: int, ranges: list[Range], starts: list[int]) -> bool:
 def read(text: str) -> Note:
     """Links keep the text between their brackets; a bracket pair is used up even where it is no link."""
     note = Note(body=body_start(text))
-    code, heads, paragraphs = blocks(text, note.body)
-    spans: dict[Range, list[Range]] = {}
-    for span, is_head in paragraphs:
-        found = code_spans(text, *span)
-        code += found
-        if is_head:
-            spans[span] = found
-    note.code = sorted(code)
-    note.headings = [h for h in (heading_text(text, *span, spans[span]) for span in heads) if h]
+    made = _Blocks(text, note.body)
+    note.code = sorted([*made.code, *(c for span in made.paragraphs for c in code_spans(text, *span))])
+    said = (plain("\n".join(text[a:b] for a, b in lines), made.defined).strip(BLANK) for lines in made.heads)
+    note.headings = [h for h in said if h]
     starts = [a for a, _ in note.code]
     at = text.find("[[", note.body)
     while at >= 0:

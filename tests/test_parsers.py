@@ -148,14 +148,3 @@ def test_links_count_inside_html_but_code_does_not_hide_them():
     assert [raw for raw, _, _ in note.links] == ["a", "b"]
 
 
-#: Inputs that a full CommonMark reader takes otherwise than this subset does: kept as a list of what differs.
-DIFFERENT = {
-    "[a]: b\n===\n": "a link reference definition is read as a paragraph, so this is a heading",
-    "- a\n\n\n      [[x]]": "code inside list items is found by the item's own indent only",
-    "***a** b*\n===": "nested emphasis of uneven runs is not taken apart",
-}
-
-
-@pytest.mark.parametrize("text", DIFFERENT)
-def test_inputs_that_differ_are_read(text):
-    assert isinstance(markdown.read(text), markdown.Note)
