@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from graphloom.functions import columns as C
-from graphloom.operators import documents, glossary, resolve
+from graphloom.operators import documents, glossary, graph, resolve
 from graphloom.operators.graph import Workspace
 
 # The messages of diagnostics, by status; the ambiguous one holds the number of candidates.
@@ -67,6 +67,15 @@ def symbol_info(w: Workspace, symbol_id: int | None = None) -> DataFrame:
     return symbols.select("symbol_id", "file", F.col("name_line").alias("line"), F.col("name_utf16").alias("character"))
 
 
+def node_targets(w: Workspace, ids: DataFrame) -> DataFrame:
+    """id, file, line and character that a node of the graph leads to, for each of ``ids`` (id); terms lead nowhere."""
+    asked = ids.select("id").distinct().withColumn("n", graph.node_id(F.col("id")))
+    zero = F.lit(0)
+    notes = asked.filter("n.path is not null").join(w.docs.select("path"), F.col("n.path") == F.col("path"), "left_semi").select("id", F.col("n.path").alias("file"), zero.alias("line"), zero.alias("character"))
+    code = asked.filter("n.symbol_id is not null").join(symbol_info(w), F.col("n.symbol_id") == F.col("symbol_id")).select("id", "file", "line", "character")
+    return notes.unionByName(code)
+
+
 def doc_hover(w: Workspace) -> DataFrame:
     """A note's hover: its path in bold, and its headings, each once, in order."""
     heads = w.sections.groupBy("path", "heading").agg(F.min("ordinal").alias("ordinal")).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ordinal", "heading"))).alias("heads"))

@@ -190,6 +190,11 @@ PLACES = (
 #: Open buffers: every tenth note is being rewritten.
 BUFFER_TEXT = f"'# Open' || {NL} || '[[nowhere]] [[' || {LINKS[0]} || ']]' || {NL}"
 BUFFERS = f"SELECT {NOTE_PATH} AS path, {BUFFER_TEXT} AS text FROM documents WHERE doc_id % 10 = 0"
+#: Two looks at the folder of notes: some come, some go, and of those that stay every eleventh is longer, every thirteenth newer.
+LISTINGS = (
+    f"SELECT {NOTE_PATH} AS path, cast(doc_id as bigint) AS modified, cast(n_chars as bigint) AS size FROM documents WHERE doc_id % 7 <> 0",
+    f"SELECT {NOTE_PATH} AS path, cast(doc_id + CASE WHEN doc_id % 13 = 0 THEN 1 ELSE 0 END as bigint) AS modified, cast(n_chars + CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 0 END as bigint) AS size FROM documents WHERE doc_id % 5 <> 0",
+)
 ROOT_URI = "file:///work/notes"
 
 

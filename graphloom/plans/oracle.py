@@ -139,6 +139,7 @@ BODIES = {
     "code_lens_of_a_file": "SELECT s.file, s.qualified, s.line::INT AS line, s.col::INT AS \"character\", count(*) AS n_refs FROM resolved r JOIN symbols s ON r.symbol_id = s.symbol_id WHERE r.status = 'CodeResolved' AND s.file = 'src/p7.rs' GROUP BY s.symbol_id, s.file, s.qualified, s.line, s.col",
     "uris_of_paths": f"SELECT path, '{derived.ROOT_URI}/' || replace(path, ' ', '%20') AS uri, path AS back FROM files",
     "index_sizes": " UNION ALL ".join(f"SELECT '{what}' AS what, count(*) AS n FROM {table}" for what, table in (("docs", "docs"), ("sections", "sections"), ("symbols", "symbols"), ("references", "refs"), ("terms", "terms"), ("mentions", "mentions"))),
+    "node_targets": "SELECT 'doc:' || path AS id, path AS file, 0 AS line, 0 AS \"character\" FROM docs UNION ALL SELECT DISTINCT 'section:' || path || '#' || heading, path, 0, 0 FROM sections UNION ALL SELECT 'symbol:' || symbol_id, file, line::INT, col::INT FROM symbols",
     "symbol_info": "SELECT symbol_id, file, line::INT AS line, col::INT AS \"character\" FROM symbols",
     "doc_hover_headings": _DOC_HOVER,
     "completion_items": f"SELECT path AS label, 'FILE' AS kind, NULL::VARCHAR AS detail, path || ']]' AS new_text FROM docs UNION ALL SELECT stem, 'FILE', path, stem || ']]' FROM stems WHERE path IS NOT NULL UNION ALL SELECT file || '@' || qualified, {_CLASS}, NULL, file || '@' || qualified || ']]' FROM symbols",
@@ -167,6 +168,8 @@ BODIES = {
       )) WINDOW w AS (ORDER BY g, x, y, z, text DESC ROWS UNBOUNDED PRECEDING)""",
 }
 ORACLES = {name: f"WITH {BASE} {body}" for name, body in BODIES.items()}
+ORACLES["refreshed_diagnostics"] = ORACLES["open_buffer_diagnostics"]
+ORACLES["folder_changes"] = f"SELECT {derived.NOTE_PATH} AS path, CASE WHEN doc_id % 7 = 0 THEN 'made' WHEN doc_id % 5 = 0 THEN 'deleted' ELSE 'edited' END AS change FROM documents WHERE (doc_id % 7 = 0) <> (doc_id % 5 = 0) OR (doc_id % 7 <> 0 AND doc_id % 5 <> 0 AND (doc_id % 13 = 0 OR doc_id % 11 = 0))"
 ORACLES["debounce_sessions"] = """
 SELECT user_id, count(*) FILTER (WHERE last) AS n_bursts, count(*) AS n_events FROM (
   SELECT user_id, ts, coalesce(lead(ts) OVER (PARTITION BY user_id ORDER BY ts) - ts > INTERVAL 1 HOUR, true) AS last FROM events

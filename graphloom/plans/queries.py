@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from graphloom.functions import columns as C
 from graphloom.operators import documents, glossary, graph, lookup, resolve
-from graphloom.operators.scratch import materialize
+from graphloom.operators.scratch import materialize, root_of
 from graphloom.plans import derived
-from graphloom.sources import workspace
+from graphloom.sources import changes, workspace
 from graphloom.streaming import reindex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -240,6 +241,25 @@ def completions(w, places):
     return lookup.completions_at(w.files, places)
 
 
+@over_workspace
+def node_targets(w):
+    return lookup.node_targets(w, w.nodes)
+
+
+def folder_changes(spark, sf_dir):
+    old, new = (derived.select(spark, sf_dir, q) for q in derived.LISTINGS)
+    return changes.difference(new, old)
+
+
+def refreshed_diagnostics(spark, sf_dir):
+    """A whole index, then a version made from what open buffers changed: warnings of the open notes."""
+    files, buffers = derived.files(spark, sf_dir), derived.buffers(spark, sf_dir)
+    out = f"{root_of(spark)}/refreshed-{uuid.uuid4().hex}"
+    reindex.rebuild(files, out)
+    reindex.refresh(workspace.buffers_over(files, buffers), buffers.select("path"), out, diagnosed=buffers.select("path"))
+    return reindex.published(spark, out)["diagnostics"]
+
+
 def open_buffer_diagnostics(spark, sf_dir):
     buffers = derived.buffers(spark, sf_dir)
     return lookup.all_diagnostics(graph.index(workspace.buffers_over(derived.files(spark, sf_dir), buffers)), buffers)
@@ -256,4 +276,4 @@ def latest_buffers(spark, sf_dir):
     return reindex.latest(turns, "conv_id", F.struct("turn", "text")).select("conv_id", "turn", "role", "text")
 
 
-QUERIES |= {"open_buffer_diagnostics": open_buffer_diagnostics, "debounce_sessions": debounce_sessions, "latest_buffers": latest_buffers}
+QUERIES |= {"folder_changes": folder_changes, "refreshed_diagnostics": refreshed_diagnostics, "open_buffer_diagnostics": open_buffer_diagnostics, "debounce_sessions": debounce_sessions, "latest_buffers": latest_buffers}

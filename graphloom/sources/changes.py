@@ -33,6 +33,15 @@ def last_look(spark: SparkSession, state: str) -> int:
     return spark.read.schema(LOOKS).parquet(f"{state}/looks").agg(F.coalesce(F.max("look"), F.lit(0))).first()[0]
 
 
+def difference(new: DataFrame, old: DataFrame) -> DataFrame:
+    """path and change (made, edited, deleted) between two listings (path, modified, size), of unique paths."""
+    before = old.select(F.col("path").alias("was"), F.col("modified").alias("m"), F.col("size").alias("s"))
+    edited = (F.col("modified") != F.col("m")) | (F.col("size") != F.col("s"))
+    kind = F.when(F.col("was").isNull(), "made").when(F.col("path").isNull(), "deleted").when(edited, "edited")
+    both = new.join(before, F.col("path") == F.col("was"), "full").withColumn("change", kind)
+    return both.filter("change is not null").select(F.coalesce("path", "was").alias("path"), "change")
+
+
 def look(spark: SparkSession, root: str, state: str, **options: str) -> DataFrame:
     """CHANGES of ``root`` since the last look below ``state``; all its files at first. Only one looker at a time."""
     before = last_look(spark, state)
@@ -41,10 +50,7 @@ def look(spark: SparkSession, root: str, state: str, **options: str) -> DataFram
     workspace.listing(spark, root, **options).select("path", "modified", "size").write.mode("overwrite").parquet(now)
     new = spark.read.schema(LISTED).parquet(now)
     old = spark.read.schema(LISTED).parquet(f"{state}/listings/{before:012d}") if before else new.limit(0)
-    old = old.select(F.col("path").alias("was"), F.col("modified").alias("m"), F.col("size").alias("s"))
-    kind = F.when(F.col("was").isNull(), "made").when(F.col("path").isNull(), "deleted").when((F.col("modified") != F.col("m")) | (F.col("size") != F.col("s")), "edited")
-    both = new.join(old, F.col("path") == F.col("was"), "full").withColumn("change", kind).filter("change is not null")
-    found = both.select(F.lit(root).alias("root"), F.current_timestamp().alias("ts"), F.coalesce("path", "was").alias("path"), "change", F.lit(number).cast("long").alias("look"))
+    found = difference(new, old).select(F.lit(root).alias("root"), F.current_timestamp().alias("ts"), "path", "change", F.lit(number).cast("long").alias("look"))
     own = f"{state}/changes/batch={number}"
     found.write.mode("overwrite").parquet(own)
     out = spark.read.schema(CHANGES).parquet(own)

@@ -34,3 +34,5 @@ def test_the_rest_works_without_them(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q); print(len(q), any(n.startswith('op') and n[2].isdigit() for n in q), 'pipeline' in q)"
     out = subprocess.run([sys.executable, "-c", code], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, capture_output=True, text=True, check=True)
     assert out.stdout.split()[-2:] == ["False", "False"] and int(out.stdout.split()[-3]) > 30
+    tests = ["tests/test_parsers.py", "tests/test_commonmark.py", "tests/test_recovery.py", "tests/test_columns.py"]
+    subprocess.run([sys.executable, "-m", "pytest", "-q", "-x", *tests], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, capture_output=True, check=True)

@@ -145,7 +145,7 @@ def test_refreshed_equals_rebuilt(spark, tmp_path):
     files = {"n1.md": "# H\n[[s1.rs@A::go]] [[n2]] Bus\n", "n2.md": "# H\n[[n1#H]] [[x/n3.md]]\n", "x/n3.md": "# Top\n[[s2.rs@A]] [[s1.rs@A]]", "s1.rs": RUST[0], "s2.rs": RUST[1], "glossary/Bus.md": "# A bus\n"}
     out = str(tmp_path / "live")
     reindex.rebuild(frame(spark, files), out)
-    for k in range(6):
+    for k in range(3):
         after = edit(r, files)
         touched = sorted(p for p in {*files, *after} if files.get(p) != after.get(p)) + ["n2.md", "never.md"]  # one is only touched
         said = reindex.refresh(frame(spark, after), spark.createDataFrame([(p,) for p in touched], "path string"), out)
@@ -156,7 +156,7 @@ def test_refreshed_equals_rebuilt(spark, tmp_path):
         assert told(published.published(spark, out, names=("hashes", "terms", "docs"))) == told(published.published(spark, whole, names=("hashes", "terms", "docs")))
         files = after
     kept = [p.name for p in (tmp_path / "live").iterdir() if p.name.isdigit()]
-    assert len(kept) == published.KEPT and reindex.versions(spark, out).count() == 7
+    assert len(kept) == published.KEPT and reindex.versions(spark, out).count() == 4
 
 
 def test_a_refresh_reads_only_what_was_touched(spark, tmp_path):
