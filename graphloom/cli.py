@@ -16,8 +16,11 @@ def main(args: list[str]) -> int:
         return 2
     spark = SparkSession.builder.appName("graphloom").getOrCreate()
     found = graph.index(workspace.read(spark, args[1] if len(args) > 1 else "."))
-    print(graph.to_json(found.nodes, found.edges, include_sections=True).first()[0])
+    for part in graph.json_parts(found.nodes, found.edges, True, found.scratch).orderBy("ordinal").toLocalIterator():
+        sys.stdout.write(part.text)
+    print()
     s = found.stats().first()
+    found.close()
     print(f"{s.node_count} nodes, {s.edge_count} edges; code references: {s.code_refs_resolved} resolved, {s.code_refs_unresolved} not", file=sys.stderr)
     return 0
 

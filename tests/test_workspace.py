@@ -138,6 +138,8 @@ def test_commands(spark):
     w = index(spark, {"a.rs": RUST, "a.md": "# H"})
     assert commands.run(w, "symbolInfo", [1]).collect() == [(1, "a.rs", 2, 7)] and commands.run(w, "symbolInfo", [9]).count() == 0
     assert len(json.loads(commands.run(w, "graph", [True]).first()[0])["nodes"]) == 4 and len(json.loads(commands.run(w, "graph").first()[0])["nodes"]) == 3
+    parts = commands.run(w, "graphParts", [True]).orderBy("ordinal").collect()
+    assert json.loads("".join(p.text for p in parts)) == json.loads(commands.run(w, "graph", [True]).first()[0])
     with pytest.raises(commands.UnknownCommand):
         commands.run(w, "other")
     for wrong in (None, ["x"], [True]):
