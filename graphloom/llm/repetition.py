@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import common
-from .words import SPACE, U, Words, chunks, grams, mix, powers
+from .words import HALF, LOW, PRIME, SPACE, Sums, U, Words, chunks, grams, mix, powers, product, reduced
 
 SYMBOLS = np.zeros(256, np.int8)
 SYMBOLS[list(b"#*$%&|<>")] = 1
@@ -104,13 +104,15 @@ def suffix_repeats(h: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarra
 def common_prefixes(h: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
     """How many words agree from a and from b on, ``most`` at the most."""
     up, down = powers(len(h) + 1)
-    sums = np.concatenate([np.zeros(1, U), np.cumsum(h * up[: len(h)], dtype=U)])
+    terms = product(reduced(h), up[: len(h)])
+    sums = Sums(terms & LOW, terms >> HALF)
+    passage = lambda i, step: product(reduced(sums[i + step] + (PRIME - sums[i])), down[i])
     lcp = np.zeros(len(a), np.int64)
     step = 1 << max(0, int(most.max(initial=0)).bit_length() - 1)
     while step:
         k = np.flatnonzero(lcp + step <= most)
         i, j = a[k] + lcp[k], b[k] + lcp[k]
-        k = k[(sums[i + step] - sums[i]) * down[i] == (sums[j + step] - sums[j]) * down[j]]
+        k = k[passage(i, step) == passage(j, step)]
         lcp[k] += step
         step >>= 1
     return lcp

@@ -1,7 +1,9 @@
 """Words of many texts at once in numpy: places, 64-bit hashes, grams.
 
 A word is a run of bytes other than 0x20 and 0x09-0x0D, so multi-byte characters stay whole.
-Equal words have equal hashes; different words share one with a chance of about 2**-64.
+Equal words have equal hashes. A word's bytes are a polynomial at a fixed point modulo the prime
+2**61 - 1, so two different words of n bytes agree at n points at most: a chance of n / 2**61, whatever
+pattern they follow. (Modulo 2**64 some patterns, Thue-Morse's among them, agree at every odd point.)
 """
 
 from __future__ import annotations
@@ -11,8 +13,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 U = np.uint64
-BASE = U(0x9E3779B97F4A7C15 | 1)
-UNBASE = U(pow(int(BASE), -1, 1 << 64))
+#: Remainders are taken of this prime; LOW masks the lower half of one.
+PRIME = U((1 << 61) - 1)
+LOW, HALF = U((1 << 31) - 1), U(31)
+BASE = 0x1B873593CC9E2D51
+UNBASE = pow(BASE, -1, int(PRIME))
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -25,22 +30,51 @@ SEGMENT = 300_000
 _powers = [np.ones(1, U), np.ones(1, U)]
 
 
+def reduced(x: np.ndarray) -> np.ndarray:
+    """Any 64-bit numbers modulo PRIME."""
+    x = (x & PRIME) + (x >> U(61))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def raised(x: np.ndarray) -> np.ndarray:
+    """Remainders times 2**31, below 2**62: what passes bit 61 comes back at bit 0."""
+    return (x >> U(30)) + ((x & U((1 << 30) - 1)) << HALF)
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of remainders modulo PRIME, from halves of 31 and 30 bits; no sum passes 64 bits."""
+    a_high, a_low, b_high, b_low = a >> HALF, a & LOW, b >> HALF, b & LOW
+    middle = a_high * b_low + a_low * b_high
+    return reduced(((a_high * b_high) << U(1)) + raised(middle) + a_low * b_low)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i for i below n at least; up to SEGMENT they are kept."""
     if len(_powers[0]) >= n:
         return _powers[0], _powers[1]
-    made = []
+    made, size = [], max(n, SEGMENT + 1)
     for b in (BASE, UNBASE):
-        steps = np.full(max(n, SEGMENT + 1), b, U)
-        steps[0] = 1
-        made.append(np.multiply.accumulate(steps))
+        own = np.ones(1, U)
+        while len(own) < size:
+            own = np.concatenate([own, product(own, power(b, len(own)))])
+        made.append(own[:size].copy())
     if n <= SEGMENT + 1:
         _powers[:] = made
     return made[0], made[1]
 
 
-def power(b: U, k: int) -> U:
-    return U(pow(int(b), k, 1 << 64))
+def power(b: int, k: int) -> U:
+    return U(pow(b, k, int(PRIME)))
+
+
+class Sums:
+    """Sums of the first 0, 1, ... values times powers, kept as sums of both halves: remainders are taken where asked for."""
+
+    def __init__(self, low: np.ndarray, high: np.ndarray):
+        self.low, self.high = (np.concatenate([np.zeros(1, U), np.cumsum(x, dtype=U)]) for x in (low, high))
+
+    def __getitem__(self, places) -> np.ndarray:
+        return reduced(reduced(self.low[places]) + raised(reduced(self.high[places])))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -79,15 +113,15 @@ class Words:
         back, carry = np.empty(len(begin), U), U(0)
         for start in range(0, len(self.data) + 1, SEGMENT):
             values = self.table[self.data[start : start + SEGMENT]]
-            values *= up[: len(values)]
-            own = np.concatenate([np.zeros(1, U), np.cumsum(values, dtype=U)]) * power(BASE, start) + carry
-            carry = own[-1]
+            own, shift = up[: len(values)], power(BASE, start)
+            own = Sums(values * (own & LOW), values * (own >> HALF))
             for places, out in ((begin, sums[0]), (end, sums[1])):
                 a, b = np.searchsorted(places, (start, start + SEGMENT))
-                out[a:b] = own[places[a:b] - start]
+                out[a:b] = reduced(product(own[places[a:b] - start], shift) + carry)
+            carry = reduced(product(own[-1:], shift) + carry)[0]
             a, b = np.searchsorted(begin, (start, start + SEGMENT))
-            back[a:b] = down[begin[a:b] - start] * power(UNBASE, start)
-        return mix((sums[1] - sums[0]) * back + (end - begin).astype(U) * U(0xD6E8FEB86659FD93))
+            back[a:b] = product(down[begin[a:b] - start], power(UNBASE, start))
+        return mix(product(reduced(sums[1] + (PRIME - sums[0])), back) + (end - begin).astype(U) * U(0xD6E8FEB86659FD93))
 
     def word_hashes(self) -> np.ndarray:
         return self.hashes(self.begin, self.end)

@@ -249,9 +249,9 @@ def plain_mix(h):
 
 
 def plain_word(word):
-    base, h, data = 0x9E3779B97F4A7C15 | 1, 0, word.encode()
+    base, prime, h, data = 0x1B873593CC9E2D51, (1 << 61) - 1, 0, word.encode()
     for k, b in enumerate(data):
-        h = (h + (b + 1) * pow(base, k, 1 << 64)) & M
+        h = (h + (b + 1) * pow(base, k, prime)) % prime
     return plain_mix((h + len(data) * 0xD6E8FEB86659FD93) & M)
 
 
@@ -303,6 +303,34 @@ def test_texts_are_hashed_alike_in_parts(monkeypatch):
     assert np.array_equal(again.hashes(again.begin, again.end), want)
 
 
+def test_words_that_agree_modulo_powers_of_two_are_told_apart(spark):
+    morse = [bin(k).count("1") % 2 for k in range(2048)]
+    one, other = ("".join("ab"[b ^ flip] for b in morse[:1024]) for flip in (0, 1))
+    assert len({int(x) for x in words.Words([f"{one} {other} {one}"]).word_hashes()}) == 2
+    assert len({plain_word(one), plain_word(other)}) == 2
+    # Two passages of 2,048 words that follow the same pattern share their first words at most.
+    pair = words.Words(["x y"]).word_hashes()
+    h = np.concatenate([pair[np.array(morse)], pair[1 - np.array(morse)]])
+    assert repetition.common_prefixes(h, np.array([0, 0]), np.array([2048, 3]), np.array([2048, 2045])).tolist() == [0, next(k for k in range(9) if morse[k] != morse[k + 3])]
+    docs = spark.createDataFrame([(1, f"{one} x y"), (2, f"{other} x y"), (3, f"{one} x y")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.classes(docs).collect()} == {1: 1, 2: 2, 3: 1}
+    lines = spark.createDataFrame([(1, "\n".join([one, other, one]))], "doc_id long, text string")
+    row = repetition.judge(lines).first()
+    assert (row.n_words, row.n_dup_lines, row.n_repeat_words) == (3, 1, 0)
+
+
+def test_remainders_are_exact():
+    r = random.Random(5)
+    p = int(words.PRIME)
+    some = [0, 1, p - 1, p - 2, 1 << 31, (1 << 31) - 1, *(r.randrange(p) for _ in range(200))]
+    a, b = (np.array(x, np.uint64) for x in zip(*((x, y) for x in some for y in some)))
+    assert [int(x) for x in words.product(a, b)] == [x * y % p for x in some for y in some]
+    every = np.array([0, p, p + 1, 2 * p, (1 << 64) - 1], np.uint64)
+    assert [int(x) for x in words.reduced(every)] == [int(x) % p for x in every]
+    up, down = words.powers(1000)
+    assert [int(x) for x in words.product(up[:1000], down[:1000])] == [1] * 1000
+
+
 def test_a_text_of_20_mb(spark, sf):
     r = random.Random(3)
     vocabulary = ["".join(r.choices("abcdefghijklmnop", k=r.randint(2, 9))) for _ in range(5000)]
