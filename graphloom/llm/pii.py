@@ -2,9 +2,11 @@
 
 The tagger reads windows of ``window`` characters, one every ``stride``. Where windows overlap, their
 scores are averaged, each weighted by its distance from the window's edge, and one Viterbi pass
-decodes the whole run of windows: so a span across an edge is decided once, globally. A decoded span
-counts if it has the form of its kind (``plausible``) and meets no base span. All kinds hold a digit
-or an @, and windows start at rest, so a window without either could not add a span and is not read.
+decodes the whole text: so a span across an edge is decided once, globally. All kinds hold a digit or an @,
+so a character may belong to a span only if a window holds it together with one of these; elsewhere the tag is fixed: none.
+Fixed tags cut the pass into stretches, which are decoded apart with the same result, and only windows that meet a
+stretch need be read: what is found is what reading every window finds. Stretches of any length are read and
+decoded part by part. A decoded span counts if it has the form of its kind (``plausible``) and meets no base span.
 
 Training windows come from a bounded number of documents, drawn by id hash, whose base spans are
 the labels; copies of them get spans of forms that the patterns miss. The driver trains the tagger.
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import common
-from .tagger import Tagger, viterbi
+from .tagger import Path, Tagger
 
 KINDS = ("email", "ip", "card", "phone")
 SCHEMA = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
@@ -130,15 +133,11 @@ def tags(length: int, spans: list[Span]) -> np.ndarray:
 
 
 def spans_of(found: np.ndarray) -> list[Span]:
-    out, kind, start = [], -1, 0
-    for k, tag in enumerate([*found.tolist(), 0]):
-        own = (tag - 1) // 2 if tag else -1
-        if kind >= 0 and (own != kind or tag % 2):
-            out.append((kind, start, k))
-            kind = -1
-        if kind < 0 and own >= 0:
-            kind, start = own, k
-    return out
+    kind = (found.astype(np.int8) + 1) // 2  # 0: none
+    fresh = np.append(True, (kind[1:] != kind[:-1]) | (found[1:] % 2 == 1))[: len(found)]
+    starts = np.flatnonzero((kind > 0) & fresh)
+    ends = np.flatnonzero((kind > 0) & np.append(fresh[1:], True)[: len(found)]) + 1
+    return list(zip((kind[starts] - 1).tolist(), starts.tolist(), ends.tolist(), strict=True))
 
 
 def card_number(r: np.random.Generator) -> str:
@@ -208,17 +207,20 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Tagger:
     return tagger
 
 
-def runs(text: str, settings: Settings) -> list[tuple[int, int]]:
-    """First and last window of each run of overlapping windows with a digit or an @."""
+def stretches(text: str, settings: Settings) -> list[tuple[int, int]]:
+    """Where spans may be: the characters of windows with a digit or an @, start and end of each run of them."""
     out: list[tuple[int, int]] = []
+    w, stride, have = settings.window, settings.stride, -1
     for m in TRIGGER.finditer(text):
-        p = m.start()
-        first, last = max(0, (p - settings.window) // settings.stride + 1), p // settings.stride
-        if out and first <= out[-1][1] + 1:
-            if last > out[-1][1]:
-                out[-1] = (out[-1][0], last)
+        last = m.start() // stride
+        if last == have and m.start() % stride:
+            continue  # all windows that hold it hold one before it
+        have = last
+        start, end = max(0, (m.start() - w) // stride + 1) * stride, min(len(text), last * stride + w)
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
         else:
-            out.append((first, last))
+            out.append((start, end))
     return out
 
 
@@ -226,44 +228,89 @@ def runs(text: str, settings: Settings) -> list[tuple[int, int]]:
 TOGETHER = 512
 
 
+class Stretch:
+    """A stretch of a text, read from its first window to its last, in parts of any number of windows."""
+
+    def __init__(self, number: int, text: str, start: int, end: int, tagger: Tagger, settings: Settings):
+        self.number, self.text, self.start, self.end, self.settings = number, text, start, end, settings
+        self.first = max(0, (start - settings.window) // settings.stride + 1)
+        self.last = (end - 1) // settings.stride
+        self.path = Path(tagger.p["a"], 0 if start else None)
+        over = settings.window - settings.stride
+        self.total, self.sums = np.zeros((over, TAGS), np.float32), np.zeros((over, 1), np.float32)
+
+    def windows(self, first: int, last: int) -> np.ndarray:
+        """Codes (window, place); past the text's end they are 0."""
+        w, stride = self.settings.window, self.settings.stride
+        padded = np.zeros((last - first) * stride + w, np.uint8)
+        own = codes(self.text[first * stride : last * stride + w])
+        padded[: len(own)] = own
+        return np.lib.stride_tricks.sliding_window_view(padded, w)[::stride]
+
+    def feed(self, first: int, last: int, scores: np.ndarray, weight: np.ndarray) -> list[Span]:
+        """Takes scores (place, window, tag); the stretch's spans once its last window is there."""
+        w, stride = self.settings.window, self.settings.stride
+        over, size = w - stride, (last - first) * stride + w
+        total, sums = np.zeros((size, TAGS), np.float32), np.zeros((size, 1), np.float32)
+        total[:over], sums[:over] = self.total, self.sums
+        for k in range(last - first + 1):
+            total[k * stride : k * stride + w] += scores[:, k] * weight
+            sums[k * stride : k * stride + w] += weight
+        whole = size if last == self.last else size - over
+        self.total, self.sums = total[whole:].copy(), sums[whole:].copy()
+        a, b = max(0, self.start - first * stride), min(whole, self.end - first * stride)
+        if a < b:
+            self.path.feed(total[a:b] / sums[a:b])
+        if last < self.last:
+            return []
+        found = spans_of(self.path.tags(0 if self.end < len(self.text) else None))
+        return [(kind, s + self.start, e + self.start) for kind, s, e in found]
+
+
 def tagged(texts: list[str], tagger: Tagger, settings: Settings) -> list[list[Span]]:
     """The spans that the tagger sees in each text."""
-    w, stride = settings.window, settings.stride
+    w = settings.window
     out: list[list[Span]] = [[] for _ in texts]
     weight = (np.minimum(np.arange(w), np.arange(w)[::-1]) + 1).astype(np.float32)[:, None]
-    pending: list[tuple[int, int, int, np.ndarray]] = []  # text, first window, last, codes of the run
+    pending: list[tuple[Stretch, int, int]] = []  # with the first and last window that are next
 
     def read() -> None:
-        windows = []
-        for _, first, last, c in pending:
-            padded = np.zeros((last - first) * stride + w, np.int64)
-            padded[: len(c)] = c
-            windows += [padded[k * stride : k * stride + w] for k in range(last - first + 1)]
-        scores = np.concatenate([tagger.forward(np.stack(windows[k : k + TOGETHER], 1)) for k in range(0, len(windows), TOGETHER)], 1)
-        at = 0
-        for number, first, last, c in pending:
-            total, sums = np.zeros(((last - first) * stride + w, scores.shape[2]), np.float32), np.zeros(((last - first) * stride + w, 1), np.float32)
-            for k in range(last - first + 1):
-                total[k * stride : k * stride + w] += scores[:, at + k] * weight
-                sums[k * stride : k * stride + w] += weight
-            at += last - first + 1
-            found = viterbi(total[: len(c)] / sums[: len(c)], tagger.p["a"])
-            out[number] += [(kind, s + first * stride, e + first * stride) for kind, s, e in spans_of(found)]
+        scores, at = tagger.forward(np.concatenate([s.windows(a, b) for s, a, b in pending]).T), 0
+        for s, a, b in pending:
+            out[s.number] += s.feed(a, b, scores[:, at : at + b - a + 1], weight)
+            at += b - a + 1
         pending.clear()
 
     size = 0
     for number, text in enumerate(texts):
-        for first, last in runs(text, settings):
-            pending.append((number, first, last, codes(text[first * stride : last * stride + w])))
-            size += last - first + 1
-            if size >= TOGETHER:
-                read()
-                size = 0
+        for start, end in stretches(text, settings):
+            stretch = Stretch(number, text, start, end, tagger, settings)
+            k = stretch.first
+            while k <= stretch.last:
+                to = min(stretch.last, k + TOGETHER - size - 1)
+                pending.append((stretch, k, to))
+                size, k = size + to - k + 1, to + 1
+                if size == TOGETHER:
+                    read()
+                    size = 0
     if pending:
         read()
     return out
 
 
+def apart(spans: list[Span], base: list[Span]) -> list[Span]:
+    """Those that meet no base span."""
+    starts, ends = [], []
+    for start, end in sorted((s, e) for _, s, e in base):
+        if ends and start < ends[-1]:
+            ends[-1] = max(end, ends[-1])
+        else:
+            starts.append(start)
+            ends.append(end)
+    before = lambda end: bisect_right(starts, end - 1)  # noqa: E731 - how many begin before it
+    return [s for s in spans if not before(s[2]) or ends[before(s[2]) - 1] <= s[1]]
+
+
 def digest(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for kind, start, end in sorted(spans))
 
@@ -287,11 +334,8 @@ def find(docs: DataFrame, tagger: Tagger, settings: Settings = Settings()) -> Da
             rows = []
             for text, seen in zip(texts, tagged(texts, tagger, settings), strict=True):
                 base = base_spans(text)
-                added = []
-                for span in (trimmed(text, s) for s in seen):
-                    kind, start, end = span
-                    if start < end and plausible(kind, text[start:end]) and not any(s < end and start < e for _, s, e in base):
-                        added.append(span)
+                cut = [trimmed(text, s) for s in seen]
+                added = apart([s for s in cut if s[1] < s[2] and plausible(s[0], text[s[1] : s[2]])], base)
                 counts = [sum(s[0] == k for s in base) for k in range(len(KINDS))]
                 rows.append((*counts, hashlib.sha256(digest(base).encode()).hexdigest(), digest(base + added), len(added)))
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]

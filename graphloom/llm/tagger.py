@@ -126,17 +126,62 @@ def crf_gradients(scores: np.ndarray, a: np.ndarray, gold: np.ndarray):
     return float((total - right).mean()), (d_scores / rows).astype(F), (d_a / rows).astype(F)
 
 
+class Path:
+    """Viterbi's best tags of one sequence whose scores (time, tag) come part by part.
+
+    ``before`` and ``after`` are the tags that stand around the sequence, None at an end. What the best paths of
+    all last tags agree on is settled at once, so only steps back to where they part are kept.
+    """
+
+    def __init__(self, a: np.ndarray, before: int | None = None):
+        self.a, self.every = a.astype(np.float64), np.arange(len(a))
+        self.best = None if before is None else self.a[before]
+        self.came = np.zeros((0, len(a)), np.int8)
+        self.settled: list[np.ndarray] = []
+        self.patience = 0
+
+    def feed(self, scores: np.ndarray) -> None:
+        came = np.zeros((len(scores), len(self.every)), np.int8)
+        best, start = self.best, 0
+        if len(scores) and not self.settled and not len(self.came):
+            best, start = scores[0] + (0.0 if best is None else best), 1
+        for t in range(start, len(scores)):
+            sums = best[:, None] + self.a
+            last = sums.argmax(0)
+            came[t] = last
+            best = sums[last, self.every] + scores[t]
+        self.best = best if best is None else best - best.max()
+        self.came = np.concatenate([self.came, came])
+        if len(self.came) > self.patience:
+            self.settle()
+            self.patience = 2 * len(self.came)
+
+    def settle(self) -> None:
+        paths = self.every
+        for t in range(len(self.came) - 1, 0, -1):
+            paths = self.came[t][paths]
+            if (paths == paths[0]).all():  # the tag at t - 1, whatever comes
+                self.settled.append(self.back(self.came[:t], int(paths[0])))
+                self.came = self.came[t:].copy()
+                return
+
+    @staticmethod
+    def back(came: np.ndarray, tag: int) -> np.ndarray:
+        out = np.empty(len(came), np.int8)
+        for t in range(len(came) - 1, -1, -1):
+            out[t] = tag
+            tag = came[t, tag]
+        return out
+
+    def tags(self, after: int | None = None) -> np.ndarray:
+        if len(self.came):
+            self.settled.append(self.back(self.came, int((self.best if after is None else self.best + self.a[:, after]).argmax())))
+            self.came = self.came[:0]
+        return np.concatenate(self.settled) if self.settled else np.zeros(0, np.int8)
+
+
 def viterbi(scores: np.ndarray, a: np.ndarray) -> np.ndarray:
     """The best tags of one sequence of scores (time, tag)."""
-    steps, tags = scores.shape
-    best, came = scores[0], np.zeros((steps, tags), np.int64)
-    every = np.arange(tags)
-    for t in range(1, steps):
-        sums = best[:, None] + a
-        came[t] = sums.argmax(0)
-        best = sums[came[t], every] + scores[t]
-    out = np.empty(steps, np.int64)
-    out[-1] = best.argmax()
-    for t in range(steps - 1, 0, -1):
-        out[t - 1] = came[t, out[t]]
-    return out
+    path = Path(a)
+    path.feed(scores)
+    return path.tags()

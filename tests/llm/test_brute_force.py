@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from graphloom.llm import common, importance, jaccard, langid, mixing, pages, pii, registry, repetition, secrets, words
-from graphloom.llm.tagger import viterbi
+from graphloom.llm.tagger import Path
 
 from tests.llm import helpers as H
 from tests.llm.test_operators import plain_base, plain_secrets
@@ -46,31 +46,34 @@ def planted(spark, sf):
     return out
 
 
-def plain_tagged(text, tagger, s, every):
-    """Spans by reading windows one at a time: all of them, or those of runs with a digit or an @."""
-    starts = range(0, max(1, len(text)), s.stride)
-    wanted = [a for a in starts if every or re.search("[0-9@]", text[a : a + s.window])]
-    runs = []
-    for a in wanted:
-        if runs and a - runs[-1][-1] == s.stride:
-            runs[-1].append(a)
-        else:
-            runs.append([a])
-    found = []
-    for run in runs:
-        end = min(len(text), run[-1] + s.window)
-        total, weights = np.zeros((end - run[0], pii.TAGS)), np.zeros((end - run[0], 1))
-        for a in run:
-            ids = np.zeros((s.window, 1), np.int64)
-            piece = pii.codes(text[a : a + s.window])
-            ids[: len(piece), 0] = piece
-            scores = tagger.forward(ids)[:, 0]
-            for k in range(len(piece)):
-                w = 1 + min(k, s.window - 1 - k)
-                total[a - run[0] + k] += scores[k] * w
-                weights[a - run[0] + k] += w
-        found += [(kind, b + run[0], e + run[0]) for kind, b, e in pii.spans_of(viterbi(total / weights, tagger.p["a"]))]
-    return found
+def plain_tagged(text, tagger, s):
+    """Spans by reading every window, one at a time, and one pass over the text; a place that no window holds together with a digit or an @ has no tag."""
+    total, weights, may = np.zeros((len(text), pii.TAGS)), np.zeros((len(text), 1)), np.zeros(len(text), bool)
+    for a in range(0, len(text), s.stride):
+        ids = np.zeros((s.window, 1), np.int64)
+        piece = pii.codes(text[a : a + s.window])
+        ids[: len(piece), 0] = piece
+        scores = tagger.forward(ids)[:, 0]
+        may[a : a + s.window] |= bool(re.search("[0-9@]", text[a : a + s.window]))
+        for k in range(len(piece)):
+            w = 1 + min(k, s.window - 1 - k)
+            total[a + k] += scores[k] * w
+            weights[a + k] += w
+    scores = total / np.maximum(weights, 1)
+    scores[~may, 1:] = -1e6
+    return pii.spans_of(plain_viterbi(scores, tagger.p["a"].astype(float)))
+
+
+def plain_viterbi(scores, a):
+    best, came = scores[0] if len(scores) else None, []
+    for row in scores[1:]:
+        sums = best[:, None] + a
+        came.append(sums.argmax(0))
+        best = sums.max(0) + row
+    out = [int(best.argmax())] if len(scores) else []
+    for step in reversed(came):
+        out.append(int(step[out[-1]]))
+    return np.array(out[::-1], np.int64)
 
 
 def added(text, seen):
@@ -79,20 +82,50 @@ def added(text, seen):
     return sorted(s for s in spans if s[1] < s[2] and pii.plausible(s[0], text[s[1] : s[2]]) and not any(a < s[2] and s[1] < b for _, a, b in base))
 
 
-def test_windows_are_read_and_reconciled_as_one_by_one(planted, tagger):
-    s, texts = pii.Settings(), [t[:1500] for t in planted[:40]]
+@pytest.mark.parametrize("together", [512, 3, 1])
+def test_what_is_found_is_what_reading_every_window_finds(planted, tagger, monkeypatch, together):
+    monkeypatch.setattr(pii, "TOGETHER", together)
+    s, texts = pii.Settings(), [*(t[:3000] for t in planted[:60 if together > 99 else 12]), "", "no trigger at all " * 30, "7", "x" * 200 + "@", "5" * 400, ("a word or two " * 20 + "call 312-555-0188 ") * 5]
     for text, got in zip(texts, pii.tagged(texts, tagger, s), strict=True):
-        assert got == plain_tagged(text, tagger, s, False)
-
-
-def test_windows_without_a_trigger_add_nothing(planted, tagger):
-    s, texts = pii.Settings(), planted[:60]
-    differ = total = 0
-    for text in texts:
-        want, got = added(text, plain_tagged(text, tagger, s, True)), added(text, plain_tagged(text, tagger, s, False))
-        total += len(want)
-        differ += len(set(want) ^ set(got))
-    assert total > 80 and differ <= 0.02 * total
+        assert got == plain_tagged(text, tagger, s)
+
+
+def test_paths_in_parts_equal_whole_ones():
+    r = np.random.default_rng(4)
+    for case in range(60):
+        n, tags = int(r.integers(1, 60)), int(r.integers(2, 6))
+        scores, a = r.normal(0, 1, (n, tags)), r.normal(0, 2, (tags, tags))
+        edge = np.full((1, tags), -1e9)
+        edge[0, 0] = 0
+        before, after = (0 if case % 2 else None), (0 if case % 3 else None)
+        path, at = Path(a, before), 0
+        while at < n:
+            step = int(r.integers(1, 9))
+            path.feed(scores[at : at + step])
+            at += step
+        want = plain_viterbi(np.concatenate([edge[: before is not None], scores, edge[: after is not None]]), a)[before is not None :][:n]
+        assert path.tags(after).tolist() == want.tolist()
+
+
+def test_added_spans_meet_no_base_span():
+    r = random.Random(8)
+    for _ in range(300):
+        some = lambda: [(0, a, a + r.randint(1, 9)) for a in r.sample(range(60), r.randint(0, 6))]
+        spans, base = some(), some()
+        assert pii.apart(spans, base) == [s for s in spans if not any(a < s[2] and s[1] < b for _, a, b in base)]
+
+
+def test_a_long_text_of_figures_takes_memory_in_parts(tagger):
+    text = "4711 0815 " * 100_000
+    s = pii.Settings()
+    whole = pii.Stretch(0, text, *pii.stretches(text, s)[0], tagger, s)
+    assert pii.stretches(text, s) == [(0, len(text))]
+    weight, most, spans = np.ones((s.window, 1), np.float32), 0, []
+    for k in range(whole.first, whole.last + 1, 512):
+        to = min(whole.last, k + 511)
+        spans += whole.feed(k, to, tagger.forward(whole.windows(k, to).T), weight)
+        most = max(most, len(whole.path.came))
+    assert most < 70_000 and len(whole.path.tags()) == len(text)
 
 
 def test_the_method_finds_what_the_patterns_miss(spark, planted, tagger):
