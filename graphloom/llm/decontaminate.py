@@ -78,6 +78,19 @@ def occurrences(docs: DataFrame, shingles: DataFrame, sizes: list[int], settings
     return out, rows and small
 
 
+def dealt(rows: DataFrame, table: DataFrame, key: str, small: bool) -> DataFrame:
+    """``rows`` (doc_id, th and others) joined with ``table``, so that a key which a third of all rows has is not one task's.
+
+    A small table is broadcast. Of a larger one each row is copied to the salts that its key's rows have; ``rows``
+    is written first, as it is read twice.
+    """
+    if small:
+        return rows.join(F.broadcast(table), key)
+    salted = common.materialize(rows.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "th"), F.lit(common.SALTS)).cast("int")), "salted")
+    known = salted.select(key, "__salt").distinct().join(table, key)
+    return salted.join(known, [key, "__salt"]).drop("__salt")
+
+
 def verified(docs: DataFrame, items: DataFrame, settings: Settings, rows: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """doc_id, th, start, size, item_ids of every window's occurrence in a document; and doc_id, th, n_words of
     every row, if ``rows`` are asked for and come with the occurrences."""
@@ -91,6 +104,8 @@ def verified(docs: DataFrame, items: DataFrame, settings: Settings, rows: bool =
     text = F.array_join(F.slice("window", F.col("offset") + 1, F.col("s")), " ")
     spread = common.materialize(spread.select("wid", "size", "s", "offset", text.alias("sh")), "window-shingles")
     shingles = spread.select("s", "sh").distinct()
+    taken = lambda table, *names: table.agg(F.coalesce(F.sum(sum(F.octet_length(F.col(n).cast("string")) for n in names) + 48), F.lit(0))).first()[0]
+    small = taken(spread, "wid", "sh") + taken(own, "wid", "item_id") <= settings.most_broadcast
 
     places, have_rows = occurrences(docs, shingles, sizes, settings, rows)
     places = common.materialize(places, "occurrences")
@@ -100,13 +115,13 @@ def verified(docs: DataFrame, items: DataFrame, settings: Settings, rows: bool =
     ranked = spread.join(rarity, "sh", "left").groupBy("wid", "size").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "sh", "offset")).alias("first")).filter("first.n > 0")
     prefix = ranked.select("wid", "size", F.col("first.sh").alias("sh"), F.col("first.offset").alias("offset"))
     start = F.col("at") - F.col("offset")
-    candidates = found.join(prefix, "sh").withColumn("start", start).filter((F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.col("n_words"))).select("doc_id", "th", "start", "wid", "size").distinct()
+    candidates = dealt(found, prefix, "sh", small).withColumn("start", start).filter((F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.col("n_words"))).select("doc_id", "th", "start", "wid", "size").distinct()
 
-    needed = candidates.join(spread.select("wid", "s", "offset", "sh"), "wid").select("doc_id", "th", "start", "wid", "size", "s", (F.col("start") + F.col("offset")).alias("at"), "sh")
+    needed = dealt(candidates, spread.select("wid", "s", "offset", "sh"), "wid", small).select("doc_id", "th", "start", "wid", "size", "s", (F.col("start") + F.col("offset")).alias("at"), "sh")
     there = found.select(F.col("doc_id").alias("d"), F.col("th").alias("h"), F.col("at").alias("a"), F.col("sh").alias("x")).distinct()
     matched = needed.join(there, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")) & (F.col("at") == F.col("a")) & (F.col("sh") == F.col("x")))
     whole = matched.groupBy("doc_id", "th", "start", "wid", "size", "s").agg(F.count("*").alias("n")).filter(F.col("n") == F.col("size") - F.col("s") + 1)
-    hits = whole.join(unique.select("wid", "items"), "wid").select("doc_id", "th", "start", "size", "items")
+    hits = dealt(whole, unique.select("wid", "items"), "wid", small).select("doc_id", "th", "start", "size", "items")
     return hits, places.filter("at < 0").select("doc_id", "th", "n_words") if have_rows else None
 
 

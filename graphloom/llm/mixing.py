@@ -20,8 +20,8 @@ from . import common
 
 ADDED = ("copy", "rate", "shuffle_key")
 SEED = "mix-1"
-#: Rates of so many sources are broadcast (under 100 MB); of more, they are joined by a shuffle.
-MOST_BROADCAST = 50_000
+#: Rates of sources are broadcast while they take so many bytes at most; beyond, they are joined by a shuffle.
+MOST_BROADCAST = 32_000_000
 #: Hexadecimal digits of a hash that make a uniform number: 52 bits, exact in a double.
 DIGITS = 13
 
@@ -71,7 +71,8 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, size: float = 1.0, se
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ADDED])
     own = [F.col(f"`{c}`") for c in docs.columns]
     table = rates(docs, weights, size).select(*(F.col(c).alias(f"__{c}") for c in ("source", "rate", "whole", "cdf")))
-    few = table.count() <= MOST_BROADCAST
+    size_of = F.coalesce(F.octet_length(F.col("__source").cast("string")), F.lit(0)) + 8 * F.size("__cdf") + 64
+    few = table.agg(F.coalesce(F.sum(size_of), F.lit(0))).first()[0] <= MOST_BROADCAST
     joined = docs.join(F.broadcast(table) if few else table, F.col("source").eqNullSafe(F.col("__source")))
     numbered = joined.withColumn("__u", uniform(F.lit(seed), F.col("doc_id")))
     times = F.col("__whole") + F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))

@@ -11,7 +11,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from graphloom.llm import common, importance, jaccard, langid, mixing, pages, pii, registry, repetition, secrets, words
+from graphloom.llm import common, decontaminate, importance, jaccard, langid, mixing, pages, pii, registry, repetition, secrets, words
 from graphloom.llm.tagger import Path
 
 from tests.llm import helpers as H
@@ -336,6 +336,24 @@ def test_texts_are_hashed_alike_in_parts(monkeypatch):
     assert np.array_equal(again.hashes(again.begin, again.end), want)
 
 
+def test_a_passage_in_a_third_of_all_rows_is_found_without_broadcasts(spark):
+    passage = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(k if k % 5 else None, f"text {k % 50} says {passage} and more" if k % 3 == 0 else f"text {k} is of its own making and says nothing else") for k in range(300)]
+    docs = spark.createDataFrame([*rows, (7, None), (8, "")], "doc_id long, text string")
+    items = spark.createDataFrame([("a", passage), ("b", passage + " thirteen"), ("c", "seven eight"), ("d", "never seen here"), ("e", None)], "item_id string, text string")
+    found = [sorted(decontaminate.inspect(docs, items, decontaminate.Settings(most_broadcast=b)).collect(), key=str) for b in (0, 32_000_000)]
+    assert found[0] == found[1] and len(found[0]) == 302
+    hit = Counter((r.n_hit, r.n_items) for r in found[0])
+    assert hit == {(12, 3): 100, (0, 0): 202}
+
+
+def test_rates_of_sources_are_joined_alike_with_and_without_a_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"t{k}", None if k % 7 == 0 else f"s{k % 7}") for k in range(200)], "doc_id long, text string, source string")
+    once = sorted(mixing.mix(docs).collect(), key=str)
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", 0)
+    assert sorted(mixing.mix(docs).collect(), key=str) == once and once
+
+
 def test_words_that_agree_modulo_powers_of_two_are_told_apart(spark):
     morse = [bin(k).count("1") % 2 for k in range(2048)]
     one, other = ("".join("ab"[b ^ flip] for b in morse[:1024]) for flip in (0, 1))
