@@ -413,9 +413,11 @@ def rooted_sets(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     if not slim.filter("sid is not null").groupBy("doc_id", "th").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
         found = found.groupBy("sid").agg(F.first("regions").alias("regions"), F.first("text").alias("text"))  # repeated rows
     members = common.materialize(found.mapInArrow(_hash_members(join.n), MEMBER), "members")
-    star = connected(links(members, join))
-    star = common.materialize(star, "links")
+    # In a table: chained, a task's links and its stars would each hold a Python worker, and idle ones stay.
+    found = common.materialize(links(members, join), "pairs")
     common.discard(members)
+    star = common.materialize(connected(found), "links")
+    common.discard(found)
     rooted = one.join(star, F.col("sid") == F.col("node"), "left").select("sid", "least", "lead", F.coalesce("root", "sid").alias("root"))
     return slim, common.materialize(rooted, "rooted")
 
