@@ -11,6 +11,7 @@ empty file set. Other columns of the input are ignored.
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 import zlib
@@ -18,6 +19,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -26,11 +28,17 @@ from . import common, rans
 TOKENIZER = "word_bpe_49k.json"
 #: Ids of a block: a block closes with the document that reaches this.
 BLOCK_IDS = 1 << 19
-#: Pieces, and words, that a Python worker keeps at most (under 100 MB each).
+#: Pieces that a task keeps in each of two generations (under 50 MB each), and the longest that it keeps.
 CACHE_WORDS = 300_000
+CACHE_CHARS = 64
+#: Pieces that are looked up together.
+TOGETHER = 1 << 17
 #: Letters that are composed, and have one lower case each.
 PLAIN_WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+LOW_WORD = "^[a-z\u00df-\u00f6\u00f8-\u00ff]+$"
 MARKS = ".,;:!?#*$%&"
+#: Texts of other characters than these are lower-cased piece by piece, where that is sure.
+OTHER = re.compile("[^\t-\r\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]")
 #: Python and the tokenizer differ about these being white space.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 BLOCKS = "shard int, block int, before long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
@@ -46,44 +54,93 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
         self.code = {"<u2": "H", "<u4": "I"}[self.kind]
-        self.words: dict[str, bytes] = {}
+        self.wide = array(self.code).itemsize
+        self.older: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.plain = splits_words_from_marks(self)
 
     def whole(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
+        found = self.older.get(piece)
+        if found is None:
+            found = self.piece(piece) if self.plain else self.whole(piece)
+            if len(piece) > CACHE_CHARS:
+                return found
         if len(self) >= CACHE_WORDS:
+            self.older = dict(self)
             self.clear()
-        found = self[piece] = self.piece(piece) if self.plain else self.whole(piece)
+        self[piece] = found
         return found
 
+    def forget(self) -> None:
+        """Between tasks a Python worker keeps no pieces: idle ones would hold them through later stages."""
+        self.clear()
+        self.older = {}
+        pa.default_memory_pool().release_unused()
+
     def piece(self, piece: str) -> bytes:
         """Words are looked up in lower case and apart from marks, so few reach the tokenizer."""
         word = piece.rstrip(MARKS)
         if not PLAIN_WORD.fullmatch(word):
             return self.whole(piece)
         low = word.lower()
-        found = self.words.get(low)
-        if found is None:
-            if len(self.words) >= CACHE_WORDS:
-                self.words.clear()
-            found = self.words[low] = self.of_model(low)
-        if word == piece:
-            return found
-        marks = piece[len(word) :]
-        if marks not in self.words:
-            self.words[marks] = self.whole(marks)
-        return found + self.words[marks]
+        if low == piece:
+            return self.of_model(low)
+        return self[low] if word == piece else self[low] + self[piece[len(word) :]]
 
     def of_model(self, low: str) -> bytes:
-        symbols = low if low.isascii() else low.encode().decode("latin-1").translate(BYTE_SYMBOLS)
-        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(symbols)]).tobytes()
+        symbols = low if low.isascii() else codecs.charmap_decode(low.encode(), "strict", SYMBOLS)[0]
+        return array(self.code, [t.id for t in self.model.tokenize(symbols)]).tobytes()
 
     def of(self, text: str) -> bytes:
-        if ODD_SPACE.search(text):
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        return self.of_all([text])[0]
+
+    def of_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text. Of all pieces those that differ are looked up, once for many texts."""
+        spaced = [self.spaced(text) for text in texts]
+        pieces = pc.ascii_split_whitespace(pa.array([x or "" for x in spaced], pa.large_string()))
+        each, ids, sizes = pieces.flatten(), [], [np.zeros(1, np.int64)]
+        for start in range(0, len(each), TOGETHER):
+            part = each.slice(start, TOGETHER).dictionary_encode()
+            found = self.of_pieces(part.dictionary)
+            size = np.fromiter(map(len, found), np.int64, len(found)) // self.wide
+            which = part.indices.to_numpy()
+            n = size[which]
+            at = np.repeat((np.cumsum(size) - size)[which] - (np.cumsum(n) - n), n)
+            at += np.arange(len(at))
+            ids.append(np.frombuffer(b"".join(found), self.kind)[at].tobytes())
+            sizes.append(n)
+        ends = (self.wide * np.cumsum(np.concatenate(sizes))[pieces.offsets.to_numpy()]).tolist()
+        every = b"".join(ids)
+        return [every[a:b] if x is not None else self.whole(text) for a, b, x, text in zip(ends[:-1], ends[1:], spaced, texts, strict=True)]
+
+    def of_pieces(self, pieces: pa.Array) -> list[bytes]:
+        """The ids of each piece; plain words are parted from marks first, so fewer are looked up and kept."""
+        if not self.plain:
+            return list(map(self.__getitem__, strings(pieces)))
+        words = pc.utf8_rtrim(pieces, MARKS)
+        words = pc.if_else(pc.match_substring_regex(words, LOW_WORD), words, pieces).dictionary_encode()
+        each = list(map(self.__getitem__, strings(words.dictionary)))
+        found = [each[k] for k in words.indices.to_numpy().tolist()]
+        marks = pc.subtract(pc.binary_length(pieces), pc.take(pc.binary_length(words.dictionary), words.indices)).to_numpy()
+        marked = np.flatnonzero(marks)
+        for k, piece, n in zip(marked.tolist(), strings(pieces.take(pa.array(marked))), marks[marked].tolist(), strict=True):
+            found[k] += self[piece[-n:]]
+        return found
+
+    def spaced(self, text: str) -> str | None:
+        """A text of the same ids that falls into pieces at ASCII white space, if that is sure."""
+        if self.plain and not OTHER.search(text):
+            low = text.lower()
+            return text if any(s in low for s in self.special) else low
+        return None if ODD_SPACE.search(text) else " ".join(text.split())
+
+
+def strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
 
 
 def byte_symbols() -> dict[int, str]:
@@ -94,14 +151,18 @@ def byte_symbols() -> dict[int, str]:
 
 
 BYTE_SYMBOLS = byte_symbols()
+#: The same for every byte.
+SYMBOLS = "".join(BYTE_SYMBOLS.get(b, chr(b)) for b in range(256))
 
 
 def splits_words_from_marks(coder: WordIds) -> bool:
-    """Whether this tokenizer gives plain words in lower case to its model, apart from marks."""
+    """Whether this tokenizer gives plain words in lower case to its model, apart from marks, and lower-cases all else."""
     probes = ("Quarks", "Çà", "straßen", "Élèves", "a", "ÿ")
+    odd = ("BY-NC's 4X", "(\"ÀÞ\")='RE_Z'", "X9.Y@Éa.DE|#ID")
     try:
         each = all(coder.of_model(w.lower()) == coder.whole(w) for w in probes)
-        return each and all(coder.whole(w + m) == coder.whole(w) + coder.whole(m) for w in probes for m in (".", ",", "###", "***", "!!?"))
+        each = each and all(coder.whole(x) == coder.whole(x.lower()) for x in odd)
+        return each and all(coder.whole(w + m) == coder.whole(w) + coder.whole(m) for w in (*probes, "4", "x9") for m in (".", ",", "###", "***", "!!?"))
     except Exception:  # another kind of tokenizer, whose model does not take these symbols
         return False
 
@@ -129,7 +190,6 @@ def _tokenize(name: str, end_id: int, block_ids: int):
     def run(batches):
         coder, shard, number = word_ids(name), TaskContext.get().partitionId(), 0
         end = np.array([end_id], coder.kind).tobytes()
-        wide = len(end)
         docs, lengths, parts, total, before = [], [], [], 0, 0
 
         def block():
@@ -138,11 +198,10 @@ def _tokenize(name: str, end_id: int, block_ids: int):
             return pa.RecordBatch.from_arrays([pa.array(a, k) for a, k in zip(arrays, kinds, strict=True)], ["shard", "block", "before", "n_ids", "doc_ids", "lengths", "payload"])
 
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = coder.of(text.as_py() or "") + end
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), coder.of_all([x or "" for x in batch.column("text").to_pylist()]), strict=True):
                 docs.append(doc)
-                lengths.append(len(ids) // wide)
-                parts.append(ids)
+                lengths.append(len(ids) // coder.wide + 1)
+                parts += (ids, end)
                 total += lengths[-1]
                 if total >= block_ids:
                     yield block()
@@ -151,6 +210,7 @@ def _tokenize(name: str, end_id: int, block_ids: int):
                     docs, lengths, parts, total = [], [], [], 0
         if docs:
             yield block()
+        coder.forget()
 
     return run
 
@@ -195,7 +255,9 @@ def encode(docs: DataFrame, tokenizer: str, path: str, end_id: int, block_ids: i
     counts = np.zeros(int(found.token.max()) + 1 if len(found) else 1, np.int64)
     counts[found.token.to_numpy(dtype=np.int64)] = found.n.to_numpy()
     freqs = rans.normalize(counts)
-    table = spark.createDataFrame([(int(s), int(freqs[s])) for s in np.flatnonzero(freqs)], "token long, freq long")
+    # From Arrow: lists would start Python workers of their own, which stay.
+    seen = np.flatnonzero(freqs)
+    table = spark.createDataFrame(pa.table({"token": pa.array(seen, pa.int64()), "freq": pa.array(freqs[seen], pa.int64())}))
     table.coalesce(1).write.parquet(f"{path}/freqs")
 
     model = rans.Model(freqs)
@@ -205,7 +267,8 @@ def encode(docs: DataFrame, tokenizer: str, path: str, end_id: int, block_ids: i
     for row in sums:
         starts.append((row.shard, base))
         base += row.n
-    spark.createDataFrame(starts, "shard int, base long").coalesce(1).write.parquet(f"{path}/shards")
+    shards = pa.table([pa.array([x[k] for x in starts], kind) for k, kind in enumerate((pa.int32(), pa.int64()))], ["shard", "base"])
+    spark.createDataFrame(shards).coalesce(1).write.parquet(f"{path}/shards")
     common.discard(raw)
     return path
 

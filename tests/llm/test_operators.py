@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,6 +202,42 @@ def test_word_cache_equals_the_tokenizer():
         assert coder.of(text) == coder.whole(text), text
 
 
+def test_words_found_often_stay_when_the_cache_is_full(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 40)
+    coder, asked = tokens.WordIds(tokens.tokenizer_file(tokens.TOKENIZER)), []
+    monkeypatch.setattr(tokens.WordIds, "of_model", lambda self, low, f=tokens.WordIds.of_model: (asked.append(low), f(self, low))[1])
+    for k in range(200):
+        text = f"The the, {chr(97 + k % 26)}{'xyz'[k % 3] * (k // 26 + 1)}wort THE. Of"
+        assert coder.of(text) == coder.whole(text)
+    assert asked.count("the") == asked.count("of") == 1
+    assert len(coder) + len(coder.older) <= 80
+
+
+def test_texts_together_equal_the_tokenizer():
+    coder, r = tokens.WordIds(tokens.tokenizer_file(tokens.TOKENIZER)), random.Random(5)
+    texts = ["", " ", "Word " * 40, "x" * 200 + ".,", "<|ENDOFTEXT|> <|endoftext|>", "a,b ,c. (É.) 4. x9, 4.0."]
+    texts += ["".join(r.choices("aAzÉÿ.,!#49'<|> \n\x0b\x1c\xa0µªΣ中", k=r.randint(0, 30))) for _ in range(500)]
+    assert coder.of_all(texts) == [coder.whole(t) for t in texts]
+
+
+def test_an_idle_worker_keeps_no_pieces(monkeypatch):
+    from types import SimpleNamespace
+
+    monkeypatch.setattr(tokens, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["some words", None]})
+    blocks = list(tokens._tokenize(tokens.TOKENIZER, 2, 1 << 19)([batch]))
+    assert blocks[0].column("lengths").to_pylist() == [[3, 1]]
+    assert not tokens.word_ids(tokens.TOKENIZER)
+
+
+def test_links_stand_in_a_table_before_they_are_joined(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(jaccard, "connected", lambda edges, f=jaccard.connected: (seen.append(edges), f(edges))[1])
+    docs = spark.createDataFrame([(i, "one two three four five six seven eight nine ten " * 2 + "x" * (i % 2)) for i in range(6)], "doc_id long, text string")
+    assert {r.component_id for r in jaccard.classes(docs).collect()} == {0}
+    assert [hasattr(edges, "scratch") for edges in seen] == [True]
+
+
 def test_tokens_equal_the_library(spark, sf):
     docs = table(spark, sf, "documents")
     want = token_rows(sorted((r.doc_id, r.text) for r in docs.collect()))
