@@ -120,3 +120,37 @@ def test_closing_deletes_what_was_written(spark):
     assert made and all(os.path.isdir(p) for p in made)
     w.close()
     assert not any(os.path.exists(p) for p in made)
+
+
+def test_contents_are_not_moved_for_each_shard(spark):
+    files = spark.createDataFrame(list(workspace(3, 50, 5).items()), "path string, content string")
+    own = glossary.materialize(glossary.unique(glossary.terms(files)), "own")
+    plan = glossary.sharded(files, own, 30)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "content" not in plan
+
+
+def test_a_sieve_loses_no_term(monkeypatch):
+    from graphloom.functions import terms
+
+    monkeypatch.setattr(terms, "PIECE", 50)  # texts are cut, and short ones put together
+    files = workspace(5)
+    names = sorted({p.rsplit("/", 1)[1][:-3] for p in files if p.startswith("glossary/")})
+    table = terms.np.zeros(64, terms.U)
+    at, bits = terms.marks(terms.name_hashes(names), len(table))
+    terms.np.bitwise_or.at(table, at, bits)
+    shapes = {(-1 if n.isascii() else [c.isascii() for c in n].index(False), len(n)) for n in names}
+    texts = [*files.values(), "", "bus", "x" * 49 + " bus stop sign", "用" * 120]
+    bodies = [markdown.body_start(t) for t in texts]
+    matcher = Matcher([(k, n, "") for k, n in enumerate(names)])
+    for text, body, found in zip(texts, bodies, terms.Sieve(table, list(shapes)).places(texts, bodies), strict=True):
+        assert {(a, n) for a, _, n, _ in matcher.hits(text, body)} <= set(found) and found == sorted(found)
+        assert all(body <= a and a + n <= len(text) for a, n in found)
+
+
+def test_links_are_read_without_the_glossary(spark):
+    files = {"a.md": "[[b]] T [[s.rs@A]]", "b.md": "", "s.rs": "struct A;", "t.rs": "struct B;\nstruct C;", "glossary/T.md": "x"}
+    w = graph.index(spark.createDataFrame(list(files.items()), "path string, content string"))
+    assert lookup.diagnostics(w).count() == 0 and "parsed" not in w.__dict__
+    assert {(r.raw, r.symbol_id) for r in w.resolved.collect()} == {("b", None), ("s.rs@A", 0)}
+    assert {r.file for r in w.cited.collect()} == {"s.rs"} and w.symbols.count() == 3
+    assert w.edges.filter("kind = 'mentions'").count() == 1 and w.noted is w.parsed
